@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, line_dedup, mixing, packing, records, simhash
+from . import chat, html_text, line_dedup, mixing, mpeg_audio, packing, records, simhash, vector_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates_query(table(spark, sf_dir, "documents"))
 
 
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.media_query(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_file.top_k_query(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(table(spark, sf_dir, "documents"))
 
@@ -44,11 +52,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
+    "op3_mpeg_audio": op3_mpeg_audio,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_top_k": op5_top_k,
     "op6_mixing": op6_mixing,
     "op7_html_extraction": op7_html_extraction,
     "op8_token_records": op8_token_records,
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_top_k": vector_file.ORACLE}
