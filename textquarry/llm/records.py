@@ -1,8 +1,8 @@
 """Token ids in length-delimited binary records.
 
 A shard is a file of records in the layout of TFRecord files: length (8 bytes, little-endian), masked CRC-32C of those
-bytes, payload, masked CRC-32C of the payload. A payload is flags (1 byte: bit 0, the document has an id), doc_id
-(8 bytes) and the ids (4 bytes each), all little-endian. Beside each shard lies an index of (offset of the record, number
+bytes, payload, masked CRC-32C of the payload. A payload is flags (1 byte: bit 0, the document has an id; bit 1, its
+token ids take 4 bytes each, else 2), doc_id (8 bytes) and the token ids, all little-endian. Beside each shard lies an index of (offset of the record, number
 of ids) in two 8-byte numbers a record, so that readers can fetch records in any order.
 
 Documents are dealt to shards by ranges of doc_id, and each task writes its shard under a name of its own attempt; the
@@ -102,7 +102,8 @@ class ShardWriter:
         self.data, self.index = self.fs.open_output_stream(f"{path}/{name}.rec"), self.fs.open_output_stream(f"{path}/{name}.idx")
 
     def add(self, rows: list[tuple[int | None, np.ndarray]]) -> None:
-        records = framed([HEAD.pack(doc is not None, doc or 0) + ids.astype("<u4", copy=False).tobytes() for doc, ids in rows])
+        wide = [bool((ids > 65535).any()) for _, ids in rows]
+        records = framed([HEAD.pack((doc is not None) + 2 * w, doc or 0) + ids.astype("<u4" if w else "<u2").tobytes() for (doc, ids), w in zip(rows, wide, strict=True)])
         entries = np.zeros(len(rows), INDEX)
         sizes = np.array([len(r) for r in records], np.uint64)
         entries["offset"], entries["ids"] = np.uint64(self.at) + np.cumsum(sizes) - sizes, [len(ids) for _, ids in rows]
@@ -124,8 +125,8 @@ def read_index(folder: str, name: str) -> np.ndarray:
 
 
 def parsed(record: bytes) -> tuple[int | None, np.ndarray]:
-    has_id, doc = HEAD.unpack_from(record)
-    return doc if has_id else None, np.frombuffer(record, "<u4", offset=HEAD.size)
+    flags, doc = HEAD.unpack_from(record)
+    return doc if flags & 1 else None, np.frombuffer(record, "<u4" if flags & 2 else "<u2", offset=HEAD.size).astype("<u4")
 
 
 def read_record(folder: str, name: str, offset: int) -> tuple[int | None, np.ndarray]:
