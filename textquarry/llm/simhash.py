@@ -12,6 +12,8 @@ nodes descend together, adding up the differences of their shared bits, and are
 group returns the edges of a spanning forest, not its pairs, so a dense group costs one edge for each fingerprint. The
 edges of all groups are contracted by alternating large-star and small-star steps.
 
+``similar_documents`` is the same for shingles of five words and a Jaccard similarity of 0.8, by longer fingerprints.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other. Repeated rows are all returned. A
 component whose ids are all null has a null label; else null ids don't count. Empty tables give empty results. Only
 ``doc_id`` and ``text`` are read.
@@ -19,6 +21,7 @@ component whose ids are all null has a null label; else null ids don't count. Em
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import partitions, removed, scratch, small_batches, stored, text_of
 
 WIDTH, RADIUS, SEED = 4, 4, 42
-LEAF, FANOUT, FRONT = 16, 8, 1 << 18
+#: Of similar_documents().
+SIMILARITY, SIMILAR_WIDTH, RECALL, WORDS, GROUP = 0.8, 5, 0.975, 8, 128
+LEAF, FANOUT, FRONT, DENSE, PIVOTS = 16, 8, 1 << 17, 2048, 32
 
 
 def fingerprint(text: str, width: int = WIDTH) -> int:
@@ -69,17 +74,22 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return fps
 
 
+def differing(bits: np.ndarray) -> np.ndarray:
+    """Set bits in each row of words."""
+    return np.bitwise_count(bits).sum(1, dtype=np.int32)
+
+
 class GrayIndex:
-    """Nodes over fingerprints in Gray order; levels[0] are the leaves."""
+    """Nodes over fingerprints (rows of 64-bit words) in Gray order; levels[0] are the leaves."""
 
     def __init__(self, fps: np.ndarray):
-        self.order = np.argsort(gray_rank(fps), kind="stable")
+        self.order = np.lexsort([gray_rank(w) for w in fps.T[::-1]])
         self.fps = fps[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         every, some, step = self.fps, self.fps, LEAF
         while True:
             cuts = np.arange(0, len(every), step)
-            every, some = np.bitwise_and.reduceat(every, cuts), np.bitwise_or.reduceat(some, cuts)
+            every, some = np.bitwise_and.reduceat(every, cuts, 0), np.bitwise_or.reduceat(some, cuts, 0)
             self.levels.append((~(every ^ some), every))  # the bits that all below share, and their pattern
             if len(every) == 1:
                 break
@@ -101,7 +111,7 @@ class GrayIndex:
         while stack:
             level, a, b = stack.pop()
             if level < 0:
-                near = np.bitwise_count(self.fps[a] ^ self.fps[b]) <= radius
+                near = differing(self.fps[a] ^ self.fps[b]) <= radius
                 if near.any():
                     yield a[near], b[near]
                 continue
@@ -115,7 +125,7 @@ class GrayIndex:
                 x, y = self._children(level, a[k : k + most], b[k : k + most])
                 if level:
                     mask, pattern = self.levels[level - 1]
-                    near = np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= radius
+                    near = differing((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= radius
                     x, y = x[near], y[near]
                 if len(x):
                     stack.append((level - 1, x, y))
@@ -140,21 +150,26 @@ class Forest:
 
 
 def spanning_edges(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked fingerprint of the group with a fingerprint that stands for its component, itself left out."""
-    if len(fps) <= 2 * LEAF:
-        a, b = np.triu_indices(len(fps), 1)
-        near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
+    """Places of fingerprints that links join to others, each with the place that stands for its component."""
+    n = len(fps)
+    if n <= 2 * LEAF:
+        a, b = np.triu_indices(n, 1)
+        near = differing(fps[a] ^ fps[b]) <= radius
         if not near.any():
-            return fps[:0], fps[:0]
-        forest, places = Forest(len(fps)), fps
+            return a[:0], a[:0]
+        forest, order = Forest(n), np.arange(n)
         forest.link(a[near], b[near])
     else:
         index = GrayIndex(fps)
-        forest, places = Forest(len(fps)), index.fps
+        forest, order = Forest(n), index.order
+        if n > DENSE:  # what lies around a few pivots hangs together and needs no pairs
+            for pivot in range(0, n, n // PIVOTS):
+                near = np.flatnonzero(differing(index.fps ^ index.fps[pivot]) <= radius)
+                forest.link(np.full(len(near), pivot), near)
         for a, b in index.pairs(radius, forest):
             forest.link(a, b)
-    child = forest.label != np.arange(len(fps))
-    return places[child], places[forest.label[child]]
+    child = forest.label != np.arange(n)
+    return order[child], order[forest.label[child]]
 
 
 def link_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -162,38 +177,47 @@ def link_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     n = radius + 1
     bounds = [64 * k // n for k in range(n + 1)]
     blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - bounds[k + 1]), 64 - bounds[k + 1] + bounds[k]).alias("value")) for k in range(n)])
-    dealt = fps.select("fp", F.explode(blocks).alias("b")).select("fp", "b.block", "b.value")
+    dealt = fps.select(F.col("fp").alias("node"), F.explode(blocks).alias("b")).select("node", "b.block", "b.value")
+    return grouped_edges(dealt, radius, 1)
+
+
+def grouped_edges(dealt: DataFrame, radius: int, words: int) -> DataFrame:
+    """(u, v) with v < u from (node, block, value) or, with several words, (node, block, value, bits): the edges of the
+    spanning forests of all groups of equal block and value. A task holds one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         key = None
 
-        def edges(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-            return spanning_edges(np.concatenate(parts).view(np.uint64), radius)
+        def edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            nodes = np.concatenate([p[0] for p in parts])
+            a, b = spanning_edges(np.concatenate([p[1] for p in parts]), radius)
+            return nodes[a], nodes[b]
 
         def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            u, v = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
         for batch in batches:
-            fp, block, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(fp):
+            node, block, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(node):
                 continue
-            cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0)) + 1).tolist(), len(fp)]
+            bits = node.view(np.uint64).reshape(-1, 1) if words == 1 else np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, words)
+            cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0)) + 1).tolist(), len(node)]
             found = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if key != (now := (int(block[a]), int(value[a]))):
-                    if sum(map(len, held)) > 1:
+                    if sum(len(p[0]) for p in held) > 1:
                         found.append(edges(held))
                     held, key = [], now
-                held.append(fp[a:b])
+                held.append((node[a:b], bits[a:b]))
             if found := [x for x in found if len(x[0])]:
                 yield out(found)
-        if sum(map(len, held)) > 1 and len((last := edges(held))[0]):
+        if sum(len(p[0]) for p in held) > 1 and len((last := edges(held))[0]):
             yield out([last])
 
-    spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    spark = dealt.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32768")
     grouped = dealt.repartition(partitions(spark), "block", "value").sortWithinPartitions("block", "value")
     return grouped.mapInArrow(run, "u bigint, v bigint").distinct()
 
@@ -227,22 +251,97 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     """(doc_id, fp, root, component_id) for each row: its fingerprint, its component's fingerprint and smallest doc_id."""
     fps = stored(fingerprints(docs, width), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct_fingerprints")
-    links = contracted(link_edges(distinct.select("fp"), radius)).withColumnsRenamed({"u": "fp", "v": "root"})
-    rooted = stored(distinct.join(links, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted")
+    nodes = distinct.select(F.col("fp").alias("node"), "least_id")
+    found = labelled(fps.select("doc_id", F.col("fp").alias("node")), nodes, link_edges(distinct.select("fp"), radius))
+    return found.withColumnRenamed("node", "fp")
+
+
+def labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, node, root, component_id) for rows (doc_id, node), nodes (node, least_id) and edges (u, v)."""
+    links = contracted(edges).withColumnsRenamed({"u": "node", "v": "root"})
+    rooted = stored(nodes.join(links, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "rooted")
     labels = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(labels, "root")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "root", "component_id")
+    of_node = rooted.select("node", "root").join(labels, "root")
+    return rows.join(of_node, "node").select("doc_id", "node", "root", "component_id")
+
+
+def long_fingerprint(text: str, width: int = SIMILAR_WIDTH, words: int = WORDS) -> bytes:
+    """A SimHash of 64 * words bits; a shingle's further hashes are mixed from its first."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return bytes(8 * words)
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in parts]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = max(1, len(parts) - width + 1)
+    spans = zip(starts[:last].tolist(), ends[min(width, len(parts)) - 1 :].tolist(), strict=True)
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, last)
+    counts = np.zeros(64 * words, np.int64)
+    for k in range(0, last, 1 << 13):
+        h = hashes[k : k + (1 << 13), None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits((counts * 2 > last).astype(np.uint8), bitorder="little").tobytes()
+
+
+def agreeing(similarity: float) -> float:
+    """The chance that a SimHash bit is equal in texts of that Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, recall: float = RECALL) -> DataFrame:
+    """(doc_id, node, root, component_id) for each row, linked where the shingles' Jaccard similarity, as estimated by long
+    fingerprints, is ``similarity`` or more.
+
+    At such similarities fingerprints of 64 bits differ in about ten, which blocks of equal bits can't search. So each
+    fingerprint of 64 * WORDS bits goes to tables keyed by samples of its bits: samples so long that a group has about
+    GROUP texts, and so many that a pair of exactly that similarity shares a group with probability ``recall``. Groups
+    are searched with the Gray-order index; its radius is 1.85 standard deviations above the bits expected to differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([long_fingerprint(t.as_py(), width) for t in batch.column(1)], pa.binary())], ["doc_id", "bits"])
+
+    small_batches(docs.sparkSession)
+    made = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").mapInArrow(run, "doc_id bigint, bits binary")
+    fps = stored(made.withColumn("node", F.xxhash64("bits")), "long_fingerprints")
+    distinct = stored(fps.groupBy("node").agg(F.first("bits").alias("bits"), F.min("doc_id").alias("least_id")), "distinct_long")
+    n, p = 64 * WORDS, agreeing(similarity)
+    sample = max(8, round(math.log2(max(1, distinct.count()) / GROUP)))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - p**sample))
+    radius = int(n * (1 - p) + 1.85 * math.sqrt(n * p * (1 - p)))
+    rng = np.random.default_rng(11)
+    picks = [rng.choice(n, sample, replace=False) for _ in range(tables)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = np.int64(1) << np.arange(sample, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")
+            values = np.concatenate([bits[:, pick] @ powers for pick in picks])
+            table = np.repeat(np.arange(tables, dtype=np.int32), batch.num_rows)
+            at = pa.array(np.tile(np.arange(batch.num_rows), tables))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(table), pa.array(values), batch.column(1).take(at)], ["node", "block", "value", "bits"])
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    dealt = distinct.select("node", "bits").mapInArrow(deal, "node bigint, block int, value bigint, bits binary")
+    return labelled(fps.select("doc_id", "node"), distinct.select("node", "least_id"), grouped_edges(dealt, radius, WORDS))
 
 
-def deduped_documents(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One row of docs for each component: the one with the smallest doc_id."""
-    found = near_duplicates(docs, width, radius)
+def deduped_documents(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of similar_documents(): the one with the smallest doc_id."""
+    found = similar_documents(docs)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     rows = stored(found.where(first).groupBy("doc_id").agg(F.count("*").alias("copies")), "near_duplicate_heads")
     one = rows.select(F.col("doc_id").alias("head_id"))
     kept = docs.join(one, docs["doc_id"].cast("bigint").eqNullSafe(one["head_id"]), "left_semi")
     if rows.where("copies > 1 AND doc_id IS NOT NULL").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
+        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
     if rows.where("copies > 1 AND doc_id IS NULL").limit(1).count():
         kept = kept.where("doc_id IS NOT NULL").unionByName(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
     return kept
