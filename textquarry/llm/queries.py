@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, line_dedup, mixing, mpeg_audio, packing, records, simhash, vector_file
+import corpus_pipeline
+
+from . import chat, html_text, language_id, line_dedup, mixing, mpeg_audio, packing, records, simhash, vector_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,10 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.records_query(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_query(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(spark, table(spark, sf_dir, "conversations"))
 
@@ -58,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_html_extraction": op7_html_extraction,
     "op8_token_records": op8_token_records,
+    "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_top_k": vector_file.ORACLE}
