@@ -5,14 +5,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import diffs, ranges, results, search
+from ..sources.corpus import Corpus
+from ..streaming import budget
+from . import verbs
+from .options import Options
 
 SYMBOLS = ("the", "was", "ention")
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,3 +371,64 @@ def span_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.dayofyear("o_orderdate").cast("bigint")
     spans = table(spark, sf_dir, "orders").select("o_custkey", day.alias("s"), (day + 10).alias("e"))
     return ranges.gaps(ranges.merged_ranges(spans, ["o_custkey"], gap=0), ["o_custkey"], F.lit(0).cast("bigint"), F.lit(400).cast("bigint"))
+
+
+# -- the verbs, over a Go file for each document
+
+
+def code_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    i = F.col("doc_id").cast("string")
+    parts = ["package p\n\nimport \"x\"\n\nfunc F", i, "() {\n\tx.Call", (F.col("doc_id") % 7).cast("string"), "() // Call3\n}\n\nfunc G", i, "() {\n\tF", i, "()\n}\n"]
+    content = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    path = F.concat(F.lit("pkg"), (F.col("doc_id") % 10).cast("string"), F.lit("/f"), i, F.lit(".go"))
+    return Corpus.from_table(table(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content")))
+
+
+GO = "g AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS i, 'pkg' || doc_id % 10 || '/f' || doc_id || '.go' AS path FROM documents)"
+
+
+@query(f"""WITH {GO} SELECT path, 'ref' AS kind, 6 AS line, 5 AS start_line, 7 AS end_line, 'F' || i AS scope, 'func F' || i || '() {{' || chr(10) || chr(9) || 'x.Call3() // Call3' || chr(10) || '}}' AS code FROM g WHERE doc_id % 7 = 3""")
+def verb_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = verbs.find(code_corpus(spark, sf_dir), "Call3", Options(include="refs", no_comments=True))
+    return rows.select("path", "kind", "line", "start_line", "end_line", "scope", "code")
+
+
+@query(f"""WITH {GO}, r AS (SELECT path, row_number() OVER (ORDER BY path) AS k FROM g WHERE contains(path, 'pkg4/')) SELECT CAST(k AS INTEGER) AS rank, path, 'file' AS kind, (SELECT count(*) FROM r) > 7 AS truncated FROM r WHERE k <= 7""")
+def verb_find_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verbs.find(code_corpus(spark, sf_dir), "pkg4", Options(match="path", limit=7)).select("rank", "path", "kind", "truncated")
+
+
+@query("""SELECT * FROM (VALUES (0, 1, 'scope', 'F12', 9, 11, 'G12'), (0, 2, 'imports', NULL, 3, 3, NULL), (0, 3, 'ref', 'F12', 9, 11, 'G12'), (1, 1, 'scope', 'Call6', 5, 7, 'F13'), (1, 2, 'imports', NULL, 3, 3, NULL)) AS t(q_ix, rank, kind, symbol, start_line, end_line, scope)
+UNION ALL SELECT 1, CAST(2 + row_number() OVER (ORDER BY path) AS INTEGER), 'ref', 'Call6', 5, 7, 'F' || doc_id FROM (SELECT doc_id, 'pkg' || doc_id % 10 || '/f' || doc_id || '.go' AS path FROM documents WHERE doc_id % 7 = 6)""")
+def verb_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = verbs.inspect(code_corpus(spark, sf_dir), ["pkg2/f12.go:10", "pkg3/f13.go:6"], Options(include="all", no_comments=True))
+    rows = rows.where("NOT (kind = 'def')").withColumn("rank", F.row_number().over(Window.partitionBy("q_ix").orderBy("rank")))
+    return rows.select("q_ix", "rank", "kind", "symbol", "start_line", "end_line", "scope")
+
+
+@query("""SELECT * FROM (VALUES (1, 'F5', 5, 'func F5() {'), (2, 'G5', 9, 'func G5() {')) AS t(rank, symbol, line, signature)""")
+def verb_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verbs.outline(code_corpus(spark, sf_dir), ["pkg5/f5.go"]).select("rank", "symbol", "line", "signature")
+
+
+@query(f"""WITH {GO} SELECT path, 'changed' AS kind, 5 AS start_line, 7 AS end_line, '6' AS changed_lines, 'F' || i AS scope FROM g WHERE doc_id % 5 = 0
+UNION ALL SELECT path, 'changed', 9, 11, '10', 'G' || i FROM g WHERE doc_id % 15 = 0 UNION ALL SELECT path, 'file', 0, 0, '', '' FROM g WHERE doc_id % 5 = 1""")
+def verb_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = code_corpus(spark, sf_dir)
+    number = F.regexp_extract("path", r"f(\d+)\.go$", 1).cast("bigint")
+    files = corpus.files.where(number % 5 < 2).select("path")
+    lines = corpus.files.where(number % 5 == 0).select("path", F.lit(6).alias("line_no")).unionByName(corpus.files.where(number % 15 == 0).select("path", F.lit(10).alias("line_no")))
+    rows = verbs.changed(corpus, files, lines, Options(context=1)).withColumn("changed_lines", F.array_join("changed_lines", ","))
+    return rows.select("path", "kind", "start_line", "end_line", "changed_lines", "scope").fillna(0).fillna("")
+
+
+@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS started, count(*) FILTER (event_type = 'purchase') AS completed, count(*) FILTER (event_type = 'click') > 5 AS exceeded FROM events GROUP BY user_id")
+def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running counts of a stream of events, when the stream has been read to its end."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    kind = F.when(F.col("event_type") == "click", "item.started").when(F.col("event_type") == "purchase", "item.completed").alias("type")
+    counts = budget.usage(stream.select("user_id", kind), ["user_id"], 5)
+    name = f"usage_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
