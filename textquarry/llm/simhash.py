@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, removed, scratch, small_batches, stored, text_of
+from .common import partitions, removed, scratch, small_batches, stored, text_of, unused
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 #: Of similar_documents().
@@ -257,12 +257,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
 
 
 def labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, node, root, component_id) for rows (doc_id, node), nodes (node, least_id) and edges (u, v)."""
+    """rows (doc_id, node, ...) with root and component_id, for nodes (node, least_id) and edges (u, v)."""
     links = contracted(edges).withColumnsRenamed({"u": "node", "v": "root"})
     rooted = stored(nodes.join(links, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root")), "rooted")
     labels = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_node = rooted.select("node", "root").join(labels, "root")
-    return rows.join(of_node, "node").select("doc_id", "node", "root", "component_id")
+    return rows.join(of_node, "node").select(*rows.columns, "root", "component_id")
 
 
 def long_fingerprint(text: str, width: int = SIMILAR_WIDTH, words: int = WORDS) -> bytes:
@@ -292,7 +292,7 @@ def agreeing(similarity: float) -> float:
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, recall: float = RECALL) -> DataFrame:
-    """(doc_id, node, root, component_id) for each row, linked where the shingles' Jaccard similarity, as estimated by long
+    """(doc_id, th: hash of the text, node, root, component_id) for each row, linked where the shingles' Jaccard similarity, as estimated by long
     fingerprints, is ``similarity`` or more.
 
     At such similarities fingerprints of 64 bits differ in about ten, which blocks of equal bits can't search. So each
@@ -303,10 +303,10 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([long_fingerprint(t.as_py(), width) for t in batch.column(1)], pa.binary())], ["doc_id", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([long_fingerprint(t.as_py(), width) for t in batch.column(1)], pa.binary())], ["doc_id", "th", "bits"])
 
     small_batches(docs.sparkSession)
-    made = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").mapInArrow(run, "doc_id bigint, bits binary")
+    made = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, th bigint, bits binary")
     fps = stored(made.withColumn("node", F.xxhash64("bits")), "long_fingerprints")
     distinct = stored(fps.groupBy("node").agg(F.first("bits").alias("bits"), F.min("doc_id").alias("least_id")), "distinct_long")
     n, p = 64 * WORDS, agreeing(similarity)
@@ -330,21 +330,25 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     dealt = distinct.select("node", "bits").mapInArrow(deal, "node bigint, block int, value bigint, bits binary")
-    return labelled(fps.select("doc_id", "node"), distinct.select("node", "least_id"), grouped_edges(dealt, radius, WORDS))
+    return labelled(fps.select("doc_id", "th", "node"), distinct.select("node", "least_id"), grouped_edges(dealt, radius, WORDS))
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component of similar_documents(): the one with the smallest doc_id."""
-    found = similar_documents(docs)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    rows = stored(found.where(first).groupBy("doc_id").agg(F.count("*").alias("copies")), "near_duplicate_heads")
-    one = rows.select(F.col("doc_id").alias("head_id"))
-    kept = docs.join(one, docs["doc_id"].cast("bigint").eqNullSafe(one["head_id"]), "left_semi")
-    if rows.where("copies > 1 AND doc_id IS NOT NULL").limit(1).count():
-        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    if rows.where("copies > 1 AND doc_id IS NULL").limit(1).count():
-        kept = kept.where("doc_id IS NOT NULL").unionByName(kept.where("doc_id IS NULL").dropDuplicates(["text"]))
-    return kept
+    """One row of docs for each component of similar_documents(): the one with the smallest doc_id, nulls last, and of rows
+    with that id the one whose text has the least hash. Rows are told apart by doc_id and text; those that go are joined
+    against, as they are fewer than those that stay."""
+    name = unused(docs, "near_dedup_text")
+    found = stored(similar_documents(docs), "near_duplicates")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("head")
+    heads = found.groupBy("root").agg(head).select(F.col("root").alias("r"), F.col("head.doc_id").alias("head_id"), F.col("head.th").alias("head_th"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th"))
+    marked = stored(found.join(heads, F.col("root") == F.col("r")).select("doc_id", "th", is_head.alias("stays")), "near_duplicates_marked")
+    gone = marked.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
+    hashed = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    kept = hashed.join(gone, hashed["doc_id"].cast("bigint").eqNullSafe(gone["gone_id"]) & (hashed[name] == gone["gone_th"]), "left_anti")
+    if marked.where("stays").groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", name])
+    return kept.select(*docs.columns)
 
 
 def near_duplicates_query(docs: DataFrame) -> DataFrame:
