@@ -27,12 +27,14 @@ def source_lines(content: str) -> list[str]:
     return lines[:-1] if lines[-1] == "" else lines
 
 
-def by_character(text: str, spans: list[tuple[int, int]]) -> str:
+def by_character(text: str, scan: Scan) -> str:
+    """text with a space for each character of comments and literals, where a literal begins with 0, a value to the parser."""
     out, at = [], 0
-    for start, end in spans:
+    for start, end, value in sorted([(a, b, False) for a, b in scan.comments] + [(a, b, True) for a, b in scan.strings]):
         start = max(start, at)
         if end > start:
-            out += [text[at:start], re.sub(r"[^\r\n]", " ", text[start:end])]
+            piece = re.sub(r"[^\r\n]", " ", text[start:end])
+            out += [text[at:start], "0" + piece[1:] if value and piece[0] == " " else piece]
             at = end
     return "".join(out) + text[at:]
 
@@ -46,8 +48,7 @@ class Analysis:
         if name not in _scanners:
             _scanners[name] = Scanner(self.language.lexis)
         self.scan = self._scan(name)
-        both = sorted(self.scan.comments + self.scan.strings)
-        self.structure = self._structure(by_character(self.text, both))
+        self.structure = self._structure(by_character(self.text, self.scan))
         self.defs: list[Definition] = self.structure.defs if self.structure else self._brace_definitions()
         self.scopes: list[tuple[int, int]] = self.structure.scopes if self.structure else []
         self.imports: list[tuple[int, int]] = self.structure.imports if self.structure else []

@@ -75,7 +75,7 @@ LANGUAGE: dict[str, Language] = {
         "swift", Lexis(nested=True, strings=(('#+"""|#+"', None, False, True, None), ('"""', '"""', True, True, r"\\\("), ('"', '"', True, False, r"\\\("))), newline=True,
         heads={"class": _TYPE, "struct": _TYPE, "actor": _TYPE, "enum": _ENUM, "extension": "impl", "protocol": _TYPE, "func": _FUNC, "var": _VALUE, "let": _VALUE, "typealias": _ALIAS, "associatedtype": _ALIAS, "macro": _FUNC, "precedencegroup": _TYPE, "init": "constructor", "deinit": "constructor", "subscript": "constructor"}, modifiers=MODIFIERS - {"class"}, imports=("import",),
     ),
-    "python": Language("python", Lexis(line_comments=("#",), blocks=(), strings=((r"(?i:\b[bur]{1,2}|\b)(?:\"\"\"|''')", None, True, True, None), (r"(?i:\b(?:f|rf|fr|t|rt|tr))(?:\"\"\"|''')", None, True, True, r"\{\{|\{"), (r"(?i:\b(?:f|rf|fr|t|rt|tr))[\"']", None, True, False, r"\{\{|\{"), (r"[\"']", None, True, False, None)), docstrings=True), style="indent", position_scopes=False),
+    "python": Language("python", Lexis(line_comments=("#",), blocks=(), strings=((r"(?i:(?<!\w)[bur]{1,2})?(?:\"\"\"|''')", None, True, True, None), (r"(?i:(?<!\w)(?:f|rf|fr|t|rt|tr))(?:\"\"\"|''')", None, True, True, r"\{\{|\{"), (r"(?i:(?<!\w)(?:f|rf|fr|t|rt|tr))[\"']", None, True, False, r"\{\{|\{"), (r"[\"']", None, True, False, None)), docstrings=True), style="indent", position_scopes=False),
     "modula-2": Language("modula-2", Lexis(line_comments=(), blocks=(("(*", "*)"), ("<*", "*>")), nested=True, strings=(('"', '"', False, False, None), ("'", "'", False, False, None))), style="modula"),
 }
 BRACE = Language("", Lexis(), c_functions=True)

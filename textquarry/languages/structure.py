@@ -48,7 +48,7 @@ class Lines:
 
 
 class Structure:
-    """What a file declares. ``code`` is its text with comments and strings blanked by character, not by byte."""
+    """What a file declares. ``code`` is its text with comments and strings blanked by character, not by byte; a 0 stands for a string."""
 
     def __init__(self, language: Language, text: str, code: str, scan: Scan):
         self.language, self.text, self.at, self.scan_ = language, text, Lines(text), scan
@@ -252,7 +252,7 @@ class Structure:
                 k += 1
                 if k < stop and t[k] == "(" and x in ("pub", "private", "public", "internal", "fileprivate", "extern", "open", "unowned") and self.mate[k] > 0:
                     k = self.mate[k] + 1
-            elif x == '"' or x == "typedef":
+            elif x == "0" or x == "typedef":  # extern "C"
                 k += 1
             else:
                 return None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
@@ -44,9 +44,8 @@ def changed_lines(headers: DataFrame) -> DataFrame:
 
 def patch_headers(patches: DataFrame) -> DataFrame:
     """(path, header) of the hunks in patches (patch): a patch text of many files."""
-    lines = patches.select(F.monotonically_increasing_id().alias("_id"), F.posexplode(F.split("patch", "\n", -1)).alias("_p", "line"))
-    from pyspark.sql import Window
-
+    numbered = patches.select(F.monotonically_increasing_id().alias("_id"), "patch")
+    lines = numbered.select("_id", F.posexplode(F.split("patch", "\n", -1)).alias("_p", "line"))
     order = Window.partitionBy("_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     path = F.nullif(F.regexp_extract("line", r"^\+\+\+ b/(.*?)\t?$", 1), F.lit(""))
     named = lines.withColumn("path", F.last(path, ignorenulls=True).over(order))

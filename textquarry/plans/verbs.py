@@ -138,7 +138,8 @@ def _shaped(rows: DataFrame, *extra: str) -> DataFrame:
     return rows.select(*extra, *out)
 
 
-KIND_RANK = F.when(F.col("kind") == "def", 0).otherwise(1)
+def _kind_rank() -> Column:
+    return F.when(F.col("kind") == "def", 0).otherwise(1)
 
 
 def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options(), changed: DataFrame | None = None) -> DataFrame:
@@ -157,8 +158,8 @@ def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options
         files = _changed_only(files, changed, options)
         hits = _placed(_hits(corpus, queries, options, files), options)
         rows = hits.select("q_ix", "kind", "symbol", "path", F.col("line_no").alias("line"), "start_line", "end_line", "scope", F.col("reported").alias("language"), results.finding(F.col("kind")).alias("finding"))
-        first = results.first_of_each(rows, ["q_ix", *results.RESULT_KEY], ["path", "line", KIND_RANK])
-        order: list[str | Column] = ["path", "line", KIND_RANK]
+        first = results.first_of_each(rows, ["q_ix", *results.RESULT_KEY], ["path", "line", _kind_rank()])
+        order: list[str | Column] = ["path", "line", _kind_rank()]
         symbols = results.top_of_each(first, ["q_ix"], order, options.limit + 1 if options.limit else 0).drop("rank")
         symbols = symbols.withColumn("match_rank", F.lit(0))
         found.append(symbols)
@@ -170,7 +171,7 @@ def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options
         found.append(rows)
     every = found[0] if len(found) == 1 else results.first_or_second(found[0], found[1])
     asked = spark.range(len(queries)).select(F.col("id").cast("int").alias("q_ix"))
-    limited = results.shared_limit(every, asked, options.limit, ["match_rank", "path", "line", KIND_RANK])
+    limited = results.shared_limit(every, asked, options.limit, ["match_rank", "path", "line", _kind_rank()])
     for name, kind in (("start_line", "int"), ("end_line", "int"), ("symbol", "string"), ("scope", "string"), ("language", "string")):
         if name not in limited.columns:
             limited = limited.withColumn(name, F.lit(None).cast(kind))
