@@ -163,20 +163,20 @@ def dropped_positions(docs: DataFrame, min_chars: int, batches: int, fanout: int
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 3, fanout: int = 4) -> tuple[DataFrame, dict[str, str]]:
     """docs with three more columns, and their names by what they hold: kept (the text that stays), n_lines, n_dropped."""
-    name = {x: unused(docs, f"line_dedup_{x}") for x in ("kept", "n_lines", "n_dropped", "th", "lines", "text")}
+    name = {x: unused(docs, f"line_dedup_{x}") for x in ("kept", "n_lines", "n_dropped", "th", "lines", "text", "drop", "drop_id", "drop_th")}
     text = F.coalesce(F.col("text"), F.lit(""))
     drops = dropped_positions(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")), min_chars, batches, fanout)
+    drops = drops.withColumnsRenamed({x: name[x] for x in ("drop", "drop_id", "drop_th")})
     # The lines are split below the join: above it the array is a column, which the lambda reads in constant time.
     split = docs.withColumn(name["text"], text).withColumns(
         {name["th"]: F.xxhash64(name["text"]), name["lines"]: F.split(name["text"], "\n", -1)}
     )
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("drop_id")) & (F.col(name["th"]) == F.col("drop_th"))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name["drop_id"])) & (F.col(name["th"]) == F.col(name["drop_th"]))
     joined = split.join(drops, same, "left")
-    lines, count = F.col(name["lines"]), F.size(name["lines"])
-    stay = F.array_except(F.sequence(F.lit(0), count - 1), F.col("drop"))
-    kept = F.when(F.col("drop").isNull(), F.col(name["text"])).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
-    lost = F.coalesce(F.size(F.array_distinct("drop")), F.lit(0))
-    lost = F.when(F.col("drop").isNull(), 0).otherwise(lost)
+    lines, count, drop = F.col(name["lines"]), F.size(name["lines"]), F.col(name["drop"])
+    stay = F.array_except(F.sequence(F.lit(0), count - 1), drop)
+    kept = F.when(drop.isNull(), F.col(name["text"])).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
+    lost = F.when(drop.isNull(), 0).otherwise(F.size(F.array_distinct(drop)))
     out = joined.select(
         *docs.columns,
         kept.alias(name["kept"]),
