@@ -104,16 +104,17 @@ class GrayIndex:
         keep = (x < size) & (y < size) & ((x <= y) if level else (x < y))
         return x[keep], y[keep]
 
-    def pairs(self, radius: int, joined: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Linked places (in Gray order), in pieces of bounded size; what already hangs together is left out."""
+    def pairs(self, radius: int, joined: Forest) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Linked places (in Gray order) and their distances, in pieces of bounded size; leaves that hang together are left out."""
         top = len(self.levels) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
             if level < 0:
-                near = differing(self.fps[a] ^ self.fps[b]) <= radius
+                apart = differing(self.fps[a] ^ self.fps[b])
+                near = apart <= radius
                 if near.any():
-                    yield a[near], b[near]
+                    yield a[near], b[near], apart[near]
                 continue
             if level == 0:
                 lo = np.minimum.reduceat(joined.label, np.arange(0, len(self.fps), LEAF))
@@ -132,44 +133,71 @@ class GrayIndex:
 
 
 class Forest:
-    """Labels of the connected places: the smallest place that links reach."""
+    """Labels of the connected places: the smallest place that links reach. ``edges`` are the links that joined them."""
 
     def __init__(self, size: int):
         self.label = np.arange(size)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+    def link(self, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        """Join what links a, b join; each component takes its shortest link to one with a smaller label."""
         while True:
             la, lb = self.label[a], self.label[b]
-            apart = la != lb
-            if not apart.any():
+            new = la != lb
+            if not new.any():
                 return
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(self.label, np.maximum(la, lb), np.minimum(la, lb))
+            a, b, apart, la, lb = a[new], b[new], apart[new], la[new], lb[new]
+            high, low = np.maximum(la, lb), np.minimum(la, lb)
+            order = np.lexsort((apart, high))
+            pick = order[np.append(True, np.diff(high[order]) != 0)]
+            self.label[high[pick]] = low[pick]
+            self.edges.append((a[pick], b[pick]))
             while not np.array_equal(up := self.label[self.label], self.label):
                 self.label = up
 
 
-def spanning_edges(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of fingerprints that links join to others, each with the place that stands for its component."""
+def spanning_edges(fps: np.ndarray, radius: int, sure: int | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links (pairs of places of fps) that connect all that links of the group connect: one fewer than the places at most.
+    With ``nearest``, also each place's nearest one. ``sure`` is a distance at which links may stand for others."""
     n = len(fps)
+    forest = Forest(n)
+    best, other = np.full(n, np.iinfo(np.int32).max, np.int32), np.full(n, -1)
+
+    def note(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
+        if nearest:
+            x, y, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((apart, apart))
+            order = np.lexsort((d, x))
+            pick = order[np.append(True, np.diff(x[order]) != 0)]
+            pick = pick[d[pick] < best[x[pick]]]
+            best[x[pick]], other[x[pick]] = d[pick], y[pick]
+        forest.link(a, b, apart)
+
     if n <= 2 * LEAF:
+        order = np.arange(n)
         a, b = np.triu_indices(n, 1)
-        near = differing(fps[a] ^ fps[b]) <= radius
-        if not near.any():
-            return a[:0], a[:0]
-        forest, order = Forest(n), np.arange(n)
-        forest.link(a[near], b[near])
+        apart = differing(fps[a] ^ fps[b])
+        near = apart <= radius
+        if near.any():
+            note(a[near], b[near], apart[near])
     else:
         index = GrayIndex(fps)
-        forest, order = Forest(n), index.order
+        order = index.order
         if n > DENSE:  # what lies around a few pivots hangs together and needs no pairs
             for pivot in range(0, n, n // PIVOTS):
-                near = np.flatnonzero(differing(index.fps ^ index.fps[pivot]) <= radius)
-                forest.link(np.full(len(near), pivot), near)
-        for a, b in index.pairs(radius, forest):
-            forest.link(a, b)
-    child = forest.label != np.arange(n)
-    return order[child], order[forest.label[child]]
+                apart = differing(index.fps ^ index.fps[pivot])
+                near = np.flatnonzero((apart <= (radius if sure is None else sure)) & (np.arange(n) != pivot))
+                if len(near):
+                    note(np.full(len(near), pivot), near, apart[near])
+        for a, b, apart in index.pairs(radius, forest):
+            note(a, b, apart)
+    found = list(forest.edges)
+    if nearest:
+        has = np.flatnonzero(other >= 0)
+        found.append((has, other[has]))
+    if not found:
+        return order[:0], order[:0]
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return order[a], order[b]
 
 
 def link_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -181,9 +209,9 @@ def link_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return grouped_edges(dealt, radius, 1)
 
 
-def grouped_edges(dealt: DataFrame, radius: int, words: int) -> DataFrame:
-    """(u, v) with v < u from (node, block, value) or, with several words, (node, block, value, bits): the edges of the
-    spanning forests of all groups of equal block and value. A task holds one group at a time."""
+def grouped_edges(dealt: DataFrame, radius: int, words: int, sure: int | None = None, nearest: bool = False) -> DataFrame:
+    """(u, v) with v < u from (node, block, value) or, with several words, (node, block, value, bits): spanning_edges() of
+    all groups of equal block and value. A task holds one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -191,7 +219,7 @@ def grouped_edges(dealt: DataFrame, radius: int, words: int) -> DataFrame:
 
         def edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             nodes = np.concatenate([p[0] for p in parts])
-            a, b = spanning_edges(np.concatenate([p[1] for p in parts]), radius)
+            a, b = spanning_edges(np.concatenate([p[1] for p in parts]), radius, sure, nearest)
             return nodes[a], nodes[b]
 
         def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -292,13 +320,15 @@ def agreeing(similarity: float) -> float:
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, recall: float = RECALL) -> DataFrame:
-    """(doc_id, th: hash of the text, node, root, component_id) for each row, linked where the shingles' Jaccard similarity, as estimated by long
-    fingerprints, is ``similarity`` or more.
+    """(doc_id, th: hash of the text, node, root, component_id) for each row, linked where the Jaccard similarity of the
+    texts' shingles is ``similarity`` or more.
 
     At such similarities fingerprints of 64 bits differ in about ten, which blocks of equal bits can't search. So each
     fingerprint of 64 * WORDS bits goes to tables keyed by samples of its bits: samples so long that a group has about
     GROUP texts, and so many that a pair of exactly that similarity shares a group with probability ``recall``. Groups
     are searched with the Gray-order index; its radius is 1.85 standard deviations above the bits expected to differ.
+    Links that span the groups, shortest first, and those of nearest neighbours are then held to the similarity by the
+    shingles themselves, which only the texts on such links are read for again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +338,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     small_batches(docs.sparkSession)
     made = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, th bigint, bits binary")
     fps = stored(made.withColumn("node", F.xxhash64("bits")), "long_fingerprints")
-    distinct = stored(fps.groupBy("node").agg(F.first("bits").alias("bits"), F.min("doc_id").alias("least_id")), "distinct_long")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
+    distinct = stored(fps.groupBy("node").agg(F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), head.alias("head")), "distinct_long")
     n, p = 64 * WORDS, agreeing(similarity)
     sample = max(8, round(math.log2(max(1, distinct.count()) / GROUP)))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - p**sample))
@@ -330,7 +361,47 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     dealt = distinct.select("node", "bits").mapInArrow(deal, "node bigint, block int, value bigint, bits binary")
-    return labelled(fps.select("doc_id", "th", "node"), distinct.select("node", "least_id"), grouped_edges(dealt, radius, WORDS))
+    edges = stored(grouped_edges(dealt, radius, WORDS, int(0.9 * n * (1 - p)), True), "candidate_links")
+    heads = distinct.select("node", F.col("head.doc_id").alias("head_id"), F.col("head.th").alias("head_th"))
+    return labelled(fps.select("doc_id", "th", "node"), distinct.select("node", "least_id"), verified(edges, heads, docs, similarity, width))
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """Sorted 32-bit hashes of a text's shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    spans = range(max(1, len(words) - width + 1)) if words else range(0)
+    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[k : k + width])) for k in spans], np.uint32))
+
+
+def verified(edges: DataFrame, heads: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The edges (u, v) whose texts' shingles have the similarity. heads: (node, head_id, head_th), a row's doc_id and hash of
+    its text for each node. No table here has a bound, so none is broadcast, at any size."""
+    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+    wanted = heads.join(ends.hint("merge"), "node", "left_semi")
+    texts = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").withColumn("th", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th"))
+    read = texts.join(wanted.hint("merge"), same).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["u", "v"])
+
+    small_batches(docs.sparkSession)
+    shingled = stored(read.mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"]), "shingle_sets")
+    a, b = (shingled.withColumnsRenamed({"node": x, "shingles": f"{x}_set"}) for x in "uv")
+    pairs = edges.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "u_set", "v_set")
+    return pairs.mapInArrow(compare, "u bigint, v bigint")
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
