@@ -143,3 +143,34 @@ def test_directories_and_git(spark, tmp_path):
     assert got(rows, "path", "scope") == [("pkg/a b.go", "a")]
     with pytest.raises(ValueError, match="."):
         Changes(spark, str(tmp_path), "--output=x")
+
+
+def test_language_rules_of_occurrence(corpus):
+    c = corpus({"a.c": "int fo\\\no = 1;\nint y = foo + fo;\n", "B.java": "class B { void m() { java . util\n.List x; java /* c */ . util y; } }\n", "k.kt": "fun f() { val `in` = 1; for (x in y) {} }\n"})
+    places = lambda q: got(V.find(c, q, Options(returns="locations", match="symbol")), "path", "line")
+    assert places("foo") == [("a.c", 1), ("a.c", 3)] and places("fo") == [("a.c", 3)]
+    assert places("java.util") == [("B.java", 1), ("B.java", 2)]
+    assert places("in") == [("k.kt", 1)]
+    assert got(V.find(c, "in", Options(match="symbol")), "kind") == [("def",)] or got(V.find(c, "in", Options(match="symbol")), "kind") == [("ref",)]
+
+
+def test_the_validator_finds_no_faults(corpus):
+    from textquarry.plans import validate
+
+    c = corpus({"a.go": GO, "b.py": "import os\n\n\ndef helper(path):\n    # caller of helper\n    return os.path.join(path, 'helper')\n", "c.js": "function caller() {\n  return helper();\n}\n"})
+    assert tuple(validate.report(c).first()) == (validate.symbols(c).count(), validate.report(c).first()["places"], 0, 0)
+    assert validate.symbols(c).first()["symbol"] == "helper"
+
+
+def test_commands(spark, tmp_path, capsys):
+    from textquarry.__main__ import main
+
+    (tmp_path / "a.go").write_text(GO)
+    assert main(["find", "helper", "--root", str(tmp_path), "--return", "locations"]) == 0
+    assert capsys.readouterr().out == "# helper: symbol\na.go:3\na.go:6\n"
+    assert main(["outline", "a.go", "nope.go", "--root", str(tmp_path), "--json"]) == 0
+    assert '"error"' in capsys.readouterr().out
+    assert main(["outline", "nope.go", "--root", str(tmp_path)]) == 1
+    assert main(["inspect", "a.go:6", "--root", str(tmp_path), "--include", "all"]) == 0
+    assert "# a.go:5-7 scope helper" in capsys.readouterr().out
+    assert main(["find", "a", "b", "--limit", "1", "--root", str(tmp_path)]) == 1

@@ -223,6 +223,22 @@ class Analysis:
         here = [d for d in self.by_line.get(line, []) if d.owns_scope]
         return [(d.col if d.line == line else 1, d.owned_end_col if d.scope_end == line and d.owned_end_col else 1 << 30, d.symbol, d.scope_start, d.scope_end) for d in here]
 
+    @property
+    def spliced(self) -> dict[int, list[tuple[str, int]]]:
+        """By line, what identifiers that a backslash at a line's end cuts add to and take from counts: the whole is on the
+        line where it begins, its pieces are nowhere."""
+        if not hasattr(self, "_spliced"):
+            self._spliced: dict[int, list[tuple[str, int]]] = {}
+            if self.language.name in ("c", "cpp") and "\\\n" in self.text:
+                code, at = by_character(self.text, self.scan), Lines(self.text)
+                for m in re.finditer(r"(?<!\w)[^\W\d]\w*(?:\\\n\w+)+", code):
+                    pieces = m[0].split("\\\n")
+                    first = at.line(m.start())
+                    self._spliced.setdefault(first, []).append(("".join(pieces), 1))
+                    for k, piece in enumerate(pieces):
+                        self._spliced.setdefault(first + k, []).append((piece, -1))
+        return self._spliced
+
     @property
     def by_line(self) -> dict[int, list[Definition]]:
         if not hasattr(self, "_by_line"):

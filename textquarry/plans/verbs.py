@@ -35,6 +35,15 @@ def _lines(files: DataFrame, options: Options) -> DataFrame:
     return analysed_lines(files, options.masks_comments, options.no_strings, options.drop_comments, options.drop_docstrings)
 
 
+#: Fixed lists: words that name something only in backticks.
+HARD_WORDS = {
+    "kotlin": "as break class continue do else false for fun if in interface is null object package return super this throw true try typealias typeof val var when while".split(),
+    "swift": "associatedtype class deinit enum extension fileprivate func import init inout internal let open operator private protocol public static struct subscript typealias var break case continue default defer do else fallthrough for guard if in repeat return switch where while as catch false is nil super self throw throws true try".split(),
+}
+#: Languages whose qualified names may have space and comments beside the dots.
+SPACED_NAMES = {".": ("csharp", "java", "kotlin", "swift", "modula-2"), "::": ("cpp",)}
+
+
 def _counted(symbol: str) -> Column:
     """How often a line has the symbol, by its language's rules."""
     line, lang = F.col("search"), F.col("lang")
@@ -44,7 +53,18 @@ def _counted(symbol: str) -> Column:
     i, name = T.IDENTIFIER, T.quoted(symbol)
     rust_pattern = f"(?<![{i}])(?<!r#)(?:(?<!')|(?={name}'))(?={name}(?![{i}]))" + ("(?!r#)" if symbol == "r" else "")
     rust = F.when(line.contains(symbol), F.regexp_count(line, F.lit(rust_pattern))).otherwise(F.lit(0))
-    return F.when(lang.isin("javascript", "typescript"), script).when(lang == "rust", rust).otherwise(plain)
+    count = F.when(lang.isin("javascript", "typescript"), script).when(lang == "rust", rust)
+    for kind, words in HARD_WORDS.items():
+        if symbol in words:
+            count = count.when(lang == kind, T.occurrence_count(line, f"`{symbol}`"))
+    for mark, languages in SPACED_NAMES.items():
+        parts = symbol.split(mark)
+        if len(parts) > 1 and all(parts):
+            between = rf"\s*{T.quoted(mark)}\s*".join(T.quoted(x) for x in parts)
+            spaced = F.regexp_count(F.col("structural"), F.lit(f"(?<![{i}])(?={between}(?![{i}]))"))
+            count = count.when(lang.isin(*languages), F.greatest(plain, spaced))
+    spliced = F.aggregate(F.filter("adjust", lambda x: x["symbol"] == symbol), F.lit(0), lambda n, x: n + x["by"])
+    return search.reconciled(count.otherwise(plain), spliced)
 
 
 def _maybe(content: Column, path: Column, symbols: Sequence[str]) -> Column:

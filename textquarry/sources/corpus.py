@@ -18,7 +18,7 @@ MOST_FILES, MOST_FILE_BYTES, MOST_BYTES, MOST_DEPTH, MOST_PATH = 100_000, 64 <<
 LINES = (
     "path string, lang string, reported string, total int, line_no int, raw string, search string, structural string, clean string, ignored boolean,"
     " defs array<struct<symbol:string,col:int>>, owner_start int, owner_end int, owner string, nav_start int, nav_end int, scope string, opener boolean,"
-    " owners array<struct<col:int,stop:int,symbol:string,s:int,e:int>>"
+    " owners array<struct<col:int,stop:int,symbol:string,s:int,e:int>>, adjust array<struct<symbol:string,by:int>>"
 )
 FILES = (
     "path string, lang string, reported string, total int, defs array<struct<symbol:string,line:int,col:int,scope_start:int,scope_end:int,owned_end_col:int,owns_scope:boolean>>,"
@@ -121,6 +121,7 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
                             "clean": clean[k - 1], "ignored": ignored[k - 1], "defs": [{"symbol": d.symbol, "col": d.col} for d in a.by_line.get(k, []) if d.line == k],
                             "owner_start": owner.scope_start if owner else None, "owner_end": owner.scope_end if owner else None, "owner": owner.symbol if owner else None,
                             "nav_start": nav[0], "nav_end": nav[1], "scope": names[k - 1], "opener": bool(here),
+                            "adjust": [{"symbol": w, "by": by} for w, by in a.spliced.get(k, ())],
                             "owners": [{"col": c, "stop": e, "symbol": s, "s": x, "e": y} for c, e, s, x, y in sorted(here)] if a.language.position_scopes else [],
                         }
                     )
@@ -142,5 +143,5 @@ FILES_ARROW = pa.schema(
     [("path", _S), ("lang", _S), ("reported", _S), ("total", _I), ("defs", pa.list_(pa.struct([("symbol", _S), ("line", _I), ("col", _I), ("scope_start", _I), ("scope_end", _I), ("owned_end_col", _I), ("owns_scope", _B)]))), ("scopes", pa.list_(pa.struct([("s", _I), ("e", _I)]))), ("import_start", _I), ("import_end", _I)]
 )
 LINES_ARROW = pa.schema(
-    [("path", _S), ("lang", _S), ("reported", _S), ("total", _I), ("line_no", _I), ("raw", _S), ("search", _S), ("structural", _S), ("clean", _S), ("ignored", _B), ("defs", pa.list_(pa.struct([("symbol", _S), ("col", _I)]))), ("owner_start", _I), ("owner_end", _I), ("owner", _S), ("nav_start", _I), ("nav_end", _I), ("scope", _S), ("opener", _B), ("owners", pa.list_(pa.struct([("col", _I), ("stop", _I), ("symbol", _S), ("s", _I), ("e", _I)])))]
+    [("path", _S), ("lang", _S), ("reported", _S), ("total", _I), ("line_no", _I), ("raw", _S), ("search", _S), ("structural", _S), ("clean", _S), ("ignored", _B), ("defs", pa.list_(pa.struct([("symbol", _S), ("col", _I)]))), ("owner_start", _I), ("owner_end", _I), ("owner", _S), ("nav_start", _I), ("nav_end", _I), ("scope", _S), ("opener", _B), ("owners", pa.list_(pa.struct([("col", _I), ("stop", _I), ("symbol", _S), ("s", _I), ("e", _I)]))), ("adjust", pa.list_(pa.struct([("symbol", _S), ("by", _I)])))]
 )
