@@ -71,8 +71,8 @@ def brace_definition(line: Column) -> Column:
     """The symbol that a line of a brace language defines: ``function`` or ``class NAME``, or a line that ends with NAME(...) and
     maybe an open brace; null if none."""
     text = F.trim(line)
-    named = F.nullif(F.regexp_extract(text, r"^(?:function|class)\s+([A-Za-z_][A-Za-z0-9_]*)\b", 1), F.lit(""))
-    called = F.nullif(F.regexp_extract(text, r"^.*\b([A-Za-z_][A-Za-z0-9_]*)\s*\([^;]*\)\s*\{?\s*$", 1), F.lit(""))
+    named = F.nullif(F.regexp_extract(text, r"^(?:function|class)\s+([A-Za-z_][A-Za-z0-9_]*)(?![A-Za-z0-9_])", 1), F.lit(""))
+    called = F.nullif(F.regexp_extract(text, r"^.*(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\s*\([^;]*\)\s*\{?\s*$", 1), F.lit(""))
     return F.coalesce(named, called)
 
 

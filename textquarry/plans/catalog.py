@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions import render
 from ..functions import text as T
 from ..operators import diffs, ranges, results, search
 from ..sources.corpus import Corpus
@@ -432,3 +433,57 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"usage_{uuid.uuid4().hex}"
     counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)
+
+
+# -- smaller operators
+
+
+@query(f"WITH {HITS} SELECT q_ix, path || ':' || line_no AS place FROM hits WHERE n > 0 AND q_ix > 0 UNION ALL SELECT 9, path FROM files")
+def location_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = document_files(spark, sf_dir)
+    zero = F.lit(0)
+    hits = search.occurrences(search.lines_of(files), SYMBOLS).where("q_ix > 0")
+    places = hits.select("q_ix", render.location(F.col("path"), zero, F.col("line_no")).alias("place"))
+    return places.unionByName(files.select(F.lit(9).alias("q_ix"), render.location(F.col("path"), zero, zero).alias("place")))
+
+
+@query("SELECT event_id, md5(event_id) || substr(md5(user_id), 1, user_id % 3 * 4) AS id, length(md5(event_id) || substr(md5(user_id), 1, user_id % 3 * 4)) = 40 AS is_id FROM (SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS u, user_id FROM events)".replace("md5(user_id)", "md5(u)"))
+def object_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    text = F.concat(F.md5(event), F.substr(F.md5(user), F.lit(1), (F.col("user_id") % 3 * 4).cast("int")))
+    rows = table(spark, sf_dir, "events").select(event.alias("event_id"), text.alias("id"))
+    return rows.withColumn("is_id", F.col("id").rlike("^(?:[0-9a-f]{40}|[0-9a-f]{64})$"))
+
+
+NUMBERED = "p AS (SELECT 'pkg' || (p_partkey // 2) % 40 || '/f' || p_partkey // 2 || CASE WHEN p_partkey % 2 = 0 THEN '.go' ELSE '_test.go' END AS path FROM part WHERE p_partkey % 7 <> 0)"
+
+
+@query(f"WITH {NUMBERED}, d AS (SELECT DISTINCT path FROM p) SELECT a.path, b.path AS test_path FROM d a JOIN d b ON b.path = regexp_replace(a.path, '[.]go$', '_test.go') WHERE a.path NOT LIKE '%\\_test.go' ESCAPE '\\'")
+def go_test_counterparts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    tail = F.when(key % 2 == 0, ".go").otherwise("_test.go")
+    path = F.concat(F.lit("pkg"), (F.floor(key / 2) % 40).cast("string"), F.lit("/f"), F.floor(key / 2).cast("string"), tail)
+    return results.counterparts(table(spark, sf_dir, "part").where(key % 7 != 0).select(path.alias("path")).distinct())
+
+
+@query(f"""WITH {LINES}, s AS (SELECT DISTINCT path, line_no, unnest(regexp_extract_all(regexp_replace(line, '[A-Za-z0-9_]*', ' \\0 ', 'g'), '[A-Za-z0-9_]+')) AS symbol FROM lines),
+k AS (SELECT * FROM s WHERE regexp_matches(symbol, '^[A-Za-z_][A-Za-z0-9_]{{2,}}$') AND symbol NOT IN ({", ".join(f"'{w}'" for w in T.KEYWORDS)}))
+SELECT symbol, count(*) AS places, count(DISTINCT path) AS files, min(path) AS first_path FROM k GROUP BY symbol""")
+def symbol_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.symbol_index(document_lines(spark, sf_dir))
+    return index.groupBy("symbol").agg(F.count("*").alias("places"), F.countDistinct("path").alias("files"), F.min("path").alias("first_path"))
+
+
+@query(f"WITH {LINES} SELECT path, line_no, n FROM (SELECT path, line_no, greatest(0, {COUNT.format('the')} + CASE line_no % 3 WHEN 0 THEN -2 WHEN 1 THEN 1 ELSE 0 END) AS n FROM lines) WHERE n > 0")
+def reconciled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adjust = F.when(F.col("line_no") % 3 == 0, -2).when(F.col("line_no") % 3 == 1, 1)
+    count = T.occurrence_count(F.col("line"), "the").cast("bigint")
+    return document_lines(spark, sf_dir).select("path", "line_no", search.reconciled(count, adjust).cast("bigint").alias("n")).where("n > 0")
+
+
+@query("""WITH v AS (SELECT o_custkey % 50 AS path, o_orderkey % 400 AS line_no FROM orders), d AS (SELECT DISTINCT path, line_no FROM v),
+n AS (SELECT path, line_no, line_no - row_number() OVER (PARTITION BY path ORDER BY line_no) AS g FROM d)
+SELECT path, min(line_no) AS s, max(line_no) AS e FROM n GROUP BY path, g""")
+def changed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("path"), (F.col("o_orderkey") % 400).alias("line_no"))
+    return ranges.merged_ranges(lines.select("path", F.col("line_no").alias("s"), F.col("line_no").alias("e")), ["path"])
