@@ -76,7 +76,7 @@ def test_mixes(odd, none, spark):
     check_mix(odd, 1.0)
     assert X.mixing_query(none).count() == 0
     rows = [(k, f"{'abc'[k % 7 % 3] if k % 7 else None}" if k % 11 else None, "word " * (k % 13 + 1)) for k in range(3000)]
-    check_mix(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), 0.02)
+    check_mix(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), 0.004)
     one = [(k, "big" if k else "small", "word " * 10) for k in range(200)]
     check_mix(spark.createDataFrame(one, "doc_id bigint, source string, text string"), 0.1)
 
