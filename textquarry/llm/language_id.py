@@ -225,9 +225,11 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
     """Training windows of docs (doc_id, text, lang), at most per_language of each of the LANGUAGES most frequent languages."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     labelled = docs.where(F.col("lang").isNotNull() & (fold != 1)).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    place = F.xxhash64("doc_id", "text")
-    frequent = F.broadcast(labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).select("lang"))
-    hashed = labelled.join(frequent, "lang").select("lang", "doc_id", place.alias("place"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    frequent = F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES))
+    # the least hashes of a language are under three times their share, so few more than are taken meet in a task
+    few = F.col("place") <= F.lit(2.0**63) * 3 * per_language / F.col("n")
+    hashed = labelled.withColumn("place", place).join(frequent, "lang").where(few).select("lang", "doc_id", "place")
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
     chosen = hashed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", "place", "lang").distinct()
     rows = labelled.withColumn("place", place).join(F.broadcast(chosen), ["doc_id", "place", "lang"])
