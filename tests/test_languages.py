@@ -120,3 +120,13 @@ def test_languages_can_be_added():
     assert names("a.toy", "proc run() {\n} -- proc not() {}\n") == ["run"]
     with pytest.raises(ValueError, match="go"):
         registry.register(registry.Language("other", Lexis()), "go")
+
+
+def test_what_owns_a_scope():
+    owners = lambda path, source: {d.symbol for d in analyse(path, source).defs if d.owns_scope}
+    assert owners("a.rs", "trait T { fn r(&self); fn b(&self) {} }\nconst A: i32 = 1;\nconst B: i32 = { 2 };\ntype X = i32;\nmod a;\nmod b { }\n") == {"T", "b", "B"}
+    assert owners("a.kt", "class C {\n  val a = 1\n  val b by lazy { 2 }\n  val c: Int get() = 3\n}\n") == {"C", "b", "c"}
+    assert owners("a.swift", "struct S {\n  let a = 1\n  var b: Int { 2 }\n  func f()\n}\nenum E { case x }\n") == {"S", "b", "f", "E"}
+    assert owners("a.cs", "class C {\n  int f = 1;\n  int P { get; set; }\n  int Q => 2;\n  delegate void D();\n  void M() {}\n}\n") == {"C", "P", "Q", "M"}
+    assert owners("a.java", "class C {\n  int a = 1;\n  Runnable r = () -> { run(); };\n  void m();\n}\n") == {"C", "r", "m"}
+    assert "y" in [d.symbol for d in analyse("a.ts", "class C { constructor(private y: T, z: U) {} }\n").defs]

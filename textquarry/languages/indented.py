@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 
 from .scanner import Scan
 from .structure import Definition, Lines
@@ -24,7 +25,8 @@ class PythonStructure:
         tree = None
         if len(text) <= MOST_BYTES:
             try:
-                tree = ast.parse(text)
+                with warnings.catch_warnings(action="ignore"):
+                    tree = ast.parse(text)
             except (SyntaxError, ValueError, RecursionError, MemoryError):
                 tree = None
         self._logical_lines(text, code, tree is None)

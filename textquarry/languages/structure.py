@@ -399,6 +399,18 @@ class Structure:
                     self._define(names[-1], part, j - 1, False)
                 part = j + 1
 
+    def _parameter_properties(self, paren: int) -> None:
+        """Constructor parameters with a modifier are properties."""
+        t, part = self.t, paren + 1
+        for j in range(paren + 1, self.mate[paren] + 1):
+            if t[j] == "," or j == self.mate[paren]:
+                k = part
+                while k < j and t[k] in ("public", "private", "protected", "readonly", "override"):
+                    k += 1
+                if k > part and k < j and self.is_word(k):
+                    self._define(k, part, j - 1, False)
+                part = j + 1
+
     def _enum(self, first: int, at: int, end: int, body: int, context: str) -> list[tuple[int, int, str]]:
         self._type(first, at, end, body, context)
         if body < 0 or self.mate[body] < 0:
@@ -475,7 +487,7 @@ class Structure:
             if symbol and k < end:
                 self._define(k, first, end - 1, True, symbol)
         elif k < end and self.is_word(k):
-            self._define(k, first, end - 1, body >= 0 or lang.name in ("rust", "swift", "kotlin", "go", "csharp"))
+            self._define(k, first, end - 1, body >= 0 or lang.name in ("kotlin", "go") or t[at] == "func")
         return self._bodies(at, end, first, "func")
 
     def _constructor(self, first: int, at: int, end: int, body: int, context: str) -> list[tuple[int, int, str]]:
@@ -510,7 +522,7 @@ class Structure:
         if self.language.name == "cpp" and not (name >= 0 and name + 1 < end and self.t[name + 1] == "="):
             return []
         if name >= 0 and (name + 1 < end or self.language.name in ("swift", "rust")):
-            self._define(name, first, end - 1, self.language.name in ("rust", "typescript") or self.line_of(end - 1) > self.line_of(name))
+            self._define(name, first, end - 1, self.language.name == "typescript")
         return self._bodies(at, end, first, "type")
 
     def _value(self, first: int, at: int, end: int, body: int, context: str) -> list[tuple[int, int, str]]:
@@ -544,7 +556,10 @@ class Structure:
             while stop < end and t[stop] not in (",", ";"):
                 stop = self.mate[stop] + 1 if t[stop] in PAIRS and self.mate[stop] > stop else self._past_angle(stop, end) if t[stop] == "<" and lang.name != "javascript" and t[stop - 1] != "=" else stop + 1
             owns = any(t[j] in ("function", "=>", "class") for j in range(k, stop)) or (body >= 0 and k < body < stop and (lang.name not in ("javascript", "typescript") or t[body - 1] in ("=", ")")))
-            owns = owns or lang.name in ("rust", "swift", "kotlin") and (context != "func")
+            if lang.name == "kotlin":  # properties own their accessors and delegates
+                owns = any(t[j] in ("by", "get", "set") for j in range(k + 1, min(stop, end)))
+            elif lang.name == "swift":  # and computed ones their bodies
+                owns = body >= 0 and "=" not in t[k:body]
             self._define(k, first, max(k, min(stop, end) - 1), owns)
             k = stop + 1
         return self._bodies(at, end, first, "object" if lang.name in ("javascript", "typescript") else "func")
@@ -583,7 +598,7 @@ class Structure:
         if lang.name == "swift" and t[k] in ("case", "indirect") and context == "type":
             j = k + 1 + (t[k] == "indirect")
             while j < end and self.is_word(j):
-                self._define(j, first, end - 1, True)
+                self._define(j, first, end - 1, False)
                 j += 1
                 while j < end and t[j] != ",":
                     j = self.mate[j] + 1 if t[j] in PAIRS and self.mate[j] > j else j + 1
@@ -623,6 +638,8 @@ class Structure:
                         self._define(name - 1, first, end - 1, body >= 0, "~" + t[name])
                     elif t[name] not in ("if", "for", "while", "switch", "catch", "this", "super"):
                         self._define(name, first, self.mate[body] if body >= 0 and body < end and lang.name != "csharp" and self.mate[body] > 0 and not arrow else end - 1, body >= 0 or arrow or lang.name in ("java", "typescript"))
+                    if lang.name == "typescript" and t[name] == "constructor":
+                        self._parameter_properties(paren)
                     return self._bodies(k, end, first, "func")
         if lang.name in ("javascript", "typescript"):
             return self._javascript(first, k, end, body, context)
@@ -660,7 +677,8 @@ class Structure:
             return
         if lang.name == "java" and context == "file":
             return
-        self._define(name, first, end - 1, lang.name == "csharp" and (body >= 0 or t[j] == "=>"))
+        closure = lang.name == "java" and body > k and t[body - 1] in (")", "->")
+        self._define(name, first, end - 1, closure or lang.name == "csharp" and (body >= 0 and t[j] == "{" or t[j] == "=>"))
         while j < end:
             if t[j] in PAIRS and self.mate[j] > j:
                 j = self.mate[j]
