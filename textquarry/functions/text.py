@@ -24,10 +24,12 @@ def quoted(literal: str) -> str:
 
 def source_lines(content: Column) -> Column:
     """The lines of a file: without terminators, one carriage return before each dropped, none after a last newline."""
-    parts = F.split(F.coalesce(content, F.lit("")), "\r?\n", -1)
-    last = F.regexp_replace(F.element_at(parts, -1), "\r$", "")
-    head = F.slice(parts, 1, F.size(parts) - 1)
-    return F.when(last == "", head).otherwise(F.concat(head, F.array(last)))
+    text = F.coalesce(content, F.lit(""))
+    cut = F.when(text.endswith("\r\n"), 2).when(text.endswith("\n") | text.endswith("\r"), 1).otherwise(0)
+    body = F.substr(text, F.lit(1), F.length(text) - cut)
+    # a single character parts without the regex engine
+    parts = F.when(body.contains("\r"), F.split(body, "\r?\n", -1)).otherwise(F.split(body, "\n", -1))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def occurrence_pattern(symbol: str, identifier: str = IDENTIFIER) -> str:

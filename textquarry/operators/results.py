@@ -43,8 +43,11 @@ def fair_shares(counts: DataFrame, limit: int) -> DataFrame:
 
 
 def shared_limit(rows: DataFrame, queries: DataFrame, limit: int, order: Sequence[str | Column]) -> DataFrame:
-    """rows (q_ix, ...) with rank and truncated, as fair_shares() of the queries (q_ix) allows."""
+    """rows (q_ix, ...) with rank and truncated, as fair_shares() of the queries (q_ix) allows. With a limit, rows are read
+    twice: they should be few, and kept."""
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q_ix").orderBy(*order)))
+    if limit <= 0:
+        return ranked.withColumn("truncated", F.lit(False))
     counts = queries.select("q_ix").join(ranked.groupBy("q_ix").agg(F.count("*").alias("n")), "q_ix", "left").fillna(0, ["n"])
     shares = fair_shares(counts, limit)
     joined = ranked.join(F.broadcast(shares.limit(MOST_QUERIES)), "q_ix").where(F.col("rank") <= F.col("share"))
@@ -60,6 +63,12 @@ def first_or_second(first: DataFrame, second: DataFrame, key: str = "q_ix") -> D
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 
+def first_source(rows: DataFrame, key: str = "q_ix", source: str = "source") -> DataFrame:
+    """For each key the rows of its least source, in one reading of rows; source goes."""
+    least = F.min(source).over(Window.partitionBy(key))
+    return rows.withColumn("_least", least).where(F.col(source) == F.col("_least")).drop("_least", source)
+
+
 def definitions_first(rows: DataFrame, order: str = "pos") -> DataFrame:
     """rows with place: definitions before others, else as they were."""
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("q_ix").orderBy(F.col("kind") != "def", order)))

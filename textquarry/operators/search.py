@@ -14,7 +14,8 @@ from ..functions import text as T
 def lines_of(files: DataFrame, content: str = "content") -> DataFrame:
     """(path, line_no, line, total) for each line of files (path, content)."""
     lines = files.select("path", T.source_lines(F.col(content)).alias("_lines"))
-    exploded = lines.select("path", F.size("_lines").alias("total"), F.posexplode("_lines").alias("_p", "line"))
+    # outer: else Spark also filters by the array's size, and makes the array twice for it
+    exploded = lines.select("path", F.size("_lines").alias("total"), F.posexplode_outer("_lines").alias("_p", "line")).where("_p IS NOT NULL")
     return exploded.select("path", (F.col("_p") + 1).alias("line_no"), "line", "total")
 
 

@@ -122,12 +122,11 @@ def _ranged(hits: DataFrame, options: Options, start: Column, end: Column) -> Da
     return hits.withColumn("start_line", start.cast("int")).withColumn("end_line", end.cast("int"))
 
 
-def _with_code(rows: DataFrame, corpus: Corpus, options: Options, code_start: str = "start_line", code_end: str = "end_line", focus: str = "line") -> DataFrame:
-    """rows with code and its range, read from their files only: apply limits before."""
+def _with_code(rows: DataFrame, corpus: Corpus, options: Options, code_start: str = "start_line", code_end: str = "end_line", focus: str = "line", few: bool = False) -> DataFrame:
+    """rows with code and its range: apply limits before. With ``few`` rows, only their files are read, and rows twice."""
     if options.returns == "locations":
         return rows.withColumns({"code": F.lit(None).cast("string"), "code_start_line": F.lit(None).cast("int"), "code_end_line": F.lit(None).cast("int"), "code_truncated": F.lit(False)})
-    wanted = rows.select("path").distinct()
-    files = corpus.files.join(wanted, "path", "left_semi")
+    files = corpus.files.join(rows.select("path").distinct(), "path", "left_semi") if few else corpus.files
     if options.drop_comments or options.drop_docstrings:
         clean = _lines(files, options).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "clean"))).alias("_l"))
         texts = clean.select("path", F.transform("_l", lambda x: x["clean"]).alias("_lines"))
@@ -172,7 +171,6 @@ def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options
     options = options.normalised("scope")
     spark = corpus.files.sparkSession
     found: list[DataFrame] = []
-    symbols = None
     if options.match != "path":
         files = corpus.sources(options.path_globs, options.exclude_globs)
         files = _changed_only(files, changed, options)
@@ -181,21 +179,22 @@ def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options
         first = results.first_of_each(rows, ["q_ix", *results.RESULT_KEY], ["path", "line", _kind_rank()])
         order: list[str | Column] = ["path", "line", _kind_rank()]
         symbols = results.top_of_each(first, ["q_ix"], order, options.limit + 1 if options.limit else 0).drop("rank")
-        symbols = symbols.withColumn("match_rank", F.lit(0))
-        found.append(symbols)
+        found.append(symbols.withColumn("match_rank", F.lit(0)).withColumn("source", F.lit(0)))
     if options.match != "symbol":
         paths = _changed_only(corpus.paths(options.path_globs, options.exclude_globs), changed, options)
         matches = search.path_matches(paths, queries)
         matches = results.top_of_each(matches, ["q_ix"], ["match_rank", "path"], options.limit + 1 if options.limit else 0).drop("rank")
-        rows = matches.select("q_ix", "path", "match_rank", F.lit("file").alias("kind"), F.lit("file").alias("finding"), F.lit(None).cast("int").alias("line"))
+        rows = matches.select("q_ix", "path", "match_rank", F.lit("file").alias("kind"), F.lit("file").alias("finding"), F.lit(None).cast("int").alias("line"), F.lit(1).alias("source"))
         found.append(rows)
-    every = found[0] if len(found) == 1 else results.first_or_second(found[0], found[1])
+    every = found[0].drop("source") if len(found) == 1 else results.first_source(found[0].unionByName(found[1], allowMissingColumns=True))
+    if options.limit:
+        every = every.persist()  # a request's limit and one row more for each query
     asked = spark.range(len(queries)).select(F.col("id").cast("int").alias("q_ix"))
     limited = results.shared_limit(every, asked, options.limit, ["match_rank", "path", "line", _kind_rank()])
     for name, kind in (("start_line", "int"), ("end_line", "int"), ("symbol", "string"), ("scope", "string"), ("language", "string")):
         if name not in limited.columns:
             limited = limited.withColumn(name, F.lit(None).cast(kind))
-    return _shaped(_with_code(limited, corpus, options), "q_ix", "rank", "truncated")
+    return _shaped(_with_code(limited, corpus, options, few=options.limit > 0), "q_ix", "rank", "truncated")
 
 
 def find(corpus: Corpus, query: str, options: Options = Options(), changed: DataFrame | None = None) -> DataFrame:
