@@ -7,19 +7,17 @@ of lines with scopes.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from dataclasses import asdict
 
 from .indented import PythonStructure
 from .modula import ModulaStructure, is_modula
-from .registry import Language, language_of
+from .registry import language_of
 from .scanner import Scan, Scanner, blanked
 from .structure import Definition, Lines, Structure
 
 _scanners: dict[str, Scanner] = {}
 BRACE_FUNCTION = re.compile(r"^(?:function|class)\s+([A-Za-z_][A-Za-z0-9_]*)\b", re.A)
 BRACE_CALL = re.compile(r"^.*\b([A-Za-z_][A-Za-z0-9_]*)\s*\([^;]*\)\s*\{?\s*$", re.A)
-KEYWORD_START = re.compile(r"(?:if|for|while|switch|catch|return|else|do)\b")
 
 
 def source_lines(content: str) -> list[str]:
@@ -47,19 +45,13 @@ class Analysis:
         name = self.language.name
         if name not in _scanners:
             _scanners[name] = Scanner(self.language.lexis)
-        self.scan = self._scan(name)
+        self.scan = _scanners[name].scan(self.text)
         self.structure = self._structure(by_character(self.text, self.scan))
         self.defs: list[Definition] = self.structure.defs if self.structure else self._brace_definitions()
         self.scopes: list[tuple[int, int]] = self.structure.scopes if self.structure else []
         self.imports: list[tuple[int, int]] = self.structure.imports if self.structure else []
         self._winners()
 
-    def _scan(self, name: str) -> Scan:
-        text = self.text
-        if self.language.lexis.jsx:
-            return Scan()
-        return _scanners[name].scan(text)
-
     def _structure(self, code: str) -> Structure | PythonStructure | ModulaStructure | None:
         if self.language.style == "indent":
             return PythonStructure(self.text, code, self.scan)
@@ -199,24 +191,6 @@ class Analysis:
             names.append(last)
         return names
 
-    def symbol_on(self, line: int, structural: str) -> str:
-        """The symbol that stands for a line: its definition, or a member, a call or the first identifier."""
-        found = bisect_right([d.line for d in self.defs], line - 1)
-        if found < len(self.defs) and self.defs[found].line == line:
-            return self.defs[found].symbol
-        name = r"[^\W\d]\w*"
-        if self.language.name == "go":
-            order = [rf"({name})\s*\(", rf"\.\s*({name})"]
-        elif self.language.name == "python":
-            order = [rf"({name})\s*[\[(]", rf"\.\s*({name})(?!.*\.\s*{name})"]
-        else:
-            order = [rf"\.\s*({name})", rf"({name})\s*[\[(]"]
-        for pattern in [*order, rf"({name})"]:
-            for m in re.finditer(pattern, structural):
-                if m[1] != "_" and m[1] not in KEYWORDS:
-                    return m[1]
-        return ""
-
     def owners_on(self, line: int) -> list[tuple[int, int, str, int, int]]:
         """(column, end column, symbol, start, end) of the definitions that a line declares or closes, for hits between them.
         A start column of 1 stands for one that is declared above, a large end column for one that goes on below."""
@@ -255,14 +229,6 @@ class Analysis:
         return (min(s for s, _ in self.imports), max(e for _, e in self.imports)) if self.imports else None
 
 
-KEYWORDS = frozenset(
-    "and auto bool break case class const continue def defer else enum false for func function if impl import int let match nil none null package "
-    "private protected pub public return self static struct switch this true type uint use var void while".split()
-)
-
-
 def analyse(path: str, content: str) -> Analysis:
     return Analysis(path, content)
 
-
-__all__ = ["Analysis", "Language", "Lines", "analyse", "source_lines"]

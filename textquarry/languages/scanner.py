@@ -18,7 +18,6 @@ class Lexis:
     #: (opening regex, closing text or None for the same quote, escapes?, may span lines?, opening of code inside or None)
     strings: tuple[tuple[str, str | None, bool, bool, str | None], ...] = (('"', '"', True, False, None), ("'", "'", True, False, None))
     regex_literals: bool = False
-    jsx: bool = False
     docstrings: bool = False
     preprocessor: bool = False
 
