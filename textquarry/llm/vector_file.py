@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import partitions, small_batches, stored
 
 SCALE, K, EVERY = 64, 20, 20
 BLOCK, QUERIES, BITS, CHUNK = 16_384, 2_048, 6, 4_096
@@ -79,7 +79,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
             yield batch_of([block(dim, number, ids, vectors)])
             number += 1
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    small_batches(rows.sparkSession, 4096)
     return stored(rows.repartition(n).mapInArrow(run, BLOCKS), "vector_blocks")
 
 
@@ -165,7 +165,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:  # noqa: ANN00
         for best in known.values():
             yield from rows(best)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    small_batches(spark, 512)  # by bytes, a batch is a few blocks
     found = pairs.mapInArrow(run, "query_id bigint, q_key bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id", "q_key").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
