@@ -110,6 +110,8 @@ def test_pages():
     script = '<script>if (a<b) {x = "</p><article>"}</script><style>p{}</style>'
     for page in (f"<html><head><title>T</title></head><body>{junk}<article>{script}{body}<aside>side</aside></article>{after}</body></html>", f"{junk}<main>{body}{after}</main>", f"<body>{junk}<div>{body}</div>{script}{after}</body>"):
         assert H.main_text(page) == want
+    titled = '<div class="page-header">Site name</div><div class="post-header"><h2 class="header">Title</h2></div><p>Text of the post, long enough to be a surge of its own in the windows of lines, yes.</p><div id="footer">About</div>'
+    assert H.main_text(titled) == "Title\nText of the post, long enough to be a surge of its own in the windows of lines, yes."
     assert H.main_text(None) == H.main_text("<nav><a href=x>menu</a></nav>") == ""
 
 

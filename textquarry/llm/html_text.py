@@ -41,10 +41,13 @@ ARTICLE = {"article", "main"}
 #: Words in class, id, role or aria-label that name what is not the article.
 BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w+|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|signup"
-    r"|nav|navbar|navigation|menu\w*|breadcrumbs?|header|masthead|topbar|footer|foot|bottom|sidebar|side|aside|rail|widget\w*|toolbar|pagination|pager"
+    r"|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|aside|widget\w*|toolbar|pagination|pager"
     r"|comments?|commentlist|respond|replies|reply|disqus|discussion|share|sharing|social|related|recommend\w*|outbrain|taboola|login|search|skip|complementary|contentinfo|alert)(?=$|[\s_-])",
     re.I,
 )
+#: And those that do so outside an article only, unless they are part of a name such as post-header.
+FRAME = re.compile(r"(?:^|(?<!post)(?<!article)(?<!entry)(?<!section)(?<!story)(?<!content)[\s_-])(?:header|masthead|topbar|footer|foot|bottom|side|rail)(?=$|[\s_-])", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 MAIN_ROLE = re.compile(r"""role\s*=\s*["']?(?:main|article)|itemprop\s*=\s*["']?articleBody""", re.I)
@@ -58,7 +61,11 @@ def is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
     if HIDDEN.search(attrs):
         return True
     names = " ".join(m[1].strip("\"'") for m in NAMED.finditer(attrs))
-    return bool(names) and name not in ARTICLE | {"h1"} and bool(BOILER.search(names)) or name == "article" and "comment" in names.lower()
+    if name in ARTICLE:
+        return name == "article" and "comment" in names.lower()
+    if not names or name in HEADINGS:
+        return False
+    return bool(BOILER.search(names)) or not in_article and bool(FRAME.search(names))
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
