@@ -21,7 +21,8 @@ def merged_ranges(ranges: DataFrame, keys: Sequence[str], start: str = "s", end:
     order = Window.partitionBy(*keys).orderBy(start, end)
     before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0)
-    island = ranges.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # by range, so that equal ranges are in one island in whatever order they come
+    island = ranges.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return island.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 

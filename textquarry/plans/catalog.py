@@ -90,7 +90,7 @@ def find_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {LINES}, r AS (SELECT path, greatest(1, line_no - 1) AS s, least(total, line_no + 1) AS e FROM lines WHERE {COUNT.format('ention')} > 0),
 m AS (SELECT *, max(e) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r),
-i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS g FROM m)
 SELECT path, min(s) AS s, max(e) AS e FROM i GROUP BY path, g""")
 def context_ranges_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.occurrences(document_lines(spark, sf_dir), ["ention"])
@@ -234,7 +234,7 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SPANS}, m AS (SELECT *, max(e) OVER (PARTITION BY path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM c),
-i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS g FROM m)
 SELECT path, CAST(min(s) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e FROM i GROUP BY path, g""")
 def span_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.merged_ranges(hunk_parse(spark, sf_dir), ["path"])
@@ -365,7 +365,7 @@ def outcome_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT o_custkey, dayofyear(o_orderdate) AS s, dayofyear(o_orderdate) + 10 AS e FROM orders), m AS (SELECT *, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r),
-i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m), u AS (SELECT o_custkey, min(s) AS s, max(e) AS e FROM i GROUP BY o_custkey, g),
+i AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS g FROM m), u AS (SELECT o_custkey, min(s) AS s, max(e) AS e FROM i GROUP BY o_custkey, g),
 n AS (SELECT o_custkey, s, e, lead(s) OVER (PARTITION BY o_custkey ORDER BY s) AS nxt, lag(s) OVER (PARTITION BY o_custkey ORDER BY s) AS prv FROM u)
 SELECT o_custkey, CAST(0 AS BIGINT) AS s, s AS e FROM n WHERE prv IS NULL AND s > 0 UNION ALL SELECT o_custkey, e, coalesce(nxt, 400) FROM n WHERE e < coalesce(nxt, 400)""")
 def span_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
