@@ -110,3 +110,39 @@ def test_similar_documents_reach_recall_and_leave_others(spark):
     pairs = [(a, b) for a in groups for b in groups if a < b and groups[a] == groups[b]]
     assert sum(label[a] == label[b] for a, b in pairs) >= 0.9 * len(pairs)
     assert all(groups[i] == groups[c] for i, c in label.items())
+
+
+def shingled(text):
+    words = text.split()
+    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def check_similar(spark, texts):
+    """All links of brute force and no others; the number of pairs at 0.8 or more."""
+    rows = list(enumerate(texts))
+    sets = [(k, shingled(t)) for k, t in rows]
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[k] for k, _ in rows] == components(sets, similar)
+    return sum(similar(a, b) for k, (_, a) in enumerate(sets) for _, b in sets[:k])
+
+
+def test_twins_in_families_of_templated_texts(spark):
+    # a family's texts are at 0.70 to 0.79 of one another: false links that must not stand for the twins' true ones
+    rng, texts = random.Random(12), []
+    for f in range(3):
+        frame = [f"f{f}w{k}" for k in range(300)]
+        for m in range(100):
+            own = frame[:250] + [f"f{f}m{m}o{k}" for k in range(38)] + frame[250:]
+            texts.append(" ".join(own))
+            if m % 4 == 0:
+                twin = list(own)
+                for at in rng.sample(range(6, len(own) - 6, 6), 7):
+                    twin[at] = f"f{f}m{m}t{at}"
+                texts.append(" ".join(twin))
+    sets = [shingled(t) for k, t in enumerate(texts[:100]) if k % 5 != 1]
+    assert all(0.7 <= len(a & b) / len(a | b) < 0.8 for a in sets for b in sets if a is not b)
+    assert check_similar(spark, texts) == 75

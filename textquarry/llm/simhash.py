@@ -12,7 +12,8 @@ nodes descend together, adding up the differences of their shared bits, and are
 group returns the edges of a spanning forest, not its pairs, so a dense group costs one edge for each fingerprint. The
 edges of all groups are contracted by alternating large-star and small-star steps.
 
-``similar_documents`` is the same for shingles of five words and a Jaccard similarity of 0.8, by longer fingerprints.
+``similar_documents`` links texts by the Jaccard similarity of their sets of shingles itself, of five words and 0.8 in the
+pipeline, by an exact prefix filter.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other. Repeated rows are all returned. A
 component whose ids are all null has a null label; else null ids don't count. Empty tables give empty results. Only
@@ -34,7 +35,8 @@ from .common import partitions, removed, scratch, small_batches, stored, text_of
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 #: Of similar_documents().
-SIMILARITY, SIMILAR_WIDTH, RECALL, WORDS, GROUP = 0.8, 5, 0.975, 8, 128
+SIMILARITY, SIMILAR_WIDTH = 0.8, 5
+SAMPLED, OFTEN, LISTED, PAIRS = 20_000, 3, 1 << 18, 1 << 20
 LEAF, FANOUT, FRONT, DENSE, PIVOTS = 16, 8, 1 << 17, 2048, 32
 
 
@@ -293,84 +295,142 @@ def labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(of_node, "node").select(*rows.columns, "root", "component_id")
 
 
-def long_fingerprint(text: str, width: int = SIMILAR_WIDTH, words: int = WORDS) -> bytes:
-    """A SimHash of 64 * words bits; a shingle's further hashes are mixed from its first."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return bytes(8 * words)
-    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in parts]) - 1
+def shingle_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
+    """Sorted hashes of a text's shingles, each once."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    last = max(1, len(parts) - width + 1)
-    spans = zip(starts[:last].tolist(), ends[min(width, len(parts)) - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, last)
-    counts = np.zeros(64 * words, np.int64)
-    for k in range(0, last, 1 << 13):
-        h = hashes[k : k + (1 << 13), None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        counts += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits((counts * 2 > last).astype(np.uint8), bitorder="little").tobytes()
+    last = max(1, len(words) - width + 1)
+    spans = zip(starts[:last].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, last))
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles found OFTEN in about SAMPLED of the texts, LISTED of them at most, sorted, and how often each was."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+    share = min(1.0, SAMPLED / max(1, texts.count()))
+    small_batches(texts.sparkSession)
+    picked = texts.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= F.lit(share * 2.0**63)).select("text")
+    counts = picked.mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= OFTEN)
+    rows = counts.orderBy(F.col("count").desc(), "token").limit(LISTED).collect()
+    token, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(token)
+    return token[order], count[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of the shingles in an order that all texts share, the common ones last: so many that sets of the
+    similarity share one of them at least."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    token, count = common
+    often = np.zeros(n, np.int64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, shingles), len(token) - 1)
+        often = np.where(token[at] == shingles, count[at], 0)
+    return shingles[np.lexsort((shingles, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def candidate_pairs(nodes: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """(u, v) with v < u: nodes (node, size, prefix, label) of different labels that share a prefix shingle, and whose sizes and
+    places of it allow the similarity if it is the first they share. All of them with ``every``; else each node of a
+    shingle with the least one and the next one of it."""
+    need = similarity / (1 + similarity)
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, node, size, left, label = rows
+        n = len(token)
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if n else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(first, n))
+        begin, end = np.repeat(first, lengths), np.repeat(first + lengths, lengths)
+        more = end - np.arange(n) - 1
+        if every:
+            upto, at = np.cumsum(more), 0
+        else:
+            upto, at = np.zeros(n, np.int64), 0
+        while at < n:
+            if every:
+                done = upto[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+                a = np.repeat(np.arange(at, stop), more[at:stop])
+                b = a + 1 + np.arange(len(a)) - np.repeat(upto[at:stop] - more[at:stop] - done, more[at:stop])
+            else:
+                stop, on = n, np.flatnonzero(more)
+                a, b = np.concatenate((on, begin)), np.concatenate((on + 1, np.arange(n)))
+            at = stop
+            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+            keep = (label[a] != label[b]) & (small >= similarity * large - 1e-9) & (np.minimum(left[a], left[b]) >= need * (small + large) - 1e-9)
+            x, y = node[a[keep]], node[b[keep]]
+            if len(x):
+                found = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
 
-def agreeing(similarity: float) -> float:
-    """The chance that a SimHash bit is equal in texts of that Jaccard similarity."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # of the last shingle, whose rows may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+            if cut or (held and held[-1][0][-1] != now[0][0]):
+                yield from pairs([np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)])
+                held = []
+            held.append([c[cut:] for c in now])
+        if held:
+            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    spark = nodes.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "131072")
+    dealt = nodes.select("node", "size", "label", F.posexplode("prefix").alias("place", "token")).select("token", "node", "size", (F.col("size") - F.col("place")).alias("left"), "label")
+    grouped = dealt.repartition(partitions(spark), "token").sortWithinPartitions("token", "node")
+    return grouped.mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH, recall: float = RECALL) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH) -> DataFrame:
     """(doc_id, th: hash of the text, node, root, component_id) for each row, linked where the Jaccard similarity of the
-    texts' shingles is ``similarity`` or more.
-
-    At such similarities fingerprints of 64 bits differ in about ten, which blocks of equal bits can't search. So each
-    fingerprint of 64 * WORDS bits goes to tables keyed by samples of its bits: samples so long that a group has about
-    GROUP texts, and so many that a pair of exactly that similarity shares a group with probability ``recall``. Groups
-    are searched with the Gray-order index; its radius is 1.85 standard deviations above the bits expected to differ.
-    Links that span the groups, shortest first, and those of nearest neighbours are then held to the similarity by the
-    shingles themselves, which only the texts on such links are read for again.
+    texts' sets of shingles is ``similarity`` or more. No link is lost.
+
+    At such similarities fingerprints differ in too many bits for an exact search by blocks of them, and in any number of
+    them if texts repeat a shingle. So texts of equal sets are one node, and a node goes to each shingle of its set's
+    prefix (see prefix()), where all similar pairs meet. Links are tested on the shingles before they join anything: first
+    those of each node to the least and the next one of a shingle, which joins large groups of copies, then all pairs that
+    verified links did not join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([long_fingerprint(t.as_py(), width) for t in batch.column(1)], pa.binary())], ["doc_id", "th", "bits"])
-
+            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
+            first = [prefix(x, common, similarity) for x in sets]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), tokens], ["doc_id", "th", "node", "size", "prefix"])
+
+    texts = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
+    common = common_shingles(texts, width)
     small_batches(docs.sparkSession)
-    made = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, th bigint, bits binary")
-    fps = stored(made.withColumn("node", F.xxhash64("bits")), "long_fingerprints")
+    made = texts.withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, th bigint, node bigint, size int, prefix array<bigint>")
+    rows = stored(made, "shingle_prefixes")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
-    distinct = stored(fps.groupBy("node").agg(F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), head.alias("head")), "distinct_long")
-    n, p = 64 * WORDS, agreeing(similarity)
-    sample = max(8, round(math.log2(max(1, distinct.count()) / GROUP)))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - p**sample))
-    radius = int(n * (1 - p) + 1.85 * math.sqrt(n * p * (1 - p)))
-    rng = np.random.default_rng(11)
-    picks = [rng.choice(n, sample, replace=False) for _ in range(tables)]
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = np.int64(1) << np.arange(sample, dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            bits = np.unpackbits(raw, axis=1, bitorder="little")
-            values = np.concatenate([bits[:, pick] @ powers for pick in picks])
-            table = np.repeat(np.arange(tables, dtype=np.int32), batch.num_rows)
-            at = pa.array(np.tile(np.arange(batch.num_rows), tables))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(table), pa.array(values), batch.column(1).take(at)], ["node", "block", "value", "bits"])
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    dealt = distinct.select("node", "bits").mapInArrow(deal, "node bigint, block int, value bigint, bits binary")
-    edges = stored(grouped_edges(dealt, radius, WORDS, int(0.9 * n * (1 - p)), True), "candidate_links")
-    heads = distinct.select("node", F.col("head.doc_id").alias("head_id"), F.col("head.th").alias("head_th"))
-    return labelled(fps.select("doc_id", "th", "node"), distinct.select("node", "least_id"), verified(edges, heads, docs, similarity, width))
-
-
-def shingle_set(text: str, width: int) -> np.ndarray:
-    """Sorted 32-bit hashes of a text's shingles."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    spans = range(max(1, len(words) - width + 1)) if words else range(0)
-    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(words[k : k + width])) for k in spans], np.uint32))
+    nodes = stored(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least_id"), head.alias("head")), "shingle_nodes")
+    heads = nodes.select("node", F.col("head.doc_id").alias("head_id"), F.col("head.th").alias("head_th"))
+    few = stored(candidate_pairs(nodes.withColumn("label", F.col("node")), similarity, False), "candidate_links")
+    links = stored(verified(few, heads, docs, similarity, width), "links")
+    joined = contracted(links).withColumnsRenamed({"u": "node", "v": "label"})
+    apart = nodes.join(joined.hint("merge"), "node", "left").select("node", "size", "prefix", F.coalesce("label", "node").alias("label"))
+    rest = stored(candidate_pairs(apart, similarity, True).join(few.hint("merge"), ["u", "v"], "left_anti"), "candidate_links")
+    links = links.unionByName(verified(rest, heads, docs, similarity, width))
+    return labelled(rows.select("doc_id", "th", "node"), nodes.select("node", "least_id"), links)
 
 
 def verified(edges: DataFrame, heads: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -391,7 +451,7 @@ def verified(edges: DataFrame, heads: DataFrame, docs: DataFrame, similarity: fl
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
             kept = batch.filter(pa.array(keep, pa.bool_()))
