@@ -146,3 +146,15 @@ def test_twins_in_families_of_templated_texts(spark):
     sets = [shingled(t) for k, t in enumerate(texts[:100]) if k % 5 != 1]
     assert all(0.7 <= len(a & b) / len(a | b) < 0.8 for a in sets for b in sets if a is not b)
     assert check_similar(spark, texts) == 75
+
+
+def test_repeated_shingles_count_once(spark):
+    # one shingle in most places: different words; the same set with other repeats: the same text
+    def dashes(g):
+        return "- " * 300 + " ".join(f"g{g}w{k}" for k in range(200))
+
+    words = " ".join(f"w{k}" for k in range(200))
+    texts = [dashes(g) for g in range(6)] + [words + " -" * 5, words + " -" * 400, "0 " * 40, "0 " * 900]
+    assert check_similar(spark, texts) == 2
+    kept = S.deduped_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
