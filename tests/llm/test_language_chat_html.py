@@ -63,6 +63,21 @@ def test_code_switched_words_are_labelled_apart():
     assert [model.languages[k] for k in got[0].argmax(1)] == ["en"] * 24 + ["de"] * 24
 
 
+def test_long_and_unspaced_tokens_count_whole():
+    japanese, chinese = "これはとてもながいぶんです、", "这是一个没有空格的句子，"
+    for text in ("a" * 100_000, japanese * 500, "x1y2" * 40 + ",z", "short it's " + chinese):
+        assert "".join(L.words_of(text)) == "".join(c for c in text if c.isalpha())
+        assert max(map(len, L.words_of(text))) <= L.PIECE
+    assert L.words_of("it's a-b Donaudampfschifffahrtsgesellschaft 12 x_") == ["its", "ab", "Donaudampfschifffahrtsgesellschaft", "x"]
+    english, german = "the and of with that from", "der und die nicht mit von"
+    windows = [("en", english.split() * 4)] * 30 + [("de", german.split() * 4)] * 30 + [("zh", L.words_of(chinese * 6))] * 30
+    label = L.Labeller(L.fit(windows))
+    joined = lambda x: x.replace(" ", "")
+    texts = [joined(english) * 3 + joined(german) * 200, joined(german) * 3 + joined(english) * 200, "with that " + chinese * 3]
+    _, means = label.marginals(texts)
+    assert [label.model.languages[k] for k in means.argmax(1)] == ["de", "en", "zh"]
+
+
 def test_escapes_are_reversible():
     for t in map("".join, itertools.chain.from_iterable(itertools.product(["\\", "<", "|", ">", "s", "/", "[", "INST", "]", "\n"], repeat=n) for n in range(5))):
         e = C.escaped(t)

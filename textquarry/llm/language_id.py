@@ -1,7 +1,8 @@
 """Language identification with a linear-chain conditional random field over words.
 
-Words are the white-space separated tokens that have a letter, lower-cased and without what is no letter. A word's
-emission scores sum the weights of its features: character n-grams of 2 to 4 between word boundary marks, which include its
+Words are the white-space separated tokens that have a letter, lower-cased and without what is no letter. Tokens longer
+than LONG characters, and those in scripts without spaces, are split at punctuation and into pieces of PIECE letters, each
+a word, so that all of a text counts. A word's emission scores sum the weights of its features: character n-grams of 2 to 4 between word boundary marks, which include its
 affixes, and the word itself (the lexicon). A matrix of learned transitions joins neighbouring words. Forward-backward
 gives each word's probabilities; a text's are their means over all its words, and its language is the likeliest.
 
@@ -35,16 +36,31 @@ from .common import small_batches, unused
 
 PER_LANGUAGE, LANGUAGES, WINDOW, STEPS, MIN_SCORE = 600, 64, 48, 40, 0.3
 BUCKETS, SEGMENT, KEPT = 1 << 17, 64, 300_000
+LONG, PIECE = 64, 8
 NO_LETTER = re.compile(r"[\W\d_]+")
+PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~\u00a1-\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+#: Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 UND = "und"
 
 
 def words_of(text: str) -> list[str]:
-    return [w for t in text.split() if (w := t if t.isalpha() else NO_LETTER.sub("", t))]
+    tokens = text.split()
+    if UNSPACED.search(text) or max(map(len, tokens), default=0) > LONG:
+        return [w for t in tokens for w in pieces(t)]
+    return [w for t in tokens if (w := t if t.isalpha() else NO_LETTER.sub("", t))]
+
+
+def pieces(token: str) -> list[str]:
+    """The letters of a token: as one word, or of a long or unspaced one in pieces, none across punctuation."""
+    if len(token) <= LONG and not UNSPACED.search(token):
+        return [w] if (w := NO_LETTER.sub("", token)) else []
+    runs = (NO_LETTER.sub("", r) for r in PUNCTUATION.split(token))
+    return [r[k : k + PIECE] for r in runs for k in range(0, len(r), PIECE)]
 
 
 def folded(word: str) -> str:
-    return word.lower()[:64]
+    return word.lower()
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
