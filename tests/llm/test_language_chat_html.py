@@ -74,10 +74,19 @@ def test_long_and_unspaced_tokens_count_whole():
     label = L.Labeller(L.fit(windows))
     joined = lambda x: x.replace(" ", "")
     texts = [joined(english) * 3 + joined(german) * 200, joined(german) * 3 + joined(english) * 200, "with that " + chinese * 3]
-    _, means = label.marginals(texts)
+    means = label.marginals(texts)[1]
     assert [label.model.languages[k] for k in means.argmax(1)] == ["de", "en", "zh"]
 
 
+def test_texts_in_no_language_are_rejected(spark, sf_dir):
+    rng, docs = random.Random(3), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    noise = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(80))
+    planted = [noise("abcdefghijklmnopqrstuvwxyz") for _ in range(5)] + [noise("бвгдежзиклмнопрстуфхцчшщыэюя"), noise("αβγδεζηθικλμνξοπρστυφχψω"), noise("abcdef0123456789"), "これはとてもながいぶんです、" * 20]
+    rows = spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(planted)], docs.schema)
+    kept = {r["doc_id"] for r in L.accepted_documents(docs.unionByName(rows)).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if r["text"] and any(c.isalpha() for c in r["text"])}
+
+
 def test_escapes_are_reversible():
     for t in map("".join, itertools.chain.from_iterable(itertools.product(["\\", "<", "|", ">", "s", "/", "[", "INST", "]", "\n"], repeat=n) for n in range(5))):
         e = C.escaped(t)

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, unused
 
-PER_LANGUAGE, LANGUAGES, WINDOW, STEPS, MIN_SCORE = 600, 64, 48, 40, 0.3
+PER_LANGUAGE, LANGUAGES, WINDOW, STEPS = 600, 64, 48, 40
+HELD, PRIOR = 50, 50
 BUCKETS, SEGMENT, KEPT = 1 << 17, 64, 300_000
 LONG, PIECE = 64, 8
 NO_LETTER = re.compile(r"[\W\d_]+")
@@ -88,10 +89,17 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # BUCKETS x languages
     moves: np.ndarray  # languages x languages, log
+    known: np.ndarray  # BUCKETS, those of the training words
+    limit: float = 0.0  # texts of a lower coverage are in no language
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        return self.read(words)[0]
+
+    def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The emissions of words, and (words x 2) how many of their features are known and how many there are."""
         bucket, starts = features(words)
-        return np.add.reduceat(self.weights[bucket], starts).astype(np.float32)
+        counts = np.stack((np.add.reduceat(self.known[bucket].astype(np.int64), starts), np.diff(np.append(starts, len(bucket)))), 1)
+        return np.add.reduceat(self.weights[bucket], starts).astype(np.float32), counts
 
 
 def forward_backward(scores: np.ndarray, moves: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +163,27 @@ def fit(windows: list[tuple[str, list[str]]], steps: int = STEPS, seed: int = 7)
             p -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     full = np.zeros((BUCKETS, k), np.float32)
     full[used] = params[0]
-    return Model(languages, full, params[1])
+    known = np.zeros(BUCKETS, bool)
+    known[used] = True
+    return Model(languages, full, params[1], known)
+
+
+def coverage(counts: np.ndarray) -> np.ndarray:
+    """The share of known features (rows of known, all), with PRIOR known ones more: a few words don't tell."""
+    return (counts[:, 0] + PRIOR) / (counts[:, 1] + PRIOR)
+
+
+def rejection_limit(model: Model, held: list[list[str]], seed: int = 7) -> float:
+    """Midway between the coverage that nearly all windows held out from training reach and that of the same windows with
+    their letters drawn at random. 0, which rejects nothing, for under HELD windows or if these don't lie apart."""
+    if len(held) < HELD:
+        return 0.0
+    letters = np.array(list("".join(folded(w) for ws in held for w in ws)))
+    rng = np.random.default_rng(seed)
+    noise = [["".join(rng.choice(letters, len(w))) for w in ws] for ws in held]
+    of = lambda windows: coverage(np.array([model.read([folded(w) for w in ws])[1].sum(0) for ws in windows]))
+    low, high = float(np.quantile(of(held), 0.001)), float(np.median(of(noise)))
+    return (low + high) / 2 if high < low else 0.0
 
 
 def mean_marginals(scores: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -213,34 +241,39 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.known, self.rows, self.used = model, {}, np.zeros((1024, len(model.languages)), np.float32), 0
+        self.counts = np.zeros((1024, 2), np.int64)
 
     def _learn(self, tokens: list[str]) -> None:
-        emissions = self.model.emissions([folded(w) for w in tokens])
+        emissions, counts = self.model.read([folded(w) for w in tokens])
         while self.used + len(tokens) > len(self.rows):
             self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+            self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
         self.rows[self.used : self.used + len(tokens)] = emissions
+        self.counts[self.used : self.used + len(tokens)] = counts
         self.known.update(zip(tokens, range(self.used, self.used + len(tokens)), strict=True))
         self.used += len(tokens)
 
-    def marginals(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
-        """The places of the texts that have letters, and their mean word probabilities."""
+    def marginals(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The places of the texts that have letters, their mean word probabilities and their coverage."""
         lists = [words_of(t) if t else [] for t in texts]
         on = [i for i, ws in enumerate(lists) if ws]
         if not on or not self.model.languages:
-            return [], np.zeros((0, len(self.model.languages)))
+            return [], np.zeros((0, len(self.model.languages))), np.zeros(0)
         if len(self.known) > KEPT:
             self.known, self.used = {}, 0
         known = self.known
         if missing := [w for w in {w for i in on for w in lists[i]} if w not in known]:
             self._learn(missing)
-        scores = self.rows[np.fromiter((known[w] for i in on for w in lists[i]), np.int64)].astype(np.float64)
-        return on, mean_marginals(scores, np.array([len(lists[i]) for i in on]), self.model.moves)
+        at, sizes = np.fromiter((known[w] for i in on for w in lists[i]), np.int64), np.array([len(lists[i]) for i in on])
+        covered = coverage(np.add.reduceat(self.counts[at], np.cumsum(sizes) - sizes))
+        return on, mean_marginals(self.rows[at].astype(np.float64), sizes, self.model.moves), covered
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, list[str]]]:
-    """Training windows of docs (doc_id, text, lang), at most per_language of each of the LANGUAGES most frequent languages."""
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, held: bool = False) -> list[tuple[str, list[str]]]:
+    """Training windows of docs (doc_id, text, lang), at most per_language of each of the LANGUAGES most frequent languages;
+    with ``held``, such windows of the documents held out."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    labelled = docs.where(F.col("lang").isNotNull() & (fold != 1)).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    labelled = docs.where(F.col("lang").isNotNull() & ((fold == 1) if held else (fold != 1))).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
     frequent = F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES))
     # the least hashes of a language are under three times their share, so few more than are taken meet in a task
@@ -267,23 +300,23 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str,
 
 def train(docs: DataFrame) -> Model:
     windows = sample(docs)
-    return fit(windows) if windows else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
+    return fit(windows) if windows else Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)), np.zeros(BUCKETS, bool))
 
 
 def predictions(docs: DataFrame, model: Model) -> Column:
-    """A struct column (lang_pred, score) over docs' text column, for use in a projection of docs."""
+    """A struct column (lang_pred, score, in_language: the coverage reaches the model's limit) over docs' text column, for use in a projection of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, in_language boolean")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         label = Labeller(shared.value)
         for texts in batches:
-            langs, scores = [UND] * len(texts), [0.0] * len(texts)
-            on, means = label.marginals(texts.tolist())
-            for i, row in zip(on, means, strict=True):
+            langs, scores, inside = [UND] * len(texts), [0.0] * len(texts), [False] * len(texts)
+            on, means, covered = label.marginals(texts.tolist())
+            for i, row, share in zip(on, means, covered, strict=True):
                 best = int(row.argmax())
-                langs[i], scores[i] = label.model.languages[best], min(1.0, float(row[best]))
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+                langs[i], scores[i], inside[i] = label.model.languages[best], min(1.0, float(row[best])), bool(share >= label.model.limit)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "in_language": inside})
 
     small_batches(docs.sparkSession)
     return predicted(F.col("text").cast("string"))
@@ -295,13 +328,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is in one of the languages: those predicted ``und`` go, and those whose words are split
-    so evenly that no language has MIN_SCORE. Without labelled documents only texts without letters go."""
+    """The rows of docs whose text is in one of the languages: those predicted ``und`` go, and those with so few of the
+    languages' n-grams that they are below rejection_limit(). Without labelled documents only texts without letters go."""
     model, name = train(docs), unused(docs, "language_id")
     if not model.languages:
         return docs.where(F.col("text").cast("string").rlike("\\p{L}"))
-    marked = docs.withColumn(name, predictions(docs, model))
-    return marked.where((F.col(name)["lang_pred"] != UND) & (F.col(name)["score"] >= min(MIN_SCORE, 1.0 / len(model.languages)))).select(*docs.columns)
+    model.limit = rejection_limit(model, [words for _, words in sample(docs, held=True)])
+    return docs.withColumn(name, predictions(docs, model)).where(F.col(name)["in_language"]).select(*docs.columns)
 
 
 def language_query(docs: DataFrame) -> DataFrame:
