@@ -158,3 +158,14 @@ def test_repeated_shingles_count_once(spark):
     assert check_similar(spark, texts) == 2
     kept = S.deduped_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
+
+
+def test_no_link_near_the_similarity_is_lost(spark):
+    rng, texts = random.Random(8), []
+    for g in range(200):
+        words = [f"g{g}w{k}" for k in range(300)]
+        twin = list(words)
+        for at in rng.sample(range(6, 290, 6), rng.choice((6, 6, 7))):  # 0.82, or 0.79
+            twin[at] = f"g{g}t{at}"
+        texts += [" ".join(words), " ".join(twin)]
+    assert 100 < check_similar(spark, texts) < 200
