@@ -85,87 +85,14 @@ def test_a_large_group_of_copies(spark):
     assert Counter(r["component_id"] for r in out.collect()) == {0: 3000, 5000: 1}
 
 
-def test_one_of_each_group_stays(odd, none):
-    kept = S.deduped_documents(odd)
-    assert kept.columns == odd.columns
-    # 3 is a line of its own; the two rows with id 9 repeat 1; the texts without words are one group
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "10", "2", "3", "4", "7", "8", "None"])
-    assert S.deduped_documents(none).count() == 0
-
-
-def test_similar_documents_reach_recall_and_leave_others(spark):
-    rng = random.Random(6)
-    words = [f"w{k}" for k in range(4000)]
-    rows, groups = [], {}
-    for g in range(60):
-        base = [rng.choice(words) for _ in range(300)]
-        for c in range(3):
-            edit = list(base)
-            for _ in range(3 if c else 0):  # each edit changes five of 296 shingles
-                edit[rng.randrange(300)] = f"x{rng.random()}"
-            groups[len(rows)] = g
-            rows.append((len(rows), " ".join(edit)))
-    out = S.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    label = {r["doc_id"]: r["component_id"] for r in out}
-    pairs = [(a, b) for a in groups for b in groups if a < b and groups[a] == groups[b]]
-    assert sum(label[a] == label[b] for a, b in pairs) >= 0.9 * len(pairs)
-    assert all(groups[i] == groups[c] for i, c in label.items())
-
-
-def shingled(text):
-    words = text.split()
-    return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-
-
-def similar(a, b):
-    return len(a & b) >= 0.8 * len(a | b)
-
-
-def check_similar(spark, texts):
-    """All links of brute force and no others; the number of pairs at 0.8 or more."""
-    rows = list(enumerate(texts))
-    sets = [(k, shingled(t)) for k, t in rows]
-    got = {r["doc_id"]: r["component_id"] for r in S.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert [got[k] for k, _ in rows] == components(sets, similar)
-    return sum(similar(a, b) for k, (_, a) in enumerate(sets) for _, b in sets[:k])
-
-
-def test_twins_in_families_of_templated_texts(spark):
-    # a family's texts are at 0.70 to 0.79 of one another: false links that must not stand for the twins' true ones
-    rng, texts = random.Random(12), []
-    for f in range(3):
-        frame = [f"f{f}w{k}" for k in range(300)]
-        for m in range(100):
-            own = frame[:250] + [f"f{f}m{m}o{k}" for k in range(38)] + frame[250:]
-            texts.append(" ".join(own))
-            if m % 4 == 0:
-                twin = list(own)
-                for at in rng.sample(range(6, len(own) - 6, 6), 7):
-                    twin[at] = f"f{f}m{m}t{at}"
-                texts.append(" ".join(twin))
-    sets = [shingled(t) for k, t in enumerate(texts[:100]) if k % 5 != 1]
-    assert all(0.7 <= len(a & b) / len(a | b) < 0.8 for a in sets for b in sets if a is not b)
-    assert check_similar(spark, texts) == 75
-
-
-def test_repeated_shingles_count_once(spark):
-    # one shingle in most places: different words; the same set with other repeats: the same text
-    def dashes(g):
-        return "- " * 300 + " ".join(f"g{g}w{k}" for k in range(200))
-
-    words = " ".join(f"w{k}" for k in range(200))
-    texts = [dashes(g) for g in range(6)] + [words + " -" * 5, words + " -" * 400, "0 " * 40, "0 " * 900]
-    assert check_similar(spark, texts) == 2
-    kept = S.deduped_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
-    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 8]
-
-
-def test_no_link_near_the_similarity_is_lost(spark):
-    rng, texts = random.Random(8), []
-    for g in range(200):
-        words = [f"g{g}w{k}" for k in range(300)]
-        twin = list(words)
-        for at in rng.sample(range(6, 290, 6), rng.choice((6, 6, 7))):  # 0.82, or 0.79
-            twin[at] = f"g{g}t{at}"
-        texts += [" ".join(words), " ".join(twin)]
-    assert 100 < check_similar(spark, texts) < 200
+def test_more_blocks_for_more_fingerprints(spark):
+    assert [S.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [5, 5, 6, 7, 8]
+    rng = random.Random(3)
+    base = [rng.getrandbits(63) for _ in range(40)]
+    fps = sorted({rng.choice(base) ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 5))) for _ in range(400)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
+    want = components([(k, f) for k, f in enumerate(fps)], lambda a, b: (a ^ b).bit_count() <= 4)
+    for blocks in (5, 6, 8):
+        found = {r["u"]: r["v"] for r in S.contracted(S.link_edges(df, 4, blocks)).collect()}
+        label = [found.get(f, f) for f in fps]
+        assert all((want[a] == want[b]) == (label[a] == label[b]) for a in range(len(fps)) for b in range(a))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +63,21 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, that gives a worker's memory back when its task ends: workers live on and wait beside others."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task
+
+
 def text_of(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, with a null text as an empty one."""
     return df.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -9,7 +9,8 @@ says how many different documents hold the key (1, 2, or 3 for any more), the sm
 how many lines were seen. With one or two documents those two ids are all the ids there are, so merging entries is exact
 and adding a document again changes nothing. Each new batch is reduced to such entries, merge-anti-joined with the
 runs (what the runs have settled already is not recorded again) and added as a run of level 0; ``fanout`` runs of one
-level are compacted into one of the next.
+level are compacted into one of the next. Batches are groups of written files of hashes, as many as the number of lines
+asks for and always more than the fanout.
 
 Defined cases: a null or empty text is one empty line. Rows with equal doc_id count as one document, and so do all rows
 whose doc_id is null, which comes before every other id. Repeated rows are all returned. Empty tables give empty results.
@@ -19,6 +20,7 @@ Only ``doc_id`` and ``text`` are read; other columns pass through whatever their
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACES, UPPER, partitions, removed, scratch, stored, unused
 
-MIN_CHARS, MIN_DOCS = 20, 3
-#: A key that holds one 2000th of all lines is joined by broadcast: there are 2000 such keys at most.
+MIN_CHARS, MIN_DOCS, FANOUT = 20, 3, 3
+#: Lines in a batch, where that makes more batches than FANOUT.
+BATCH_LINES = 1 << 32
+#: A key counted in one 2000th of all lines is joined by broadcast: there are 2000 such keys at most.
 HOT_SHARE = 2000
 
 
@@ -80,8 +84,9 @@ def merged_entries(one: DataFrame, other: DataFrame) -> DataFrame:
 class LineRuns:
     """The levelled runs. Tables lie under the shared folder; ``levels[k]`` names the runs of level k."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None, often: float = math.inf):
+        """often: a batch's keys with so many lines are always recorded, so that they are counted in full."""
+        self.spark, self.fanout, self.often = spark, fanout, often
         self.buckets = buckets or partitions(spark)
         self.levels: list[list[str]] = []
         self.paths: dict[str, str] = {}
@@ -106,7 +111,7 @@ class LineRuns:
         fresh = batch_entries(hashes)
         for run in self.runs():
             settled = self.spark.table(run).where(F.col("n") >= MIN_DOCS).select("h1", "h2", F.col("hi").alias("settled_hi"))
-            known = (fresh.h1 == settled.h1) & (fresh.h2 == settled.h2) & (fresh.hi.isNull() | (settled.settled_hi >= fresh.hi))
+            known = (fresh.h1 == settled.h1) & (fresh.h2 == settled.h2) & (fresh.hi.isNull() | (settled.settled_hi >= fresh.hi)) & (fresh.m < self.often)
             fresh = fresh.join(settled.hint("merge"), known, "left_anti")
         if not self.levels:
             self.levels.append([])
@@ -137,51 +142,60 @@ class LineRuns:
             removed(self.spark, self.paths.pop(name))
 
 
-def dropped_positions(docs: DataFrame, min_chars: int, batches: int, fanout: int) -> DataFrame:
+def batched(hashes: DataFrame, files: list[str], fanout: int, batch_lines: int) -> tuple[int, list[DataFrame]]:
+    """How many lines there are, and the batches: the written hashes by groups of their files. Rows of a document may be in
+    several; entries merge all the same."""
+    total = hashes.count()
+    n = min(len(files), max(fanout + 1, -(-total // batch_lines)))
+    return total, [hashes.sparkSession.read.schema(hashes.schema).parquet(*files[k::n]) for k in range(n)]
+
+
+def dropped_positions(docs: DataFrame, min_chars: int, fanout: int, batch_lines: int) -> DataFrame:
     """(doc_id, th, drop: positions of the lines to drop) for the texts that lose lines."""
     spark = docs.sparkSession
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    path = scratch(spark, "line_hashes")
-    line_hashes(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
-    hashes = spark.read.schema("doc_id bigint, th bigint, pos int, h1 bigint, h2 bigint, batch int").parquet(path)
-
-    runs = LineRuns(spark, fanout)
-    for b in range(batches):
-        runs.add(hashes.where(F.col("batch") == b))
-    repeated = stored(runs.entries().where(F.col("n") >= MIN_DOCS).select("h1", "h2", "hi", "m"), "repeated_lines")
+    hashes = stored(line_hashes(docs, min_chars), "line_hashes")
+    total, batches = batched(hashes, sorted(hashes.inputFiles()), fanout, batch_lines)
+
+    # A key with two 2000ths of the lines is counted in half of them at least, as its rare batches hold less than one.
+    runs = LineRuns(spark, fanout, often=total / HOT_SHARE / max(1, len(batches)))
+    for batch in batches:
+        runs.add(batch)
+    repeated = stored(runs.entries().where(F.col("n") >= MIN_DOCS).select("h1", "h2", "hi", "m"), "repeated_lines") if batches else None
     runs.drop()
+    if repeated is None:
+        return hashes.where("false").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("drop"))
 
-    total = hashes.count()
     is_hot = F.col("m") * HOT_SHARE >= F.lit(total)
     hot, rest = repeated.where(is_hot).drop("m"), repeated.where(~is_hot).drop("m")
     not_last = ~F.col("doc_id").eqNullSafe(F.col("hi"))
     of_hot = hashes.join(F.broadcast(hot), ["h1", "h2"]).where(not_last)
     of_rest = hashes.join(rest, ["h1", "h2"]).where(not_last)
-    drops = of_hot.unionByName(of_rest).groupBy("doc_id", "th").agg(F.collect_list("pos").alias("drop"))
-    return drops.withColumnsRenamed({"doc_id": "drop_id", "th": "drop_th"})
+    return of_hot.unionByName(of_rest).groupBy("doc_id", "th").agg(F.collect_list("pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = 3, fanout: int = 4) -> tuple[DataFrame, dict[str, str]]:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, fanout: int = FANOUT, batch_lines: int = BATCH_LINES) -> tuple[DataFrame, dict[str, str]]:
     """docs with three more columns, and their names by what they hold: kept (the text that stays), n_lines, n_dropped."""
-    name = {x: unused(docs, f"line_dedup_{x}") for x in ("kept", "n_lines", "n_dropped", "th", "lines", "text", "drop", "drop_id", "drop_th")}
-    text = F.coalesce(F.col("text"), F.lit(""))
-    drops = dropped_positions(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")), min_chars, batches, fanout)
-    drops = drops.withColumnsRenamed({x: name[x] for x in ("drop", "drop_id", "drop_th")})
-    # The lines are split below the join: above it the array is a column, which the lambda reads in constant time.
-    split = docs.withColumn(name["text"], text).withColumns(
-        {name["th"]: F.xxhash64(name["text"]), name["lines"]: F.split(name["text"], "\n", -1)}
-    )
+    name = {x: unused(docs, f"line_dedup_{x}") for x in ("kept", "n_lines", "n_dropped", "th", "text", "drop", "drop_id", "drop_th")}
+    drops = dropped_positions(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")), min_chars, fanout, batch_lines)
+    drops = drops.select(F.col("doc_id").alias(name["drop_id"]), F.col("th").alias(name["drop_th"]), F.col("drop").alias(name["drop"]))
+    hashed = docs.withColumn(name["th"], F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name["drop_id"])) & (F.col(name["th"]) == F.col(name["drop_th"]))
-    joined = split.join(drops, same, "left")
-    lines, count, drop = F.col(name["lines"]), F.size(name["lines"]), F.col(name["drop"])
-    stay = F.array_except(F.sequence(F.lit(0), count - 1), drop)
-    kept = F.when(drop.isNull(), F.col(name["text"])).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
-    lost = F.when(drop.isNull(), 0).otherwise(F.size(F.array_distinct(drop)))
+    joined = hashed.join(drops, same, "left")
+
+    text, drop = F.coalesce(F.col("text"), F.lit("")), F.col(name["drop"])
+    count = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+
+    def staying(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop)
+        return F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n")
+
+    # The text alone is shuffled; its lines are the one element of an array here, so that they are split once.
+    left = F.get(F.transform(F.array(F.split(text, "\n", -1)), staying), 0)
     out = joined.select(
         *docs.columns,
-        kept.alias(name["kept"]),
+        F.when(drop.isNull(), text).otherwise(left).alias(name["kept"]),
         count.cast("bigint").alias(name["n_lines"]),
-        lost.cast("bigint").alias(name["n_dropped"]),
+        F.when(drop.isNull(), 0).otherwise(F.size(F.array_distinct(drop))).cast("bigint").alias(name["n_dropped"]),
     )
     return out, {x: name[x] for x in ("kept", "n_lines", "n_dropped")}
 

@@ -5,15 +5,15 @@ space-joined, is a shingle (fewer words: all of them, none: fingerprint zero). A
 of the shingles' XXH64 (seed 42) have it. Fingerprints link at ``radius`` or fewer differing bits, and documents are
 labelled with the smallest doc_id that links reach.
 
-Equal fingerprints collapse first. Each fingerprint then goes to the groups named by its ``radius + 1`` blocks of bits:
-two that link agree on one block at least, and are compared in the first such group. A group is one index: fingerprints
-sorted by Gray rank, with nodes over runs of neighbours that hold the bits all of them share (mask and pattern). Pairs of
-nodes descend together, adding up the differences of their shared bits, and are pruned as a whole beyond the radius. A
-group returns the edges of a spanning forest, not its pairs, so a dense group costs one edge for each fingerprint. The
-edges of all groups are contracted by alternating large-star and small-star steps.
+Equal fingerprints collapse first. Fingerprints that link differ in ``radius`` of n blocks of bits at most, so they agree
+on n - radius blocks at least: each fingerprint goes to the groups named by its values of so many blocks, and links are
+found in a group. The number of blocks follows the number of fingerprints, so that groups stay small at any size. A group
+is one index: fingerprints sorted by Gray rank, with nodes over runs of neighbours that hold the bits all of them share
+(mask and pattern). Pairs of nodes descend together, adding up the differences of their shared bits, and are pruned as a
+whole beyond the radius. A group returns the edges of a spanning forest, not its pairs, so a dense group costs one edge for
+each fingerprint. The edges of all groups are contracted by alternating large-star and small-star steps.
 
-``similar_documents`` links texts by the Jaccard similarity of their sets of shingles itself, of five words and 0.8 in the
-pipeline, by an exact prefix filter.
+``similar`` uses the index to link texts by the Jaccard similarity of their sets of shingles itself.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other. Repeated rows are all returned. A
 component whose ids are all null has a null label; else null ids don't count. Empty tables give empty results. Only
@@ -22,39 +22,45 @@ component whose ids are all null has a null label; else null ids don't count. Em
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, removed, scratch, small_batches, stored, text_of, unused
+from .common import lean, partitions, removed, scratch, small_batches, stored, text_of
 
 WIDTH, RADIUS, SEED = 4, 4, 42
-#: Of similar_documents().
-SIMILARITY, SIMILAR_WIDTH = 0.8, 5
-SAMPLED, OFTEN, LISTED, PAIRS = 20_000, 3, 1 << 18, 1 << 20
 LEAF, FANOUT, FRONT, DENSE, PIVOTS = 16, 8, 1 << 17, 2048, 32
+#: Fingerprints that a group has on average, at most.
+GROUP = 1024
+#: Edges in a task, when they are few.
+EDGES = 200_000
 
 
-def fingerprint(text: str, width: int = WIDTH) -> int:
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # for bytes: ASCII white space, A-Z
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(1, len(words) - width + 1)
     spans = zip(starts[:last].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, last)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, last)
+
+
+def fingerprint(text: str, width: int = WIDTH) -> int:
+    hashes = shingle_hashes(text, width)
     counts = np.zeros(64, np.int64)
-    for k in range(0, last, 1 << 16):
+    for k in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits((counts * 2 > last).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -66,7 +72,7 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").mapInArrow(run, "doc_id bigint, fp bigint")
+    return text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").mapInArrow(lean(run), "doc_id bigint, fp bigint")
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -82,17 +88,19 @@ def differing(bits: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Nodes over fingerprints (rows of 64-bit words) in Gray order; levels[0] are the leaves."""
-
-    def __init__(self, fps: np.ndarray):
-        self.order = np.lexsort([gray_rank(w) for w in fps.T[::-1]])
-        self.fps = fps[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        every, some, step = self.fps, self.fps, LEAF
+    """Nodes over fingerprints (rows of 64-bit words) in Gray order; levels[0] are the leaves. Two fingerprints link if they
+    differ in no more bits than their reaches, half a radius each, add up to. ``first`` are ranks that go before Gray ranks."""
+
+    def __init__(self, fps: np.ndarray, reach: np.ndarray, first: np.ndarray | None = None):
+        keys = [gray_rank(w) for w in fps.T[::-1]]
+        self.order = np.lexsort([*keys, first] if first is not None else keys)
+        self.fps, self.reach = fps[self.order], reach[self.order]
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        every, some, far, step = self.fps, self.fps, self.reach, LEAF
         while True:
             cuts = np.arange(0, len(every), step)
-            every, some = np.bitwise_and.reduceat(every, cuts, 0), np.bitwise_or.reduceat(some, cuts, 0)
-            self.levels.append((~(every ^ some), every))  # the bits that all below share, and their pattern
+            every, some, far = np.bitwise_and.reduceat(every, cuts, 0), np.bitwise_or.reduceat(some, cuts, 0), np.maximum.reduceat(far, cuts)
+            self.levels.append((~(every ^ some), every, far))  # the bits that all below share, their pattern, the largest reach
             if len(every) == 1:
                 break
             step = FANOUT
@@ -106,29 +114,30 @@ class GrayIndex:
         keep = (x < size) & (y < size) & ((x <= y) if level else (x < y))
         return x[keep], y[keep]
 
-    def pairs(self, radius: int, joined: Forest) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Linked places (in Gray order) and their distances, in pieces of bounded size; leaves that hang together are left out."""
+    def pairs(self, label: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Linked places (in Gray order) and their distances, in pieces of bounded size; leaves of one label are left out."""
         top = len(self.levels) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
             if level < 0:
                 apart = differing(self.fps[a] ^ self.fps[b])
-                near = apart <= radius
+                near = apart <= self.reach[a] + self.reach[b]
                 if near.any():
                     yield a[near], b[near], apart[near]
                 continue
             if level == 0:
-                lo = np.minimum.reduceat(joined.label, np.arange(0, len(self.fps), LEAF))
-                hi = np.maximum.reduceat(joined.label, np.arange(0, len(self.fps), LEAF))
+                now = label()
+                lo = np.minimum.reduceat(now, np.arange(0, len(self.fps), LEAF))
+                hi = np.maximum.reduceat(now, np.arange(0, len(self.fps), LEAF))
                 open_ = ~((lo[a] == hi[a]) & (lo[b] == hi[b]) & (lo[a] == lo[b]))
                 a, b = a[open_], b[open_]
             most = max(1, FRONT // (LEAF * LEAF if level == 0 else FANOUT * FANOUT))
             for k in range(0, len(a), most):
                 x, y = self._children(level, a[k : k + most], b[k : k + most])
                 if level:
-                    mask, pattern = self.levels[level - 1]
-                    near = differing((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= radius
+                    mask, pattern, far = self.levels[level - 1]
+                    near = differing((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= far[x] + far[y]
                     x, y = x[near], y[near]
                 if len(x):
                     stack.append((level - 1, x, y))
@@ -158,70 +167,69 @@ class Forest:
                 self.label = up
 
 
-def spanning_edges(fps: np.ndarray, radius: int, sure: int | None = None, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links (pairs of places of fps) that connect all that links of the group connect: one fewer than the places at most.
-    With ``nearest``, also each place's nearest one. ``sure`` is a distance at which links may stand for others."""
+def spanning_edges(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (pairs of places of fps) that connect all that links of the group connect: one fewer than the places at most."""
     n = len(fps)
     forest = Forest(n)
-    best, other = np.full(n, np.iinfo(np.int32).max, np.int32), np.full(n, -1)
-
-    def note(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> None:
-        if nearest:
-            x, y, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((apart, apart))
-            order = np.lexsort((d, x))
-            pick = order[np.append(True, np.diff(x[order]) != 0)]
-            pick = pick[d[pick] < best[x[pick]]]
-            best[x[pick]], other[x[pick]] = d[pick], y[pick]
-        forest.link(a, b, apart)
-
     if n <= 2 * LEAF:
         order = np.arange(n)
         a, b = np.triu_indices(n, 1)
         apart = differing(fps[a] ^ fps[b])
         near = apart <= radius
         if near.any():
-            note(a[near], b[near], apart[near])
+            forest.link(a[near], b[near], apart[near])
     else:
-        index = GrayIndex(fps)
+        index = GrayIndex(fps, np.full(n, radius / 2))
         order = index.order
         if n > DENSE:  # what lies around a few pivots hangs together and needs no pairs
             for pivot in range(0, n, n // PIVOTS):
                 apart = differing(index.fps ^ index.fps[pivot])
-                near = np.flatnonzero((apart <= (radius if sure is None else sure)) & (np.arange(n) != pivot))
+                near = np.flatnonzero((apart <= radius) & (np.arange(n) != pivot))
                 if len(near):
-                    note(np.full(len(near), pivot), near, apart[near])
-        for a, b, apart in index.pairs(radius, forest):
-            note(a, b, apart)
-    found = list(forest.edges)
-    if nearest:
-        has = np.flatnonzero(other >= 0)
-        found.append((has, other[has]))
-    if not found:
+                    forest.link(np.full(len(near), pivot), near, apart[near])
+        for a, b, apart in index.pairs(lambda: forest.label):
+            forest.link(a, b, apart)
+    if not forest.edges:
         return order[:0], order[:0]
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b = (np.concatenate(x) for x in zip(*forest.edges, strict=True))
     return order[a], order[b]
 
 
-def link_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v) with v < u: edges that connect all distinct fingerprints that links connect."""
+def blocks_for(count: int, radius: int) -> int:
+    """The least number of blocks of which fingerprints that link agree on enough bits to part ``count`` into small groups."""
     n = radius + 1
+    while n < 4 * radius and count >> (64 * (n - radius) // n) > GROUP:
+        n += 1
+    return n
+
+
+def link_edges(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """(u, v) with v < u: edges that connect all distinct fingerprints that links connect. ``fps`` holds the column fp."""
+    n = blocks or blocks_for(fps.count(), radius)
     bounds = [64 * k // n for k in range(n + 1)]
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(F.shiftleft("fp", 64 - bounds[k + 1]), 64 - bounds[k + 1] + bounds[k]).alias("value")) for k in range(n)])
-    dealt = fps.select(F.col("fp").alias("node"), F.explode(blocks).alias("b")).select("node", "b.block", "b.value")
-    return grouped_edges(dealt, radius, 1)
 
+    def value(of: tuple[int, ...]) -> Column:
+        """The bits of some blocks, the rest of the fingerprint blank."""
+        bits = sum(((1 << bounds[k + 1]) - (1 << bounds[k])) for k in of)
+        return F.col("fp").bitwiseAND(F.lit(bits - (1 << 64) if bits >> 63 else bits))
 
-def grouped_edges(dealt: DataFrame, radius: int, words: int, sure: int | None = None, nearest: bool = False) -> DataFrame:
-    """(u, v) with v < u from (node, block, value) or, with several words, (node, block, value, bits): spanning_edges() of
-    all groups of equal block and value. A task holds one group at a time."""
+    every = list(combinations(range(n), n - radius))
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), value(of).alias("value")) for k, of in enumerate(every)])
+    dealt = fps.select(F.col("fp").alias("node"), F.explode(keys).alias("b")).select("node", "b.block", "b.value")
+    return grouped_edges(dealt, radius)
+
+
+def grouped_edges(dealt: DataFrame, radius: int) -> DataFrame:
+    """(u, v) with v < u from (node: a fingerprint, block, value): spanning_edges() of all groups of equal block and value. A
+    task holds one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         key = None
 
-        def edges(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            nodes = np.concatenate([p[0] for p in parts])
-            a, b = spanning_edges(np.concatenate([p[1] for p in parts]), radius, sure, nearest)
+        def edges(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            nodes = np.concatenate(parts)
+            a, b = spanning_edges(nodes.view(np.uint64).reshape(-1, 1), radius)
             return nodes[a], nodes[b]
 
         def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -232,24 +240,23 @@ def grouped_edges(dealt: DataFrame, radius: int, words: int, sure: int | None =
             node, block, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(node):
                 continue
-            bits = node.view(np.uint64).reshape(-1, 1) if words == 1 else np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, words)
             cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(value) != 0)) + 1).tolist(), len(node)]
             found = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if key != (now := (int(block[a]), int(value[a]))):
-                    if sum(len(p[0]) for p in held) > 1:
+                    if sum(map(len, held)) > 1:
                         found.append(edges(held))
                     held, key = [], now
-                held.append((node[a:b], bits[a:b]))
+                held.append(node[a:b])
             if found := [x for x in found if len(x[0])]:
                 yield out(found)
-        if sum(len(p[0]) for p in held) > 1 and len((last := edges(held))[0]):
+        if sum(map(len, held)) > 1 and len((last := edges(held))[0]):
             yield out([last])
 
     spark = dealt.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "32768")
     grouped = dealt.repartition(partitions(spark), "block", "value").sortWithinPartitions("block", "value")
-    return grouped.mapInArrow(run, "u bigint, v bigint").distinct()
+    return grouped.mapInArrow(lean(run), "u bigint, v bigint").distinct()
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -257,23 +264,23 @@ def contracted(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     path = scratch(spark, "edges")
     edges.where("u <> v").write.parquet(path)
-    mark = None
+    mark, tasks = None, partitions(spark)
     while True:
         now = spark.read.schema("u bigint, v bigint").parquet(path)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == mark or not state[0]:
             return now
-        mark = tuple(state)
+        mark, tasks = tuple(state), min(tasks, 1 + state[0] // EDGES)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        large = stored(large, "edges")
+        large = stored(large.coalesce(tasks), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
         old, path = path, scratch(spark, "edges")
-        small.write.parquet(path)
+        small.coalesce(tasks).write.parquet(path)
         removed(spark, old)
 
 
@@ -295,193 +302,6 @@ def labelled(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(of_node, "node").select(*rows.columns, "root", "component_id")
 
 
-def shingle_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
-    """Sorted hashes of a text's shingles, each once."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = max(1, len(words) - width + 1)
-    spans = zip(starts[:last].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, last))
-
-
-def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles found OFTEN in about SAMPLED of the texts, LISTED of them at most, sorted, and how often each was."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(0)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
-
-    share = min(1.0, SAMPLED / max(1, texts.count()))
-    small_batches(texts.sparkSession)
-    picked = texts.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= F.lit(share * 2.0**63)).select("text")
-    counts = picked.mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= OFTEN)
-    rows = counts.orderBy(F.col("count").desc(), "token").limit(LISTED).collect()
-    token, count = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(token)
-    return token[order], count[order]
-
-
-def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first of the shingles in an order that all texts share, the common ones last: so many that sets of the
-    similarity share one of them at least."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    token, count = common
-    often = np.zeros(n, np.int64)
-    if len(token):
-        at = np.minimum(np.searchsorted(token, shingles), len(token) - 1)
-        often = np.where(token[at] == shingles, count[at], 0)
-    return shingles[np.lexsort((shingles, often))[: n - math.ceil(similarity * n - 1e-9) + 1]]
-
-
-def candidate_pairs(nodes: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """(u, v) with v < u: nodes (node, size, prefix, label) of different labels that share a prefix shingle, and whose sizes and
-    places of it allow the similarity if it is the first they share. All of them with ``every``; else each node of a
-    shingle with the least one and the next one of it."""
-    need = similarity / (1 + similarity)
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, node, size, left, label = rows
-        n = len(token)
-        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if n else np.zeros(0, np.int64)
-        lengths = np.diff(np.append(first, n))
-        begin, end = np.repeat(first, lengths), np.repeat(first + lengths, lengths)
-        more = end - np.arange(n) - 1
-        if every:
-            upto, at = np.cumsum(more), 0
-        else:
-            upto, at = np.zeros(n, np.int64), 0
-        while at < n:
-            if every:
-                done = upto[at - 1] if at else 0
-                stop = max(at + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
-                a = np.repeat(np.arange(at, stop), more[at:stop])
-                b = a + 1 + np.arange(len(a)) - np.repeat(upto[at:stop] - more[at:stop] - done, more[at:stop])
-            else:
-                stop, on = n, np.flatnonzero(more)
-                a, b = np.concatenate((on, begin)), np.concatenate((on + 1, np.arange(n)))
-            at = stop
-            small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-            keep = (label[a] != label[b]) & (small >= similarity * large - 1e-9) & (np.minimum(left[a], left[b]) >= need * (small + large) - 1e-9)
-            x, y = node[a[keep]], node[b[keep]]
-            if len(x):
-                found = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # of the last shingle, whose rows may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
-            if cut or (held and held[-1][0][-1] != now[0][0]):
-                yield from pairs([np.concatenate(x) for x in zip(*held, [c[:cut] for c in now], strict=True)])
-                held = []
-            held.append([c[cut:] for c in now])
-        if held:
-            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "131072")
-    dealt = nodes.select("node", "size", "label", F.posexplode("prefix").alias("place", "token")).select("token", "node", "size", (F.col("size") - F.col("place")).alias("left"), "label")
-    grouped = dealt.repartition(partitions(spark), "token").sortWithinPartitions("token", "node")
-    return grouped.mapInArrow(run, "u bigint, v bigint").distinct()
-
-
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = SIMILAR_WIDTH) -> DataFrame:
-    """(doc_id, th: hash of the text, node, root, component_id) for each row, linked where the Jaccard similarity of the
-    texts' sets of shingles is ``similarity`` or more. No link is lost.
-
-    At such similarities fingerprints differ in too many bits for an exact search by blocks of them, and in any number of
-    them if texts repeat a shingle. So texts of equal sets are one node, and a node goes to each shingle of its set's
-    prefix (see prefix()), where all similar pairs meet. Links are tested on the shingles before they join anything: first
-    those of each node to the least and the next one of a shingle, which joins large groups of copies, then all pairs that
-    verified links did not join.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-            first = [prefix(x, common, similarity) for x in sets]
-            node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), tokens], ["doc_id", "th", "node", "size", "prefix"])
-
-    texts = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
-    common = common_shingles(texts, width)
-    small_batches(docs.sparkSession)
-    made = texts.withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, th bigint, node bigint, size int, prefix array<bigint>")
-    rows = stored(made, "shingle_prefixes")
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th"))
-    nodes = stored(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least_id"), head.alias("head")), "shingle_nodes")
-    heads = nodes.select("node", F.col("head.doc_id").alias("head_id"), F.col("head.th").alias("head_th"))
-    few = stored(candidate_pairs(nodes.withColumn("label", F.col("node")), similarity, False), "candidate_links")
-    links = stored(verified(few, heads, docs, similarity, width), "links")
-    joined = contracted(links).withColumnsRenamed({"u": "node", "v": "label"})
-    apart = nodes.join(joined.hint("merge"), "node", "left").select("node", "size", "prefix", F.coalesce("label", "node").alias("label"))
-    rest = stored(candidate_pairs(apart, similarity, True).join(few.hint("merge"), ["u", "v"], "left_anti"), "candidate_links")
-    links = links.unionByName(verified(rest, heads, docs, similarity, width))
-    return labelled(rows.select("doc_id", "th", "node"), nodes.select("node", "least_id"), links)
-
-
-def verified(edges: DataFrame, heads: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The edges (u, v) whose texts' shingles have the similarity. heads: (node, head_id, head_th), a row's doc_id and hash of
-    its text for each node. No table here has a bound, so none is broadcast, at any size."""
-    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    wanted = heads.join(ends.hint("merge"), "node", "left_semi")
-    texts = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").withColumn("th", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th"))
-    read = texts.join(wanted.hint("merge"), same).select("node", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["node", "shingles"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common) - 1e-9)
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], ["u", "v"])
-
-    small_batches(docs.sparkSession)
-    shingled = stored(read.mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"]), "shingle_sets")
-    a, b = (shingled.withColumnsRenamed({"node": x, "shingles": f"{x}_set"}) for x in "uv")
-    pairs = edges.join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "u_set", "v_set")
-    return pairs.mapInArrow(compare, "u bigint, v bigint")
-
-
-def deduped_documents(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component of similar_documents(): the one with the smallest doc_id, nulls last, and of rows
-    with that id the one whose text has the least hash. Rows are told apart by doc_id and text; those that go are joined
-    against, as they are fewer than those that stay."""
-    name = unused(docs, "near_dedup_text")
-    found = stored(similar_documents(docs), "near_duplicates")
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("head")
-    heads = found.groupBy("root").agg(head).select(F.col("root").alias("r"), F.col("head.doc_id").alias("head_id"), F.col("head.th").alias("head_th"))
-    is_head = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("th") == F.col("head_th"))
-    marked = stored(found.join(heads, F.col("root") == F.col("r")).select("doc_id", "th", is_head.alias("stays")), "near_duplicates_marked")
-    gone = marked.where("NOT stays").select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th")).distinct()
-    hashed = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = hashed.join(gone, hashed["doc_id"].cast("bigint").eqNullSafe(gone["gone_id"]) & (hashed[name] == gone["gone_th"]), "left_anti")
-    if marked.where("stays").groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", name])
-    return kept.select(*docs.columns)
-
-
 def near_duplicates_query(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
