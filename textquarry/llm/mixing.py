@@ -8,8 +8,9 @@ often as its target allows in whole, and once more those whose hash lies under a
 The threshold comes from histograms, without sorting documents: words are summed by source and hash bucket, the bucket
 where the sum crosses the remaining budget is found, and only that bucket's documents are summed again by finer buckets.
 At the last step a bucket is one hash value. Thresholds are nested: a larger budget takes the same documents and more.
-What is left in front of the document that crosses the budget is filled by the same steps, twice, with documents behind it
-that are small enough; a crossing document is in if that comes nearer to the target than leaving it out.
+Where a source misses its target by more than NEAR of it, what is left in front of the document that crosses the budget is
+filled by the same steps, twice at most, with documents behind it that are small enough; a crossing document is in if that
+comes nearer to the target than leaving it out.
 
 Defined cases: a null or empty text has no words, and its document takes none. The hash is of doc_id, source and text, so
 reruns agree and repeated rows go together. Null sources are one source. Empty tables give empty results. Only
@@ -27,6 +28,8 @@ WEIGHTS, MOST = (1, 2, 3), 3
 #: Bits of the hash that each histogram resolves; the last resolves all 63.
 STEPS = (12, 24, 63)
 END, ROUNDS = 2**63 - 1, 3
+#: A source this near to its target, as a share of it, needs no more rounds; with thousands of documents one round does.
+NEAR = 1e-3
 #: Tables of one row for each source are broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_ROWS = 50_000
 
@@ -97,23 +100,24 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     goal = stored(totals.withColumn("full", full).withColumn("budget", budget), "targets")
 
     band = "array<struct<low:bigint,below:bigint,cap:bigint>>"
-    left = goal.where("budget > 0").select("source", "budget", F.lit(0).cast("bigint").alias("low"), F.lit(END).alias("cap"), F.lit(None).cast(band).alias("bands"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("double").alias("over"))
+    left = goal.where("budget > 0").select("source", "target", "budget", F.lit(0).cast("bigint").alias("low"), F.lit(END).alias("cap"), F.lit(None).cast(band).alias("bands"), F.lit(None).cast("bigint").alias("first"), F.lit(None).cast("double").alias("over"))
     for k in range(ROUNDS):
         found = stored(crossing(sizes, left), "crossing")
+        miss = found.agg(F.max(F.least("gap", F.when(F.col("at") < END, F.abs(F.col("size") - F.col("gap")))) / F.col("target"))).first()[0]
+        done = k == ROUNDS - 1 or (miss or 0) <= NEAR
+        # in the last round the crossing document is in if that comes nearer
+        inside = (F.col("size") - F.col("gap") < F.col("gap")) & (F.col("at") < END) if done else F.lit(False)
+        here = F.array(F.struct(F.col("low"), (F.col("at") + inside.cast("bigint")).alias("below"), F.col("cap"))).cast(band)
         # the next round fills the gap with what is small enough among the documents behind the crossing one
-        here = F.array(F.struct(F.col("low"), F.col("at").alias("below"), F.col("cap")))
-        bands = here.cast(band) if k == 0 else F.concat("bands", here.cast(band))
-        last = (F.col("size") - F.col("gap")) < F.col("gap")  # in the last round the crossing one is in if that comes nearer
-        if k == ROUNDS - 1:
-            here = F.array(F.struct(F.col("low"), (F.col("at") + (last & (F.col("at") < END)).cast("bigint")).alias("below"), F.col("cap")))
-            bands = F.concat("bands", here.cast(band))
-        error = F.when(last, F.abs(F.col("size") - F.col("gap"))).otherwise(F.col("gap")) if k == ROUNDS - 1 else F.col("gap")
         left = found.select(
-            "source", F.col("gap").alias("budget"), F.when(F.col("at") < END, F.col("at") + 1).otherwise(F.lit(END)).alias("low"), F.floor("gap").cast("bigint").alias("cap"), bands.alias("bands"),
-            (F.col("at") if k == 0 else F.col("first")).alias("first"), (F.col("size") - F.col("gap") if k == 0 else F.col("over")).alias("over"), error.alias("error"),
+            "source", "target", F.col("gap").alias("budget"), F.when(F.col("at") < END, F.col("at") + 1).otherwise(F.lit(END)).alias("low"), F.floor("gap").cast("bigint").alias("cap"),
+            (here if k == 0 else F.concat("bands", here)).alias("bands"),
+            (F.col("at") if k == 0 else F.col("first")).alias("first"), (F.col("size") - F.col("gap") if k == 0 else F.col("over")).alias("over"),
+            F.when(inside, F.abs(F.col("size") - F.col("gap"))).otherwise(F.col("gap")).alias("error"),
         )
-        if k < ROUNDS - 1:
-            left = left.drop("error")
+        if done:
+            break
+        left = left.drop("error")
     # or the first crossing document is in, if no filling came as near
     simple = (F.col("over") >= 0) & (F.col("over") < F.col("error")) & (F.col("first") < END)
     alone = F.array(F.struct(F.lit(0).cast("bigint").alias("low"), (F.col("first") + 1).alias("below"), F.lit(END).alias("cap"))).cast(band)
