@@ -1,13 +1,15 @@
 """Language identification with a linear-chain conditional random field over words.
 
-Words are the white-space separated tokens that have a letter, lower-cased and without what is no letter. Tokens longer
-than LONG characters, and those in scripts without spaces, are split at punctuation and into pieces of PIECE letters, each
-a word, so that all of a text counts. A word's emission scores sum the weights of its features: character n-grams of 2 to 4 between word boundary marks, which include its
-affixes, and the word itself (the lexicon). A matrix of learned transitions joins neighbouring words. Forward-backward
-gives each word's probabilities; a text's are their means over all its words, and its language is the likeliest.
-
-Training takes a bounded sample: for each language the PER_LANGUAGE labelled documents of least hash, and of each a window
-of WINDOW words at a place the hash picks. Half of the training chains join windows of two languages, so that transitions
+Words are the white-space separated tokens that have a letter, lower-cased and without what is neither a letter nor a mark
+on one. Tokens longer than LONG characters, and those in scripts without spaces, are split at punctuation and into pieces of
+PIECE letters, each a word, so that all of a text counts. A word's emission scores sum the weights of its features: character
+n-grams of 2 to 4 between word boundary marks, which include its affixes, and the word itself (the lexicon). A matrix of
+learned transitions joins neighbouring words. Forward-backward gives each word's probabilities; a text's are their means
+over all its words, and its language is the likeliest.
+
+Training takes a bounded sample: the LANGUAGES languages with the most different labelled documents, rarer ones are not
+learned; for each the PER_LANGUAGE labelled documents of least hash, repeated rows once; and of each a window of WINDOW
+words at a place the hash picks. Half of the training chains join windows of two languages, so that transitions
 are learned from code-switched text. All words of a window carry their document's label. The weights are fitted by
 gradient steps on the exact likelihood, with a fixed seed.
 
@@ -29,16 +31,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, unused
+from .common import lean, small_batches, unused
 
 PER_LANGUAGE, LANGUAGES, WINDOW, STEPS = 600, 64, 48, 40
 HELD, PRIOR = 50, 50
-BUCKETS, SEGMENT, KEPT = 1 << 17, 64, 300_000
+BUCKETS, SEGMENT, KEPT = 1 << 17, 64, 150_000
 LONG, PIECE = 64, 8
-NO_LETTER = re.compile(r"[\W\d_]+")
+NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+AROUND = ".,;:!?\"'()[]{}*-\u2013\u2014\u201c\u201d\u2018\u2019\u00ab\u00bb\u2026"
 PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~\u00a1-\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u303f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 #: Letters of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and Han.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -49,15 +53,23 @@ def words_of(text: str) -> list[str]:
     tokens = text.split()
     if UNSPACED.search(text) or max(map(len, tokens), default=0) > LONG:
         return [w for t in tokens for w in pieces(t)]
-    return [w for t in tokens if (w := t if t.isalpha() else NO_LETTER.sub("", t))]
+    return [w for t in tokens if (w := t if t.isalpha() else letters(t))]
+
+
+def letters(token: str) -> str:
+    """The letters of a token and the marks on them; empty if it has no letter."""
+    if (inner := token.strip(AROUND)).isalpha():
+        return inner
+    left = NO_LETTER.sub("", token)
+    return left if any(map(str.isalpha, left)) else ""
 
 
 def pieces(token: str) -> list[str]:
     """The letters of a token: as one word, or of a long or unspaced one in pieces, none across punctuation."""
     if len(token) <= LONG and not UNSPACED.search(token):
-        return [w] if (w := NO_LETTER.sub("", token)) else []
+        return [w] if (w := letters(token)) else []
     runs = (NO_LETTER.sub("", r) for r in PUNCTUATION.split(token))
-    return [r[k : k + PIECE] for r in runs for k in range(0, len(r), PIECE)]
+    return [w for r in runs for k in range(0, len(r), PIECE) if (w := letters(r[k : k + PIECE]))]
 
 
 def folded(word: str) -> str:
@@ -275,12 +287,13 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, held: bool = False
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     labelled = docs.where(F.col("lang").isNotNull() & ((fold == 1) if held else (fold != 1))).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
-    frequent = F.broadcast(labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES))
+    # different documents: rows that repeat neither crowd out others nor thin the sample
+    frequent = F.broadcast(labelled.groupBy("lang").agg(F.approx_count_distinct(place, 0.02).alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES))
     # the least hashes of a language are under three times their share, so few more than are taken meet in a task
     few = F.col("place") <= F.lit(2.0**63) * 3 * per_language / F.col("n")
-    hashed = labelled.withColumn("place", place).join(frequent, "lang").where(few).select("lang", "doc_id", "place")
+    hashed = labelled.withColumn("place", place).join(frequent, "lang").where(few).select("lang", "doc_id", "place").distinct()
     order = Window.partitionBy("lang").orderBy("place", "doc_id")
-    chosen = hashed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", "place", "lang").distinct()
+    chosen = hashed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("doc_id", "place", "lang")
     rows = labelled.withColumn("place", place).join(F.broadcast(chosen), ["doc_id", "place", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +306,8 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, held: bool = False
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(windows, pa.list_(pa.string()))], ["lang", "place", "words"])
 
     small_batches(docs.sparkSession)
-    got = rows.select("text", "lang", "place").mapInArrow(run, "lang string, place bigint, words array<string>").collect()
+    windows = rows.select("text", "lang", "place").mapInArrow(lean(run), "lang string, place bigint, words array<string>")
+    got = windows.dropDuplicates(["lang", "place"]).collect()  # per_language rows of a language at most
     got = [r for r in got if r["words"]]
     return [(r["lang"], list(r["words"])) for r in sorted(got, key=lambda r: (r["lang"], r["place"]))]
 
