@@ -5,11 +5,12 @@ Documents are token ids with an end id, packed into sequences of ``capacity`` id
 instance with fewer than ``capacity`` different lengths, so the driver sees one count for each length, however many
 documents there are.
 
-Over those counts, bins that provably dominate all other bins with the longest open length are fixed for good: the length
-alone if nothing fits beside it; the length with its exact complement; the length with the longest that fits, if no three
-fit; and three that fill the bin, if the two beside the longest dominate any other pair or single length. All bins of a kind are
-fixed at once. When nothing dominates, the longest lengths go best fit: into the open bin with the least room that holds
-them. Bins of one kind have the same lengths in them and are kept as kind and count.
+Over those counts, bins that provably dominate all other bins with an open length are fixed for good, for every length from
+the longest on, until a whole pass fixes none: the length alone if nothing fits beside it; the length with its exact
+complement; the length with the longest that fits, if no two others fit beside it, or two but none longer together; and two
+others beside it, if no three fit and each of any other pair is no longer than one of them. All bins of a kind are fixed at
+once. What is left goes best fit, the longest first: into the open bin with the least room that holds it. Bins of one kind
+have the same lengths in them and are kept as kind and count.
 
 Each piece then finds its place by its rank among the pieces of its length: ranks are counted within write tasks and
 shifted by the counts of the tasks before, so that a length which a third of all documents share meets in no task.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, text_of
+from .common import lean, scratch, small_batches, text_of
 from .tokens import byte_encoder
 
 CAPACITY = 1024
@@ -67,44 +68,68 @@ class Open:
                 return got[0] + got[1]
         return 1 << 60
 
+    def longest_pair(self, room: int) -> int:
+        """No two lengths that fit together are longer."""
+        best, k = 0, bisect_right(self.sizes, room) - 1
+        for i, s in enumerate(self.sizes):
+            while k >= i and s + self.sizes[k] > room:
+                k -= 1
+            if k < i:
+                break
+            best = max(best, s + self.sizes[k])
+        return best
+
 
 def times_of(bin_: tuple[int, ...], open_: Open) -> int:
     return min(open_.count[s] // k for s, k in Counter(bin_).items())
 
 
-def dominating(open_: Open, capacity: int) -> tuple[int, ...] | None:
-    """A bin with the longest open length that is part of some best packing, or None."""
-    top = open_.sizes[-1]
-    room = capacity - top
-    mate = open_.longest(room, Counter([top]))
+def dominating(open_: Open, size: int, capacity: int) -> tuple[int, ...] | None:
+    """A bin with an open length that is part of some best packing, as what other bins hold beside the length can change
+    places with what this one does; or None."""
+    room = capacity - size
+    mate = open_.longest(room, Counter([size]))
     if not mate:
-        return (top,)
-    if mate == room or open_.two_least(top) > room:
-        return (top, mate)
-    # Three: every pair or single beside the longest must be no longer, one by one, than the pair that is fixed.
-    # It is so if the pair fills the room with the longest that fits in halves: first the mate, then the longest beside it.
-    second = open_.longest(room - mate, Counter([top, mate]))
-    if second and mate + second == room and open_.two_least(top) + open_.sizes[0] > room:
-        # no four fit, so other bins add at most two lengths a >= b with a <= mate; b <= second unless b is between
-        between = open_.longest(room // 2, Counter([top]))
-        if between <= second:
-            return (top, mate, second)
+        return (size,)
+    least = open_.two_least(size)
+    if mate == room or least > room:
+        return (size, mate)
+    if least + open_.sizes[0] > room:  # no three fit: others hold one length, of mate at most, or two of them, p >= q
+        second = open_.longest(room - mate, Counter([size, mate]))
+        if second:
+            if open_.longest(room // 2) <= second:  # q is half the room at most
+                return (size, mate, second)
+        elif open_.longest_pair(room) <= mate:
+            return (size, mate)
     return None
 
 
+def reduced(open_: Open, capacity: int) -> Bins:
+    """The bins that dominance fixes; their lengths are open no more."""
+    bins: Bins = []
+    while True:
+        before = len(bins)
+        for size in open_.sizes[::-1]:
+            while size in open_.count and (bin_ := dominating(open_, size, capacity)):
+                n = max(1, times_of(bin_, open_))
+                for s in bin_:
+                    open_.take(s, n)
+                bins.append((bin_, n))
+        if len(bins) == before:
+            return bins
+
+
 def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Bins:
     """Bins as (lengths, how many), for counts of lengths from 1 to capacity."""
-    open_, bins = Open(counts), []
+    open_ = Open(counts)
+    return reduced(open_, capacity) + best_fit(open_, capacity)
+
+
+def best_fit(open_: Open, capacity: int) -> Bins:
     fitted = Counter[tuple[int, ...]]()
-    rooms: dict[int, list[tuple[int, ...]]] = {}  # open kinds of best fit by their room
+    rooms: dict[int, list[tuple[int, ...]]] = {}  # open kinds by their room
     room_sizes: list[int] = []
     while open_.sizes:
-        if not room_sizes and (bin_ := dominating(open_, capacity)):
-            n = max(1, times_of(bin_, open_))
-            for s in bin_:
-                open_.take(s, n)
-            bins.append((bin_, n))
-            continue
         size = open_.sizes[-1]
         left = open_.count[size]
         open_.take(size, left)
@@ -123,7 +148,7 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> Bins:
             _remove(kind, n, room, fitted, rooms, room_sizes)
             _add(kind + (size,) * per, n, capacity, fitted, rooms, room_sizes)
             left -= n * per
-    return bins + [(kind, n) for kind, n in fitted.items() if n]
+    return [(kind, n) for kind, n in fitted.items() if n]
 
 
 def _add(kind: tuple[int, ...], n: int, capacity: int, fitted: Counter[tuple[int, ...]], rooms: dict[int, list[tuple[int, ...]]], room_sizes: list[int]) -> None:
@@ -202,7 +227,7 @@ def cut(docs: DataFrame, capacity: int, encoder: Callable[[], Callable[[str], np
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -240,4 +265,4 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizers: str |
     ids = ["ids"] if keep_ids else []
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", *ids, (F.col("before") + F.col("nth")).alias("rank"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint," + (" ids array<bigint>," if keep_ids else "") + " sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)
