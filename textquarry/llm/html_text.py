@@ -1,11 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-A page becomes lines: its markup is stripped, block elements and the text around them each make a line. Lines inside
-elements that never hold the article (menus, headers and footers of the page, side bars, notices, adverts, forms, scripts,
-styles, reader comments) are blank, as are lines outside an article or main element where the page has one. The lengths
-of the lines' text, link texts left out, are summed over a sliding window. The text begins at a surge, a window above the
-threshold behind a blank stretch, and ends at a dive, where windows are blank again; lines between them are kept whole.
-Inside an article or main element the threshold is one character; elsewhere ``threshold``, or the largest window's sum.
+A page becomes lines: its markup is stripped, block elements and the text around them each make a line. A line weighs as
+much as its text is long, link texts left out. Lines inside elements that never hold the article (menus, headers and footers
+of the page, side bars, notices, adverts, forms, scripts, styles, reader comments) weigh nothing and are never returned, and
+where a page has article or main elements, so are lines outside them. The weights are summed over a sliding window. The text
+begins at a surge, the lines around a window of ``threshold`` or more (or the page's heaviest), and ends at a dive, where all
+lines of a window weigh nothing. What lies between them stays whole, short lines and link texts too. An article or main
+element with a surge in it stays whole, and so does what lies between two surges in the same container, so that no list of
+links or advert inside the article costs what follows it.
 
 White space inside a line becomes one space; character references are decoded. Defined cases: a null or empty page has no
 text; markup cut off at the end of the page is dropped; elements left open end with the page. Equal pages give equal texts.
@@ -14,14 +16,16 @@ text; markup cut off at the end of the page is dropped; elements left open end w
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 THRESHOLD, WINDOW = 86, 3
 
@@ -38,15 +42,22 @@ NEVER = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "op
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = {"article", "main"}
-#: Words in class, id, role or aria-label that name what is not the article.
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w+|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|signup"
-    r"|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar|aside|widget\w*|toolbar|pagination|pager"
-    r"|comments?|commentlist|respond|replies|reply|disqus|discussion|share|sharing|social|related|recommend\w*|outbrain|taboola|login|search|skip|complementary|contentinfo|alert)(?=$|[\s_-])",
-    re.I,
+#: Words in class, id, role or aria-label that name what is not the article: where each word of a name is one of these or
+#: of PLACES ("related-posts", not "related-work").
+BOILER = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos banner banners cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe"
+    " subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets toolbar pagination pager comment comments commentlist respond replies reply disqus share sharing"
+    " social related recommended recommendations outbrain taboola login search skip complementary contentinfo alert".split()
 )
-#: And those that do so outside an article only, unless they are part of a name such as post-header.
-FRAME = re.compile(r"(?:^|(?<!post)(?<!article)(?<!entry)(?<!section)(?<!story)(?<!content)[\s_-])(?:header|masthead|topbar|footer|foot|bottom|side|rail)(?=$|[\s_-])", re.I)
+PLACES = set(
+    "top bottom left right main site page global primary secondary list lists box area container wrapper wrap block section group bar inner outer content link links post posts article articles story stories item items"
+    " button buttons media icon icons form field thread count title header footer body row col js ui text label unit slot".split()
+)
+#: And those that do so outside an article only ("page-header", not "post-header").
+FRAME, FRAME_PLACES = set("header masthead topbar footer foot bottom side rail".split()), set("top main site page global inner outer wrapper wrap container bar area left right js ui".split())
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Elements that hold blocks; lines of the nearest one are in one container.
+CONTAINERS = {"div", "section", "article", "main", "td", "center"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NAMED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -65,16 +76,28 @@ def is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
         return name == "article" and "comment" in names.lower()
     if not names or name in HEADINGS:
         return False
-    return bool(BOILER.search(names)) or not in_article and bool(FRAME.search(names))
+    for one in names.split():
+        words = {w.lower() for w in WORD.findall(one) if not w.isdigit()}
+        if words & BOILER and words <= BOILER | PLACES or not in_article and words & FRAME and words <= FRAME | FRAME_PLACES:
+            return True
+    return False
+
+
+class Line(NamedTuple):
+    text: str
+    weight: int
+    blank: bool
+    article: int  # the outermost article or main element, from 1; 0 outside of them
+    container: int
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, length without link texts, blank, in an article) for each line that has text."""
-    lines: list[tuple[str, int, bool, bool]] = []
+def lines_of(page: str) -> list[Line]:
+    """The lines that have text."""
+    lines: list[Line] = []
     pieces: list[str] = []
     links: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
-    blank = article = 0
+    open_: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, article, container
+    blank = article = articles = containers = 0
     in_link = False
 
     def flush() -> None:
@@ -82,12 +105,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(links)).split()))
-                lines.append((text, max(0, len(text) - linked), blank > 0, article > 0))
+                container = next((c for *_, c in reversed(open_) if c), 0)
+                lines.append(Line(text, 0 if blank else max(0, len(text) - linked), blank > 0, articles if article else 0, container))
             pieces.clear()
             links.clear()
 
     def text(piece: str) -> None:
-        if piece and not blank:
+        if piece:
             pieces.append(piece)
             if in_link:
                 links.append(piece)
@@ -110,9 +134,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                 text(" ")
             if name != "br" and not m["close"] and name not in VOID and not attrs.endswith("/") and attrs and is_boilerplate(name, attrs, article > 0):
                 flush()
-                open_.append((name, True, False))
+                open_.append((name, True, False, 0))
                 blank += 1
             elif m["close"] and open_ and open_[-1][0] == name:
+                flush()
                 open_.pop()
                 blank -= 1
             continue
@@ -120,7 +145,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if m["close"]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == name:
-                    for _, is_boiler, is_article in open_[k:]:
+                    for _, is_boiler, is_article, _ in open_[k:]:
                         blank -= is_boiler
                         article -= is_article
                     del open_[k:]
@@ -131,7 +156,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         elif name not in VOID and name not in ("p", "html", "body", "dt", "dd") and not attrs.endswith("/"):
             boiler = is_boilerplate(name, attrs, article > 0)
             is_article = not boiler and (name in ARTICLE or bool(attrs and MAIN_ROLE.search(attrs)))
-            open_.append((name, boiler, is_article))
+            containers += 1
+            articles += is_article and not article
+            open_.append((name, boiler, is_article, containers if name in CONTAINERS else 0))
             blank += boiler
             article += is_article
         elif name == "p" and attrs and is_boilerplate(name, attrs, article > 0):
@@ -141,34 +168,49 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return lines
 
 
-def surges(lengths: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
-    """[from, to) of the lines between a surge and the next dive."""
-    sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
+def window_sums(weights: list[int], window: int) -> list[int]:
+    """The sum of each line's weight and of those of the window - 1 lines behind it."""
+    upto = [0, *itertools.accumulate(weights)]
+    return [upto[min(len(weights), k + window)] - upto[k] for k in range(len(weights))]
+
+
+def surges(weights: list[int], window: int, threshold: int) -> list[tuple[int, int]]:
+    """[from, to) of the lines from a surge to the next dive: around a window of the threshold, on both sides as far as no
+    ``window`` lines on end weigh nothing, without lines that weigh nothing at the ends."""
+    sums = window_sums(weights, window)
+    on = [k for k, w in enumerate(weights) if w]
     found, k = [], 0
-    while k < len(sums):
-        if sums[k] < threshold or not lengths[k]:
-            k += 1
-            continue
-        start = stop = k
-        while start and lengths[start - 1]:  # back over short lines up to the blank stretch
-            start -= 1
-        while stop < len(sums) and lengths[stop]:
-            stop += 1
-        found.append((start, stop))
-        k = stop
+    while k < len(on):  # stretches of lines with gaps under the window
+        j = k
+        while j + 1 < len(on) and on[j + 1] - on[j] <= window:
+            j += 1
+        if max(sums[on[k] : on[j] + 1]) >= threshold:
+            found.append((on[k], on[j] + 1))
+        k = j + 1
     return found
 
 
+def kept_lines(lines: list[Line], threshold: int, window: int) -> list[int]:
+    has_article = any(x.article and not x.blank for x in lines)
+    weights = [x.weight if x.article or not has_article else 0 for x in lines]
+    # a page of links or of short lines alone has its heaviest window for a surge
+    least = max(1, min(threshold, max(window_sums(weights, window), default=0)))
+    if has_article and not any(weights):
+        weights = [len(x.text) if x.article and not x.blank else 0 for x in lines]
+    found = surges(weights, window, least)
+    inside = {lines[k].article for a, b in found for k in range(a, b)} - {0}
+    keep = {k for k, x in enumerate(lines) if x.article in inside}
+    for a, b in found:
+        keep.update(k for k in range(a, b) if not has_article)
+    for (_, a), (b, _) in zip(found, found[1:], strict=False):  # between surges of one container
+        if lines[a - 1].container == lines[b].container and not has_article:
+            keep.update(range(a, b))
+    return sorted(k for k in keep if not lines[k].blank)
+
+
 def main_text(page: str | None, threshold: int = THRESHOLD, window: int = WINDOW) -> str:
-    lines = [x for x in lines_of(page or "")]
-    has_article = any(in_article for _, _, blank, in_article in lines if not blank)
-    if has_article:
-        lengths = [0 if blank or not in_article else len(text) for text, _, blank, in_article in lines]
-        least = 1
-    else:
-        lengths = [0 if blank else length for _, length, blank, _ in lines]
-        least = min(threshold, max((sum(lengths[k : k + window]) for k in range(len(lengths))), default=0)) or 1
-    return "\n".join(lines[k][0] for a, b in surges(lengths, window, least) for k in range(a, b))
+    lines = lines_of(page or "")
+    return "\n".join(lines[k].text for k in kept_lines(lines, threshold, window))
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
@@ -183,4 +225,4 @@ def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
 
     small_batches(pages.sparkSession)
     columns = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html_column).cast("string").alias("html"))
-    return columns.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return columns.mapInArrow(lean(run), "page_id bigint, url string, text string, n_chars bigint")
