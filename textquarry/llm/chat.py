@@ -5,8 +5,8 @@ and each attachment becomes a placeholder ``<|image|>``, ``<|audio|>`` or ``<|do
 token count are recorded beside the turn. A formatted turn is ``<|im_start|>ROLE\\nCONTENT<|im_end|>\\n``; a
 conversation's formatted text is that of its turns, one after the other.
 
-Texts and roles are escaped so that no control string of this or of common other templates is left in them: backslashes
-are doubled, and a backslash goes in after the first character of a control string (in roles, also before a newline).
+Texts and roles are escaped so that no control string of this or of common other templates is left in them, nor made where
+text parts meet: the texts between two attachments are escaped as one. Backslashes are doubled, and a backslash goes in after the first character of a control string (in roles, also before a newline).
 Taking the backslashes out again gives the text back exactly.
 
 The output has one row for each turn, with the offsets of the text under the loss mask (that of assistant turns), so a
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, small_batches, stored
+from .common import lean, partitions, small_batches, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 CONTROL = re.compile(r"\\|<(?=\||/?s>|<SYS>>|</SYS>>|unk>|pad>)|\[(?=/?INST\]|/?[A-Z_]+\])|\|(?=>)")
@@ -67,6 +67,7 @@ class Flattener:
 
     def __init__(self) -> None:
         self.pieces: list[str] = []
+        self.texts: list[str] = []  # since the last attachment
         self.length = 0
         self.attachments: list[dict[str, object]] = []
 
@@ -74,18 +75,24 @@ class Flattener:
         for part in parts or []:
             if part is not None:
                 getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
+        self.end_text()
         return "".join(self.pieces)
 
     def add(self, piece: str) -> None:
         self.pieces.append(piece)
         self.length += len(piece)
 
+    def end_text(self) -> None:
+        self.add(escaped("".join(self.texts)))
+        self.texts.clear()
+
     def visit_text(self, part: dict[str, object]) -> None:
-        self.add(escaped(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
 
     def attach(self, part: dict[str, object]) -> None:
         kind = part["type"]
         tokens = self.expand[kind](part.get("units") or 0)
+        self.end_text()
         self.attachments.append({"type": kind, "ref": part.get("ref"), "at": self.length, "tokens": tokens})
         self.add(f"<|{kind}|>")
 
@@ -138,7 +145,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             )
 
     ids = [F.col(c).cast("bigint").alias(c) for c in ("conv_id", "turn")]
-    return turns.select(*ids, "role", F.col("parts").cast(PARTS).alias("parts")).mapInArrow(run, FORMATTED)
+    return turns.select(*ids, "role", F.col("parts").cast(PARTS).alias("parts")).mapInArrow(lean(run), FORMATTED)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -175,7 +182,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     small_batches(formatted.sparkSession)
     ordered = formatted.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
-    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, schema)
+    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(lean(run), schema)
 
 
 def with_text_parts(conversations: DataFrame) -> DataFrame:
