@@ -2,8 +2,9 @@
 
 ``parse`` reads the bytes of a file: tags at either end (ID3v2, ID3v1, APE), the variable-bitrate tables Xing/Info and
 VBRI, and all frames. Headers are found again after damage: a frame counts only if another header of its stream, or the
-end, follows where its length says. CRC-16 is verified where frames carry it. Durations are exact, in samples and sample
-rate; the offset of every frame is kept for seeking.
+end, follows where its length says. CRC-16 is verified where frames carry it, in all three layers. Durations are exact, in
+samples and sample rate, without the encoder's delay and padding where its tag says them; the offset of every frame is kept
+for seeking. Tables and tags that are cut off or damaged are read as far as they go.
 
 ``wrap`` stores any bytes without loss as the ancillary data of silent MPEG-2 layer III frames (16 kHz, 144 kbit/s, mono,
 with CRC): UNIT bytes to a frame of 576 samples, behind an ID3v2 tag and an Info frame with a table of seek points.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, text_of
+from .common import lean, small_batches, stored, text_of
 
 UNIT = 576
 #: Fixed values of the standard. Rates in kbit/s by (MPEG 1?, layer), sample rates by version bits.
@@ -101,6 +102,55 @@ def _crc16_table() -> list[int]:
 CRC16 = _crc16_table()
 
 
+#: Fixed values of the standard: bits of the allocation of each subband in layer II, by table.
+ALLOCATION_BITS = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "half": (4,) * 4 + (3,) * 7 + (2,) * 19,  # sample rates of MPEG 2
+}
+
+
+def allocation_bits(h: Header) -> tuple[int, ...]:
+    if h.version != 3:
+        return ALLOCATION_BITS["half"]
+    each = h.kbps // (1 if h.mono else 2)
+    if each <= 48:
+        return ALLOCATION_BITS["d" if h.rate == 32000 else "c"]
+    return ALLOCATION_BITS["a" if h.rate == 48000 or each <= 80 else "b"]
+
+
+def protected_bits(h: Header, frame: bytes) -> int:
+    """How many bits behind the CRC it covers: side information of layer III, allocations of layer I, and of layer II with the
+    two bits of each subband that has one."""
+    if h.layer == 3:
+        return 8 * h.side_info
+    channels, bound = 1 if h.mono else 2, 32
+    if frame[3] >> 6 == 1:  # joint stereo: one allocation for both channels from the bound on
+        bound = 4 * (1 + (frame[3] >> 4 & 3))
+    if h.layer == 1:
+        return 4 * (channels * bound + 32 - bound)
+    bits, at, chosen = int.from_bytes(frame[6:70].ljust(64, b"\0"), "big"), 0, 0
+    for k, n in enumerate(allocation_bits(h)):
+        for _ in range(channels if k < bound else 1):
+            at += n
+            if bits >> (512 - at) & ((1 << n) - 1):
+                chosen += channels if k >= bound else 1
+    return at + 2 * chosen
+
+
+def crc_holds(h: Header, frame: bytes) -> bool:
+    n = protected_bits(h, frame)
+    if 6 + -(-n // 8) > len(frame):
+        return False
+    crc = crc16(frame[2:4] + frame[6 : 6 + n // 8])
+    for k in range(n % 8):  # what is left of the last byte
+        bit = frame[6 + n // 8] >> (7 - k) & 1
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if crc >> 15 ^ bit else 0)
+    return crc == int.from_bytes(frame[4:6], "big")
+
+
 @dataclass
 class Audio:
     tags: dict[str, str] = field(default_factory=dict)
@@ -116,23 +166,39 @@ class Audio:
     @property
     def duration(self) -> tuple[int, int]:
         """Samples and samples a second."""
-        return self.samples, self.first.rate if self.first else 1
+        return max(0, self.samples - self.vbr.get("delay", 0) - self.vbr.get("padding", 0)), self.first.rate if self.first else 1
+
+
+def _seven_bits(data: bytes) -> int:
+    return sum((b & 127) << 7 * (len(data) - 1 - k) for k, b in enumerate(data))
 
 
 def _id3v2(data: bytes, tags: dict[str, str]) -> int:
+    """Text frames of an ID3 tag of version 2.2 to 2.4, and where it ends."""
     if data[:3] != b"ID3" or len(data) < 10:
         return 0
-    size = 10 + sum((b & 127) << 7 * (3 - k) for k, b in enumerate(data[6:10]))
-    at, major = 10, data[3]
-    while at + 10 <= min(size, len(data)) and data[at : at + 1].strip(b"\0"):
-        name = data[at : at + 4].decode("latin-1")
-        n = sum((b & 127) << 7 * (3 - k) for k, b in enumerate(data[at + 4 : at + 8])) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-        body = data[at + 10 : at + 10 + n]
-        if name[0] == "T" and body:
-            codec = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
-            tags[name] = body[1:].decode(codec, "replace").rstrip("\0")
-        at += 10 + n
-    return min(len(data), size + (10 if data[5] & 16 else 0))
+    major, flags, size = data[3], data[5], 10 + _seven_bits(data[6:10])
+    body, at = data[10 : min(size, len(data))], 0
+    if flags & 128 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 64 and major == 3:
+        at = 4 + int.from_bytes(body[:4], "big")
+    elif flags & 64 and major == 4:
+        at = _seven_bits(body[:4])
+    named, head = (3, 6) if major == 2 else (4, 10)
+    while at + head <= len(body) and body[at] in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        name, length = body[at : at + named].decode("latin-1"), body[at + named : at + 2 * named]
+        n = _seven_bits(length) if major == 4 else int.from_bytes(length, "big")
+        held, kind = body[at + head : at + head + n], body[at + 9] if major == 4 else 0
+        if kind & 1:  # behind four bytes of length
+            held = held[4:]
+        if kind & 2 or major == 4 and flags & 128:
+            held = held.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and held:
+            codec = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(held[0], "latin-1")
+            tags[name] = held[1:].decode(codec, "replace").rstrip("\0")
+        at += head + n
+    return min(len(data), size + (10 if flags & 16 else 0))
 
 
 def _tail_tags(data: bytes, tags: dict[str, str]) -> int:
@@ -150,19 +216,23 @@ def _tail_tags(data: bytes, tags: dict[str, str]) -> int:
 
 
 def _vbr(data: bytes, at: int, h: Header) -> dict[str, object]:
-    place = at + 4 + (2 if h.crc else 0) + h.side_info
-    for mark_at in (place, at + 4 + h.side_info):
-        if (mark := data[mark_at : mark_at + 4]) in (b"Xing", b"Info"):
-            flags, p, out = int.from_bytes(data[mark_at + 4 : mark_at + 8], "big"), mark_at + 8, {"kind": mark.decode()}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    out[name], p = int.from_bytes(data[p : p + 4], "big"), p + 4
-            if flags & 4:
-                out["toc"] = list(data[p : p + 100])
+    frame = data[at : at + h.size]
+    place = 4 + (2 if h.crc else 0) + h.side_info
+    for mark_at in (place, 4 + h.side_info):
+        if (mark := frame[mark_at : mark_at + 4]) in (b"Xing", b"Info") and mark_at + 8 <= len(frame):
+            flags, p, out = int.from_bytes(frame[mark_at + 4 : mark_at + 8], "big"), mark_at + 8, {"kind": mark.decode()}
+            for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "toc", 100), (8, "quality", 4)):
+                if flags & bit and p + n <= len(frame):
+                    out[name] = list(frame[p : p + n]) if bit == 4 else int.from_bytes(frame[p : p + n], "big")
+                p += n if flags & bit else 0
+            if frame[p : p + 4] in (b"LAME", b"Lavc", b"Lavf", b"GOGO") and p + 24 <= len(frame):
+                both = int.from_bytes(frame[p + 21 : p + 24], "big")
+                out["delay"], out["padding"] = both >> 12, both & 0xFFF
             return out
-    if data[at + 36 : at + 40] == b"VBRI":
-        size, frames, n, scale, width, step = struct.unpack_from(">IIHHHH", data, at + 46)
-        table = [int.from_bytes(data[at + 62 + k * width : at + 62 + (k + 1) * width], "big") * scale for k in range(n)]
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        size, frames, n, scale, width, step = struct.unpack_from(">IIHHHH", frame, 46)
+        n = min(n, (len(frame) - 62) // width) if width else 0
+        table = [int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") * scale for k in range(n)]
         return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": table, "step": step}
     return {}
 
@@ -199,13 +269,13 @@ def parse(data: bytes) -> Audio:
         offsets.append(at + h.size * np.arange(n))
         audio.samples += n * h.samples
         audio.bytes_of_frames += n * h.size
-        if h.crc and h.layer == 3:
-            frames = array[at : at + n * h.size].reshape(n, h.size)[:, 2 : 6 + h.side_info]
+        if h.crc:
+            covered = min(h.size, 6 + (h.side_info if h.layer == 3 else 64))
+            frames = array[at : at + n * h.size].reshape(n, h.size)[:, :covered]
             kinds, count = np.unique(frames, axis=0, return_counts=True)
             for kind, times in zip(kinds, count.tolist(), strict=True):
-                raw = kind.tobytes()
                 audio.crc_checked += times
-                audio.crc_wrong += times * (crc16(raw[:2] + raw[4:]) != int.from_bytes(raw[2:4], "big"))
+                audio.crc_wrong += times * (not crc_holds(h, kind.tobytes()))
         at += n * h.size
     if audio.skipped == 0 and at < end:
         audio.skipped = end - at
@@ -270,7 +340,7 @@ def store_media(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     small_batches(docs.sparkSession, 256, "4m")
-    made = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    made = text_of(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, media binary")
     return stored(made, "media", compression="zstd")
 
 
@@ -306,4 +376,4 @@ def media_query(docs: DataFrame) -> DataFrame:
 
     media = store_media(docs)
     small_batches(docs.sparkSession, 256, "4m")
-    return media.mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media.mapInArrow(lean(run), "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
