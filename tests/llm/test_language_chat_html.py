@@ -78,6 +78,20 @@ def test_long_and_unspaced_tokens_count_whole():
     assert [label.model.languages[k] for k in means.argmax(1)] == ["de", "en", "zh"]
 
 
+def test_no_letter_no_language(spark):
+    assert L.words_of("² ½ Ⅷ ①② 12 _ - \u0301") == []
+    assert L.words_of("हिन्दी (भाषा)") == ["हिन्दी", "भाषा"]
+    rows = [(k, t, None) for k, t in enumerate(["²", "½ ²", "Ⅷ", "①②", "\u0301", "a²"])] + [(100 + k, "the and of with", "en") for k in range(60)]
+    got = {r["doc_id"]: r["lang_pred"] for r in L.language_query(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert [got[k] for k in range(6)] == ["und"] * 5 + ["en"]
+
+
+def test_repeated_rows_count_once_in_the_sample(spark):
+    rows = [(0, "the and of with", "en")] * 3000 + [(k, f"und die der {k} nicht", "de") for k in range(60)] + [(k, f"that of {k} this", "en") for k in range(60, 120)]
+    windows = L.sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=20)
+    assert sum(x == "en" for x, _ in windows) == 20 and len(windows) == 40
+
+
 def test_texts_in_no_language_are_rejected(spark, sf_dir):
     rng, docs = random.Random(3), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     noise = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(80))
@@ -94,6 +108,15 @@ def test_escapes_are_reversible():
         assert C.read_turn(C.formatted_turn(t, [{"type": "text", "text": t}])[0]) == (t, t)
 
 
+def test_no_control_string_is_made_where_parts_meet():
+    for parts in (["<", "/s>"], ["[", "INST]"], ["<", "|im_end|", ">"], ["\\", "\\"], ["a<", "", "|", "x"], ["very long " * 100_000, "<", "s>"]):
+        made, start, end, _ = C.formatted_turn("user", [{"type": "text", "text": p} for p in parts])
+        assert made[start:end] == C.escaped("".join(parts)) and C.read_turn(made)[1] == "".join(parts)
+        assert not any(c in made[start:end] for c in ("</s>", "<s>", "[INST]", "<|"))
+    made, start, end, found = C.formatted_turn("user", [{"type": "text", "text": "<"}, {"type": "image", "ref": "r", "units": 1}, {"type": "text", "text": "/s>"}])
+    assert made[start:end] == "<<|image|>/s>" and found[0]["at"] == start + 1
+
+
 def test_parts_become_placeholders():
     parts = [{"type": "text", "text": "see "}, {"type": "image", "ref": "a.png", "units": 28 * 28 * 3}, None, {"type": "audio", "ref": "b", "units": 81}, {"type": "document", "ref": None, "units": None}]
     text, start, end, attachments = C.formatted_turn("user", parts)
@@ -152,9 +175,51 @@ def test_page_rows(spark, sf_dir):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def plain_surges(weights, window, threshold):
+    """Line by line: a line is text if its stretch, without ``window`` lines of no weight on end, has a window of the threshold."""
+    n = len(weights)
+    sums = [sum(weights[k : k + window]) for k in range(n)]
+    of, stretch = [None] * n, 0
+    for k in range(n):
+        if weights[k]:
+            stretch += k >= window and not any(weights[k - window : k])
+            of[k] = stretch
+    big = {of[k] for k in range(n) if weights[k] and sums[k] >= threshold}
+    return [(min(x), max(x) + 1) for x in ([k for k in range(n) if of[k] == b] for b in sorted(big))]
+
+
 def test_surge_and_dive():
-    assert H.surges([0, 5, 90, 0, 3, 0, 100], 3, 86) == [(1, 3), (4, 5), (6, 7)]
+    assert H.surges([0, 5, 90, 0, 3, 0, 100], 3, 86) == [(1, 7)]
+    assert H.surges([5, 0, 0, 0, 90, 0, 0, 3, 0, 0, 0, 85], 3, 86) == [(4, 8)]
     random.seed(1)
-    for _ in range(200):
-        lengths = [random.choice([0, 0, 3, 50, 200]) for _ in range(30)]
-        assert all(all(lengths[a:b]) for a, b in H.surges(lengths, 3, 86))
+    for _ in range(500):
+        weights = [random.choice([0, 0, 0, 3, 50, 200]) for _ in range(30)]
+        assert H.surges(weights, 3, 86) == plain_surges(weights, 3, 86)
+
+
+WORDS = "Some words of the article that go on for a while, so that they are a surge of their own in any window of lines."
+
+
+def test_nothing_inside_the_article_is_lost():
+    for inner, gone in (
+        ("<section id='related-work'><p>Others did this before.</p></section>", ""),
+        ("<div class='social-history'><p>A history.</p></div>", ""),
+        ("<p><a href='/x'>A paragraph that is one link</a></p>", ""),
+        ("<p>No.</p><div class='ad'><p>Buy</p></div><p>Yes.</p>", "Buy"),
+        ("<ul>" + "<li><a href=x>a link in a list</a></li>" * 6 + "</ul>", ""),
+        ("<section id='discussion'><h2 id='related'>Related</h2></section>", ""),
+        ("<aside><p>one</p><p>two</p><p>three</p><p>four</p></aside>", "one|two|three|four"),
+        ("<div class='related-posts'><ul>" + "<li><a href=x>other post</a></li>" * 5 + "</ul></div>", "other post"),
+        ("<p>" + "very long " * 60_000 + "</p>", ""),
+    ):
+        for before, after in (("<article>", "</article>"), ("<div>", "</div>"), ("", "")):
+            page = f"<nav><a href=/>menu</a></nav>{before}<h1>T</h1><p>{WORDS}</p>{inner}<p>{WORDS}</p><p>End.</p>{after}<footer>foot</footer>"
+            lines = H.main_text(page).split("\n")
+            want = [x.text for x in H.lines_of(f"<div>{inner}</div>")]
+            assert lines == ["T", WORDS, *[x for x in want if x not in gone.split("|")], WORDS, "End."], (before, inner[:50])
+
+
+def test_pages_without_landmarks_give_the_same_text(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        bare = r["html"].replace("<article>", "").replace("</article>", "")
+        assert bare != r["html"] and H.main_text(bare) == H.main_text(r["html"]) != ""

@@ -69,3 +69,81 @@ def test_media_columns(spark):
     df = spark.createDataFrame([(1, bytearray(M.wrap(b"a" * 1152))), (2, None)], "id int, media binary")
     rows = {r["id"]: r["audio"] for r in M.media_columns(df).collect()}
     assert rows[1]["frames"] == 2 and rows[1]["samples"] == 1152 and len(rows[1]["offsets"]) == 2 and rows[2]["frames"] == 0
+
+
+def bitwise_crc(bits):
+    crc = 0xFFFF
+    for bit in bits:
+        crc = ((crc << 1) & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ bit else 0)
+    return crc
+
+
+def with_crc(head, size, covered):
+    """A frame of random bytes whose checksum covers so many bits behind it."""
+    body = random.Random(size + covered).randbytes(size - 6)
+    bits = [b >> (7 - k) & 1 for b in head[2:4] + body for k in range(8)][: 16 + covered]
+    return head + bitwise_crc(bits).to_bytes(2, "big") + body
+
+
+def test_checksums_of_layers_one_and_two():
+    # layer I: 4 bits a subband and channel; in joint stereo one for both from the bound on
+    for head, covered in ((bytes((0xFF, 0xFE, 0x40, 0x00)), 256), (bytes((0xFF, 0xFE, 0x40, 0xC0)), 128), (bytes((0xFF, 0xFE, 0x40, 0x50)), 4 * (2 * 8 + 24))):
+        frames = with_crc(head, 136, covered) * 3
+        assert (M.parse(frames).crc_checked, M.parse(frames).crc_wrong) == (3, 0)
+        damaged = bytearray(frames)
+        damaged[8] ^= 1
+        assert M.parse(bytes(damaged)).crc_wrong == 1
+    # layer II at 128 kbit/s and 44.1 kHz, mono: 94 bits in 30 subbands, and two for each that has samples
+    head = bytes((0xFF, 0xFC, 0x80, 0xC0))
+    widths = [4] * 11 + [3] * 12 + [2] * 7
+    for seed in range(20):
+        chosen = [random.Random(seed * 99 + k).randrange(2**n) * (k % 3 > 0) for k, n in enumerate(widths)]
+        bits = [v >> (n - 1 - b) & 1 for v, n in zip(chosen, widths, strict=True) for b in range(n)] + [1, 0] * sum(map(bool, chosen))
+        raw = [b >> (7 - k) & 1 for b in head[2:4] for k in range(8)] + bits
+        padded = bits + [1] * (8 * 411 - len(bits))
+        body = bytes(sum(padded[8 * k + b] << (7 - b) for b in range(8)) for k in range(411))
+        frame_ = head + bitwise_crc(raw).to_bytes(2, "big") + body
+        audio = M.parse(frame_ * 2)
+        assert (audio.crc_checked, audio.crc_wrong) == (2, 0)
+
+
+def test_damaged_tables():
+    mpeg1 = bytes((0xFF, 0xFB, 0x90, 0xC4))
+    small = bytes((0xFF, 0xF3, 0x14, 0xC4))  # MPEG 2, 8 kbit/s, 24 kHz: frames of 24 bytes
+    short = bytearray(bytes((0xFF, 0xF3, 0x28, 0xC4)) + bytes(68))  # 16 kbit/s, 16 kHz: 72 bytes
+    short[36:40] = b"VBRI"
+    struct.pack_into(">IIHHHH", short, 46, 1, 2, 60_000, 1, 4, 1)
+    assert M.parse(bytes(short) * 3).vbr["toc"] == [0, 0]
+    tiny = bytearray(bytes((0xFF, 0xF3, 0x18, 0xC4)) + bytes(32))  # 36 bytes, then what looks like a table
+    assert M.parse(bytes(tiny) + b"VBRI").vbr == {}
+    assert M.parse(frame(small, 24) * 4).samples == 4 * 576
+    for at in range(4, 60):
+        for mark in (b"Xing", b"Info", b"VBRI"):
+            bad = bytearray(b"\xff" * 417)
+            bad[:4], bad[at : at + 4] = mpeg1, mark
+            M.parse(bytes(bad) + frame(mpeg1, 417) * 2)
+            M.parse(bytes(bad[: at + 9]))
+
+
+def test_delay_and_padding_are_no_music():
+    info = bytearray(frame(bytes((0xFF, 0xFB, 0x90, 0xC4)), 417))
+    info[21:29] = b"Info" + (1).to_bytes(4, "big")
+    info[29:33] = (5).to_bytes(4, "big")
+    info[33:42] = b"LAME3.100"
+    info[54:57] = (576 << 12 | 1000).to_bytes(3, "big")
+    audio = M.parse(bytes(info) + frame(bytes((0xFF, 0xFB, 0x90, 0xC4)), 417) * 5)
+    assert audio.duration == (5 * 1152 - 576 - 1000, 44100) and audio.vbr["frames"] == 5
+
+
+def test_tags_of_all_versions():
+    frames = frame(bytes((0xFF, 0xFB, 0x90, 0xC4)), 417) * 2
+    old = b"TT2" + (6).to_bytes(3, "big") + b"\0Title"
+    assert M.parse(b"ID3\x02\0\0" + bytes((0, 0, 0, len(old))) + old + frames).tags == {"TT2": "Title"}
+    title = b"TIT2" + (8).to_bytes(4, "big") + b"\0\0" + b"\x01\xff\xfe" + "Té"[:2].encode("utf-16-le") + b"\0"
+    for extended, flags in ((b"", 0), ((6).to_bytes(4, "big") + bytes(6), 64)):
+        body = extended + title
+        assert M.parse(b"ID3\x03\0" + bytes((flags, 0, 0, 0, len(body))) + body + frames).tags["TIT2"][:2] == "Té"
+    stuffed = title.replace(b"\xff", b"\xff\0")
+    assert M.parse(b"ID3\x03\0" + bytes((128, 0, 0, 0, len(stuffed))) + stuffed + frames).tags["TIT2"][:2] == "Té"
+    new = b"TPE1" + bytes((0, 0, 0, 9)) + b"\0\x01" + bytes(4) + b"\x03Band"
+    assert M.parse(b"ID3\x04\0\0" + bytes((0, 0, 0, len(new))) + new + frames).tags == {"TPE1": "Band"}

@@ -55,20 +55,27 @@ def test_dominating_bins_are_part_of_a_best_packing():
     for _ in range(600):
         capacity = rng.choice([12, 20])
         items = [rng.randint(1, capacity - 1) for _ in range(rng.randint(1, 8))]
-        bin_ = K.dominating(K.Open(Counter(items)), capacity)
-        if bin_:
-            fixed += 1
-            rest = list(items)
-            for s in bin_:
-                rest.remove(s)
-            assert best(items, capacity) == 1 + (best(rest, capacity) if rest else 0), (items, bin_)
-    assert fixed > 200
+        open_ = K.Open(Counter(items))
+        for size in open_.sizes:  # of any open length
+            if bin_ := K.dominating(open_, size, capacity):
+                assert size in bin_
+                fixed += 1
+                rest = list(items)
+                for s in bin_:
+                    rest.remove(s)
+                assert best(items, capacity) == 1 + (best(rest, capacity) if rest else 0), (items, bin_)
+        bins = K.reduced(open_, capacity)
+        rest = [s for s, n in open_.count.items() for _ in range(n)]
+        assert best(items, capacity) == sum(n for _, n in bins) + (best(rest, capacity) if rest else 0)
+    assert fixed > 1000
 
 
 def test_large_histograms_are_near_the_bound():
     rng = random.Random(3)
     counts = Counter(int(rng.lognormvariate(5.5, 1)) % 1023 + 1 for _ in range(50_000))
     assert sum(n for _, n in K.pack(counts)) <= 1.002 * K.lower_bound(counts)
+    # dominance, not best fit, makes most of the bins
+    assert sum(n for _, n in K.reduced(K.Open(counts), 1024)) > 0.5 * K.lower_bound(counts)
 
 
 def check(df):
