@@ -49,6 +49,20 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> tuple[str, str]:
+    """df as a table in buckets by keys, sorted by them, so that joins on the keys don't shuffle it; its name and its folder."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return table, path
+
+
+def dropped(spark: SparkSession, table: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    removed(spark, path)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or name with underscores behind it, so that no column of df has it in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -21,12 +21,11 @@ from __future__ import annotations
 
 import functools
 import math
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER, partitions, removed, scratch, stored, unused
+from .common import LOWER, SPACES, UPPER, bucketed, dropped, partitions, stored, unused
 
 MIN_CHARS, MIN_DOCS, FANOUT = 20, 3, 3
 #: Lines in a batch, where that makes more batches than FANOUT.
@@ -95,15 +94,8 @@ class LineRuns:
         return [run for level in self.levels for run in level]
 
     def _write(self, entries: DataFrame) -> str:
-        name = f"line_run_{uuid.uuid4().hex}"
-        self.paths[name] = scratch(self.spark, name)
-        (
-            entries.repartition(self.buckets, "h1", "h2")
-            .write.bucketBy(self.buckets, "h1", "h2")
-            .sortBy("h1", "h2")
-            .option("path", self.paths[name])
-            .saveAsTable(name)
-        )
+        name, path = bucketed(entries, "line_run", self.buckets, "h1", "h2")
+        self.paths[name] = path
         return name
 
     def add(self, hashes: DataFrame) -> None:
@@ -138,8 +130,7 @@ class LineRuns:
 
     def drop(self, names: list[str] | None = None) -> None:
         for name in names or self.runs():
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            removed(self.spark, self.paths.pop(name))
+            dropped(self.spark, name, self.paths.pop(name))
 
 
 def batched(hashes: DataFrame, files: list[str], fanout: int, batch_lines: int) -> tuple[int, list[DataFrame]]:
