@@ -62,6 +62,23 @@ def test_bounded_prefixes_against_a_plain_version(spark):
             assert (p, c) == (want, want != whole), (t, lines, size)
 
 
+def test_long_lines_take_one_pass(spark):
+    lines = [("é" + "x " * 300_000 + "foo foo,foofoo foo",), ("foo a.foo",), ("",), ("foofoo",)]
+    got = values(spark, lines, "c string", T.occurrence_columns(F.col("c"), "foo"))
+    at = 2 + 600_000
+    assert got == [[at + 1, at + 5, at + 16], [1, 7], [], []]
+    assert values(spark, [("a.a.a",)], "c string", T.occurrence_columns(F.col("c"), "a.a")) == [[1, 3]]
+
+
+def test_prefixes_are_found_by_halves(spark):
+    for n in range(0, 14):
+        text = "aé🙂b" * 3
+        want = next(text[:k] for k in range(len(text), -1, -1) if len(text[:k].encode()) <= n)
+        if n:
+            assert values(spark, [(text,)], "c string", T.bounded_prefix(F.col("c"), 0, n)[0]) == [want]
+    assert len(values(spark, [("y" * 3_000_000,)], "c string", T.bounded_prefix(F.col("c"), 0, 2_000_000)[0])[0]) == 2_000_000
+
+
 def test_bounded_json_and_fences(spark):
     got = values(spark, [("é" * 50,), ("ab",)], "c string", T.bounded_json(F.col("c"), 20))
     assert got[1] == "ab" and got[0].endswith("…") and len(f'"{got[0]}"'.encode()) <= 20

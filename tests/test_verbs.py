@@ -120,6 +120,7 @@ def test_directories_and_git(spark, tmp_path):
     (tmp_path / "pkg/a b.go").write_text("package p\n\nfunc a() {\n\tx()\n}\n")
     (tmp_path / "vendor/v.go").write_text("package v\n")
     assert [r["path"] for r in Corpus.from_directory(spark, str(tmp_path)).files.collect()] == ["pkg/a b.go"]
+    assert V.find(Corpus.from_directory(spark, f"file://{tmp_path}"), "x").count() == 1
     try:
         subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
     except FileNotFoundError:
@@ -135,16 +136,46 @@ def test_directories_and_git(spark, tmp_path):
     corpus = c.corpus()
     assert c.paths() == ["new.go", "pkg/a b.go", "vendor/v.go"]
     assert sorted((r[0], r[1]) for r in c.lines(corpus).collect()) == [("new.go", 1), ("pkg/a b.go", 4)]
-    assert "+\ty()" in c.patch() and is_base_commit(str(tmp_path), c.head)
+    assert "+\ty()" in c.patch() and "+package n" in c.patch() and "+++ b/new.go" in c.patch() and is_base_commit(str(tmp_path), c.head)
     run("add", "-A")
     run("commit", "-qm", "two")
     c = Changes(spark, str(tmp_path), "HEAD~1")
     rows = V.changed(c.corpus(), c.files(), c.lines(c.corpus()), Options(returns="scope", path_globs=("pkg/**",)))
     assert got(rows, "path", "scope") == [("pkg/a b.go", "a")]
+    assert sorted(r["path"] for r in c.corpus(whole=True).files.collect()) == ["new.go", "pkg/a b.go", "vendor/v.go"]
     with pytest.raises(ValueError, match="."):
         Changes(spark, str(tmp_path), "--output=x")
 
 
+def test_hidden_files_are_read_and_links_are_not(spark, tmp_path):
+    inside, outside = tmp_path / "root", tmp_path / "outside"
+    for folder in (inside / "a/_b", inside / ".d", inside / "node_modules/m", inside / ".git", outside):
+        folder.mkdir(parents=True)
+    for name in ("a/__init__.py", "a/_priv.py", ".hid.py", "a/b.py", "a/_b/c.py", ".d/e.py", "node_modules/m/f.py", ".git/g.py", "empty.py"):
+        (inside / name).write_text("" if name == "empty.py" else f"def target():\n    return '{name}'\n")
+    (outside / "h.py").write_text("def target(): pass\n")
+    (inside / "link.py").symlink_to(outside / "h.py")
+    (inside / "dirlink").symlink_to(outside)
+    (inside / "gone.py").symlink_to(outside / "none")
+    (inside / "latin.py").write_bytes(b"def target(): # \xe9\n    pass\n")
+    corpus = Corpus.from_directory(spark, str(inside))
+    want = [".d/e.py", ".hid.py", "a/__init__.py", "a/_b/c.py", "a/_priv.py", "a/b.py", "empty.py", "latin.py"]
+    assert sorted(r["path"] for r in corpus.files.collect()) == want
+    assert got(V.find(corpus, "target", Options(include="defs")), "path") == [(p,) for p in want if p != "empty.py"]
+
+
+def test_verbs_read_only_the_files_that_they_answer_about(corpus, spark, tmp_path):
+    c = corpus({f"p/f{k}.go": f"package p\n\nfunc F{k}() {{\n\tx{k}()\n}}\n" for k in range(40)}).stored(str(tmp_path / "files"))
+    scanned = lambda df: [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in line]
+    for rows in (V.inspect(c, ["p/f3.go:4"]), V.outline(c, ["p/f3.go"])):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in plan.splitlines() if "Join" in x]
+        assert scanned(rows) and ("LeftSemi" in plan or "p/f3.go" in plan) and joins
+    rows = V.changed(c, spark.createDataFrame([("p/f5.go",)], "path string"), spark.createDataFrame([("p/f5.go", 4)], "path string, line_no int"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= plan.count("Relation [path") - 1 and got(rows, "path", "scope") == [("p/f5.go", "F5")]
+
+
 def test_language_rules_of_occurrence(corpus):
     c = corpus({"a.c": "int fo\\\no = 1;\nint y = foo + fo;\n", "B.java": "class B { void m() { java . util\n.List x; java /* c */ . util y; } }\n", "k.kt": "fun f() { val `in` = 1; for (x in y) {} }\n"})
     places = lambda q: got(V.find(c, q, Options(returns="locations", match="symbol")), "path", "line")

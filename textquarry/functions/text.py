@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,12 +44,18 @@ def occurrence_count(line: Column, symbol: str, identifier: str = IDENTIFIER) ->
 
 
 def occurrence_columns(line: Column, symbol: str, identifier: str = IDENTIFIER) -> Column:
-    """1-based byte columns of the occurrences."""
-    places = F.filter(
-        F.sequence(F.lit(1), F.length(line)),
-        lambda k: F.regexp_count(F.substr(line, k), F.lit(f"^{quoted(symbol)}(?![{identifier}])")).cast("boolean") & ~F.substr(line, F.greatest(k - 1, F.lit(1)), F.when(k > 1, 1).otherwise(0)).rlike(f"[{identifier}]"),
-    )
-    columns = F.transform(places, lambda k: F.octet_length(F.substr(line, F.lit(1), k - 1)) + 1)
+    """1-based byte columns of the occurrences, in one pass over the line: it is cut in front of each."""
+    parts = F.split(line, occurrence_pattern(symbol, identifier), -1)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(state: Column, part: Column) -> Column:
+        after = state["at"] + F.octet_length(part)
+        return F.struct(after.alias("at"), F.concat(state["found"], F.array(after)).alias("found"))
+
+    ends = F.aggregate(parts, start, step, lambda state: state["found"])
+    inner = F.slice(ends, 1, F.size(ends) - 1)  # the last part's end is the line's
+    at_start = F.regexp_count(F.substring(line, 1, len(symbol) + 1), F.lit(f"^{occurrence_pattern(symbol, identifier)}")) > 0
+    columns = F.when(at_start, F.array_union(F.array(F.lit(1)), inner)).otherwise(inner)
     return F.when(line.contains(symbol), columns).otherwise(F.array().cast("array<int>"))
 
 
@@ -141,19 +148,31 @@ def bounded_prefix(text: Column, max_lines: int, max_bytes: int) -> tuple[Column
     whole = F.regexp_replace(text, "\n+$", "")
     lines = F.split(whole, "\n", -1)
     some = F.when(F.lit(max_lines > 0) & (F.size(lines) > max_lines), F.array_join(F.slice(lines, 1, max_lines), "\n")).otherwise(whole)
-    # bytes: take at most max_bytes characters, then drop characters until the bytes fit
-    few = F.substring(some, 1, max_bytes) if max_bytes > 0 else some
-    cut = F.filter(F.sequence(F.lit(0), F.length(few)), lambda n: F.octet_length(F.substr(few, F.lit(1), n)) <= max_bytes) if max_bytes > 0 else None
-    short = F.when(F.octet_length(few) <= max_bytes, few).otherwise(F.substr(few, F.lit(1), F.array_max(cut))) if max_bytes > 0 else few
+    if max_bytes <= 0:
+        return some, some != whole
+    fits = lambda n: F.octet_length(F.substr(some, F.lit(1), n)) <= max_bytes
+    short = F.when(F.octet_length(some) <= max_bytes, some).otherwise(F.substr(some, F.lit(1), largest(fits, F.least(F.length(some), F.lit(max_bytes)), max_bytes)))
     return short, short != whole
 
 
+def largest(fits: Callable[[Column], Column], most: Column, bound: int) -> Column:
+    """The largest number from 0 to most, which is bound at most, for which fits holds, found by halves; 0 if for none."""
+    start = F.struct(F.lit(0).alias("lo"), most.cast("int").alias("hi"))
+
+    def step(state: Column, _: Column) -> Column:
+        middle = ((state["lo"] + state["hi"] + 1) / 2).cast("int")
+        ok = fits(middle)
+        return F.struct(F.when(ok, middle).otherwise(state["lo"]).alias("lo"), F.when(ok, state["hi"]).otherwise(F.greatest(middle - 1, state["lo"])).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bound.bit_length())), start, step, lambda state: state["lo"])
+
+
 def bounded_json(text: Column, max_bytes: int) -> Column:
     """text, or its longest prefix with an ellipsis, such that its JSON string has at most max_bytes bytes."""
     size = lambda c: F.octet_length(F.to_json(F.struct(c.alias("v")))) - 6  # noqa: E731  {"v":...}
-    lengths = F.reverse(F.sequence(F.lit(0), F.least(F.length(text), F.lit(max_bytes))))
-    fits = F.filter(lengths, lambda n: size(F.concat(F.substr(text, F.lit(1), n), F.lit("…"))) <= max_bytes)
-    return F.when(size(text) <= max_bytes, text).otherwise(F.concat(F.substr(text, F.lit(1), F.coalesce(F.get(fits, 0), F.lit(0))), F.lit("…")))
+    fits = lambda n: size(F.concat(F.substr(text, F.lit(1), n), F.lit("…"))) <= max_bytes
+    length = largest(fits, F.least(F.length(text), F.lit(max_bytes)), max_bytes)
+    return F.when(size(text) <= max_bytes, text).otherwise(F.concat(F.substr(text, F.lit(1), length), F.lit("…")))
 
 
 def fence(code: Column) -> Column:

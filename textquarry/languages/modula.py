@@ -80,8 +80,10 @@ class ModulaStructure:
             elif x == "BEGIN":
                 section = ""
             elif x == "END":
+                closed = ""
                 if stack:
                     word, first, name = stack.pop()
+                    closed = word
                     last = k + 1 if name >= 0 and k + 1 < n and t[k + 1] == t[name] else k
                     if name >= 0:
                         self._add(name, first if word != "RECORD" else name, last, True)
@@ -97,16 +99,33 @@ class ModulaStructure:
                 stack.append((x, k, name))
                 if x == "RECORD":
                     section = "RECORD" if section != "RECORD" else section
-            elif section and re.match(r"[A-Za-z_]", x) and x not in SECTIONS and (t[k - 1] in (";", ",", "TYPE", "CONST", "VAR", "RECORD", "|") or t[k - 1] == "END"):
+                elif x == "CASE" and section == "RECORD":  # variants: a tag, and fields behind the labels of each
+                    if k + 2 < n and t[k + 2] == ":":
+                        self._add(k + 1, k + 1, k + 1, False)
+                    while k < n and t[k] not in ("OF", "END", ";"):
+                        k += 1
+                    k = self._past_labels(k)
+                    continue
+            elif x == "|" and section == "RECORD":
+                k = self._past_labels(k)
+                continue
+            elif section and re.match(r"[A-Za-z_]", x) and x not in SECTIONS and (t[k - 1] in (";", ",", "TYPE", "CONST", "VAR", "RECORD", ":", "ELSE") or t[k - 1] == "END"):
                 k = self._section(k, section)
                 continue
-            if x == "END" and section == "RECORD":
+            if x == "END" and section == "RECORD" and closed == "RECORD":
                 section = "TYPE"
             k += 1
         for word, first, name in stack:
             if name >= 0 and word != "RECORD":
                 self._add(name, first, n - 1, True)
 
+    def _past_labels(self, k: int) -> int:
+        """The token behind the labels of a variant, which begin behind token k."""
+        k += 1
+        while k < len(self.t) and self.t[k] not in (":", ";", "END", "|", "ELSE"):
+            k += 1
+        return k + 1 if k < len(self.t) and self.t[k] == ":" else k
+
     def _past_parenthesis(self, k: int) -> int:
         if self.t[k] != "(":
             return k + 1

@@ -60,7 +60,7 @@ LANGUAGE: dict[str, Language] = {
     ),
     "javascript": _JS,
     "typescript": _TS,
-    "java": Language("java", Lexis(strings=(('"""', '"""', True, True, None), ('"', '"', True, False, None), ("'", "'", True, False, None))), heads={"class": _TYPE, "interface": _TYPE, "enum": _ENUM, "record": _TYPE, "module": _NS}, c_functions=True, c_values=True, modifiers=MODIFIERS - {"enum", "data", "value", "open", "get", "set"}, imports=("import", "requires")),
+    "java": Language("java", Lexis(strings=(('"""', '"""', True, True, None), ('"', '"', True, False, None), ("'", "'", True, False, None))), heads={"class": _TYPE, "interface": _TYPE, "@interface": _TYPE, "enum": _ENUM, "record": _TYPE, "module": _NS}, c_functions=True, c_values=True, modifiers=MODIFIERS - {"enum", "data", "value", "open", "get", "set"}, imports=("import", "requires")),
     "c": _C,
     "cpp": Language("cpp", Lexis(strings=(('(?:u8|[uUL])?R"[^()\\\\\\s]{0,16}\\(', None, False, True, None), *C_STRINGS), preprocessor=True), heads=_C.heads | {"class": _TYPE, "namespace": _NS, "concept": _VALUE, "using": _ALIAS}, c_functions=True, c_values=True, modifiers=_C.modifiers | {"template"}, imports=("#include", "import")),
     "csharp": Language(

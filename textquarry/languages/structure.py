@@ -7,6 +7,7 @@ what it is. Text that is no statement of the language yields no definitions but
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from dataclasses import dataclass
 
@@ -14,6 +15,10 @@ from .registry import CONTROL, Language
 from .scanner import Scan
 
 TOKEN = re.compile(r"@?[\w$·]+|\d[\w.]*|=>|->|::|\?\.|&&|\|\||==|!=|<=|>=|[^\s\w]")
+#: With names in backticks (Kotlin, Swift), and with universal character names (C, C++).
+TICKED = re.compile(r"`[^`\n]+`|" + TOKEN.pattern)
+NAMED_CHARACTER = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\N\{[A-Z0-9 -]+\}"
+SPELLED = re.compile(rf"(?:[^\W\d]|{NAMED_CHARACTER})(?:[\w$]|{NAMED_CHARACTER})*|" + TOKEN.pattern)
 WORD = re.compile(r"@?[^\W\d][\w$]*$|\$[\w$]*$")
 #: A line that ends, or begins, with one of these goes on.
 GOES_ON_AFTER = set(", ( [ { = => -> + - * / % & | ^ < ? : . :: ?. && || == != <= >= ! ~".split()) | {"else", "extends", "implements", "where", "in", "is", "as", "return", "throws", "with", "by"}
@@ -47,6 +52,21 @@ class Lines:
         return (len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))) + 1
 
 
+def spelled_out(name: str) -> str:
+    """name with its universal character names as the characters themselves; unknown ones stay."""
+
+    def character(m: re.Match[str]) -> str:
+        if m[0][1] == "N":
+            try:
+                return unicodedata.lookup(m[0][3:-1])
+            except KeyError:
+                return m[0]
+        code = int(m[0][2:], 16)
+        return m[0] if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)
+
+    return re.sub(NAMED_CHARACTER, character, name) if "\\" in name else name
+
+
 class Structure:
     """What a file declares. ``code`` is its text with comments and strings blanked by character, not by byte; a 0 stands for a string."""
 
@@ -59,8 +79,9 @@ class Structure:
             code = self._preprocessor(code)
         self.t: list[str] = []
         self.o: list[int] = []
-        for m in TOKEN.finditer(code.replace("<%", "{ ").replace("%>", "} ") if language.name in ("c", "cpp") else code):
-            self.t.append(m[0])
+        pattern = TICKED if language.name in ("kotlin", "swift") else SPELLED if language.name in ("c", "cpp") else TOKEN
+        for m in pattern.finditer(code.replace("<%", "{ ").replace("%>", "} ") if language.name in ("c", "cpp") else code):
+            self.t.append(spelled_out(m[0]) if "\\" in m[0] else m[0])
             self.o.append(m.start())
         if len(self.t) > MOST_TOKENS:
             self.t, self.o = [], []
@@ -105,13 +126,17 @@ class Structure:
         return self.at.line(self.o[k])
 
     def is_word(self, k: int) -> bool:
-        return bool(WORD.match(self.t[k]))
+        return bool(WORD.match(self.t[k])) or len(self.t[k]) > 2 and self.t[k][0] == "`"
 
     # -- statements
 
     def _statement_end(self, k: int, stop: int, context: str) -> int:
         """Index after the statement that begins at k."""
         t, newline, first = self.t, self.language.newline, k
+        if self._is_operator(k, stop):  # its marks don't go on with the next line
+            while k < stop and self.line_of(k) == self.line_of(first) and t[k] not in ";{":
+                k += 1
+            return self.mate[k] + 1 if k < stop and t[k] == "{" and self.mate[k] > 0 else k + (k < stop and t[k] == ";")
         assigned = False
         while k < stop:
             x = t[k]
@@ -148,6 +173,10 @@ class Structure:
             k += 1
         return stop
 
+    def _is_operator(self, k: int, stop: int) -> bool:
+        """Whether a declaration of an operator begins here (Swift)."""
+        return self.language.name == "swift" and k + 2 < stop and self.t[k] in ("prefix", "infix", "postfix") and self.t[k + 1] == "operator"
+
     def _keyword_led(self, first: int, k: int) -> bool:
         return any(w in self.language.heads for w in self.t[first:k][:8])
 
@@ -184,11 +213,19 @@ class Structure:
         if t[k] in lang.imports and context in ("file", "ns") or (t[k] == "require" and lang.name in ("javascript", "typescript")):
             if not (lang.name == "csharp" and k + 1 < end and t[k + 1] == "(") and not (t[k] == "extern" and not (k + 1 < end and t[k + 1] in ("crate", "alias"))):
                 self.imports.append((self._doc_start(first) if lang.name == "rust" else self.line_of(first), self.line_of(last)))
+                if lang.name == "csharp":
+                    self._csharp_alias(k, end)
                 return []
         if lang.name in ("javascript", "typescript") and context == "file" and "require" in t[k:end] and t[k] in ("const", "let", "var"):
             self.imports.append((self.line_of(first), self.line_of(last)))
         if lang.name in ("javascript", "typescript") and t[k] == "export" and "from" in t[k:end]:
             self.imports.append((self.line_of(first), self.line_of(last)))
+        if self._is_operator(k, end):
+            j = k + 2
+            while j < end and t[j] not in (":", "{", ";"):
+                j += 1
+            self._define(k + 2, first, end - 1, False, "".join(t[k + 2 : j]))
+            return []
         body = self._first_body(k, end)
         head = self._head(k, body if body >= 0 else end)
         if head is None:
@@ -197,6 +234,13 @@ class Structure:
         kind = lang.heads[word]
         return getattr(self, f"_{kind}")(first, at, end, body, context)
 
+    def _csharp_alias(self, k: int, end: int) -> None:
+        t = self.t
+        if t[k] == "extern" and k + 2 < end and self.is_word(k + 2):
+            self._define(k + 2, k, end - 1, False)
+        elif t[k] == "using" and "=" in t[k:end] and self.is_word(at := t.index("=", k, end) - 1) and at > k:
+            self._define(at, k, end - 1, False)
+
     def _past_attributes(self, k: int, end: int) -> int:
         t = self.t
         while k < end:
@@ -232,6 +276,13 @@ class Structure:
         seen = 0
         while k < stop and seen < 24:
             x = t[k]
+            if x == "const" and lang.name == "rust":  # of a function
+                j = k + 1
+                while j < stop and t[j] in ("unsafe", "async", "extern", "0"):
+                    j += 1
+                if j < stop and t[j] == "fn":
+                    k = j
+                    x = "fn"
             if x in lang.heads and k + 1 < len(t):
                 after = t[k + 1]
                 if x in ("type", "module", "namespace", "enum", "record", "union", "macro", "value", "object", "actor", "get", "set", "init", "concept", "event", "data") and not (WORD.match(after) or after in "{<[(" or after == "class" or after == "*" or after == "@"):
@@ -297,17 +348,19 @@ class Structure:
 
     def _define(self, name: int, first: int, last: int, owns: bool, symbol: str | None = None) -> None:
         """A definition named by token name that reaches from token first to token last."""
-        symbol = symbol or self.t[name].lstrip("@")
+        ticked = symbol is None and self.t[name].startswith("`")
+        symbol = symbol or self.t[name].lstrip("@").strip("`")
         if symbol in ("_", ""):
             return
         line = self.line_of(name)
+        column = self.at.col(self.o[name]) + ticked
         end = self.o[last] + len(self.t[last])
         start = min(line, self._doc_start(first))
         if owns:
-            self.defs.append(Definition(symbol, line, self.at.col(self.o[name]), start, self.line_of(last), self.at.col(end), True))
+            self.defs.append(Definition(symbol, line, column, start, self.line_of(last), self.at.col(end), True))
             self.scopes.append((start, self.line_of(last)))
         else:
-            self.defs.append(Definition(symbol, line, self.at.col(self.o[name]), line, line, 0, False))
+            self.defs.append(Definition(symbol, line, column, line, line, 0, False))
 
     def _bodies(self, k: int, end: int, first: int, context: str) -> list[tuple[int, int, str]]:
         """All outermost braces of [k, end) as bodies; each is a scope with what is in front of it."""
@@ -592,6 +645,12 @@ class Structure:
     def _without_head(self, first: int, k: int, end: int, body: int, context: str) -> list[tuple[int, int, str]]:
         t, lang = self.t, self.language
         stop = body if body >= 0 else end
+        if lang.name == "typescript" and t[k : k + 3] == ["export", "as", "namespace"] and k + 3 < end:
+            self._define(k + 3, first, end - 1, False)
+            return []
+        if lang.name == "java" and context == "type" and body > k and self.is_word(body - 1) and t[body - 1] not in lang.modifiers and all(x in lang.modifiers for x in t[k : body - 1]):
+            self._define(body - 1, first, self.mate[body] if self.mate[body] > 0 else end - 1, True)  # a compact constructor
+            return self._bodies(k, end, first, "func")
         if lang.name == "go" and context == "type" and k + 1 < end and self.is_word(k) and t[k + 1] == "(":
             self._define(k, first, end - 1, True)  # an interface's method
             return self._bodies(k, end, first, "func")
@@ -604,6 +663,8 @@ class Structure:
                     j = self.mate[j] + 1 if t[j] in PAIRS and self.mate[j] > j else j + 1
                 j += 1
             return []
+        while lang.name == "java" and context == "type" and k + 1 < end and t[k] == "synchronized" and t[k + 1] != "(":
+            k += 1
         if t[k] in CONTROL and t[k] not in ("default", "operator", "new", "match", "using", "delete", "get", "set") or t[k] in ("package", "goto", "assert"):
             return self._bodies(k, end, first, "func")
         if context == "object" and lang.name in ("javascript", "typescript"):
@@ -633,6 +694,10 @@ class Structure:
                     if "operator" in t[k:paren]:
                         at = t.index("operator", k, paren)
                         symbol = "operator" + "".join(t[at + 1 : paren])
+                        if lang.name == "csharp":
+                            checked, rest = " checked" * (t[at + 1] == "checked"), t[at + 1 + (t[at + 1] == "checked") : paren]
+                            converts = next((x for x in t[k:at] if x in ("implicit", "explicit")), None)
+                            symbol = f"{converts} operator{checked} {''.join(rest)}" if converts else f"operator{checked}{''.join(rest)}"
                         self._define(at, first, end - 1, body >= 0 or arrow, symbol)
                     elif name > k and t[name - 1] == "~":
                         self._define(name - 1, first, end - 1, body >= 0, "~" + t[name])
@@ -650,6 +715,15 @@ class Structure:
     def _c_values(self, first: int, k: int, end: int, body: int, context: str) -> None:
         """TYPE NAME [= VALUE] {, NAME [= VALUE]}; and properties."""
         t, lang = self.t, self.language
+        if lang.name == "cpp" and "auto" in t[k:end]:
+            j = t.index("auto", k, end) + 1
+            while j < end and t[j] in ("&", "&&", "const"):
+                j += 1
+            if j < end and t[j] == "[" and self.mate[j] > j:  # a structured binding
+                for n in range(j + 1, self.mate[j]):
+                    if self.is_word(n):
+                        self._define(n, first, end - 1, False)
+                return
         words, j, name = 0, k, -1
         while j < end:
             x = t[j]

@@ -7,6 +7,8 @@ import difflib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import merged_ranges
+
 HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 MOST_LINE, MOST_SPANS = 1_000_000_000, 100_000
 
@@ -36,6 +38,14 @@ def strict_span(line: Column) -> Column:
     return F.when(start.isNull(), None).when(e > MOST_LINE, F.raise_error(F.lit("changed line is out of range"))).otherwise(F.struct(s.alias("s"), e.alias("e")))
 
 
+def strict_spans(headers: DataFrame) -> DataFrame:
+    """(path, s, e) of headers (path, header): merged spans. ValueError for more than MOST_SPANS headers of changed lines."""
+    spans = headers.select("path", strict_span(F.col("header")).alias("x")).where("x IS NOT NULL")
+    if (n := spans.limit(MOST_SPANS + 1).count()) > MOST_SPANS:
+        raise ValueError(f"the patch has {n} spans or more; {MOST_SPANS} are allowed")
+    return merged_ranges(spans.select("path", F.col("x.s").cast("bigint").alias("s"), F.col("x.e").cast("bigint").alias("e")), ["path"])
+
+
 def changed_lines(headers: DataFrame) -> DataFrame:
     """(path, line_no), distinct, of headers (path, header, total)."""
     spans = headers.select("path", changed_range(F.col("header"), F.col("total")).alias("x")).where("x IS NOT NULL")

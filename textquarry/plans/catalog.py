@@ -15,9 +15,10 @@ from ..functions import paths as P
 from ..functions import render
 from ..functions import text as T
 from ..operators import diffs, ranges, results, search
-from ..sources.corpus import Corpus
+from ..sources.corpus import Corpus, analysed_files, analysed_lines
+from ..sources.manifests import OBJECT_ID
 from ..streaming import budget
-from . import verbs
+from . import samples, verbs
 from .options import Options
 
 SYMBOLS = ("the", "was", "ention")
@@ -147,13 +148,13 @@ def symbol_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.frequent_symbols(search.symbol_index(document_lines(spark, sf_dir)), 2, 200, 100)
 
 
-@query(f"""WITH {LINES}, h AS (SELECT path, line_no, total FROM lines WHERE line_no % 5 = 0), w AS (
+@query(f"""WITH {LINES}, h AS (SELECT path, line_no, total FROM lines), w AS (
 SELECT path, line_no, greatest(line_no - 3, 1) AS s0, total FROM h), x AS (SELECT path, line_no, total, CASE WHEN total <= 6 THEN 1 WHEN s0 + 5 > total THEN total - 5 ELSE s0 END AS a FROM w)
 SELECT x.path, x.line_no, CASE WHEN x.total > 6 THEN x.a ELSE 0 END AS code_start, CASE WHEN x.total > 6 THEN x.a + 5 ELSE 0 END AS code_end, x.total > 6 AS code_truncated,
 array_to_string(k.a[x.a:least(x.a + 5, x.total)], chr(10)) AS code FROM x JOIN kept k ON k.path = x.path""")
 def snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_files(spark, sf_dir)
-    whole = search.lines_of(files).where(F.col("line_no") % 5 == 0).select("path", "line_no", F.lit(1).alias("s"), F.col("total").alias("e"))
+    whole = search.lines_of(files).select("path", "line_no", F.lit(1).alias("s"), F.col("total").alias("e"))
     return search.with_snippets(whole, files, 6).drop("s", "e")
 
 
@@ -168,10 +169,13 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(spark, sf_dir).select("path", "line_no", line.alias("line"))
 
 
-@query(rf"""WITH {CODE_LINES} SELECT path, line_no, regexp_replace(regexp_replace(line, '^((?:[^"/]|"[^"]*"|/[^/"])*?)//.*$', '\1'), '[ \t\r]+$', '') AS code FROM c WHERE contains(line, '//') AND NOT regexp_matches(line, '[''`\\]')""")
+#: A quoted literal that ends, in the syntax of DuckDB's regexes; what follows one that doesn't end is no comment.
+CLOSED = r"""\"(?:\\.|[^\"\\])*\"|''(?:\\.|[^''\\])*''|`[^`]*`"""
+
+
+@query(rf"""WITH {CODE_LINES} SELECT path, line_no, regexp_replace(regexp_replace(line, '^((?:[^\"''`/]|{CLOSED}|/(?:[^\"''`/]|{CLOSED}))*?)//.*$', '\1'), '[ \t\r\x0b\x0c]+$', '') AS code FROM c""")
 def strip_line_comment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = code_lines(spark, sf_dir).where(F.col("line").contains("//") & ~F.col("line").rlike(r"['`\\]"))
-    return lines.select("path", "line_no", T.without_slash_comment(F.col("line")).alias("code"))
+    return code_lines(spark, sf_dir).select("path", "line_no", T.without_slash_comment(F.col("line")).alias("code"))
 
 
 @query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), lambda x: x <> ''), chr(10)) AS text FROM documents")
@@ -264,11 +268,11 @@ def patch_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", prefix.alias("prefix"), truncated.alias("truncated"))
 
 
-ORDERED = HITS + ", o AS (SELECT q_ix, path, line_no, CASE WHEN line_no % 4 = 1 THEN 'def' ELSE 'ref' END AS kind, row_number() OVER (PARTITION BY q_ix ORDER BY path, line_no) AS pos FROM hits WHERE n > 0 AND q_ix > 0)"
+ORDERED = HITS + ", o AS (SELECT q_ix, path, line_no, CASE WHEN line_no % 4 = 1 THEN 'def' ELSE 'ref' END AS kind, row_number() OVER (PARTITION BY q_ix ORDER BY path, line_no) AS pos FROM hits WHERE n > 0)"
 
 
 def ordered_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.occurrences(document_lines(spark, sf_dir), SYMBOLS).where("q_ix > 0")
+    hits = search.occurrences(document_lines(spark, sf_dir), SYMBOLS)
     kind = F.when(F.col("line_no") % 4 == 1, "def").otherwise("ref").alias("kind")
     return results.top_of_each(hits.select("q_ix", "path", "line_no", kind), ["q_ix"], ["path", "line_no"], 0).withColumn("pos", F.col("rank").cast("bigint")).drop("rank")
 
@@ -295,13 +299,12 @@ def budget_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("exceeded", F.col("started") > 5)
 
 
-@query("""WITH o AS (SELECT conv_id, list(role ORDER BY turn) AS roles FROM conversations GROUP BY conv_id)
-SELECT conv_id, roles[1] = 'system' AS first_is, len(list_filter(roles, lambda r: r = 'system')) = 1 AS exactly_one, roles[-1] = 'assistant' AS last_is FROM o""")
+@query("""WITH v AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'changed' ELSE role END AS verb FROM conversations),
+o AS (SELECT conv_id, arg_min(verb, turn) AS first, arg_max(verb, turn) AS last, count(*) FILTER (verb = 'changed') AS n FROM v GROUP BY conv_id)
+SELECT conv_id, CASE WHEN first <> 'changed' THEN 'the first request must be changed' WHEN n <> 1 THEN 'changed must be requested exactly once, got ' || n WHEN last <> 'assistant' THEN 'the current request is not the latest one' END AS fault FROM o""")
 def sequence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.min_by("role", "turn").alias("first"), F.max_by("role", "turn").alias("last"), F.count_if(F.col("role") == "system").alias("n")
-    )
-    return ordered.select("conv_id", (F.col("first") == "system").alias("first_is"), (F.col("n") == 1).alias("exactly_one"), (F.col("last") == "assistant").alias("last_is"))
+    verb = F.when(F.col("role") == "system", "changed").otherwise(F.col("role")).alias("verb")
+    return budget.sequence_faults(table(spark, sf_dir, "conversations").select("conv_id", "turn", verb), "conv_id", "turn", "assistant")
 
 
 @query()
@@ -334,14 +337,14 @@ def location_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.count("*").alias("got")).join(F.broadcast(bad), F.lit(True))
 
 
-@query(f"""WITH {LINES}, d AS (SELECT path, min(line_no) AS line_no, split_part(line, ' ', 1) AS symbol FROM lines GROUP BY ALL), w AS (SELECT path, line_no, line, unnest(list_distinct(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}\\p{{Mn}}\\p{{Mc}}_]+'))) AS symbol FROM lines),
-n AS (SELECT path, line_no, symbol, CAST(len(list_filter(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}\\p{{Mn}}\\p{{Mc}}_]+'), lambda x: x = w.symbol)) AS BIGINT) AS n FROM w WHERE length(symbol) > 7),
+@query(f"""WITH {LINES}, d AS (SELECT path, min(line_no) AS line_no, split_part(line, ' ', 1) AS symbol FROM lines GROUP BY ALL), w AS (SELECT path, line_no, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}\\p{{Mn}}\\p{{Mc}}_]+')) AS symbol FROM lines),
+n AS (SELECT path, line_no, symbol, count(*) AS n FROM w GROUP BY ALL),
 j AS (SELECT n.*, (d.symbol IS NOT NULL) AS is_def FROM n LEFT JOIN d ON d.path = n.path AND d.line_no = n.line_no AND d.symbol = n.symbol)
 SELECT path, line_no, symbol, n, 'def' AS kind FROM j WHERE is_def UNION ALL SELECT path, line_no, symbol, n, 'ref' FROM j WHERE NOT is_def OR n > 1""")
 def def_ref_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = document_lines(spark, sf_dir)
     defs = lines.groupBy("path", F.substring_index("line", " ", 1).alias("symbol")).agg(F.min("line_no").alias("line_no"))
-    words = lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(f"[{T.IDENTIFIER}]+"), F.lit(0))).alias("symbol")).where(F.length("symbol") > 7)
+    words = lines.select("path", "line_no", F.explode(F.regexp_extract_all("line", F.lit(f"[{T.IDENTIFIER}]+"), F.lit(0))).alias("symbol"))
     return results.classified(words.groupBy("path", "line_no", "symbol").agg(F.count("*").alias("n")), defs)
 
 
@@ -374,12 +377,12 @@ def span_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.gaps(ranges.merged_ranges(spans, ["o_custkey"], gap=0), ["o_custkey"], F.lit(0).cast("bigint"), F.lit(400).cast("bigint"))
 
 
-# -- the verbs, over a Go file for each document
+# -- the verbs, over a Go file for each document, with its text as a comment
 
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     i = F.col("doc_id").cast("string")
-    parts = ["package p\n\nimport \"x\"\n\nfunc F", i, "() {\n\tx.Call", (F.col("doc_id") % 7).cast("string"), "() // Call3\n}\n\nfunc G", i, "() {\n\tF", i, "()\n}\n"]
+    parts = ["package p\n\nimport \"x\"\n\nfunc F", i, "() {\n\tx.Call", (F.col("doc_id") % 7).cast("string"), "() // Call3\n}\n\nfunc G", i, "() {\n\tF", i, "()\n}\n\n/*\n", F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /")), "\n*/\n"]
     content = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     path = F.concat(F.lit("pkg"), (F.col("doc_id") % 10).cast("string"), F.lit("/f"), i, F.lit(".go"))
     return Corpus.from_table(table(spark, sf_dir, "documents").select(path.alias("path"), content.alias("content")))
@@ -438,11 +441,11 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- smaller operators
 
 
-@query(f"WITH {HITS} SELECT q_ix, path || ':' || line_no AS place FROM hits WHERE n > 0 AND q_ix > 0 UNION ALL SELECT 9, path FROM files")
+@query(f"WITH {HITS} SELECT q_ix, path || ':' || line_no AS place FROM hits WHERE n > 0 UNION ALL SELECT 9, path FROM files")
 def location_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = document_files(spark, sf_dir)
     zero = F.lit(0)
-    hits = search.occurrences(search.lines_of(files), SYMBOLS).where("q_ix > 0")
+    hits = search.occurrences(search.lines_of(files), SYMBOLS)
     places = hits.select("q_ix", render.location(F.col("path"), zero, F.col("line_no")).alias("place"))
     return places.unionByName(files.select(F.lit(9).alias("q_ix"), render.location(F.col("path"), zero, zero).alias("place")))
 
@@ -452,7 +455,7 @@ def object_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     text = F.concat(F.md5(event), F.substr(F.md5(user), F.lit(1), (F.col("user_id") % 3 * 4).cast("int")))
     rows = table(spark, sf_dir, "events").select(event.alias("event_id"), text.alias("id"))
-    return rows.withColumn("is_id", F.col("id").rlike("^(?:[0-9a-f]{40}|[0-9a-f]{64})$"))
+    return rows.withColumn("is_id", F.col("id").rlike(OBJECT_ID.pattern))
 
 
 NUMBERED = "p AS (SELECT 'pkg' || (p_partkey // 2) % 40 || '/f' || p_partkey // 2 || CASE WHEN p_partkey % 2 = 0 THEN '.go' ELSE '_test.go' END AS path FROM part WHERE p_partkey % 7 <> 0)"
@@ -487,3 +490,39 @@ SELECT path, min(line_no) AS s, max(line_no) AS e FROM n GROUP BY path, g""")
 def changed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("path"), (F.col("o_orderkey") % 400).alias("line_no"))
     return ranges.merged_ranges(lines.select("path", F.col("line_no").alias("s"), F.col("line_no").alias("e")), ["path"])
+
+
+# -- the languages, over samples of code
+
+
+def sample_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(samples.SOURCES.items()), "path string, content string")
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    said = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+@query(values(samples.DEFINITIONS, "path, symbol, line"))
+def language_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysed_files(sample_files(spark)).select("path", F.explode("defs").alias("d")).select("path", "d.symbol", "d.line")
+
+
+@query(values(samples.IMPORTS, "path, import_start, import_end"))
+def language_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysed_files(sample_files(spark)).where("import_start IS NOT NULL").select("path", "import_start", "import_end")
+
+
+@query(values(samples.SCOPES, "path, line, scope, start_line, end_line"))
+def language_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scope of each line that says target, where that is code."""
+    lines = analysed_lines(sample_files(spark), True, True).where(F.col("structural").contains("target"))
+    return lines.select("path", F.col("line_no").alias("line"), "scope", F.col("nav_start").alias("start_line"), F.col("nav_end").alias("end_line"))
+
+
+@query(values(samples.REFERENCES, "path, line, scope, kind"))
+def language_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where target is said, but for comments and strings."""
+    rows = verbs.find(Corpus.from_table(sample_files(spark)), "target", Options(include="both", no_comments=True, no_strings=True, returns="line"))
+    return rows.select("path", "line", "scope", "kind")

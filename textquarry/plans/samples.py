@@ -1,0 +1,345 @@
+"""A file of code in each language, and what there is in it, for the registered queries of the languages."""
+
+from __future__ import annotations
+
+SOURCES = {
+    "store/cache.go": """package store
+
+import (
+	"sync"
+	"time"
+)
+
+const limit, floor = 10, 2
+
+type Key string
+
+type Cache struct {
+	mu sync.Mutex // target
+}
+
+func (c *Cache) Get(k Key) string {
+	if k == "target {" {
+		return target(k)
+	}
+	return ""
+}
+
+var now = func() time.Time {
+	return target()
+}
+""",
+    "store/cache.py": '''"""target of the module"""
+import os
+from pathlib import (
+    Path,
+)
+
+LIMIT = 10
+
+
+class Cache:
+    def get(self, key):
+        # target
+        def inner():
+            return target(key)
+
+        return inner() or "target"
+
+    async def put(self, key):
+        await target(key)
+
+
+target = Path(os.sep)
+''',
+    "store/cache.rs": """use std::collections::HashMap;
+use std::fmt::{self, Display};
+
+pub struct Cache<'a> {
+    map: HashMap<&'a str, u32>,
+}
+
+impl<'a> Cache<'a> {
+    pub fn get(&self, key: &str) -> u32 {
+        let text = r#"target {"#; /* target /* nested */ */
+        target(key, text)
+    }
+}
+
+pub trait Source {
+    fn read(&self) -> u32;
+}
+
+enum Kind { Small, Large(u32) }
+""",
+    "store/cache.js": """import fs from 'fs';
+import { join } from 'path';
+
+class Cache {
+  get(key) {
+    const found = /target{/.test(key);
+    return target(found, `text ${target} {`);
+  }
+}
+
+export const put = (key) => {
+  return target(key); // target
+};
+
+function* walk() {}
+""",
+    "store/cache.ts": """import type { Key } from './key';
+
+export interface Source {
+  read(key: Key): string;
+  size: number;
+}
+
+export namespace Stores {
+  export function open(key: Key): string {
+    return target(key);
+  }
+}
+
+enum Kind { Small, Large = 2 }
+type Name = string | 'target';
+export as namespace CacheLib;
+""",
+    "store/Cache.java": """package store;
+
+import java.util.List;
+import java.util.Map;
+
+public class Cache {
+    private final int limit = 10, floor = 2;
+
+    Cache() {
+        target(limit);
+    }
+
+    /* target */
+    List<String> get(Map<String, String> keys) {
+        return target(keys, "target {");
+    }
+
+    enum Kind { SMALL, LARGE }
+
+    @interface Note { int level() default 1; }
+
+    record Pair(int left, int right) {
+        Pair {
+            target(left);
+        }
+    }
+}
+""",
+    "store/cache.c": """#include <stdio.h>
+#include "cache.h"
+
+#define LIMIT 10
+#define LARGER(a, b) \\
+    ((a) > (b) ? (a) : (b))
+
+typedef struct Cache { int size; char *name; } Cache_t;
+
+enum Kind { SMALL, LARGE = 2 };
+
+static int get(Cache_t *cache) {
+    /* target */
+    return target(cache->size, "target {");
+}
+
+int \\u00e9t\\u00e9 = 1;
+""",
+    "store/cache.cpp": """#include <string>
+
+namespace store::inner {
+
+template <typename K>
+class Cache : public Base {
+ public:
+  Cache() = default;
+  ~Cache() {}
+  int get(const K& key) const {
+    return target(key, R"x(target {)x");
+  }
+  bool operator==(const Cache& other) const { return true; }
+};
+
+using Name = std::string;
+
+}  // target
+
+auto [first, second] = store::pair();
+""",
+    "store/Cache.cs": """extern alias Legacy;
+using System;
+using System.Linq;
+
+namespace Store
+{
+    public class Cache
+    {
+        public int Limit { get; set; }
+
+        public string Get(string key)
+        {
+            return target(key, $"target {target}", @"target ""{");
+        }
+
+        public static implicit operator int(Cache cache) => 1;
+
+        enum Kind { Small, Large }
+    }
+}
+""",
+    "store/Cache.kt": """package store
+
+import java.util.Date
+import kotlin.math.max
+
+class Cache(val limit: Int, name: String) {
+    fun get(key: String): String {
+        return target(key, "target ${target} {")
+    }
+
+    fun `with spaces`() {
+        target(1) // target
+    }
+}
+
+enum class Kind { SMALL, LARGE }
+object Stores
+typealias Name = String
+""",
+    "store/Cache.swift": """import Foundation
+import Dispatch
+
+infix operator +++
+
+struct Cache {
+    let limit = 10
+    init() {
+        target(limit)
+    }
+    func get(_ key: String) -> String {
+        /* target /* nested */ */
+        return target(key, "target \\(target) {")
+    }
+    static func +++ (left: Cache, right: Cache) -> Cache {
+        return target(left)
+    }
+}
+
+enum Kind { case small, large }
+protocol Source { func read() }
+""",
+    "store/Cache.mod": """MODULE Cache;
+FROM Store IMPORT Open, Close;
+IMPORT Files;
+CONST Limit = 10;
+TYPE
+  Shape = RECORD
+    CASE tag: INTEGER OF
+      0: x: INTEGER;
+    | 1: y: REAL;
+    END;
+  END;
+VAR count: INTEGER;
+PROCEDURE Get(key: INTEGER): INTEGER;
+BEGIN
+  (* target (* nested *) *)
+  RETURN target(key)
+END Get;
+BEGIN
+  target(1)
+END Cache.
+""",
+    "store/cache.scala": """object Cache {
+  def get(key: String): String = {
+    target(key)
+  }
+}
+""",
+}
+#: (path, symbol, line) of all that is declared.
+DEFINITIONS = [
+    ("store/cache.go", "limit", 8), ("store/cache.go", "floor", 8), ("store/cache.go", "Key", 10), ("store/cache.go", "Cache", 12),
+    ("store/cache.go", "Get", 16), ("store/cache.go", "now", 23),
+    ("store/cache.py", "Cache", 10), ("store/cache.py", "get", 11), ("store/cache.py", "inner", 13), ("store/cache.py", "put", 18),
+    ("store/cache.rs", "Cache", 4), ("store/cache.rs", "Cache", 8), ("store/cache.rs", "get", 9), ("store/cache.rs", "Source", 15),
+    ("store/cache.rs", "read", 16), ("store/cache.rs", "Kind", 19), ("store/cache.rs", "Small", 19), ("store/cache.rs", "Large", 19),
+    ("store/cache.js", "Cache", 4), ("store/cache.js", "get", 5), ("store/cache.js", "found", 6), ("store/cache.js", "put", 11),
+    ("store/cache.js", "walk", 15),
+    ("store/cache.ts", "Source", 3), ("store/cache.ts", "read", 4), ("store/cache.ts", "size", 5), ("store/cache.ts", "Stores", 8),
+    ("store/cache.ts", "open", 9), ("store/cache.ts", "Kind", 14), ("store/cache.ts", "Small", 14), ("store/cache.ts", "Large", 14),
+    ("store/cache.ts", "Name", 15), ("store/cache.ts", "CacheLib", 16),
+    ("store/Cache.java", "Cache", 6), ("store/Cache.java", "limit", 7), ("store/Cache.java", "floor", 7), ("store/Cache.java", "Cache", 9),
+    ("store/Cache.java", "get", 14), ("store/Cache.java", "Kind", 18), ("store/Cache.java", "SMALL", 18), ("store/Cache.java", "LARGE", 18),
+    ("store/Cache.java", "Note", 20), ("store/Cache.java", "level", 20), ("store/Cache.java", "Pair", 22), ("store/Cache.java", "left", 22),
+    ("store/Cache.java", "right", 22), ("store/Cache.java", "Pair", 23),
+    ("store/cache.c", "LIMIT", 4), ("store/cache.c", "LARGER", 5), ("store/cache.c", "Cache", 8), ("store/cache.c", "size", 8),
+    ("store/cache.c", "name", 8), ("store/cache.c", "Cache_t", 8), ("store/cache.c", "Kind", 10), ("store/cache.c", "SMALL", 10),
+    ("store/cache.c", "LARGE", 10), ("store/cache.c", "get", 12), ("store/cache.c", "été", 17),
+    ("store/cache.cpp", "store::inner", 3), ("store/cache.cpp", "Cache", 6), ("store/cache.cpp", "Cache", 8), ("store/cache.cpp", "~Cache", 9),
+    ("store/cache.cpp", "get", 10), ("store/cache.cpp", "operator==", 13), ("store/cache.cpp", "Name", 16), ("store/cache.cpp", "first", 20),
+    ("store/cache.cpp", "second", 20),
+    ("store/Cache.cs", "Legacy", 1), ("store/Cache.cs", "Store", 5), ("store/Cache.cs", "Cache", 7), ("store/Cache.cs", "Limit", 9),
+    ("store/Cache.cs", "Get", 11), ("store/Cache.cs", "implicit operator int", 16), ("store/Cache.cs", "Kind", 18), ("store/Cache.cs", "Small", 18),
+    ("store/Cache.cs", "Large", 18),
+    ("store/Cache.kt", "Cache", 6), ("store/Cache.kt", "limit", 6), ("store/Cache.kt", "get", 7), ("store/Cache.kt", "with spaces", 11),
+    ("store/Cache.kt", "Kind", 16), ("store/Cache.kt", "SMALL", 16), ("store/Cache.kt", "LARGE", 16), ("store/Cache.kt", "Stores", 17),
+    ("store/Cache.kt", "Name", 18),
+    ("store/Cache.swift", "+++", 4), ("store/Cache.swift", "Cache", 6), ("store/Cache.swift", "limit", 7), ("store/Cache.swift", "init", 8),
+    ("store/Cache.swift", "get", 11), ("store/Cache.swift", "+++", 15), ("store/Cache.swift", "Kind", 20), ("store/Cache.swift", "small", 20),
+    ("store/Cache.swift", "large", 20), ("store/Cache.swift", "Source", 21), ("store/Cache.swift", "read", 21),
+    ("store/Cache.mod", "Cache", 1), ("store/Cache.mod", "Limit", 4), ("store/Cache.mod", "Shape", 6), ("store/Cache.mod", "tag", 7),
+    ("store/Cache.mod", "x", 8), ("store/Cache.mod", "y", 9), ("store/Cache.mod", "count", 12), ("store/Cache.mod", "Get", 13),
+    ("store/cache.scala", "target", 3),
+]
+#: (path, first line, last line) of the imports.
+IMPORTS = [
+    ("store/cache.go", 3, 6),
+    ("store/cache.py", 2, 5),
+    ("store/cache.rs", 1, 2),
+    ("store/cache.js", 1, 2),
+    ("store/cache.ts", 1, 1),
+    ("store/Cache.java", 3, 4),
+    ("store/cache.c", 1, 2),
+    ("store/cache.cpp", 1, 1),
+    ("store/Cache.cs", 1, 3),
+    ("store/Cache.kt", 3, 4),
+    ("store/Cache.swift", 1, 2),
+    ("store/Cache.mod", 2, 3),
+]
+#: (path, line, name of its scope, the scope's lines) where code says target.
+SCOPES = [
+    ("store/cache.go", 18, "Get", 16, 21), ("store/cache.go", 24, "now", 23, 25),
+    ("store/cache.py", 14, "inner", 13, 14), ("store/cache.py", 19, "put", 18, 19), ("store/cache.py", 22, "", 22, 22),
+    ("store/cache.rs", 11, "get", 9, 12),
+    ("store/cache.js", 7, "get", 5, 8), ("store/cache.js", 12, "put", 11, 13),
+    ("store/cache.ts", 10, "open", 9, 11),
+    ("store/Cache.java", 10, "Cache", 9, 11), ("store/Cache.java", 15, "get", 14, 16), ("store/Cache.java", 24, "Pair", 23, 25),
+    ("store/cache.c", 14, "get", 12, 15),
+    ("store/cache.cpp", 11, "get", 10, 12),
+    ("store/Cache.cs", 13, "Get", 11, 14),
+    ("store/Cache.kt", 8, "get", 7, 9), ("store/Cache.kt", 12, "with spaces", 11, 13),
+    ("store/Cache.swift", 9, "init", 8, 10), ("store/Cache.swift", 13, "get", 11, 14), ("store/Cache.swift", 16, "+++", 15, 17),
+    ("store/Cache.mod", 16, "Get", 13, 17), ("store/Cache.mod", 19, "Cache", 1, 20),
+    ("store/cache.scala", 3, "target", 3, 3),
+]
+#: (path, line, scope, kind) of what find gives for target.
+REFERENCES = [
+    ("store/Cache.cs", 13, "Get", "ref"),
+    ("store/Cache.java", 10, "Cache", "ref"), ("store/Cache.java", 15, "get", "ref"), ("store/Cache.java", 24, "Pair", "ref"),
+    ("store/Cache.kt", 8, "get", "ref"), ("store/Cache.kt", 12, "with spaces", "ref"),
+    ("store/Cache.mod", 16, "Get", "ref"), ("store/Cache.mod", 19, "Cache", "ref"),
+    ("store/Cache.swift", 9, "init", "ref"), ("store/Cache.swift", 13, "get", "ref"), ("store/Cache.swift", 16, "+++", "ref"),
+    ("store/cache.c", 14, "get", "ref"),
+    ("store/cache.cpp", 11, "get", "ref"),
+    ("store/cache.go", 18, "Get", "ref"), ("store/cache.go", 24, "now", "ref"),
+    ("store/cache.js", 7, "get", "ref"), ("store/cache.js", 12, "put", "ref"),
+    ("store/cache.py", 14, "inner", "ref"), ("store/cache.py", 19, "put", "ref"), ("store/cache.py", 22, "", "ref"),
+    ("store/cache.rs", 11, "get", "ref"),
+    ("store/cache.ts", 10, "open", "ref"),
+]

@@ -122,11 +122,12 @@ def _ranged(hits: DataFrame, options: Options, start: Column, end: Column) -> Da
     return hits.withColumn("start_line", start.cast("int")).withColumn("end_line", end.cast("int"))
 
 
-def _with_code(rows: DataFrame, corpus: Corpus, options: Options, code_start: str = "start_line", code_end: str = "end_line", focus: str = "line", few: bool = False) -> DataFrame:
-    """rows with code and its range: apply limits before. With ``few`` rows, only their files are read, and rows twice."""
+def _with_code(rows: DataFrame, files: DataFrame, options: Options, code_start: str = "start_line", code_end: str = "end_line", focus: str = "line", few: bool = True) -> DataFrame:
+    """rows with code and its range: apply limits before. ``files`` are those that rows can be of. With ``few`` rows only their
+    own files go into the join, and rows are read twice."""
     if options.returns == "locations":
         return rows.withColumns({"code": F.lit(None).cast("string"), "code_start_line": F.lit(None).cast("int"), "code_end_line": F.lit(None).cast("int"), "code_truncated": F.lit(False)})
-    files = corpus.files.join(rows.select("path").distinct(), "path", "left_semi") if few else corpus.files
+    files = files.join(rows.where(F.col(code_start).isNotNull()).select("path").distinct(), "path", "left_semi") if few else files
     if options.drop_comments or options.drop_docstrings:
         clean = _lines(files, options).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "clean"))).alias("_l"))
         texts = clean.select("path", F.transform("_l", lambda x: x["clean"]).alias("_lines"))
@@ -171,9 +172,10 @@ def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options
     options = options.normalised("scope")
     spark = corpus.files.sparkSession
     found: list[DataFrame] = []
+    texts = corpus.files.where("false")
     if options.match != "path":
-        files = corpus.sources(options.path_globs, options.exclude_globs)
-        files = _changed_only(files, changed, options)
+        files = _changed_only(corpus.sources(options.path_globs, options.exclude_globs), changed, options)
+        texts = files.where(_maybe(F.col("content"), F.col("path"), queries))  # rows of paths have no code
         hits = _placed(_hits(corpus, queries, options, files), options)
         rows = hits.select("q_ix", "kind", "symbol", "path", F.col("line_no").alias("line"), "start_line", "end_line", "scope", F.col("reported").alias("language"), results.finding(F.col("kind")).alias("finding"))
         first = results.first_of_each(rows, ["q_ix", *results.RESULT_KEY], ["path", "line", _kind_rank()])
@@ -194,7 +196,7 @@ def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options
     for name, kind in (("start_line", "int"), ("end_line", "int"), ("symbol", "string"), ("scope", "string"), ("language", "string")):
         if name not in limited.columns:
             limited = limited.withColumn(name, F.lit(None).cast(kind))
-    return _shaped(_with_code(limited, corpus, options, few=options.limit > 0), "q_ix", "rank", "truncated")
+    return _shaped(_with_code(limited, texts, options, few=options.limit > 0), "q_ix", "rank", "truncated")
 
 
 def find(corpus: Corpus, query: str, options: Options = Options(), changed: DataFrame | None = None) -> DataFrame:
@@ -268,7 +270,7 @@ def inspect(corpus: Corpus, locations: Sequence[str], options: Options = Options
     first = F.when(is_import & F.lit(options.returns == "context"), F.greatest(F.lit(1), F.col("start_line") - context)).otherwise(F.col("start_line"))
     last = F.when(is_import & F.lit(options.returns == "line"), F.col("start_line")).when(is_import & F.lit(options.returns == "context"), F.least(total, F.col("end_line") + context)).otherwise(F.col("end_line"))
     shown = counted.withColumns({"code_from": first, "code_to": last, "focus": F.coalesce("line", "start_line")})
-    coded = _with_code(shown, corpus, options, "code_from", "code_to", "focus")
+    coded = _with_code(shown, corpus.files, options, "code_from", "code_to", "focus")
     wider = is_import & ~F.col("code_truncated") & ((F.col("code_from") != F.col("start_line")) | (F.col("code_to") != F.col("end_line"))) & F.lit(options.returns != "locations")
     coded = coded.withColumn("code_start_line", F.when(wider, F.col("code_from")).otherwise(F.col("code_start_line"))).withColumn("code_end_line", F.when(wider, F.col("code_to")).otherwise(F.col("code_end_line")))
     return _shaped(coded, "q_ix", "rank", "truncated")
@@ -297,7 +299,7 @@ def outline(corpus: Corpus, paths: Sequence[str], options: Options = Options())
     else:
         rows = rows.withColumn("nav_start", line_of := F.col("line_no")).withColumn("nav_end", line_of)
     rows = _ranged(rows, options, F.col("nav_start"), F.col("nav_end"))
-    return _shaped(_with_code(rows, corpus, options), "q_ix", "rank", "truncated")
+    return _shaped(_with_code(rows, files, options, few=False), "q_ix", "rank", "truncated")
 
 
 def changed(corpus: Corpus, changed_files: DataFrame, changed_lines: DataFrame, options: Options = Options()) -> DataFrame:
@@ -332,7 +334,7 @@ def changed(corpus: Corpus, changed_files: DataFrame, changed_lines: DataFrame,
     limited = limited.withColumn("truncated", more)
     if options.limit:
         limited = limited.where(F.col("rank") <= options.limit)
-    return _shaped(_with_code(limited, corpus, options, focus="focus"), "q_ix", "rank", "truncated")
+    return _shaped(_with_code(limited, files, options, focus="focus", few=options.limit > 0), "q_ix", "rank", "truncated")
 
 
 def respond(rows: DataFrame, queries: Sequence[str], options: Options, verb: str = "find", root: str = "") -> list[dict[str, object]]:

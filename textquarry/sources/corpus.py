@@ -6,7 +6,8 @@ A corpus is a DataFrame of (path, content). Every verb is a plan over it; nothin
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator, Sequence
+import stat
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 
 MOST_FILES, MOST_FILE_BYTES, MOST_BYTES, MOST_DEPTH, MOST_PATH = 100_000, 64 << 20, 1 << 30, 128, 4096
+#: Bytes of files that a task reads.
+TASK_BYTES = 32 << 20
 LINES = (
     "path string, lang string, reported string, total int, line_no int, raw string, search string, structural string, clean string, ignored boolean,"
     " defs array<struct<symbol:string,col:int>>, owner_start int, owner_end int, owner string, nav_start int, nav_end int, scope string, opener boolean,"
@@ -38,18 +41,27 @@ class Corpus:
 
     @classmethod
     def from_directory(cls, spark: SparkSession, root: str, check: bool = True) -> Corpus:
-        """The regular files below root, without those in directories that scans leave out. Bytes that are no UTF-8 are replaced."""
-        if "://" not in root:
-            root = os.path.realpath(root)
-            if not os.path.isdir(root):
-                raise ValueError(f"{root!r} is not a directory")
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        tail = root.rstrip("/").split("://")[-1]
-        path = F.substr("path", F.instr("path", F.lit(tail)) + len(tail))
-        files = found.select(F.regexp_replace(path, "^/+", "").alias("path"), "length", "content").where(~P.excluded(F.col("path")))
+        """The regular files below root, hidden ones too, without links and without those in directories that scans leave out.
+        Bytes that are no UTF-8 are replaced. Tasks read the files, so all executors have to see a local root. In stores that
+        only Spark reads, names that begin with _ or . are left out, as by all its readers."""
+        if "://" in root and not root.startswith("file://"):
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+            tail = root.rstrip("/").split("://")[-1]
+            path = F.substr("path", F.instr("path", F.lit(tail)) + len(tail))
+            files = found.select(F.regexp_replace(path, "^/+", "").alias("path"), "length", "content").where(~P.excluded(F.col("path")))
+            if check:
+                check_budgets(files.where(P.is_source(F.col("path"))).select("path", "length"))
+            return cls(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
+        root = os.path.realpath(root.removeprefix("file://"))
+        if not os.path.isdir(root):
+            raise ValueError(f"{root!r} is not a directory")
+        listed = regular_files(root)
+        paths = spark.createDataFrame(listed, "path string, length bigint")
         if check:
-            check_budgets(files.where(P.is_source(F.col("path"))).select("path", "length"))
-        return cls(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
+            check_budgets(paths.where(P.is_source(F.col("path"))))
+        tasks = max(1, min(len(listed), -(-sum(n for _, n in listed) // TASK_BYTES), spark.sparkContext.defaultParallelism * 16))
+        read = paths.repartition(tasks).mapInArrow(contents(root), "path string, content binary")
+        return cls(read.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")))
 
     def stored(self, path: str) -> Corpus:
         """This corpus written as a table, and read from it: an immutable snapshot."""
@@ -72,6 +84,32 @@ class Corpus:
         return self.files.select("path").where(P.path_filter(F.col("path"), include, exclude))
 
 
+def regular_files(root: str) -> list[tuple[str, int]]:
+    """(path below root, bytes) of the regular files, in order; links, to files or directories, are not followed."""
+    found = []
+    for folder, directories, names in os.walk(root):
+        directories[:] = sorted(d for d in directories if d not in P.EXCLUDED_DIRECTORIES and not os.path.islink(os.path.join(folder, d)))
+        for name in sorted(names):
+            full = os.path.join(folder, name)
+            status = os.lstat(full)
+            if stat.S_ISREG(status.st_mode):
+                found.append((os.path.relpath(full, root).replace(os.sep, "/"), status.st_size))
+    return found
+
+
+def contents(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: (path, content) of paths below root, a file at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                handle = os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW)
+                with open(handle, "rb") as file:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([file.read()], pa.binary())], ["path", "content"])
+
+    return run
+
+
 def check_budgets(files: DataFrame) -> None:
     """files (path, length) beyond a budget fail the query as a whole."""
     depth = F.size(F.split("path", "/"))

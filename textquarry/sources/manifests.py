@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import EXCLUDED_DIRECTORIES
-from ..operators.diffs import changed_lines, patch_headers
-from .corpus import Corpus
+from ..operators.diffs import changed_lines, patch_headers, strict_spans
+from .corpus import MOST_BYTES, MOST_FILES, Corpus
 
 OBJECT_ID = re.compile(r"^(?:[0-9a-f]{40}|[0-9a-f]{64})$")
 #: Fixed settings under which patches come out the same whatever the user's are.
 GIT = ("-c", "core.quotePath=false", "-c", "diff.renames=true", "-c", "diff.noprefix=false", "-c", "diff.mnemonicPrefix=false", "-c", "core.fsmonitor=false", "-c", "diff.external=")
-DIFF = ("--no-color", "--no-ext-diff", "--no-textconv", "--find-renames=50%", "-l20000", "--src-prefix=a/", "--dst-prefix=b/")
+DIFF = (
+    "--no-color", "--no-ext-diff", "--no-textconv", "--find-renames=50%", "-l20000", "--src-prefix=a/", "--dst-prefix=b/",
+    "--ignore-submodules=dirty", "--diff-algorithm=myers", "--no-indent-heuristic", "--full-index", "--inter-hunk-context=0",
+)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -52,13 +55,34 @@ def discovered(root: str) -> list[str]:
     return sorted(found)
 
 
-def git(root: str, *arguments: str) -> bytes:
-    done = subprocess.run(["git", *GIT, "-C", root, *arguments], capture_output=True, check=False, env=os.environ | {"GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"})
-    if done.returncode:
+def git(root: str, *arguments: str, given: bytes | None = None, good: tuple[int, ...] = (0,)) -> bytes:
+    done = subprocess.run(["git", *GIT, "-C", root, *arguments], input=given, capture_output=True, check=False, env=os.environ | {"GIT_OPTIONAL_LOCKS": "0", "LC_ALL": "C"})
+    if done.returncode not in good:
         raise ValueError(f"git {arguments[0]}: {done.stderr.decode(errors='replace')[-500:]}")
     return done.stdout
 
 
+def blobs(root: str, revision: str, wanted: set[str] | None = None) -> list[tuple[str, str]]:
+    """(path, content) of the regular files of a revision's tree, those wanted or all, by one process. Beyond the budgets of
+    a corpus it's a ValueError, as all of it comes to the driver."""
+    found = []
+    for entry in git(root, "ls-tree", "-r", "-z", "--long", revision).split(b"\0"):
+        head, _, name = entry.partition(b"\t")
+        mode, *rest = head.split() or [b""]
+        path = name.decode("utf-8", "replace")
+        if mode in (b"100644", b"100755") and (wanted is None or path in wanted):
+            found.append((path, rest[1], int(rest[2])))
+    if len(found) > MOST_FILES or sum(n for *_, n in found) > MOST_BYTES:
+        raise ValueError(f"{revision} has {len(found)} files of {sum(n for *_, n in found)} bytes; {MOST_FILES} and {MOST_BYTES} are allowed")
+    out, at = git(root, "cat-file", "--batch", given=b"".join(oid + b"\n" for _, oid, _ in found)), 0
+    rows = []
+    for path, _, size in found:  # a line of id, type and size before each, a newline behind it
+        at = out.index(b"\n", at) + 1
+        rows.append((path, out[at : at + size].decode("utf-8", "replace")))
+        at += size + 1
+    return rows
+
+
 def commit_of(root: str, revision: str) -> str:
     if revision.startswith("-") or any(c in revision for c in "\0\r\n") or not revision:
         raise ValueError(f"unsafe revision {revision!r}")
@@ -101,21 +125,16 @@ class Changes:
 
     def patch(self, context: int = 3) -> str:
         sides = [[f"{self.base}...{self.head}"]] if self.base else [["--cached"], []]
-        return "".join(git(self.root, "diff", f"-U{context}", *DIFF, *side).decode("utf-8", "replace") for side in sides)
+        parts = [git(self.root, "diff", f"-U{context}", *DIFF, *side) for side in sides]
+        # new files have no other side: a difference is all that the command finds, and says so by 1
+        parts += [git(self.root, "diff", "--no-index", f"-U{context}", *DIFF, "--", os.devnull, path, good=(0, 1)) for path in sorted(self.untracked)]
+        return b"".join(parts).decode("utf-8", "replace")
 
-    def corpus(self) -> Corpus:
-        """The new side: the tree of HEAD if there is a base, else the work tree."""
+    def corpus(self, whole: bool = False) -> Corpus:
+        """The new side: the tree of HEAD if there is a base, its changed files or with ``whole`` all, else the work tree."""
         if not self.base:
             return Corpus.from_directory(self.spark, self.root)
-        rows = []
-        for entry in git(self.root, "ls-tree", "-r", "-z", self.head).split(b"\0"):
-            mode, _, rest = entry.partition(b" ")
-            if mode in (b"100644", b"100755"):
-                kind_id, _, name = rest.partition(b"\t")
-                rows.append((name.decode("utf-8", "replace"), kind_id.split()[1].decode()))
-        wanted = set(self.paths())
-        content = [(p, git(self.root, "cat-file", "blob", oid).decode("utf-8", "replace")) for p, oid in rows if p in wanted]
-        return Corpus(self.spark.createDataFrame(content, "path string, content string"))
+        return Corpus(self.spark.createDataFrame(blobs(self.root, self.head, None if whole else set(self.paths())), "path string, content string"))
 
     def lines(self, corpus: Corpus) -> DataFrame:
         """(path, line_no) changed on the new side; all lines of new files."""
@@ -125,6 +144,7 @@ class Changes:
         text = git(self.root, "diff", "-U0", *DIFF, *side).decode("utf-8", "replace")
         headers = patch_headers(self.spark.createDataFrame([(text,)], "patch string"))
         totals = lines_of(corpus.files).groupBy("path").agg(F.max("total").alias("total"))
+        strict_spans(headers)
         found = changed_lines(headers.join(totals, "path"))
         new = sorted(self.untracked)
         if new:

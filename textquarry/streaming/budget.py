@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "type string, item struct<type:string,command:string>"
-SHELLS = ("/usr/bin/zsh -lc ", "/bin/zsh -lc ", "/bin/sh -lc ", "zsh -lc ", "sh -lc ")
-COMPOSES = set("\n\r;&|`<>$*?[]{}\\()~#")
+#: Shells whose ``-lc`` runs one quoted command.
+SHELLS = ("/usr/bin/zsh", "/bin/zsh", "/bin/sh", "zsh", "sh")
+#: What a shell reads as more than words: ends of commands, redirections, expansions, groups, comments.
+MARKS = frozenset("\n\r;|&<>`$*?[]{}()\\~#")
 
 
 def transcript(spark: SparkSession, folder: str, streaming: bool = True) -> DataFrame:
@@ -26,29 +28,52 @@ def events(lines: DataFrame) -> DataFrame:
     return parsed.where("e.item.type = 'command_execution'").select("e.type", F.col("e.item.command").alias("command"))
 
 
+class Words:
+    """The words of a shell command as (text, quoted, where it begins); ``marks`` are the places outside and inside of quotes
+    where the shell would read more than words."""
+
+    def __init__(self, command: str):
+        self.words: list[tuple[str, bool, int]] = []
+        self.marks: list[int] = [k for k, c in enumerate(command) if c in MARKS]
+        quote, start, text, quoted = "", None, [], False
+        for k, c in enumerate([*command, " "]):
+            if quote and c != quote or not quote and c not in "'\" \t\n\r":
+                start = k if start is None else start
+                text.append(c)
+            elif c in "'\"":
+                start, quoted, quote = k if start is None else start, True, "" if quote else c
+            elif start is not None:
+                self.words.append(("".join(text), quoted, start))
+                start, text, quoted = None, [], False
+        self.whole = not quote
+
+
 def standalone(command: str, program: str) -> str | None:
     """The verb of a command that runs ``program`` once, by itself, for one JSON answer; None if it doesn't run it.
     ValueError if it runs it together with anything else."""
-    found = len(re.findall(rf"(?<![\w./-]){re.escape(program)}(?:\.bin)?(?=\s|$)", command))
-    if not found:
+    programs = {program, f"{program}.bin"}
+    mentions = [m for m in re.finditer(r"[\w./-]+", command) if m[0] in programs and command[m.end() : m.end() + 1] in ("", " ", "\t", "\n", "\r")]
+    if not mentions:
         return None
-    if found > 1:
-        raise ValueError("navigation must be one standalone invocation")
-    body = command
-    if not command.startswith((f"{program} ", f"{program}.bin ")):
-        shell = next((s for s in SHELLS if command.startswith(s)), None)
-        quoted = command[len(shell) :] if shell else ""
-        if len(quoted) < 2 or quoted[0] not in "'\"" or quoted[-1] != quoted[0]:
-            raise ValueError("navigation is not a standalone shell command")
-        body = quoted[1:-1]
-    if body.strip() != body or not body.startswith((f"{program} ", f"{program}.bin ")):
-        raise ValueError("navigation is not the executed shell command")
-    if body.count(program) != 1 or COMPOSES & set(body):
-        raise ValueError("navigation contains shell composition or expansion")
-    if len(re.findall(r"(?<!\S)--json(?!\S)", body)) != 1:
-        raise ValueError("navigation must request exactly one JSON response")
-    words = [w for w in body.split()[1:] if not w.startswith("-")]
-    return words[0] if words else ""
+    outer = Words(command)
+    asked = command if outer.words[0][0] in programs else None
+    if asked is None and len(outer.words) == 3 and outer.whole:
+        (shell, _, _), (flags, _, _), (inner, quoted, at) = outer.words
+        if shell in SHELLS and flags == "-lc" and quoted and command[at] in "'\"":
+            asked = inner
+    if asked is None or asked != asked.strip():
+        raise ValueError(f"{program} has to be the command itself, or all that a shell's -lc runs")
+    parts = Words(asked)
+    names = [text for text, _, _ in parts.words]
+    if not names or names[0] not in programs:
+        raise ValueError(f"the command runs something else than {program}")
+    if len(mentions) > 1 or asked.count(program) > 1:
+        raise ValueError(f"{program} comes more than once in one command")
+    if parts.marks or not parts.whole:
+        raise ValueError(f"the shell would do more than run {program}")
+    if names.count("--json") != 1:
+        raise ValueError("one JSON answer has to be asked for, once")
+    return next((x for x in names[1:] if not x.startswith("-")), "")
 
 
 def standalone_verb(command: Column, program: str) -> Column:
