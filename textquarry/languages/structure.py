@@ -663,7 +663,7 @@ class Structure:
                     j = self.mate[j] + 1 if t[j] in PAIRS and self.mate[j] > j else j + 1
                 j += 1
             return []
-        while lang.name == "java" and context == "type" and k + 1 < end and t[k] == "synchronized" and t[k + 1] != "(":
+        while lang.name == "java" and k + 1 < end and t[k] == "synchronized" and t[k + 1] != "(":
             k += 1
         if t[k] in CONTROL and t[k] not in ("default", "operator", "new", "match", "using", "delete", "get", "set") or t[k] in ("package", "goto", "assert"):
             return self._bodies(k, end, first, "func")
