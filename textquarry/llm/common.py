@@ -49,12 +49,13 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, *keys: str) -> tuple[str, str]:
-    """df as a table in buckets by keys, sorted by them, so that joins on the keys don't shuffle it; its name and its folder."""
+def bucketed(df: DataFrame, name: str, buckets: int, *keys: str, dealt: bool = False) -> tuple[str, str]:
+    """df as a table in buckets by keys, sorted by them, so that joins on the keys don't shuffle it; its name and its folder.
+    ``dealt``: df is dealt by the keys already, as by groupBy(), and each of its tasks writes its own buckets."""
     spark = df.sparkSession
     path = scratch(spark, name)
     table = path.rpartition("/")[2].replace("-", "_")
-    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    (df if dealt else df.repartition(buckets, *keys)).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     return table, path
 
 
