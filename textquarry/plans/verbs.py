@@ -31,8 +31,8 @@ HINTS = {
 }
 
 
-def _lines(files: DataFrame, options: Options) -> DataFrame:
-    return analysed_lines(files, options.masks_comments, options.no_strings, options.drop_comments, options.drop_docstrings)
+def _lines(files: DataFrame, options: Options, symbols: Sequence[str] = ()) -> DataFrame:
+    return analysed_lines(files, options.masks_comments, options.no_strings, options.drop_comments, options.drop_docstrings, symbols)
 
 
 #: Fixed lists: words that name something only in backticks.
@@ -80,7 +80,8 @@ def _maybe(content: Column, path: Column, symbols: Sequence[str]) -> Column:
 
 def _hits(corpus: Corpus, symbols: Sequence[str], options: Options, files: DataFrame) -> DataFrame:
     """A row for each line, symbol and kind, with the hit's column where owners share the line."""
-    lines = _lines(files.where(_maybe(F.col("content"), F.col("path"), symbols)), options).where("NOT ignored")
+    plain = symbols if all(s.replace("_", "").isalnum() for s in symbols) else ()
+    lines = _lines(files.where(_maybe(F.col("content"), F.col("path"), symbols)), options, plain).where("NOT ignored")
     counts = [F.struct(F.lit(k).alias("q_ix"), F.lit(s).alias("symbol"), _counted(s).alias("n")) for k, s in enumerate(symbols)]
     hits = lines.withColumn("_q", F.explode(F.array(*counts))).where("_q.n > 0").select("*", "_q.q_ix", "_q.symbol", "_q.n").drop("_q")
     own = F.filter("defs", lambda d: d["symbol"] == F.col("symbol"))

@@ -136,8 +136,9 @@ def analysed_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, FILES)
 
 
-def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool = False, drop_comments: bool = False, drop_docstrings: bool = False) -> DataFrame:
-    """LINES: each line masked and cleaned as asked, with its definitions and the scopes that hits on it belong to."""
+def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool = False, drop_comments: bool = False, drop_docstrings: bool = False, symbols: Sequence[str] = ()) -> DataFrame:
+    """LINES: each line masked and cleaned as asked, with its definitions and the scopes that hits on it belong to. With
+    ``symbols``, all plain words, only the lines that can have one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..languages.analysis import analyse
@@ -152,6 +153,8 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
                 ignored, clean, names = a.ignored(no_comments or drop_comments, drop_docstrings), a.clean(drop_comments, drop_docstrings), a.line_names()
                 rows = []
                 for k in range(1, n + 1):
+                    if symbols and k not in a.spliced and not any(x in a.lines[k - 1] for x in symbols):
+                        continue
                     owner, nav, here = a.owner[k], a.navigation(k), a.owners_on(k)
                     rows.append(
                         {
