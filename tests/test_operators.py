@@ -93,3 +93,23 @@ def test_symbol_index(spark):
     index = search.symbol_index(lines)
     assert rows(index.select("symbol", "line_no")) == [("bar1", 1), ("foo", 1), ("foo", 2)]
     assert rows(search.frequent_symbols(index, 2, 9, 5)) == [("foo", 2)]
+
+
+def test_touching_and_outside_against_all_pairs(spark):
+    random.seed(5)
+    span = lambda n: [(random.choice("pq"), a, a + random.choice([0, 1, 4, 30])) for a in (random.randint(0, 200) for _ in range(n))]
+    asked, regions = [(*x, k) for k, x in enumerate(span(80))], span(25)
+    got = rows(ranges.touching_only(spark.createDataFrame(asked, "path string, s int, e int, k int"), spark.createDataFrame(regions, "path string, s int, e int")))
+    assert got == sorted(r for r in asked if any(p == r[0] and s <= r[2] and r[1] <= e for p, s, e in regions))
+    points = [(k, p, s) for p, s, _, k in asked]
+    left = rows(ranges.outside(spark.createDataFrame(points, "k int, path string, at int"), spark.createDataFrame(regions, "path string, s int, e int")))
+    assert left == sorted(x for x in points if not any(p == x[1] and s <= x[2] < e for p, s, e in regions))
+    none = spark.createDataFrame([], "path string, s int, e int")
+    assert ranges.outside(spark.createDataFrame(points, "k int, path string, at int"), none).count() == len(points)
+
+
+def test_identities_of_two_sources(spark):
+    first = [("a", 5, 6, False), ("a", 3, 9, True), ("a", 4, 12, True), ("b", 7, 8, False), ("b", 2, 3, False)]
+    second = [("a", 1, 99, True, 1), ("c", 4, 5, False, 8), ("c", 1, 2, True, 7)]
+    got = results.merged_by_identity(spark.createDataFrame(first, "n string, s long, e long, owns boolean"), spark.createDataFrame(second, "n string, s long, e long, owns boolean, pos int"), ["n"])
+    assert rows(got) == [("a", 3, 12, True), ("b", 2, 8, False), ("c", 1, 2, True)]

@@ -111,3 +111,26 @@ def test_unsafe_paths(bad):
     assert P.parse_location("a:b.go:12") == ("a:b.go", 12)
     with pytest.raises(ValueError, match="."):
         P.parse_location("a.go")
+
+
+@pytest.mark.parametrize(
+    ("language", "yes", "no"),
+    [
+        ("c", ["x$1", "\\u00e9x", "a\\U000000E8", "_"], ["", "1a", "a-b", "\\uD800", "a\\u002D", "a\n", "\\u00e"]),
+        ("rust", ["r#type", "été", "_a"], ["_", "type", "r#self", "r#", "$a"]),
+        ("java", ["$a", "€", "a\x01"], ["1", "a.b"]),
+        ("csharp", ["@class", "a1"], ["@", "a@", "$"]),
+        ("go", ["ä1"], ["a$", "1"]),
+        ("modula", ["A_1"], ["é"]),
+        ("typescript", ["$", "a\u200d"], ["\u200da"]),
+        ("swift", ["größe"], ["9"]),
+    ],
+)
+def test_identifiers_of_languages(spark, language, yes, no):
+    words = [(w,) for w in [*yes, *no]]
+    assert values(spark, words, "w string", T.is_identifier(F.col("w"), language)) == [True] * len(yes) + [False] * len(no)
+
+
+def test_universal_names(spark):
+    words = [("\\u00e9\\U0001F600x",), ("plain",), ("\\uZZ \\U00110000",), (None,)]
+    assert values(spark, words, "w string", T.universal_names(F.col("w"))) == ["é\U0001F600x", "plain", "\\uZZ \\U00110000", None]

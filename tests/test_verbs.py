@@ -111,6 +111,10 @@ def test_options():
             bad.normalised("scope")
     with pytest.raises(ValueError, match="limit"):
         O.capped({"limit": 0}, {"limit": 50})
+    assert O.environment_caps({"TEXTQUARRY_MAX_LIMIT": "7", "TEXTQUARRY_MAX_CODE_LINES": ""}) == {"limit": 7}
+    for bad in ("0", "-1", "x"):
+        with pytest.raises(ValueError, match="MAX_CONTEXT"):
+            O.environment_caps({"TEXTQUARRY_MAX_CONTEXT": bad})
     assert O.command_options().no_comments and O.command_options().limit == 50
 
 

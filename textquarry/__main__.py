@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from collections.abc import Sequence
 
@@ -10,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from .functions import render
 from .plans import verbs
-from .plans.options import Options, command_options
+from .plans.options import DEFAULT_CODE_LINES, DEFAULT_CONTEXT, DEFAULT_PATCH_LINES, Options, capped, command_options, environment_caps
 from .sources.corpus import Corpus
 
 
@@ -49,6 +50,10 @@ def parser() -> argparse.ArgumentParser:
 def options_of(a: argparse.Namespace) -> Options:
     names = ("returns", "context", "max_code_lines", "drop_comments", "drop_docstrings", "match", "include", "changed_only", "max_patch_lines")
     given = {n: getattr(a, n) for n in names if hasattr(a, n)}
+    asked = {"context": DEFAULT_CONTEXT if a.context is None else a.context, "limit": a.limit, "max_code_lines": a.max_code_lines or DEFAULT_CODE_LINES}
+    if hasattr(a, "max_patch_lines"):
+        asked["max_patch_lines"] = a.max_patch_lines or DEFAULT_PATCH_LINES
+    capped(asked, {n: cap for n, cap in environment_caps(os.environ).items() if n in asked})
     return command_options(a.include_comments, a.include_strings, a.limit, verb=a.verb, path_globs=tuple(a.path_globs), exclude_globs=tuple(a.exclude_globs), **given)
 
 

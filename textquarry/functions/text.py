@@ -18,6 +18,60 @@ KEYWORDS = (
 ).split()
 
 
+#: What an identifier of a language begins with and goes on with. Others, Swift too, have the default's.
+STARTS = r"_\p{L}\p{Nl}ᢅᢆ℘℮゛゜"
+IDENTIFIER_FORMS = {
+    "default": (STARTS, IDENTIFIER),
+    "go": (r"_\p{L}", r"_\p{L}\p{Nd}"),
+    "c": (STARTS + "$", IDENTIFIER + "$"),
+    "cpp": (STARTS + "$", IDENTIFIER + "$"),
+    "javascript": (STARTS + "$", IDENTIFIER + "$\u200c\u200d"),
+    "typescript": (STARTS + "$", IDENTIFIER + "$\u200c\u200d"),
+    "java": (r"$\p{L}\p{Nl}\p{Sc}\p{Pc}", r"$\p{L}\p{Nl}\p{Sc}\p{Pc}\p{Nd}\p{Mn}\p{Mc}\p{Cf}\x00-\x08\x0e-\x1b\x7f-\x9f"),
+    "csharp": (r"_\p{L}\p{Nl}", r"_\p{L}\p{Nl}\p{Mn}\p{Mc}\p{Nd}\p{Pc}\p{Cf}"),
+    "kotlin": (r"_\p{L}\p{Nl}", r"_\p{L}\p{Nl}\p{Nd}\p{Mn}\p{Mc}\p{Pc}"),
+    "modula": ("_A-Za-z", "_A-Za-z0-9"),
+}
+#: Fixed list: words that name nothing in Rust, and those that r# doesn't make names either.
+RUST_RESERVED = (
+    "_ abstract as async await become box break const continue crate do dyn else enum extern false final fn for gen if impl in let loop macro match mod move "
+    "mut override priv pub ref return self Self static struct super trait true try type typeof unsafe unsized use virtual where while yield"
+).split()
+RUST_NEVER = ("_", "crate", "self", "super", "Self")
+#: Universal character names of C and C++ that name a character: no surrogates, nothing above U+10FFFF.
+SHORT_NAME = r"\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}"
+LONG_NAME = r"\\U00(?!00[dD][89a-fA-F])(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}"
+
+
+def universal_names(text: Column) -> Column:
+    """text with the universal character names of C and C++ as the characters they name."""
+
+    def character(digits: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+    def part(p: Column) -> Column:
+        short = F.concat(character(F.substr(p, F.lit(3), F.lit(4))), F.substr(p, F.lit(7)))
+        long = F.concat(character(F.substr(p, F.lit(3), F.lit(8))), F.substr(p, F.lit(11)))
+        return F.when(p.rlike("^" + SHORT_NAME), short).when(p.rlike("^" + LONG_NAME), long).otherwise(p)
+
+    parts = F.split(text, f"(?={SHORT_NAME}|{LONG_NAME})", -1)
+    return F.when(text.contains("\\"), F.array_join(F.transform(parts, part), "")).otherwise(text)
+
+
+def is_identifier(text: Column, language: str = "default") -> Column:
+    """Whether the whole text is one identifier of the language, and in Rust no reserved word. Null for null."""
+    start, more = IDENTIFIER_FORMS.get(language, IDENTIFIER_FORMS["default"])
+    whole = lambda c: c.rlike(rf"\A[{start}][{more}]*\z")
+    if language in ("c", "cpp"):
+        return whole(universal_names(text))
+    if language == "csharp":
+        return whole(F.regexp_replace(text, r"\A@", ""))
+    if language == "rust":
+        name = F.regexp_replace(text, r"\Ar#", "")
+        return whole(name) & F.when(text.startswith("r#"), ~name.isin(*RUST_NEVER)).otherwise(~text.isin(*RUST_RESERVED))
+    return whole(text)
+
+
 def quoted(literal: str) -> str:
     """literal as a Java regex."""
     return r"\Q" + literal.replace(r"\E", r"\E\\E\Q") + r"\E"

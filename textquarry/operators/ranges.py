@@ -61,6 +61,28 @@ def scopes_of(hits: DataFrame, scopes: DataFrame, later_start_first: bool = Fals
     return out.select(*hits.columns, F.coalesce("_best.s", "line_no").alias("s"), F.coalesce("_best.e", "line_no").alias("e"))
 
 
+def touching(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """rows (path, s, e, ...) with ``touches``: whether a region (path, s, e) of their path shares a place with them, both ends
+    included. No row meets a region: of the regions that begin up to a row's end, the one that reaches farthest decides."""
+    marks = regions.select("path", F.col("s").cast("bigint").alias("_at"), F.lit(0).alias("_is_row"), F.col("e").cast("bigint").alias("_reach"), F.lit(None).cast(rows.select(F.struct(*rows.columns).alias("r")).schema["r"].dataType).alias("_row"))
+    asked = rows.select("path", F.col("e").cast("bigint").alias("_at"), F.lit(1).alias("_is_row"), F.lit(None).cast("bigint").alias("_reach"), F.struct(*rows.columns).alias("_row"))
+    order = Window.partitionBy("path").orderBy("_at", "_is_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marks.unionByName(asked).withColumn("_reach", F.max("_reach").over(order)).where("_is_row = 1")
+    return found.select("_row.*", F.coalesce(F.col("_reach") >= F.col("_row.s"), F.lit(False)).alias("touches"))
+
+
+def touching_only(rows: DataFrame, regions: DataFrame) -> DataFrame:
+    """The rows (path, s, e, ...) that share a place with a region (path, s, e)."""
+    return touching(rows, regions).where("touches").drop("touches")
+
+
+def outside(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """The points (path, at, ...) that lie in no half-open span (path, s, e)."""
+    closed = spans.select("path", "s", (F.col("e") - 1).alias("e")).where("s <= e")
+    marked = touching(points.withColumns({"s": F.col("at"), "e": F.col("at")}), closed)
+    return marked.where("NOT touches").select(*points.columns)
+
+
 def nearest_names(lines: DataFrame, name: str = "name", keys: Sequence[str] = ("path",), order_by: str = "line_no") -> DataFrame:
     """lines with nearest: the last name at or before the row, else the first behind it. Rows without one have null names."""
     order = Window.partitionBy(*keys).orderBy(order_by)

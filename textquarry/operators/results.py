@@ -122,3 +122,19 @@ def differences(got: DataFrame, want: DataFrame, columns: Sequence[str]) -> Data
     """Rows that one side has more often than the other, with side."""
     a, b = got.select(*columns), want.select(*columns)
     return a.exceptAll(b).withColumn("side", F.lit("got")).unionByName(b.exceptAll(a).withColumn("side", F.lit("want")))
+
+
+def merged_by_identity(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, s, e, owns): one row for each identity in first (keys, s, e, owns) or second (the same and pos).
+
+    What first has of an identity stands: of its rows those that own a scope, else all, with the widest bounds. An identity
+    that only second has is its row of the least pos. Both combine before they shuffle, once."""
+    none = F.lit(None).cast("bigint")
+    both = first.select(*keys, "s", "e", "owns", none.alias("_pos"), F.lit(True).alias("_first"))
+    both = both.unionByName(second.select(*keys, "s", "e", "owns", F.col("pos").cast("bigint").alias("_pos"), F.lit(False).alias("_first")))
+    owner, other = F.col("_first") & F.col("owns"), F.col("_first") & ~F.col("owns")
+    picked = [F.min(F.when(owner, F.col("s"))).alias("_os"), F.max(F.when(owner, F.col("e"))).alias("_oe"), F.min(F.when(other, F.col("s"))).alias("_ns"), F.max(F.when(other, F.col("e"))).alias("_ne")]
+    found = both.groupBy(*keys).agg(*picked, F.min(F.when(~F.col("_first"), F.struct("_pos", "s", "e", "owns"))).alias("_second"))
+    owned = F.col("_os").isNotNull()
+    bound = lambda a, b, c: F.coalesce(a, b, f"_second.{c}").alias(c)
+    return found.select(*keys, bound("_os", "_ns", "s"), bound("_oe", "_ne", "e"), F.when(owned, True).when(F.col("_ns").isNotNull(), False).otherwise(F.col("_second.owns")).alias("owns"))

@@ -492,6 +492,52 @@ def changed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.merged_ranges(lines.select("path", F.col("line_no").alias("s"), F.col("line_no").alias("e")), ["path"])
 
 
+# -- ranges and identities of two sources
+
+
+DAYS = "o AS (SELECT o_orderkey, o_custkey AS path, CAST(dayofyear(o_orderdate) AS BIGINT) AS d FROM orders)"
+
+
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("path"), F.dayofyear("o_orderdate").cast("bigint").alias("d"))
+
+
+@query(f"WITH {DAYS} SELECT a.o_orderkey, a.path, a.d AS at FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.path = a.path AND b.d + 1 <= a.d AND a.d < b.d + 1 + b.o_orderkey % 9)")
+def outside_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = order_days(spark, sf_dir)
+    start = F.col("d") + 1
+    spans = days.select("path", start.alias("s"), (start + F.col("o_orderkey") % 9).alias("e"))
+    return ranges.outside(days.select("o_orderkey", "path", F.col("d").alias("at")), spans)
+
+
+@query(f"WITH {DAYS} SELECT a.o_orderkey, a.path, a.d AS s, a.d + 3 AS e FROM o a WHERE EXISTS (SELECT 1 FROM o b WHERE b.path = a.path AND b.d + 5 <= a.d + 3 AND a.d <= b.d + 5 + b.o_orderkey % 7)")
+def touching_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = order_days(spark, sf_dir)
+    start = F.col("d") + 5
+    regions = days.select("path", start.alias("s"), (start + F.col("o_orderkey") % 7).alias("e"))
+    return ranges.touching_only(days.select("o_orderkey", "path", F.col("d").alias("s"), (F.col("d") + 3).alias("e")), regions)
+
+
+@query("""WITH r AS (SELECT l_suppkey AS path, l_returnflag AS symbol, l_partkey % 50 AS line, l_orderkey % 100 AS s, l_orderkey % 100 + l_linenumber AS e, l_linenumber % 2 = 0 AS owns, l_linenumber > 2 AS second, l_orderkey * 10 + l_linenumber AS pos FROM lineitem),
+b AS (SELECT *, min(CASE WHEN second THEN 2 WHEN owns THEN 0 ELSE 1 END) OVER (PARTITION BY path, symbol, line) AS best, row_number() OVER (PARTITION BY path, symbol, line, second ORDER BY pos, s, e) AS k FROM r)
+SELECT path, symbol, line, CAST(min(s) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e, bool_or(owns) AS owns FROM b WHERE (best = 2 AND k = 1) OR (best < 2 AND NOT second AND owns = (best = 0)) GROUP BY path, symbol, line""")
+def merged_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, number = F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("bigint")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("path"), F.col("l_returnflag").alias("symbol"), (F.col("l_partkey") % 50).alias("line"), (key % 100).alias("s"), (key % 100 + number).alias("e"),
+        (number % 2 == 0).alias("owns"), (key * 10 + number).alias("pos"), (number > 2).alias("second"),
+    )
+    return results.merged_by_identity(rows.where("NOT second"), rows.where("second"), ["path", "symbol", "line"])
+
+
+@query(rf"""WITH {LINES}, w AS (SELECT DISTINCT unnest(string_split(line, ' ')) AS word FROM lines)
+SELECT word, regexp_full_match(word, '[_\p{{L}}][_\p{{L}}\p{{Nd}}]*') AS go, regexp_full_match(word, '[_A-Za-z][_A-Za-z0-9]*') AS modula, regexp_full_match(word, '[_\p{{L}}\p{{Nl}}][_\p{{L}}\p{{Nl}}\p{{Nd}}\p{{Mn}}\p{{Mc}}\p{{Pc}}]*') AS kotlin,
+regexp_full_match(word, '@?[_\p{{L}}\p{{Nl}}][_\p{{L}}\p{{Nl}}\p{{Mn}}\p{{Mc}}\p{{Nd}}\p{{Pc}}\p{{Cf}}]*') AS csharp FROM w""")
+def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = document_lines(spark, sf_dir).select(F.explode(F.split("line", " ", -1)).alias("word")).distinct()
+    return words.select("word", *[T.is_identifier(F.col("word"), n).alias(n) for n in ("go", "modula", "kotlin", "csharp")])
+
+
 # -- the languages, over samples of code
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 
 RETURNS = ("locations", "line", "context", "scope")
 INCLUDES = ("defs", "refs", "both", "symbol", "scope", "imports", "all")
+#: What the commands of a verb take, where it's not all of them.
+INCLUDES_OF = {"find": ("defs", "refs", "both")}
 MATCHES = ("auto", "symbol", "path")
 DEFAULT_CONTEXT, DEFAULT_CODE_LINES, DEFAULT_PATCH_LINES = 5, 80, 400
 
@@ -54,6 +56,18 @@ class Options:
         return self.no_comments or self.drop_comments
 
 
+def environment_caps(environment: Mapping[str, str]) -> dict[str, int]:
+    """The caps that TEXTQUARRY_MAX_CONTEXT, _LIMIT, _CODE_LINES and _PATCH_LINES set; ValueError for one that is no positive number."""
+    out = {}
+    for name in ("context", "limit", "max_code_lines", "max_patch_lines"):
+        variable = f"TEXTQUARRY_MAX_{name.removeprefix('max_').upper()}"
+        if said := environment.get(variable, "").strip():
+            if not said.isascii() or not said.isdigit() or int(said) < 1:
+                raise ValueError(f"{variable} must be a positive number, not {said!r}")
+            out[name] = int(said)
+    return out
+
+
 def capped(values: Mapping[str, int], caps: Mapping[str, int]) -> None:
     """ValueError for a value above its cap; a capped limit, code or patch size of 0, which means none, is above it too."""
     for name, cap in caps.items():
@@ -64,7 +78,8 @@ def capped(values: Mapping[str, int], caps: Mapping[str, int]) -> None:
 
 def command_options(include_comments: bool = False, include_strings: bool = False, limit: int = 50, **values: object) -> Options:
     """Options as the command line takes them: comments and strings are left out unless asked for, and there is a limit."""
-    if values.get("include", "both") not in ("defs", "refs", "both") and values.pop("verb", "find") == "find":
-        raise ValueError("find includes defs, refs or both")
-    values.pop("verb", None)
+    verb = str(values.pop("verb", "find"))
+    allowed = INCLUDES_OF.get(verb, INCLUDES)
+    if values.get("include", allowed[0]) not in allowed:
+        raise ValueError(f"{verb} includes one of {', '.join(allowed)}")
     return Options(no_comments=not include_comments, no_strings=not include_strings, limit=limit, **values)
