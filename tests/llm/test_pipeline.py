@@ -31,7 +31,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
         assert kept[r["doc_id"]] == "\n".join(want)
     # near copies: no two that stay are similar, and what goes has a similar one
     def shingles(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
         return {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
     sets = {i: shingles(t) for i, t in kept.items()}
@@ -39,7 +39,7 @@ def test_stages_against_plain_versions(spark, sf_dir):
     stay = {r["doc_id"] for r in alone.collect()}
     close = [(a, b) for a in stay for b in stay if a < b and jaccard(sets[a], sets[b]) >= 0.8]
     every = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
-    assert len(close) <= 0.1 * len(every)
+    assert every and not close
     for i in sets.keys() - stay:
         assert max(jaccard(sets[i], sets[j]) for j in sets if j != i) >= 0.8
     # mixing: whole documents, three times at most
