@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, html_text, language_id, line_dedup, mixing, mpeg_audio, packing, records, simhash, vector_file
+from . import chat, html_text, language_id, line_dedup, mixing, mpeg_audio, packing, records, sentencepieces, simhash, vector_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_query(spark, table(spark, sf_dir, "conversations"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.pieces_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_simhash": op2_simhash,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_records": op8_token_records,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_sentencepiece": op11_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
 
