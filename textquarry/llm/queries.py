@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import chat, html_text, language_id, line_dedup, mixing, mpeg_audio, packing, phrases, records, sentencepieces, simhash, vector_file
+from . import chat, hard_negatives, html_text, language_id, line_dedup, mixing, mpeg_audio, packing, phrases, records, sentencepieces, simhash, vector_file
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.pieces_query(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -75,8 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_collocations": op13_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_top_k": vector_file.ORACLE, "op13_collocations": phrases.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.ORACLE, "op5_top_k": vector_file.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_collocations": phrases.ORACLE}
