@@ -3,8 +3,8 @@
 Texts, A-Z lower-cased, are split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\x20\\x09]+``. Identical
 pieces of a language become one row with their multiplicity, and n-grams are counted with that weight:
 
-1. words and pairs: tasks sum what they hold, deal it by hash of language and phrase, and each hash bucket is counted in
-   duckdb, which goes to disk beyond ``MEMORY``;
+1. words and pairs: tasks sum what they hold and deal it by hash of language and phrase, in compressed blocks; each task's
+   hash buckets are counted in duckdb, which goes to disk beyond ``MEMORY``;
 2. phrases of three words and more in the same way, where all their pairs are frequent: a phrase can't be more frequent than
    its pairs. The test is a bit for each frequent pair's hash, in a table of at most ``FILTER_BITS`` bits; a bit that several
    pairs share lets more phrases through to be counted, and none is lost.
@@ -27,17 +27,19 @@ import shutil
 import tempfile
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from .common import LOWER, UPPER, lean, partitions, small_batches, stored
 
 LEAST, TOP, LONGEST, UND = 100, 2000, 5, "und"
 #: What a task holds before it passes sums on: bytes of text, and different phrases.
-HELD_BYTES, HELD_PHRASES = 32 << 20, 300_000
+HELD_BYTES, HELD_PHRASES = 32 << 20, 500_000
 #: The table of frequent pairs: bits for each pair, and at most in all (64 MB).
 PAIR_BITS, FILTER_BITS = 32, 1 << 29
 #: Bits of the table in one row.
@@ -49,20 +51,46 @@ MEMORY = "256MB"
 _PLAIN = bytes.maketrans(UPPER.encode() + b".,;:!?\n\x0b\x0c\r\t", LOWER.encode() + b"\n" * 10 + b" ")
 _SPACES = re.compile(b"  +")
 PIECES = "lang string, piece binary, words int, m bigint"
-GRAMS = "lang string, phrase binary, words int, m bigint"
+GRAMS = "lang string, bucket int, phrases binary, sums binary"
+COUNTS = "lang string, phrase binary, words int, f bigint"
+#: Hash buckets for each task that counts.
+SHARE = 4
 
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("words", pa.int32()), ("m", pa.int64())])
+_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("m", pa.int64())])
 
 
-def _batches(counts: dict[str, Counter[bytes]], first: str) -> Iterator[pa.RecordBatch]:
+def _batches(counts: dict[str, Counter[bytes]]) -> Iterator[pa.RecordBatch]:
+    """Pieces with their numbers of words and of occurrences."""
     for lang, found in counts.items():
         keys = list(found)
         for at in range(0, len(keys), 50_000):
             part = keys[at : at + 50_000]
             sizes = [k.count(b" ") + 1 for k in part]
             arrays = [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()), pa.array(sizes, pa.int32()), pa.array([found[k] for k in part], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["lang", first, "words", "m"])
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "piece", "words", "m"])
+
+
+def _packed(counts: dict[str, Counter[bytes]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """GRAMS: the phrases of each language and hash bucket as one row, compressed."""
+    small = ZstdCompressor().compress
+    for lang, found in counts.items():
+        seed, parts = crc32(lang.encode()), [[] for _ in range(buckets)]
+        for phrase in found:
+            parts[crc32(phrase, seed) % buckets].append(phrase)
+        full = [k for k, part in enumerate(parts) if part]
+        if full:
+            phrases = [small(b"\n".join(parts[k])) for k in full]
+            sums = [small(np.array([found[x] for x in parts[k]], np.int64).tobytes()) for k in full]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full)), pa.array(full, pa.int32()), pa.array(phrases), pa.array(sums)], [x.split()[0] for x in GRAMS.split(", ")])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    large = ZstdDecompressor().decompress
+    for batch in batches:
+        for lang, _, phrases, sums in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            rows = pa.array(large(phrases).split(b"\n"), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(rows)), rows, pa.array(np.frombuffer(large(sums), np.int64))], _SCHEMA.names)
 
 
 @lean
@@ -80,12 +108,12 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= HELD_BYTES:
                 for found in held.values():
                     found.pop(b"", None)
-                yield from _batches(held, "piece")
+                yield from _batches(held)
                 held.clear()
                 size = 0
     for found in held.values():
         found.pop(b"", None)
-    yield from _batches(held, "piece")
+    yield from _batches(held)
 
 
 def pieces(documents: DataFrame) -> DataFrame:
@@ -93,10 +121,10 @@ def pieces(documents: DataFrame) -> DataFrame:
     small_batches(documents.sparkSession)
     lang, text = F.coalesce(F.col("lang").cast("string"), F.lit(UND)), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     split = documents.select(lang.alias("lang"), text.alias("text")).mapInArrow(_split, PIECES)
-    return stored(split.groupBy("lang", "piece", "words").agg(F.sum("m").alias("m")), "pieces")
+    return stored(split.groupBy("lang", "piece", "words").agg(F.sum("m").alias("m")), "pieces", compression="zstd")
 
 
-def _counting(emit: Callable[[str, list[bytes]], list[bytes]], least_words: int) -> Task:
+def _counting(emit: Callable[[str, list[bytes]], list[bytes]], least_words: int, buckets: int) -> Task:
     """The phrases that emit(lang, words) names for each piece, with the pieces' multiplicities, summed as far as a task holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,15 +140,15 @@ def _counting(emit: Callable[[str, list[bytes]], list[bytes]], least_words: int)
                     for gram in grams:
                         found[gram] += m
             if sum(map(len, held.values())) >= HELD_PHRASES:
-                yield from _batches(held, "phrase")
+                yield from _packed(held, buckets)
                 held.clear()
-        yield from _batches(held, "phrase")
+        yield from _packed(held, buckets)
 
     return lean(run)
 
 
-def _counted(grams: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, words, f) of phrases with f >= least: a task for each hash bucket, counted out of core."""
+def _counted(rows: DataFrame, emit: Callable[[str, list[bytes]], list[bytes]], least_words: int, least: int) -> DataFrame:
+    """(lang, phrase, words, f) of the phrases of pieces with f >= least: hash buckets are dealt to tasks, which count out of core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -128,15 +156,18 @@ def _counted(grams: DataFrame, least: int) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="phrases-", dir=os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0])
         try:
             with duckdb.connect(config={"memory_limit": MEMORY, "temp_directory": folder, "threads": 1, "preserve_insertion_order": False}) as db:
-                db.register("rows", pa.RecordBatchReader.from_batches(_SCHEMA, (b.cast(_SCHEMA) for b in batches)))
-                found = db.execute(f"SELECT lang, phrase, any_value(words) AS words, CAST(sum(m) AS BIGINT) AS m FROM rows GROUP BY lang, phrase HAVING sum(m) >= {int(least)}")
+                db.register("rows", pa.RecordBatchReader.from_batches(_SCHEMA, _unpacked(batches)))
+                found = db.execute(f"SELECT lang, phrase, CAST(sum(m) AS BIGINT) AS m FROM rows GROUP BY lang, phrase HAVING sum(m) >= {int(least)}")
                 while chunk := found.fetchmany(10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk, strict=True), _SCHEMA.types, strict=True)], _SCHEMA.names)
+                    lang, phrase, f = zip(*chunk, strict=True)
+                    words = pa.array([x.count(b" ") + 1 for x in phrase], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(phrase, pa.binary()), words, pa.array(f, pa.int64())], ["lang", "phrase", "words", "f"])
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    buckets = grams.repartition(partitions(grams.sparkSession), "lang", "phrase")
-    return buckets.mapInArrow(lean(run), GRAMS).withColumnRenamed("m", "f")
+    tasks = partitions(rows.sparkSession)
+    dealt = rows.mapInArrow(_counting(emit, least_words, SHARE * tasks), GRAMS).repartition(tasks, "bucket")
+    return stored(dealt.mapInArrow(lean(run), COUNTS), "phrases")
 
 
 def _words_and_pairs(lang: str, words: list[bytes]) -> list[bytes]:
@@ -181,8 +212,12 @@ def _longer(table, bits: int, longest: int) -> Callable[[str, list[bytes]], list
         run = 1  # words up to here in a row whose pairs are frequent
         for end, pair in enumerate(map(b" ".join, zip(words, words[1:], strict=False)), 2):
             h = xxh64_intdigest(pair, seed) & mask
-            run = run + 1 if held[h >> 3] >> (h & 7) & 1 else 1
-            out += [b" ".join(words[end - size : end]) for size in range(3, min(run, longest) + 1)]
+            if held[h >> 3] >> (h & 7) & 1:
+                run += 1
+                if run > 2:
+                    out += [b" ".join(words[end - size : end]) for size in range(3, min(run, longest) + 1)]
+            else:
+                run = 1
         return out
 
     return emit
@@ -192,13 +227,12 @@ def phrase_counts(rows: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     """(lang, phrase, words, f): all phrases of up to longest words that come least times or more in pieces()."""
     spark = rows.sparkSession
     small_batches(spark, 10_000)
-    short = stored(_counted(rows.mapInArrow(_counting(_words_and_pairs, 1), GRAMS), least), "phrases")
+    short = _counted(rows, _words_and_pairs, 1, least)
     pairs = short.where("words = 2").select("lang", "phrase")
     if longest < 3 or pairs.isEmpty():
         return short.where(F.col("words") <= longest)
     table, bits = pair_filter(pairs)
-    long = _counted(rows.mapInArrow(_counting(_longer(spark.sparkContext.broadcast(table), bits, longest), 3), GRAMS), least)
-    return short.unionByName(stored(long, "phrases"))
+    return short.unionByName(_counted(rows, _longer(spark.sparkContext.broadcast(table), bits, longest), 3, least))
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:
