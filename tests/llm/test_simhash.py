@@ -85,14 +85,27 @@ def test_a_large_group_of_copies(spark):
     assert Counter(r["component_id"] for r in out.collect()) == {0: 3000, 5000: 1}
 
 
-def test_more_blocks_for_more_fingerprints(spark):
-    assert [S.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [5, 5, 6, 7, 8]
+def test_more_blocks_for_more_fingerprints(spark, monkeypatch):
+    assert [S.blocks_for(n, 4) for n in (0, 512, 513, 10**6, 10**8, 10**10, 10**12)] == [(5, 0), (5, 0), (5, 1), (5, 11), (6, 18), (7, 25), (8, 31)]
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(40)]
     fps = sorted({rng.choice(base) ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 5))) for _ in range(400)})
     df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
     want = components([(k, f) for k, f in enumerate(fps)], lambda a, b: (a ^ b).bit_count() <= 4)
-    for blocks in (5, 6, 8):
-        found = {r["u"]: r["v"] for r in S.contracted(S.link_edges(df, 4, blocks)).collect()}
+    for parts in ((5, 0), (5, 3), (5, 12), (6, 5), (6, 20), (8, 31)):
+        monkeypatch.setattr(S, "blocks_for", lambda count, radius, parts=parts: parts)
+        found = {r["u"]: r["v"] for r in S.contracted(S.link_edges(df, 4)).collect()}
         label = [found.get(f, f) for f in fps]
         assert all((want[a] == want[b]) == (label[a] == label[b]) for a in range(len(fps)) for b in range(a))
+
+
+def test_groups_of_the_query_hold_some_hundreds_and_all_are_indexed(spark, monkeypatch):
+    fps = S.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("fp").distinct()
+    sizes = sorted(r["count"] for r in S.dealt_groups(fps).groupBy("block", "value").count().collect())
+    assert sizes[len(sizes) // 2] >= S.GROUP // 2 and sizes[0] > S.LEAF
+    made = []
+    monkeypatch.setattr(S, "GrayIndex", lambda *a, index=S.GrayIndex: made.append(index(*a)) or made[-1])
+    rng = random.Random(1)
+    for n in (2, 20, sizes[0]):
+        S.spanning_edges(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64).reshape(-1, 1), 4)
+    assert len(made) == 3 and len(made[-1].levels) > 1

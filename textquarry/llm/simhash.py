@@ -6,12 +6,14 @@ of the shingles' XXH64 (seed 42) have it. Fingerprints link at ``radius`` or few
 labelled with the smallest doc_id that links reach.
 
 Equal fingerprints collapse first. Fingerprints that link differ in ``radius`` of n blocks of bits at most, so they agree
-on n - radius blocks at least: each fingerprint goes to the groups named by its values of so many blocks, and links are
-found in a group. The number of blocks follows the number of fingerprints, so that groups stay small at any size. A group
-is one index: fingerprints sorted by Gray rank, with nodes over runs of neighbours that hold the bits all of them share
-(mask and pattern). Pairs of nodes descend together, adding up the differences of their shared bits, and are pruned as a
-whole beyond the radius. A group returns the edges of a spanning forest, not its pairs, so a dense group costs one edge for
-each fingerprint. The edges of all groups are contracted by alternating large-star and small-star steps.
+on n - radius blocks at least: each fingerprint goes to the groups named by its values of so many blocks, or of the first
+bits of them, and links are found in a group. Blocks and bits follow the number of fingerprints, so that groups hold some
+hundreds at any size, and a small table is one group. Each group is one index: fingerprints sorted by Gray rank, with nodes
+over runs of neighbours that hold the bits all of them share (mask and pattern). Pairs of nodes descend together, adding up
+the differences of their shared bits, and are pruned as a whole beyond the radius. A group returns the edges of a spanning
+forest, not its pairs, so a dense group costs one edge for each fingerprint; in groups of over ``DENSE``, those around some
+pivots are joined before the descent, which then leaves out leaves of one component. The edges of all groups are contracted
+by alternating large-star and small-star steps.
 
 ``similar`` uses the index to link texts by the Jaccard similarity of their sets of shingles itself.
 
@@ -35,8 +37,8 @@ from .common import lean, partitions, removed, scratch, small_batches, stored, t
 
 WIDTH, RADIUS, SEED = 4, 4, 42
 LEAF, FANOUT, FRONT, DENSE, PIVOTS = 16, 8, 1 << 17, 2048, 32
-#: Fingerprints that a group has on average, at most.
-GROUP = 1024
+#: Fingerprints that a group has on average, at most, and from half of it on.
+GROUP = 512
 #: Edges in a task, when they are few.
 EDGES = 200_000
 
@@ -170,53 +172,51 @@ class Forest:
 def spanning_edges(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (pairs of places of fps) that connect all that links of the group connect: one fewer than the places at most."""
     n = len(fps)
-    forest = Forest(n)
-    if n <= 2 * LEAF:
-        order = np.arange(n)
-        a, b = np.triu_indices(n, 1)
-        apart = differing(fps[a] ^ fps[b])
-        near = apart <= radius
-        if near.any():
-            forest.link(a[near], b[near], apart[near])
-    else:
-        index = GrayIndex(fps, np.full(n, radius / 2))
-        order = index.order
-        if n > DENSE:  # what lies around a few pivots hangs together and needs no pairs
-            for pivot in range(0, n, n // PIVOTS):
-                apart = differing(index.fps ^ index.fps[pivot])
-                near = np.flatnonzero((apart <= radius) & (np.arange(n) != pivot))
-                if len(near):
-                    forest.link(np.full(len(near), pivot), near, apart[near])
-        for a, b, apart in index.pairs(lambda: forest.label):
-            forest.link(a, b, apart)
+    forest, index = Forest(n), GrayIndex(fps, np.full(n, radius / 2))
+    order = index.order
+    if n > DENSE:  # what lies around a few pivots hangs together and needs no pairs
+        for pivot in range(0, n, n // PIVOTS):
+            apart = differing(index.fps ^ index.fps[pivot])
+            near = np.flatnonzero((apart <= radius) & (np.arange(n) != pivot))
+            if len(near):
+                forest.link(np.full(len(near), pivot), near, apart[near])
+    for a, b, apart in index.pairs(lambda: forest.label):
+        forest.link(a, b, apart)
     if not forest.edges:
         return order[:0], order[:0]
     a, b = (np.concatenate(x) for x in zip(*forest.edges, strict=True))
     return order[a], order[b]
 
 
-def blocks_for(count: int, radius: int) -> int:
-    """The least number of blocks of which fingerprints that link agree on enough bits to part ``count`` into small groups."""
+def blocks_for(count: int, radius: int) -> tuple[int, int]:
+    """Into how many blocks to part fingerprints, and how many bits of n - radius blocks name a group, so that ``count`` of
+    them make groups of GROUP on average at most. No bits: one group."""
+    bits = max(0, (max(count, 1) - 1) // GROUP).bit_length()
     n = radius + 1
-    while n < 4 * radius and count >> (64 * (n - radius) // n) > GROUP:
+    while n < 4 * radius and 64 * (n - radius) // n < bits:
         n += 1
-    return n
+    return n, bits
 
 
-def link_edges(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """(u, v) with v < u: edges that connect all distinct fingerprints that links connect. ``fps`` holds the column fp."""
-    n = blocks or blocks_for(fps.count(), radius)
+def dealt_groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, block, value): the groups that each fingerprint, in the column fp, goes to."""
+    n, bits = blocks_for(fps.count(), radius)
     bounds = [64 * k // n for k in range(n + 1)]
 
     def value(of: tuple[int, ...]) -> Column:
-        """The bits of some blocks, the rest of the fingerprint blank."""
-        bits = sum(((1 << bounds[k + 1]) - (1 << bounds[k])) for k in of)
-        return F.col("fp").bitwiseAND(F.lit(bits - (1 << 64) if bits >> 63 else bits))
-
-    every = list(combinations(range(n), n - radius))
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), value(of).alias("value")) for k, of in enumerate(every)])
-    dealt = fps.select(F.col("fp").alias("node"), F.explode(keys).alias("b")).select("node", "b.block", "b.value")
-    return grouped_edges(dealt, radius)
+        """The first bits of some blocks, as many of each, the rest of the fingerprint blank."""
+        share = -(-bits // len(of))
+        kept = sum((1 << min(bounds[k + 1], bounds[k] + share)) - (1 << bounds[k]) for k in of)
+        return F.col("fp").bitwiseAND(F.lit(kept - (1 << 64) if kept >> 63 else kept))
+
+    every = list(combinations(range(n), n - radius)) if bits else [()]
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), (value(of) if of else F.lit(0).cast("bigint")).alias("value")) for k, of in enumerate(every)])
+    return fps.select(F.col("fp").alias("node"), F.explode(keys).alias("b")).select("node", "b.block", "b.value")
+
+
+def link_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v) with v < u: edges that connect all distinct fingerprints that links connect. ``fps`` holds the column fp."""
+    return grouped_edges(dealt_groups(fps, radius), radius)
 
 
 def grouped_edges(dealt: DataFrame, radius: int) -> DataFrame:
