@@ -64,6 +64,22 @@ def test_runs_are_compacted_and_adding_again_changes_nothing(spark, sf_dir, fano
     hashes.unpersist()
 
 
+def test_the_query_compacts_runs_whatever_the_number_of_files(spark, sf_dir, monkeypatch):
+    """A table of one file gives more batches than the fanout, so that three runs at least are merged before the end."""
+    merged = []
+    compact = L.LineRuns._compact
+
+    def counted(self):
+        before = len(self.paths)
+        compact(self)
+        merged.append(before - len(self.paths))
+
+    monkeypatch.setattr(L.LineRuns, "_compact", counted)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1)
+    assert run(docs) == brute([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    assert len(merged) == L.FANOUT + 1 and sum(x > 0 for x in merged) == 1
+
+
 def test_documents_keep_their_columns(odd):
     out = L.deduped_documents(odd)
     assert out.columns == odd.columns and out.count() == odd.count()

@@ -9,8 +9,9 @@ says how many different documents hold the key (1, 2, or 3 for any more), the sm
 how many lines were seen. With one or two documents those two ids are all the ids there are, so merging entries is exact
 and adding a document again changes nothing. Each new batch is reduced to such entries, merge-anti-joined with the
 runs (what the runs have settled already is not recorded again) and added as a run of level 0; ``fanout`` runs of one
-level are compacted into one of the next. Batches are groups of written files of hashes, as many as the number of lines
-asks for and always more than the fanout.
+level are compacted into one of the next. There are as many batches as the number of lines asks for, and always more than
+the fanout, so that runs are compacted in any table: groups of the written files of hashes or, where those are fewer, the
+rows by ranges of the hash of their doc_id.
 
 Defined cases: a null or empty text is one empty line. Rows with equal doc_id count as one document, and so do all rows
 whose doc_id is null, which comes before every other id. Repeated rows are all returned. Empty tables give empty results.
@@ -134,10 +135,11 @@ class LineRuns:
 
 
 def batched(hashes: DataFrame, files: list[str], fanout: int, batch_lines: int) -> tuple[int, list[DataFrame]]:
-    """How many lines there are, and the batches: the written hashes by groups of their files. Rows of a document may be in
-    several; entries merge all the same."""
+    """How many lines there are, and the batches. Rows of a document may be in several; entries merge all the same."""
     total = hashes.count()
-    n = min(len(files), max(fanout + 1, -(-total // batch_lines)))
+    n = max(fanout + 1, -(-total // batch_lines)) if total else 0
+    if len(files) < n:
+        return total, [hashes.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k) for k in range(n)]
     return total, [hashes.sparkSession.read.schema(hashes.schema).parquet(*files[k::n]) for k in range(n)]
 
 
