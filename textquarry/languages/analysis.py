@@ -7,15 +7,17 @@ of lines with scopes.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import asdict
 
+from . import occurrences
 from .indented import PythonStructure
 from .modula import ModulaStructure, is_modula
-from .registry import language_of
+from .registry import CONTROL, Language, language_of
 from .scanner import Scan, Scanner, blanked
 from .structure import Definition, Lines, Structure
 
-_scanners: dict[str, Scanner] = {}
+_scanners: dict[tuple[str, bool], Scanner] = {}
 BRACE_FUNCTION = re.compile(r"^(?:function|class)\s+([A-Za-z_][A-Za-z0-9_]*)\b", re.A)
 BRACE_CALL = re.compile(r"^.*\b([A-Za-z_][A-Za-z0-9_]*)\s*\([^;]*\)\s*\{?\s*$", re.A)
 
@@ -26,32 +28,97 @@ def source_lines(content: str) -> list[str]:
 
 
 def by_character(text: str, scan: Scan) -> str:
-    """text with a space for each character of comments and literals, where a literal begins with 0, a value to the parser."""
+    """text with a space for each character of comments, literals and markup, where a literal begins with 0, a value to the parser."""
     out, at = [], 0
-    for start, end, value in sorted([(a, b, False) for a, b in scan.comments] + [(a, b, True) for a, b in scan.strings]):
-        start = max(start, at)
+    spans = [(a, -b, " ") for a, b in scan.comments] + [(a, -b, "0") for a, b in scan.strings] + [(a, -b, x) for a, b, x in scan.markup]
+    for start, end, first in sorted(spans):
+        start, end = max(start, at), -end
         if end > start:
             piece = re.sub(r"[^\r\n]", " ", text[start:end])
-            out += [text[at:start], "0" + piece[1:] if value and piece[0] == " " else piece]
+            out += [text[at:start], first + piece[1:] if piece[0] == " " else piece]
             at = end
     return "".join(out) + text[at:]
 
 
+_heads: dict[str, re.Pattern[str]] = {}
+
+
+def lexical_heads(language: Language) -> re.Pattern[str]:
+    """What a line that declares a name looks like: a declaring word in front of it, or a function's head up to its brace."""
+    if language.name in _heads:
+        return _heads[language.name]
+    words = "|".join(re.escape(w) for w, kind in language.heads.items() if kind in ("func", "type", "ns", "enum", "alias"))
+    name = r"`[^`]+`|(?:r#)?[^\W\d][\w$]*"
+    led = rf"(?<![\w.$@])(?:{words})[ \t]*(?:\([^()]*\)|\*|!|<[^<>]*>)?[ \t]*(?<![\w])(?P<led>{name})"
+    called = ""
+    if language.c_functions and language.name not in ("javascript", "typescript"):
+        called = rf"|^[ \t]*(?:[\w:<>,\[\]?]+[ \t*&]+)+(?P<called>[^\W\d]\w*)[ \t]*\([^;{{}}]*\)[^;{{}}()=]*\{{"
+    _heads[language.name] = re.compile(led + called)
+    return _heads[language.name]
+
+
+def merged_regions(regions: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """regions in order, each line in one at most; what lacks something only is part of an error around it."""
+    out: list[tuple[int, int, str]] = []
+    for first, last, kind in sorted(regions, key=lambda r: (r[0], -r[1], r[2])):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], last), min(out[-1][2], kind))
+        else:
+            out.append((first, last, kind))
+    return out
+
+
 class Analysis:
     def __init__(self, path: str, content: str):
         self.language, self.reported = language_of(path)
         self.lines = source_lines(content)
         self.text = "\n".join(self.lines)
-        name = self.language.name
-        if name not in _scanners:
-            _scanners[name] = Scanner(self.language.lexis)
-        self.scan = _scanners[name].scan(self.text)
-        self.structure = self._structure(by_character(self.text, self.scan))
+        name, extension = self.language.name, path.rpartition(".")[2]
+        elements = name == "javascript" or name == "typescript" and extension == "tsx"
+        if (name, elements) not in _scanners:
+            _scanners[name, elements] = Scanner(self.language.lexis, elements)
+        self.scan = _scanners[name, elements].scan(self.text)
+        self.code = by_character(self.text, self.scan)
+        self.structure = self._structure(self.code)
         self.defs: list[Definition] = self.structure.defs if self.structure else self._brace_definitions()
         self.scopes: list[tuple[int, int]] = self.structure.scopes if self.structure else []
         self.imports: list[tuple[int, int]] = self.structure.imports if self.structure else []
+        #: Where the text is damaged: (first line, last line, "error" or "missing").
+        self.regions = merged_regions([*self.structure.regions, *self._unterminated()]) if self.structure else []
+        if self.regions and self.language.style == "brace":
+            self.defs = sorted([*self.defs, *self._admitted()], key=lambda d: (d.line, d.col, d.symbol))
         self._winners()
 
+    def _unterminated(self) -> list[tuple[int, int, str]]:
+        """Comments and literals that end with their line or the file, and not as they should."""
+        if self.language.style != "brace":
+            return []
+        at, found = Lines(self.text), []
+        for start, end in self.scan.comments:
+            if self.text.startswith("/*", start) and (end - start < 4 or not self.text.endswith("*/", start, end)):
+                found.append((at.line(start), at.line(end), "error"))
+        for start, end in self.scan.strings if not self.scan.markup else []:
+            if end == len(self.text) or self.text[end] == "\n":
+                opening = re.match(r"[A-Za-z@$]*#*(\"+|'|`)", self.text[start : start + 40])
+                if opening and (end - start <= len(opening[0]) or self.text[end - 1] not in "\"'`#{("):
+                    found.append((at.line(start), at.line(max(start, end - 1)), "error"))
+        return found
+
+    def _admitted(self) -> list[Definition]:
+        """Names that a line's text declares, where the line lies in a damaged region and the structure does not have them."""
+        language, have = self.language, {(d.symbol, d.line) for d in self.defs}
+        declares = lexical_heads(language)
+        lines, at = self.code.split("\n"), Lines(self.text)
+        found = []
+        for first, last, _ in self.regions:
+            for number in range(first, min(last, len(lines)) + 1):
+                for m in declares.finditer(lines[number - 1]):
+                    symbol = m[m.lastgroup or 0].strip("`")
+                    if symbol not in CONTROL and symbol not in language.heads and symbol not in language.modifiers and (symbol, number) not in have:
+                        have.add((symbol, number))
+                        found.append(Definition(symbol, number, at.col(at.starts[number - 1] + m.start(m.lastgroup or 0)), number, number, 0, False))
+        return found
+
     def _structure(self, code: str) -> Structure | PythonStructure | ModulaStructure | None:
         if self.language.style == "indent":
             return PythonStructure(self.text, code, self.scan)
@@ -204,8 +271,8 @@ class Analysis:
         if not hasattr(self, "_spliced"):
             self._spliced: dict[int, list[tuple[str, int]]] = {}
             if self.language.name in ("c", "cpp") and "\\\n" in self.text:
-                code, at = by_character(self.text, self.scan), Lines(self.text)
-                for m in re.finditer(r"(?<!\w)[^\W\d]\w*(?:\\\n\w+)+", code):
+                at = Lines(self.text)
+                for m in re.finditer(r"(?<!\w)[^\W\d]\w*(?:\\\n\w+)+", self.code):
                     pieces = m[0].split("\\\n")
                     first = at.line(m.start())
                     self._spliced.setdefault(first, []).append(("".join(pieces), 1))
@@ -213,6 +280,23 @@ class Analysis:
                         self._spliced.setdefault(first + k, []).append((piece, -1))
         return self._spliced
 
+    def occurrences(self, symbols: Sequence[str], search: list[str]) -> dict[int, list[tuple[str, list[int]]]]:
+        """By line, the byte columns of symbols that this language counts by tokens, in the lines searched."""
+        found: dict[int, list[tuple[str, list[int]]]] = {}
+        at = Lines(self.text)
+        for symbol in symbols:
+            if not occurrences.counted(self.language.name, symbol):
+                continue
+            here: dict[int, list[int]] = {}
+            for number, line in enumerate(search, 1):
+                for k in occurrences.columns(self.language.name, line, symbol):
+                    here.setdefault(number, []).append(len(line[:k].encode("utf-8", "surrogatepass")) + 1)
+            for k in occurrences.apart(self.language.name, self.code, symbol):
+                here.setdefault(at.line(k), []).append(at.col(k))
+            for number, places in here.items():
+                found.setdefault(number, []).append((symbol, sorted(places)))
+        return found
+
     @property
     def by_line(self) -> dict[int, list[Definition]]:
         if not hasattr(self, "_by_line"):

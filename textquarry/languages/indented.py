@@ -22,12 +22,16 @@ class PythonStructure:
         self.defs: list[Definition] = []
         self.scopes: list[tuple[int, int]] = []
         self.imports: list[tuple[int, int]] = []
+        self.regions: list[tuple[int, int, str]] = []
         tree = None
         if len(text) <= MOST_BYTES:
             try:
                 with warnings.catch_warnings(action="ignore"):
                     tree = ast.parse(text)
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
+            except SyntaxError as e:
+                line = min(max(1, e.lineno or 1), max(1, text.count("\n") + 1))
+                self.regions.append((line, max(line, e.end_lineno or line), "error"))
+            except (ValueError, RecursionError, MemoryError):
                 tree = None
         self._logical_lines(text, code, tree is None)
         if tree is not None:

@@ -24,6 +24,7 @@ class ModulaStructure:
         self.defs: list[Definition] = []
         self.scopes: list[tuple[int, int]] = []
         self.imports: list[tuple[int, int]] = []
+        self.regions: list[tuple[int, int, str]] = []
         if not is_modula(code):
             return
         found = list(TOKEN.finditer(code))

@@ -27,6 +27,8 @@ class Scan:
     comments: list[Span] = field(default_factory=list)
     strings: list[Span] = field(default_factory=list)
     docstrings: list[Span] = field(default_factory=list)
+    #: Tags and texts of elements in code (JSX), with the character that stands for each to a parser.
+    markup: list[tuple[int, int, str]] = field(default_factory=list)
 
 
 #: After these a slash begins a regular expression.
@@ -35,14 +37,22 @@ WORDS_BEFORE_REGEX = {"return", "typeof", "case", "in", "of", "delete", "void",
 JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*")
 
 
+ELEMENT = re.compile(r"<(?=[A-Za-z_$>])(?!\s*[\w$]+\s*(?:,|extends\b))")
+IN_TAG = re.compile(r"""[{"'<]|/?>|/\*""")
+IN_CHILDREN = re.compile(r"[{<]")
+WORDS_BEFORE_ELEMENT = WORDS_BEFORE_REGEX | {"default"}
+
+
 class Scanner:
-    def __init__(self, lexis: Lexis):
+    def __init__(self, lexis: Lexis, elements: bool = False):
         self.lexis = lexis
         arms = [f"(?P<line>{'|'.join(map(re.escape, lexis.line_comments))})"] if lexis.line_comments else []
         arms += [f"(?P<block>{'|'.join(re.escape(a) for a, _ in lexis.blocks)})"] if lexis.blocks else []
         arms += [f"(?P<s{k}>{opening})" for k, (opening, *_rest) in enumerate(lexis.strings)]
         if lexis.regex_literals:
             arms.append("(?P<slash>/)")
+        if elements:
+            arms.append("(?P<element><)")
         arms.append(r"(?P<brace>[{}()])")
         self.token = re.compile("|".join(arms))
         self.closers = dict(lexis.blocks)
@@ -50,8 +60,8 @@ class Scanner:
 
     def scan(self, text: str) -> Scan:
         out = Scan()
-        # Literals that code inside them interrupts wait on a stack (kind, closing text, brackets open around them), so
-        # depth has no limit.
+        # Literals and elements that code inside them interrupts wait on a stack (kind, closing text, brackets open around
+        # them), so depth has no limit. An element's kind is -1 - the elements that are open, its text is the mode.
         waiting: list[tuple[int, str, int]] = []
         at, depth, n = 0, 0, len(text)
         while at < n:
@@ -70,6 +80,13 @@ class Scanner:
                 if (r := JS_REGEX.match(text, start)) and self._regex_may_begin(text, start):
                     at = r.end()
                     out.strings.append((start, at))
+            elif kind == "element":
+                if not self._element_begins(text, start):
+                    continue
+                at, state = self._markup(text, start + 1, 1, "tag" if text[at : at + 1] != ">" else "open", start, out)
+                if state:
+                    waiting.append((*state, depth))
+                    depth = 0
             elif kind == "brace" and m[0] in "{(":
                 depth += 1
             elif kind == "brace" and not (waiting and depth == 0):
@@ -77,6 +94,12 @@ class Scanner:
             else:
                 if kind == "brace":
                     number, close, depth = waiting.pop()
+                    if number < 0:
+                        at, state = self._markup(text, at, -1 - number, close, start, out)
+                        if state:
+                            waiting.append((*state, depth))
+                            depth = 0
+                        continue
                 else:
                     number = int(kind[1:])
                     close = self._closing(m[0], self.lexis.strings[number][1])
@@ -87,6 +110,70 @@ class Scanner:
                     depth = 0
         return out
 
+    @staticmethod
+    def _element_begins(text: str, at: int) -> bool:
+        """Whether the < at a place opens an element: a value is expected there, and a tag follows."""
+        if not ELEMENT.match(text, at):
+            return False
+        before = text[max(0, at - 400) : at].rstrip()
+        if not before or before[-1] in BEFORE_REGEX - {"<"}:
+            return True
+        word = re.search(r"[A-Za-z_$][\w$]*$", before)
+        return bool(word and word[0] in WORDS_BEFORE_ELEMENT)
+
+    @staticmethod
+    def _markup(text: str, at: int, open_: int, mode: str, start: int, out: Scan) -> tuple[int, tuple[int, str] | None]:
+        """Read markup from at on, with so many elements open: in a ``tag``, behind ``<`` of a fragment (``open``) or among
+        ``children``. Where code begins in it, what waits for its end: the number of open elements, coded, and the mode."""
+        first = "0" if mode != "children" and text[start] == "<" else " "
+        n = len(text)
+        while at < n:
+            if mode == "open":
+                at, mode = at + 1, "children"
+            elif mode == "tag":
+                m = IN_TAG.search(text, at)
+                if m is None:
+                    break
+                at = m.end()
+                if m[0] == "{":
+                    out.markup.append((start, at - 1, first))
+                    out.markup.append((at - 1, at, ","))
+                    return at, (-1 - open_, "tag")
+                if m[0] in "\"'":
+                    end = text.find(m[0], at)
+                    at = n if end < 0 else end + 1
+                    out.strings.append((m.start(), at))
+                elif m[0] == "/*":
+                    end = text.find("*/", at)
+                    at = n if end < 0 else end + 2
+                    out.comments.append((m.start(), at))
+                elif m[0] == "/>":
+                    open_, mode = open_ - 1, "children"
+                elif m[0] == ">":
+                    mode = "children"
+            else:
+                m = IN_CHILDREN.search(text, at)
+                end = m.start() if m else n
+                if text[at:end].strip():
+                    out.strings.append((at, end))
+                if m is None:
+                    at = n
+                    break
+                at = m.end()
+                if m[0] == "{":
+                    out.markup.append((start, at - 1, first))
+                    out.markup.append((at - 1, at, ","))
+                    return at, (-1 - open_, "children")
+                if text.startswith("/", at):
+                    end = text.find(">", at)
+                    at, open_ = n if end < 0 else end + 1, open_ - 1
+                else:
+                    open_, mode = open_ + 1, "open" if text.startswith(">", at) else "tag"
+            if not open_:
+                break
+        out.markup.append((start, at, first))
+        return at, None
+
     @staticmethod
     def _closing(opening: str, closing: str | None) -> str:
         if closing is None:  # the quote itself, or Rust's and Swift's hashes the other way round, or C++'s delimiter

@@ -11,6 +11,7 @@ import unicodedata
 from bisect import bisect_right
 from dataclasses import dataclass
 
+from ..functions.text import RUST_NEVER
 from .registry import CONTROL, Language
 from .scanner import Scan
 
@@ -19,7 +20,9 @@ TOKEN = re.compile(r"@?[\w$·]+|\d[\w.]*|=>|->|::|\?\.|&&|\|\||==|!=|<=|>=|[^\s\
 TICKED = re.compile(r"`[^`\n]+`|" + TOKEN.pattern)
 NAMED_CHARACTER = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\N\{[A-Z0-9 -]+\}"
 SPELLED = re.compile(rf"(?:[^\W\d]|{NAMED_CHARACTER})(?:[\w$]|{NAMED_CHARACTER})*|" + TOKEN.pattern)
-WORD = re.compile(r"@?[^\W\d][\w$]*$|\$[\w$]*$")
+#: With raw identifiers (Rust).
+RAW = re.compile(r"r#[^\W\d]\w*|" + TOKEN.pattern)
+WORD = re.compile(r"(?:@|r#)?[^\W\d][\w$]*$|\$[\w$]*$")
 #: A line that ends, or begins, with one of these goes on.
 GOES_ON_AFTER = set(", ( [ { = => -> + - * / % & | ^ < ? : . :: ?. && || == != <= >= ! ~".split()) | {"else", "extends", "implements", "where", "in", "is", "as", "return", "throws", "with", "by"}
 GOES_ON_BEFORE = set(". ?. && || ? : = => -> == != <= >= , ) ] * / % | & ^ { +".split()) | {"else", "catch", "finally", "where", "throws", "extends", "implements", "by", "as", "is", "in"}
@@ -75,18 +78,26 @@ class Structure:
         self.defs: list[Definition] = []
         self.scopes: list[tuple[int, int]] = []
         self.imports: list[tuple[int, int]] = []
+        #: What is found before there are tokens.
+        self.early_regions: list[tuple[int, int, str]] = []
         if language.lexis.preprocessor:
             code = self._preprocessor(code)
         self.t: list[str] = []
         self.o: list[int] = []
-        pattern = TICKED if language.name in ("kotlin", "swift") else SPELLED if language.name in ("c", "cpp") else TOKEN
+        pattern = {"kotlin": TICKED, "swift": TICKED, "c": SPELLED, "cpp": SPELLED, "rust": RAW}.get(language.name, TOKEN)
         for m in pattern.finditer(code.replace("<%", "{ ").replace("%>", "} ") if language.name in ("c", "cpp") else code):
             self.t.append(spelled_out(m[0]) if "\\" in m[0] else m[0])
             self.o.append(m.start())
         if len(self.t) > MOST_TOKENS:
             self.t, self.o = [], []
+        #: Regions where the text is no sentence of the language: (first line, last line, "error" or "missing").
+        self.regions: list[tuple[int, int, str]] = self.early_regions
         self.mate = self._matched()
+        if language.name == "typescript":
+            self._reference_directives()
         self._block(0, len(self.t), "file")
+        if language.name in ("javascript", "typescript"):
+            self._named_expressions()
         self.defs = sorted(dict.fromkeys(self.defs), key=lambda d: (d.line, d.col, d.symbol))
         self.scopes = sorted(set(self.scopes))
         self.imports = sorted(set(self.imports))
@@ -94,7 +105,16 @@ class Structure:
     # -- tokens
 
     def _matched(self) -> list[int]:
-        mate, stack = [-1] * len(self.t), []
+        """For each bracket its mate; where brackets don't match, the text is mended first."""
+        mate, wrong = self._pairs_of_brackets()
+        if any(a < b for a, b in wrong) and self._resynchronised():
+            mate, wrong = self._pairs_of_brackets()
+        self.regions += [(self.line_of(a), self.line_of(b), "error") for a, b in wrong]
+        return mate
+
+    def _pairs_of_brackets(self) -> tuple[list[int], list[tuple[int, int]]]:
+        """Mates, and what has none: a closing bracket, or an opening one and the token that ends what is around it."""
+        mate, stack, wrong = [-1] * len(self.t), [], []
         for k, token in enumerate(self.t):
             if token in PAIRS:
                 stack.append(k)
@@ -104,12 +124,94 @@ class Structure:
                     j -= 1
                 if j >= 0 and (token == "}" or not any(self.t[x] == "{" for x in stack[j + 1 :])):
                     mate[k], mate[stack[j]] = stack[j], k
+                    wrong += [(x, k) for x in stack[j + 1 :]]
                     del stack[j:]
-        return mate
+                else:
+                    wrong.append((k, k))
+        return mate, wrong + [(x, len(self.t) - 1) for x in stack]
+
+    def _resynchronised(self) -> bool:
+        """Closes brackets that stand open where a declaration begins a line no further in than the line that opened them: that
+        is where a reader takes them for forgotten. Each is recorded as missing at the end of the token before."""
+        tokens, offsets, stack, changed = [], [], [], False
+        indent = lambda o: o - self.at.starts[self.at.line(o) - 1]
+        before = -1
+        for k, (token, offset) in enumerate(zip(self.t, self.o, strict=True)):
+            line = self.at.line(offset)
+            if stack and line != before and self._declares(k):
+                column = indent(offset)
+                first = len(tokens)
+                while stack and column <= stack[-1][1] and line > stack[-1][2]:
+                    opening, _, _ = stack.pop()
+                    tokens.append(PAIRS[opening])
+                    offsets.append(max(self.o[k - 1] + len(self.t[k - 1]) - 1, self.o[k - 1]))
+                if len(tokens) > first:
+                    if tokens[-1] != "}":  # what stood open ends a statement
+                        tokens.append(";")
+                        offsets.append(offsets[-1])
+                    at = self.at.line(offsets[first])
+                    self.regions.append((at, at, "missing"))
+                    changed = True
+            before = line
+            tokens.append(token)
+            offsets.append(offset)
+            if token in PAIRS:
+                begin = self.at.starts[line - 1]
+                text = self.text[begin:offset]
+                stack.append((token, len(text) - len(text.lstrip()), line))
+            elif token in ")]}":
+                j = len(stack) - 1
+                while j >= 0 and PAIRS[stack[j][0]] != token:
+                    j -= 1
+                if j >= 0:
+                    del stack[j:]
+        if changed:
+            self.t, self.o = tokens, offsets
+        return changed
+
+    def _declares(self, k: int) -> bool:
+        """Whether token k may begin a declaration: one of the language's words for it, behind modifiers."""
+        t, heads, modifiers = self.t, self.language.heads, self.language.modifiers
+        for j in range(k, min(k + 6, len(t))):
+            if t[j] in heads:
+                return j + 1 < len(t) and t[j] not in ("const", "let", "var", "val", "static", "using", "event", "init", "case") and (self.is_word(j + 1) or t[j + 1] in ("(", "<", "[", "*"))
+            if t[j] not in modifiers:
+                # TYPE NAME(...) {
+                return self.language.c_functions and self.language.name not in ("javascript", "typescript") and self._function_head(j)
+        return False
+
+    def _function_head(self, k: int) -> bool:
+        t = self.t
+        if not self.is_word(k) or t[k] in CONTROL:
+            return False
+        words = 0
+        while k < len(t) and (self.is_word(k) or t[k] in ("*", "&", "::", "<", ">", ",", "[", "]", "?", ".")) and t[k] not in CONTROL:
+            words += self.is_word(k)
+            k += 1
+        if words < 2 or k >= len(t) or t[k] != "(":
+            return False
+        depth = 0
+        for j in range(k, min(k + 400, len(t))):
+            depth += (t[j] == "(") - (t[j] == ")")
+            if not depth:
+                return j + 1 < len(t) and (t[j + 1] == "{" or t[j + 1] in ("throws", "const", "noexcept", "override", "where"))
+            if t[j] in "{};":
+                return False
+        return False
+
+    def _reference_directives(self) -> None:
+        """Directives in comments in front of all code that name other files."""
+        first = self.o[0] if self.o else len(self.text)
+        for start, end in self.scan_.comments:
+            if start >= first:
+                break
+            if re.match(r"""///\s*<(?:reference\s[^>]*\b(?:path|types|lib)|amd-dependency\s[^>]*\bpath)\s*=\s*(?:"[^"]+"|'[^']+')[^>]*/>""", self.text[start:end]):
+                self.imports.append((self.at.line(start), self.at.line(start)))
 
     def _preprocessor(self, code: str) -> str:
         """Record #define, #include and #using lines, and blank all directives with the lines they go on to."""
         out, at = [], 0
+        found: list[tuple[int, str]] = []
         for m in re.finditer(r"^[ \t]*#[ \t]*(\w+)(?:[^\n\\]|\\[^\n]|\\\n)*", code, re.M):
             name, first, last = m[1], self.at.line(m.start(1)), self.at.line(max(m.start(1), m.end() - 1))
             if name == "define" and (d := re.match(r"\s+(\w+)", code[m.end(1) : m.end()])):
@@ -117,10 +219,63 @@ class Structure:
                 self.defs.append(Definition(d[1], self.at.line(o), self.at.col(o), first, last, self.at.col(m.end()), last > first))
             elif name in ("include", "embed", "import"):
                 self.imports.append((first, last))
+            elif name.startswith(("if", "el", "endif")):
+                found.append((m.start(1), name))
             out.append(code[at : m.start()])
             out.append(re.sub(r"[^\n]", " ", m[0]))
             at = m.end()
-        return "".join(out) + code[at:]
+        code = "".join(out) + code[at:]
+        return self._conditional(code, found) if found else code
+
+    def _conditional(self, code: str, directives: list[tuple[int, str]]) -> str:
+        """#if groups: each group and each branch behind its first is a scope. A group is compiled with one branch, so brackets
+        that a branch leaves open, or closes beyond it, stand for those of its group once: those of the first branch that has
+        any stay, and its siblings' are blanked."""
+        scopes = self.language.name in ("c", "cpp")
+        gone: list[int] = []
+        # Open groups: (line, [branches of (line, brackets left)]); the outermost stands for the file.
+        stack: list[tuple[int, list[tuple[int, list[int]]]]] = [(0, [(0, [])])]
+
+        def meet(left: list[int], k: int) -> None:
+            """Bracket k behind those that are left unmatched."""
+            if left and PAIRS.get(code[left[-1]]) == code[k]:
+                left.pop()
+            else:
+                left.append(k)
+
+        at = ended = 0  # where the last group ended
+        for offset, name in [*directives, (len(code), "")]:
+            left = stack[-1][1][-1][1]
+            for m in re.finditer(r"[][(){}]", code[at:offset]):
+                meet(left, at + m.start())
+            at, line = offset, self.at.line(offset)
+            if name.startswith("if"):
+                stack.append((line, [(line, [])]))
+            elif len(stack) == 1:
+                if name:
+                    self.early_regions.append((line, line, "error"))
+            elif name.startswith("el"):
+                stack[-1][1].append((line, []))
+            elif name == "endif":
+                first, branches = stack.pop()
+                kept = next((left for _, left in branches if left), [])
+                gone += [k for _, left in branches if left is not kept for k in left]
+                for k in kept:
+                    meet(stack[-1][1][-1][1], k)
+                if scopes:
+                    content = code[: self.at.starts[line - 1]].rstrip()
+                    last = max(self.at.line(len(content) - 1) if content else 0, branches[-1][0], ended if ended > first else 0)
+                    self.scopes.append((first, line))
+                    for begin, _ in branches[1:]:
+                        # an #elif goes on to the end of what comes behind it
+                        self.scopes.append((begin, max(begin, last)))
+                ended = line
+        for first, branches in stack[1:]:  # without #endif
+            self.early_regions.append((first, self.at.line(len(code)), "error"))
+        if not gone:
+            return code
+        cut = set(gone)
+        return "".join(" " if k in cut else c for k, c in enumerate(code))
 
     def line_of(self, k: int) -> int:
         return self.at.line(self.o[k])
@@ -210,6 +365,8 @@ class Structure:
         last = end - 1
         if k >= end or t[k] in ";,)]}":
             return self._bodies(first, end, first, "func")
+        if lang.name == "csharp" and t[k] == "global" and k + 1 < end and t[k + 1] == "using":
+            k += 1
         if t[k] in lang.imports and context in ("file", "ns") or (t[k] == "require" and lang.name in ("javascript", "typescript")):
             if not (lang.name == "csharp" and k + 1 < end and t[k + 1] == "(") and not (t[k] == "extern" and not (k + 1 < end and t[k + 1] in ("crate", "alias"))):
                 self.imports.append((self._doc_start(first) if lang.name == "rust" else self.line_of(first), self.line_of(last)))
@@ -350,7 +507,7 @@ class Structure:
         """A definition named by token name that reaches from token first to token last."""
         ticked = symbol is None and self.t[name].startswith("`")
         symbol = symbol or self.t[name].lstrip("@").strip("`")
-        if symbol in ("_", ""):
+        if symbol in ("_", "") or symbol[:2] == "r#" and symbol[2:] in RUST_NEVER or symbol == "r" and self.language.name == "rust" and self.t[name + 1 : name + 2] == ["#"]:
             return
         line = self.line_of(name)
         column = self.at.col(self.o[name]) + ticked
@@ -598,11 +755,10 @@ class Structure:
                 if self.is_word(j) and t[j + 1] in (",", "}", "]", ")", "=") and t[j - 1] not in (".", "="):
                     self._define(j, first, end - 1, False)
             return self._bodies(self.mate[k], end, first, "func")
+        if lang.name == "csharp":
+            k = self._past_type(k, end)
         while k < end and self.is_word(k):
-            if lang.name in ("csharp",) and k + 1 < end and self.is_word(k + 1):
-                k += 1
-                continue
-            if lang.name == "kotlin":
+            if lang.name in ("kotlin", "csharp"):
                 while k + 2 < end and t[k + 1] == "." and self.is_word(k + 2):
                     k += 2
             stop = k + 1
@@ -617,6 +773,36 @@ class Structure:
             k = stop + 1
         return self._bodies(at, end, first, "object" if lang.name in ("javascript", "typescript") else "func")
 
+    def _switch_entries(self, body: int) -> None:
+        """Each entry of a switch is a scope that the next entry of the same switch ends."""
+        t, k, stop = self.t, body + 1, self.mate[body]
+        entries: list[int] = []
+        while k < stop:
+            if t[k] in PAIRS and self.mate[k] > k:
+                k = self.mate[k] + 1
+                continue
+            opens = t[k] in ("case", "default") and (t[k - 1] in ("{", ";", "@unknown") or self.line_of(k) > self.line_of(k - 1)) and t[k - 1] not in (".", "if", "guard", "while", "for", ",")
+            if opens:
+                entries.append(k - (t[k - 1] == "@unknown"))
+            k += 1
+        for k, following in zip(entries, [*entries[1:], stop - 1], strict=True):
+            self.scopes.append((self.line_of(k), self.line_of(following)))
+
+    def _past_type(self, k: int, end: int) -> int:
+        """Behind a type's name with its arguments, array ranks and marks."""
+        t = self.t
+        while k < end and self.is_word(k):
+            k += 1
+            if k < end and t[k] == "<":
+                k = self._past_angle(k, end)
+            if k + 1 < end and t[k] in (".", "::") and self.is_word(k + 1):
+                k += 1
+                continue
+            while k < end and (t[k] in ("?", "*") or t[k] == "[" and self.mate[k] > k):
+                k = self.mate[k] + 1 if t[k] == "[" else k + 1
+            break
+        return k
+
     def _go_group(self, at: int, each) -> list[tuple[int, int, str]]:  # noqa: ANN001
         stop, k, found = self.mate[at + 1], at + 2, []
         while 0 < k < stop:
@@ -665,6 +851,8 @@ class Structure:
             return []
         while lang.name == "java" and k + 1 < end and t[k] == "synchronized" and t[k + 1] != "(":
             k += 1
+        if lang.name == "swift" and t[k] == "switch" and body >= 0 and self.mate[body] > body:
+            self._switch_entries(body)
         if t[k] in CONTROL and t[k] not in ("default", "operator", "new", "match", "using", "delete", "get", "set") or t[k] in ("package", "goto", "assert"):
             return self._bodies(k, end, first, "func")
         if context == "object" and lang.name in ("javascript", "typescript"):
@@ -674,7 +862,14 @@ class Structure:
             paren = k
             while paren < stop and t[paren] != "(" and t[paren] != "=":
                 paren = self.mate[paren] + 1 if t[paren] == "[" and self.mate[paren] > paren else self._past_angle(paren, stop) if t[paren] == "<" and lang.name in ("java", "csharp", "cpp", "typescript") else paren + 1
+            if lang.name == "cpp" and paren > k and t[paren - 1] == "operator" and self.mate[paren] == paren + 1 and paren + 2 < stop and t[paren + 2] == "(":
+                paren += 2  # the call operator
             name = paren - 1
+            if lang.name in ("c", "cpp") and paren < stop and t[paren] == "(" and self.mate[paren] > 0:
+                inner = self._declarator(paren, "typedef" in t[first:paren])
+                if inner >= 0:
+                    self._define(inner, first, self.mate[body] if body >= 0 and self.mate[body] > 0 else end - 1, body >= 0)
+                    return self._bodies(k, end, first, "func")
             if name >= k and t[name] == ">" :
                 while name > k and t[name] != "<":
                     name -= 1
@@ -694,6 +889,8 @@ class Structure:
                     if "operator" in t[k:paren]:
                         at = t.index("operator", k, paren)
                         symbol = "operator" + "".join(t[at + 1 : paren])
+                        if lang.name == "cpp":  # as it is spelled
+                            symbol = " ".join(self.text[self.o[at] : self.o[paren]].split())
                         if lang.name == "csharp":
                             checked, rest = " checked" * (t[at + 1] == "checked"), t[at + 1 + (t[at + 1] == "checked") : paren]
                             converts = next((x for x in t[k:at] if x in ("implicit", "explicit")), None)
@@ -712,6 +909,19 @@ class Structure:
             self._c_values(first, k, end, body, context)
         return self._bodies(k, end, first, "func" if context != "file" or body < 0 or t[k] != "extern" else "file")
 
+    def _declarator(self, paren: int, typedef: bool) -> int:
+        """The name in a declarator in parentheses, such as (*NAME)(...), -1 if these are none."""
+        t, k, stop, pointer = self.t, paren + 1, self.mate[paren], False
+        if stop + 1 >= len(t) or t[stop + 1] not in ("(", "["):
+            return -1
+        while k < stop and (t[k] in ("*", "&", "&&", "^", "const", "volatile", "restrict", "::") or self.is_word(k) and k + 1 < stop and (t[k + 1] in ("::", "*") or self.is_word(k + 1))):
+            pointer |= t[k] in ("*", "&", "&&", "^")
+            k += 1
+        if k < stop and t[k] == "(" and self.mate[k] > k and pointer:
+            return self._declarator(k, True)
+        named = k < stop and self.is_word(k) and t[k] not in CONTROL and (k + 1 == stop or t[k + 1] in ("(", "["))
+        return k if named and (pointer or typedef and k + 1 == stop) else -1
+
     def _c_values(self, first: int, k: int, end: int, body: int, context: str) -> None:
         """TYPE NAME [= VALUE] {, NAME [= VALUE]}; and properties."""
         t, lang = self.t, self.language
@@ -785,6 +995,21 @@ class Structure:
             return self._bodies(k, end, first, "object" if equals + 1 < end and t[equals + 1] == "{" else "func")
         return self._bodies(k, end, first, "object" if t[k] in ("return", "export") else "func")
 
+    def _named_expressions(self) -> None:
+        """Functions and classes with a name that stand within expressions."""
+        t, have = self.t, {(d.line, d.col) for d in self.defs}
+        for k, x in enumerate(t):
+            if x not in ("function", "class") or k and t[k - 1] in (".", "?."):
+                continue
+            name = k + 1 + (t[k + 1 : k + 2] == ["*"])
+            if name + 1 >= len(t) or not self.is_word(name) or t[name] in ("extends", "implements"):
+                continue
+            j = self.mate[name + 1] + 1 if t[name + 1] == "(" and self.mate[name + 1] > 0 else name + 1
+            while j < len(t) and t[j] not in ("{", ";", ")", "}", "="):
+                j += 1
+            if j < len(t) and t[j] == "{" and self.mate[j] > j and (self.line_of(name), self.at.col(self.o[name])) not in have:
+                self._define(name, k - (k > 0 and t[k - 1] == "async"), self.mate[j], True)
+
     def _pairs(self, k: int, end: int) -> None:
         t = self.t
         while k < end:

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import render
 from ..functions import text as T
+from ..languages import occurrences
 from ..operators import diffs, ranges, results, search
 from ..sources.corpus import Corpus, analysed_files, analysed_lines
 from ..sources.manifests import OBJECT_ID
 from ..streaming import budget
-from . import samples, verbs
+from . import code, verbs
 from .options import Options
 
 SYMBOLS = ("the", "was", "ention")
@@ -538,37 +539,58 @@ def identifier_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", *[T.is_identifier(F.col("word"), n).alias(n) for n in ("go", "modula", "kotlin", "csharp")])
 
 
-# -- the languages, over samples of code
+# -- the languages, over files of code built from documents
 
 
-def sample_files(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(samples.SOURCES.items()), "path string, content string")
+def document_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.code_files(table(spark, sf_dir, "documents"))
 
 
-def values(rows: list[tuple], columns: str) -> str:
-    said = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS t({columns})"
-
-
-@query(values(samples.DEFINITIONS, "path, symbol, line"))
+@query(code.rows_sql(lambda f: f.definitions, "symbol, line, scope_start, scope_end"))
 def language_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysed_files(sample_files(spark)).select("path", F.explode("defs").alias("d")).select("path", "d.symbol", "d.line")
+    """All that the files declare: symbols, and the lines that belong to them."""
+    return analysed_files(document_code(spark, sf_dir)).select("path", F.explode("defs").alias("d")).select("path", "d.symbol", "d.line", "d.scope_start", "d.scope_end").distinct()
 
 
-@query(values(samples.IMPORTS, "path, import_start, import_end"))
+@query(code.rows_sql(lambda f: [f.imports] if f.imports else [], "import_start, import_end"))
 def language_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysed_files(sample_files(spark)).where("import_start IS NOT NULL").select("path", "import_start", "import_end")
+    return analysed_files(document_code(spark, sf_dir)).where("import_start IS NOT NULL").select("path", "import_start", "import_end")
 
 
-@query(values(samples.SCOPES, "path, line, scope, start_line, end_line"))
+@query(code.rows_sql(lambda f: f.targets, "line, scope, start_line, end_line"))
 def language_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scope of each line that says target, where that is code."""
-    lines = analysed_lines(sample_files(spark), True, True).where(F.col("structural").contains("target"))
-    return lines.select("path", F.col("line_no").alias("line"), "scope", F.col("nav_start").alias("start_line"), F.col("nav_end").alias("end_line"))
+    """The scope of each line that says target as a name, where that is code."""
+    lines = analysed_lines(document_code(spark, sf_dir), True, True, symbols=("target",), only=True)
+    counted = F.when(F.col("lang").isin(*occurrences.BY_TOKEN), F.exists("tokens", lambda x: x["symbol"] == "target")).otherwise(F.col("search").rlike(r"\btarget\b"))
+    return lines.where(counted).select("path", F.col("line_no").alias("line"), "scope", F.col("nav_start").alias("start_line"), F.col("nav_end").alias("end_line"))
 
 
-@query(values(samples.REFERENCES, "path, line, scope, kind"))
+@query(code.rows_sql(lambda f: [(at, scope, "ref") for at, scope, _, _ in f.targets], "line, scope, kind"))
 def language_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where target is said, but for comments and strings."""
-    rows = verbs.find(Corpus.from_table(sample_files(spark)), "target", Options(include="both", no_comments=True, no_strings=True, returns="line"))
+    """Where target is said, but for comments, strings and numbers."""
+    rows = verbs.find(Corpus.from_table(document_code(spark, sf_dir)), "target", Options(include="both", no_comments=True, no_strings=True, returns="line"))
     return rows.select("path", "line", "scope", "kind")
+
+
+@query(code.rows_sql(lambda f: f.scopes, "s, e"))
+def scope_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scopes of C, with groups and branches of conditions, and of Swift, with entries of switches."""
+    files = analysed_files(document_code(spark, sf_dir).where(P.extension(F.col("path")).isin(*{f.extension for f in code.FORMS.values() if f.scopes})))
+    wanted = [k for k, f in enumerate(code.FORMS.values()) if f.scopes]
+    kind = F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % len(code.KINDS)
+    return files.where(kind.isin(*wanted)).select("path", F.explode("scopes").alias("x")).select("path", "x.s", "x.e")
+
+
+@query(code.rows_sql(lambda f: f.regions, "s, e, kind"))
+def recovery_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where files are damaged; the other files have no such place."""
+    return analysed_files(document_code(spark, sf_dir)).select("path", F.explode("regions").alias("x")).select("path", "x.s", "x.e", "x.kind")
+
+
+@query(code.rows_sql(lambda f: f.names, "line, symbol, n"))
+def name_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of names of one token and of several, across lines and comments, in the files made for them."""
+    wanted = [k for k, f in enumerate(code.FORMS.values()) if f.names]
+    kind = F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % len(code.KINDS)
+    lines = analysed_lines(document_code(spark, sf_dir).where(kind.isin(*wanted)), True, True, symbols=code.NAMES, only=True)
+    return lines.select("path", F.col("line_no").alias("line"), F.explode("tokens").alias("x")).select("path", "line", "x.symbol", F.size("x.cols").alias("n"))

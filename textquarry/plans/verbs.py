@@ -6,6 +6,8 @@ Result rows have q_ix (the query or place they answer) and rank, whether their r
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..languages import occurrences
 from ..operators import ranges, results, search
 from ..sources.corpus import Corpus, analysed_files, analysed_lines
 from .options import Options
@@ -31,17 +34,21 @@ HINTS = {
 }
 
 
-def _lines(files: DataFrame, options: Options, symbols: Sequence[str] = ()) -> DataFrame:
-    return analysed_lines(files, options.masks_comments, options.no_strings, options.drop_comments, options.drop_docstrings, symbols)
+def _lines(files: DataFrame, options: Options, symbols: Sequence[str] = (), only: bool = False) -> DataFrame:
+    return analysed_lines(files, options.masks_comments, options.no_strings, options.drop_comments, options.drop_docstrings, symbols, only)
 
 
-#: Fixed lists: words that name something only in backticks.
-HARD_WORDS = {
-    "kotlin": "as break class continue do else false for fun if in interface is null object package return super this throw true try typealias typeof val var when while".split(),
-    "swift": "associatedtype class deinit enum extension fileprivate func import init inout internal let open operator private protocol public static struct subscript typealias var break case continue default defer do else fallthrough for guard if in repeat return switch where while as catch false is nil super self throw throws true try".split(),
-}
-#: Languages whose qualified names may have space and comments beside the dots.
-SPACED_NAMES = {".": ("csharp", "java", "kotlin", "swift", "modula-2"), "::": ("cpp",)}
+#: Fixed list: words that name something in Kotlin only in backticks.
+KOTLIN_WORDS = "as break class continue do else false for fun if in interface is null object package return super this throw true try typealias typeof val var when while".split()
+
+
+def _by_token(symbol: str) -> list[str]:
+    """The languages whose analysis counts the symbol."""
+    return [x for x in occurrences.COMPOSITE if occurrences.counted(x, symbol)]
+
+
+def _token_columns(symbol: str) -> Column:
+    return F.get(F.filter("tokens", lambda x: x["symbol"] == symbol), 0)["cols"]
 
 
 def _counted(symbol: str) -> Column:
@@ -53,35 +60,27 @@ def _counted(symbol: str) -> Column:
     i, name = T.IDENTIFIER, T.quoted(symbol)
     rust_pattern = f"(?<![{i}])(?<!r#)(?:(?<!')|(?={name}'))(?={name}(?![{i}]))" + ("(?!r#)" if symbol == "r" else "")
     rust = F.when(line.contains(symbol), F.regexp_count(line, F.lit(rust_pattern))).otherwise(F.lit(0))
-    count = F.when(lang.isin("javascript", "typescript"), script).when(lang == "rust", rust)
-    for kind, words in HARD_WORDS.items():
-        if symbol in words:
-            count = count.when(lang == kind, T.occurrence_count(line, f"`{symbol}`"))
-    for mark, languages in SPACED_NAMES.items():
-        parts = symbol.split(mark)
-        if len(parts) > 1 and all(parts):
-            between = rf"\s*{T.quoted(mark)}\s*".join(T.quoted(x) for x in parts)
-            spaced = F.regexp_count(F.col("structural"), F.lit(f"(?<![{i}])(?={between}(?![{i}]))"))
-            count = count.when(lang.isin(*languages), F.greatest(plain, spaced))
+    count = F.when(lang.isin(*_by_token(symbol)), F.coalesce(F.array_size(_token_columns(symbol)), F.lit(0)))
+    count = count.when(lang.isin("javascript", "typescript"), script).when(lang == "rust", rust)
+    if symbol in KOTLIN_WORDS:
+        count = count.when(lang == "kotlin", T.occurrence_count(line, f"`{symbol}`"))
     spliced = F.aggregate(F.filter("adjust", lambda x: x["symbol"] == symbol), F.lit(0), lambda n, x: n + x["by"])
     return search.reconciled(count.otherwise(plain), spliced)
 
 
 def _maybe(content: Column, path: Column, symbols: Sequence[str]) -> Column:
-    """Whether a file can have one of the symbols; spares most files the analysis. Spliced lines and names with marks in
-    them can hide a symbol from a plain search, so files that may have those stay."""
+    """Whether a file can have one of the symbols, that is, all parts of its name; spares most files the analysis. Spliced
+    lines can hide a name from a plain search, so files that may have those stay."""
     found = F.lit(False)
     for s in symbols:
-        found = found | content.contains(s)
-        if not s.replace("_", "").isalnum():
-            found = F.lit(True)
+        parts = re.findall(r"\w+", s)
+        found = found | functools.reduce(lambda a, b: a & b, [content.contains(x) for x in parts or [s]])
     return found | (P.extension(path).isin(*(P.EXTENSIONS["c"] + " " + P.EXTENSIONS["cpp"]).split()) & content.contains("\\\n"))
 
 
 def _hits(corpus: Corpus, symbols: Sequence[str], options: Options, files: DataFrame) -> DataFrame:
     """A row for each line, symbol and kind, with the hit's column where owners share the line."""
-    plain = symbols if all(s.replace("_", "").isalnum() for s in symbols) else ()
-    lines = _lines(files.where(_maybe(F.col("content"), F.col("path"), symbols)), options, plain).where("NOT ignored")
+    lines = _lines(files.where(_maybe(F.col("content"), F.col("path"), symbols)), options, symbols, only=True).where("NOT ignored")
     counts = [F.struct(F.lit(k).alias("q_ix"), F.lit(s).alias("symbol"), _counted(s).alias("n")) for k, s in enumerate(symbols)]
     hits = lines.withColumn("_q", F.explode(F.array(*counts))).where("_q.n > 0").select("*", "_q.q_ix", "_q.symbol", "_q.n").drop("_q")
     own = F.filter("defs", lambda d: d["symbol"] == F.col("symbol"))
@@ -92,7 +91,8 @@ def _hits(corpus: Corpus, symbols: Sequence[str], options: Options, files: DataF
     shared = F.size("owners") > 0
     columns = F.lit(None).cast("array<int>")
     for k, s in enumerate(symbols):
-        columns = F.when(shared & (F.col("q_ix") == k), T.occurrence_columns(F.col("search"), s)).otherwise(columns)
+        places = F.when(F.col("lang").isin(*_by_token(s)), _token_columns(s)).otherwise(T.occurrence_columns(F.col("search"), s))
+        columns = F.when(shared & (F.col("q_ix") == k), places).otherwise(columns)
     first_ref = F.get(F.filter("_columns", lambda c: ~F.array_contains("own", c)), 0)
     col = F.when(F.col("kind") == "def", F.get("own", 0)).otherwise(F.coalesce(first_ref, F.get("_columns", 0)))
     return hits.withColumn("_columns", columns).withColumn("hit_col", F.when(shared, col)).drop("_columns")

@@ -21,11 +21,12 @@ TASK_BYTES = 32 << 20
 LINES = (
     "path string, lang string, reported string, total int, line_no int, raw string, search string, structural string, clean string, ignored boolean,"
     " defs array<struct<symbol:string,col:int>>, owner_start int, owner_end int, owner string, nav_start int, nav_end int, scope string, opener boolean,"
-    " owners array<struct<col:int,stop:int,symbol:string,s:int,e:int>>, adjust array<struct<symbol:string,by:int>>"
+    " owners array<struct<col:int,stop:int,symbol:string,s:int,e:int>>, adjust array<struct<symbol:string,by:int>>,"
+    " tokens array<struct<symbol:string,cols:array<int>>>"
 )
 FILES = (
     "path string, lang string, reported string, total int, defs array<struct<symbol:string,line:int,col:int,scope_start:int,scope_end:int,owned_end_col:int,owns_scope:boolean>>,"
-    " scopes array<struct<s:int,e:int>>, import_start int, import_end int"
+    " scopes array<struct<s:int,e:int>>, import_start int, import_end int, regions array<struct<s:int,e:int,kind:string>>"
 )
 
 
@@ -130,15 +131,15 @@ def analysed_files(files: DataFrame) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a = analyse(path, content)
                 imports = a.import_range() or (None, None)
-                rows.append({"path": path, "lang": a.language.name, "reported": a.reported, "total": len(a.lines), "defs": a.definitions(), "scopes": [{"s": s, "e": e} for s, e in a.scopes], "import_start": imports[0], "import_end": imports[1]})
+                rows.append({"path": path, "lang": a.language.name, "reported": a.reported, "total": len(a.lines), "defs": a.definitions(), "scopes": [{"s": s, "e": e} for s, e in a.scopes], "import_start": imports[0], "import_end": imports[1], "regions": [{"s": s, "e": e, "kind": k} for s, e, k in a.regions]})
             yield from _batches(rows, FILES_ARROW)
 
     return files.select("path", "content").mapInArrow(run, FILES)
 
 
-def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool = False, drop_comments: bool = False, drop_docstrings: bool = False, symbols: Sequence[str] = ()) -> DataFrame:
-    """LINES: each line masked and cleaned as asked, with its definitions and the scopes that hits on it belong to. With
-    ``symbols``, all plain words, only the lines that can have one."""
+def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool = False, drop_comments: bool = False, drop_docstrings: bool = False, symbols: Sequence[str] = (), only: bool = False) -> DataFrame:
+    """LINES: each line masked and cleaned as asked, with its definitions and the scopes that hits on it belong to, and the
+    places of ``symbols`` where the language counts them by tokens. ``only``: only the lines that can have one of symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..languages.analysis import analyse
@@ -151,9 +152,9 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
                     continue
                 search, structural = a.masked(no_comments or drop_comments, no_strings), a.masked(True, True)
                 ignored, clean, names = a.ignored(no_comments or drop_comments, drop_docstrings), a.clean(drop_comments, drop_docstrings), a.line_names()
-                rows = []
+                rows, tokens = [], a.occurrences(symbols, search)
                 for k in range(1, n + 1):
-                    if symbols and k not in a.spliced and not any(x in a.lines[k - 1] for x in symbols):
+                    if only and k not in a.spliced and k not in tokens and not any(x in a.lines[k - 1] for x in symbols):
                         continue
                     owner, nav, here = a.owner[k], a.navigation(k), a.owners_on(k)
                     rows.append(
@@ -163,6 +164,7 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
                             "owner_start": owner.scope_start if owner else None, "owner_end": owner.scope_end if owner else None, "owner": owner.symbol if owner else None,
                             "nav_start": nav[0], "nav_end": nav[1], "scope": names[k - 1], "opener": bool(here),
                             "adjust": [{"symbol": w, "by": by} for w, by in a.spliced.get(k, ())],
+                            "tokens": [{"symbol": w, "cols": cols} for w, cols in tokens.get(k, ())],
                             "owners": [{"col": c, "stop": e, "symbol": s, "s": x, "e": y} for c, e, s, x, y in sorted(here)] if a.language.position_scopes else [],
                         }
                     )
@@ -181,8 +183,8 @@ def _batches(rows: list[dict[str, object]], schema: pa.Schema) -> Iterator[pa.Re
 
 _I, _S, _B = pa.int32(), pa.string(), pa.bool_()
 FILES_ARROW = pa.schema(
-    [("path", _S), ("lang", _S), ("reported", _S), ("total", _I), ("defs", pa.list_(pa.struct([("symbol", _S), ("line", _I), ("col", _I), ("scope_start", _I), ("scope_end", _I), ("owned_end_col", _I), ("owns_scope", _B)]))), ("scopes", pa.list_(pa.struct([("s", _I), ("e", _I)]))), ("import_start", _I), ("import_end", _I)]
+    [("path", _S), ("lang", _S), ("reported", _S), ("total", _I), ("defs", pa.list_(pa.struct([("symbol", _S), ("line", _I), ("col", _I), ("scope_start", _I), ("scope_end", _I), ("owned_end_col", _I), ("owns_scope", _B)]))), ("scopes", pa.list_(pa.struct([("s", _I), ("e", _I)]))), ("import_start", _I), ("import_end", _I), ("regions", pa.list_(pa.struct([("s", _I), ("e", _I), ("kind", _S)])))]
 )
 LINES_ARROW = pa.schema(
-    [("path", _S), ("lang", _S), ("reported", _S), ("total", _I), ("line_no", _I), ("raw", _S), ("search", _S), ("structural", _S), ("clean", _S), ("ignored", _B), ("defs", pa.list_(pa.struct([("symbol", _S), ("col", _I)]))), ("owner_start", _I), ("owner_end", _I), ("owner", _S), ("nav_start", _I), ("nav_end", _I), ("scope", _S), ("opener", _B), ("owners", pa.list_(pa.struct([("col", _I), ("stop", _I), ("symbol", _S), ("s", _I), ("e", _I)]))), ("adjust", pa.list_(pa.struct([("symbol", _S), ("by", _I)])))]
+    [("path", _S), ("lang", _S), ("reported", _S), ("total", _I), ("line_no", _I), ("raw", _S), ("search", _S), ("structural", _S), ("clean", _S), ("ignored", _B), ("defs", pa.list_(pa.struct([("symbol", _S), ("col", _I)]))), ("owner_start", _I), ("owner_end", _I), ("owner", _S), ("nav_start", _I), ("nav_end", _I), ("scope", _S), ("opener", _B), ("owners", pa.list_(pa.struct([("col", _I), ("stop", _I), ("symbol", _S), ("s", _I), ("e", _I)]))), ("adjust", pa.list_(pa.struct([("symbol", _S), ("by", _I)]))), ("tokens", pa.list_(pa.struct([("symbol", _S), ("cols", pa.list_(_I))])))]
 )
