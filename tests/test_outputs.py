@@ -56,8 +56,9 @@ def test_commands():
     assert budget.standalone("sh -lc 'nav changed --json'", "nav") == "changed"
     assert budget.standalone("ls -l", "nav") is None and budget.standalone("navy find --json", "nav") is None
     assert budget.standalone('/bin/sh -lc "nav.bin outline \'a b.go\' --json"', "nav") == "outline"
-    assert budget.standalone("nav 'find' \"x y\" --json", "nav") == "find" and budget.standalone("nav --json", "nav") == ""
-    for bad in ("nav find x --json; rm y", "nav find x", "nav a --json | nav b --json", "echo nav find --json", "nav find $X --json", "nav find --json --json", "sh -c 'nav find --json'", "bash -lc 'nav find --json'", "sh -lc 'nav find --json' x", "sh -lc ' nav find --json'", "nav find 'x --json", "A=1 nav find --json", "sh -lc 'cd a && nav find --json'"):
+    assert budget.standalone("nav 'find' \"x y\" --json", "nav") == "find" and budget.standalone("nav --json", "nav") is None and budget.standalone("/opt/nav zzz --json", "nav") is None
+    assert budget.standalone("sh -lc '/opt/bin/nav find x --json'", "nav") == "find" and budget.standalone('/usr/local/bin/zsh -lc "nav inspect a:1 --json"', "nav") == "inspect"
+    for bad in ("nav find x --json; rm y", "nav find x", "nav find a --json | nav find b --json", "echo nav find --json", "nav find $X --json", "nav find --json --json", "sh -c 'nav find --json'", "bash -lc 'nav find --json'", "sh -lc 'nav find --json' x", "sh -lc ' nav find --json'", "nav find 'x --json", "A=1 nav find --json", "sh -lc 'cd a && nav find --json'", "/usr/local/bin/nav find x --json", "x=$(nav find y --json)", "nav find 'a*' --json", "nav find a\\ b --json", "sh -lc 'nav find --json' > y", "sh -lc 'nav'' find --json'", "nav find nav --json", "echo 'nav find x' # --json"):
         with pytest.raises(ValueError, match="."):
             budget.standalone(bad, "nav")
 

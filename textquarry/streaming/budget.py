@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,10 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "type string, item struct<type:string,command:string>"
-#: Shells whose ``-lc`` runs one quoted command.
-SHELLS = ("/usr/bin/zsh", "/bin/zsh", "/bin/sh", "zsh", "sh")
-#: What a shell reads as more than words: ends of commands, redirections, expansions, groups, comments.
-MARKS = frozenset("\n\r;|&<>`$*?[]{}()\\~#")
+#: Shells, by name, whose ``-lc`` runs one quoted command, and the verbs of a request.
+SHELLS, VERBS = ("sh", "zsh"), ("changed", "find", "inspect", "outline")
+#: The characters by which a shell's line is more than words, by what they do.
+GRAMMAR = {"parts commands": "\n\r;&|", "redirects": "<>", "groups": "(){}", "expands": "$`", "matches files": "*?[]", "escapes": "\\", "names a home": "~", "comments": "#"}
+ROLE = {c: role for role, those in GRAMMAR.items() for c in those}
+#: Those of them that end a word in front of them.
+PARTING = frozenset(GRAMMAR["parts commands"] + GRAMMAR["redirects"] + "()`")
 
 
 def transcript(spark: SparkSession, folder: str, streaming: bool = True) -> DataFrame:
@@ -28,52 +30,78 @@ def events(lines: DataFrame) -> DataFrame:
     return parsed.where("e.item.type = 'command_execution'").select("e.type", F.col("e.item.command").alias("command"))
 
 
-class Words:
-    """The words of a shell command as (text, quoted, where it begins); ``marks`` are the places outside and inside of quotes
-    where the shell would read more than words."""
+class Word:
+    """A word of a shell's line: its text without quotes, and how many quoted pieces it has besides plain ones."""
 
-    def __init__(self, command: str):
-        self.words: list[tuple[str, bool, int]] = []
-        self.marks: list[int] = [k for k, c in enumerate(command) if c in MARKS]
-        quote, start, text, quoted = "", None, [], False
-        for k, c in enumerate([*command, " "]):
-            if quote and c != quote or not quote and c not in "'\" \t\n\r":
-                start = k if start is None else start
-                text.append(c)
+    def __init__(self) -> None:
+        self.text, self.quoted, self.plain = "", 0, False
+
+
+class Line:
+    """A shell's line as words, with what it does besides: ``outside`` and ``inside`` of quotes."""
+
+    def __init__(self, line: str):
+        self.line, self.words = line, []
+        self.outside: set[str] = set()
+        self.inside: set[str] = set()
+        word, quote = None, ""
+        for c in line:
+            role = ROLE.get(c)
+            if role:
+                (self.inside if quote else self.outside).add(role)
+            if quote and c == quote:
+                quote = ""
+            elif quote:
+                word.text += c
             elif c in "'\"":
-                start, quoted, quote = k if start is None else start, True, "" if quote else c
-            elif start is not None:
-                self.words.append(("".join(text), quoted, start))
-                start, text, quoted = None, [], False
-        self.whole = not quote
+                word = word or self._begun()
+                word.quoted, quote = word.quoted + 1, c
+            elif c.isspace() or c in PARTING:
+                word = None
+            else:
+                word = word or self._begun()
+                word.text, word.plain = word.text + c, True
+        self.closed = not quote
+
+    def _begun(self) -> Word:
+        self.words.append(Word())
+        return self.words[-1]
+
+    def calls(self, program: str) -> list[int]:
+        """The words that name the program, by itself or behind a path, with a verb next to them."""
+        names = [w.text.rpartition("/")[2].removesuffix(".bin") for w in self.words]
+        return [k for k, (name, after) in enumerate(zip(names, self.words[1:], strict=False)) if name == program and after.text in VERBS]
+
+    def faults(self, program: str, by_path: bool) -> Iterator[str]:
+        """What keeps the line from being one request and nothing else."""
+        if not self.closed:
+            yield "a quote is left open"
+        for role in sorted(self.outside | self.inside):
+            yield f"the shell's line {role}"
+        if [w.text for w in self.words].count("--json") != 1:
+            yield "one JSON answer has to be asked for, once"
+        if self.calls(program) != [0] or self.line.count(program) > 1:
+            yield f"{program} has to be what is run, once"
+        elif "/" in self.words[0].text and not by_path:
+            yield f"{program} has to be called by its name"
+        if self.line != self.line.strip():
+            yield "there is space around the command"
 
 
 def standalone(command: str, program: str) -> str | None:
-    """The verb of a command that runs ``program`` once, by itself, for one JSON answer; None if it doesn't run it.
+    """The verb of a command that runs ``program`` once, by itself, for one JSON answer; None if it asks it for nothing.
     ValueError if it runs it together with anything else."""
-    programs = {program, f"{program}.bin"}
-    mentions = [m for m in re.finditer(r"[\w./-]+", command) if m[0] in programs and command[m.end() : m.end() + 1] in ("", " ", "\t", "\n", "\r")]
-    if not mentions:
+    outer = Line(command)
+    if not any(line.calls(program) for line in (outer, *(Line(w.text) for w in outer.words if w.quoted))):
         return None
-    outer = Words(command)
-    asked = command if outer.words[0][0] in programs else None
-    if asked is None and len(outer.words) == 3 and outer.whole:
-        (shell, _, _), (flags, _, _), (inner, quoted, at) = outer.words
-        if shell in SHELLS and flags == "-lc" and quoted and command[at] in "'\"":
-            asked = inner
-    if asked is None or asked != asked.strip():
-        raise ValueError(f"{program} has to be the command itself, or all that a shell's -lc runs")
-    parts = Words(asked)
-    names = [text for text, _, _ in parts.words]
-    if not names or names[0] not in programs:
-        raise ValueError(f"the command runs something else than {program}")
-    if len(mentions) > 1 or asked.count(program) > 1:
-        raise ValueError(f"{program} comes more than once in one command")
-    if parts.marks or not parts.whole:
-        raise ValueError(f"the shell would do more than run {program}")
-    if names.count("--json") != 1:
-        raise ValueError("one JSON answer has to be asked for, once")
-    return next((x for x in names[1:] if not x.startswith("-")), "")
+    line, in_shell = outer, False
+    if len(outer.words) == 3 and not outer.outside:
+        shell, flags, said = outer.words
+        in_shell = shell.text.rpartition("/")[2] in SHELLS and flags.text == "-lc" and said.quoted == 1 and not said.plain
+        line = Line(said.text) if in_shell else outer
+    for fault in line.faults(program, by_path=in_shell):
+        raise ValueError(fault)
+    return line.words[1].text
 
 
 def standalone_verb(command: Column, program: str) -> Column:
