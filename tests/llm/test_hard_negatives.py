@@ -72,10 +72,14 @@ def test_too_long_vectors_raise(spark):
 def test_bounds_hold_for_any_centroids():
     rng = np.random.default_rng(0)
     x, a = rng.integers(-300, 300, (500, 9)).astype(float), rng.integers(-300, 300, (40, 9)).astype(float)
-    book = [np.round(rng.normal(size=(16, len(range(9)[p]))) * 100) for p in H._parts(9)]
-    codes, margins = H.encoded(x, book)
-    near = sum((a[:, p] @ c.T)[:, codes[:, k]] for k, (p, c) in enumerate(zip(H._parts(9), book)))
-    assert (np.abs(near - a @ x.T) <= np.sqrt((a * a).sum(1))[:, None] * margins[None, :]).all()
+    sizes = [len(range(9)[p]) for p in H._parts(9)]
+    book = [(np.round(rng.normal(size=(16, n)) * 100), np.round(rng.normal(size=(16, n)) * 40)) for n in sizes]
+    near, widths = 0, []
+    for level, (codes, margins) in enumerate(H.encoded(x, book)):
+        near = near + sum((a[:, p] @ c[level].T)[:, codes[:, k]] for k, (p, c) in enumerate(zip(H._parts(9), book)))
+        widths.append(np.sqrt((a * a).sum(1))[:, None] * margins[None, :])
+        assert (np.abs(near - a @ x.T) <= widths[-1]).all()
+    assert widths[1].mean() < widths[0].mean()
 
 
 def test_candidates_are_few(spark, sf_dir):
@@ -85,7 +89,7 @@ def test_candidates_are_few(spark, sf_dir):
     books = H.fitted(classes)
     asks = classes.where("class_id % 10 = 0").selectExpr("class_id AS q_id", "label", "v", "CAST(6 AS BIGINT) AS need", "CAST(array() AS ARRAY<BIGINT>) AS scores")
     left = H.scan(H.code_blocks(classes, books), H.question_blocks(asks), books, negatives=False).count()
-    assert 0 < left < 0.1 * asks.count() * classes.count()
+    assert asks.count() <= left < 0.02 * asks.count() * classes.count()
 
 
 def test_nothing(spark):

@@ -1,11 +1,12 @@
 """Hard negatives by product quantisation with stored residual norms.
 
 Vectors are integers: floor(256 * x) of each component x. Rows of one label and vector are a class, with the first few of its
-ids. A class's code holds, for each ``SUB`` components, the nearest of ``CENTROIDS`` centroids, and the norm of what the
-centroids leave over, its residual. A question's look-up table has its products with all centroids; a code's score is a sum of
-``components / SUB`` entries, and the exact score lies within (norm of the question) * (norm of the residual) of it, by Cauchy
-and Schwarz. Codes and exact vectors are two tables: blocks of questions scan blocks of codes, the bounds leave candidates,
-and the exact integer score is computed for candidates alone:
+ids. A class's code holds, for each ``SUB`` components, the nearest of ``CENTROIDS`` centroids, for what those leave over the
+nearest of as many finer ones, and the norms of both residuals. A question's look-up tables have its products with all
+centroids; a code's score is a sum of ``components / SUB`` entries, and the exact score lies within (norm of the question) *
+(norm of the residual) of it, by Cauchy and Schwarz; what these bounds leave gets the finer sum and its bounds. Codes and exact
+vectors are two tables: blocks of questions scan blocks of codes, the bounds leave candidates, and the exact integer score is
+computed for candidates alone:
 
 1. positives: candidates of the question's label whose upper bound reaches the least of the first lower bounds;
 2. negatives: candidates of other labels whose bounds touch the window of a positive's score, but for those that lie, with
@@ -35,11 +36,12 @@ SCALE, EVERY, MOVED, LABELS, POSITIVES, NEGATIVES = 256, 50, 7, 10, 5, 3
 SUB, CENTROIDS, SAMPLE, ROUNDS = 2, 256, 4_096, 6
 BLOCK, QUESTIONS, TOGETHER = 16_384, 1_024, 32
 LONGEST = 4e18
-CODES = "dim int, block long, classes binary, labels binary, codes binary, margins binary"
+CODES = "dim int, block long, classes binary, labels binary, codes binary, margins binary, finer binary, finer_margins binary"
 ASKED = "dim int, q_block long, q_ids binary, q_labels binary, vectors binary, needs binary, counts binary, scores binary"
 FOUND = "q_id bigint, asked bigint, class_id bigint, lower double, upper double"
 
-Books = dict[int, list[np.ndarray]]
+#: For each number of components, the centroids of each part, and those of what they leave.
+Books = dict[int, list[tuple[np.ndarray, np.ndarray]]]
 
 
 def valid(embeddings: DataFrame) -> DataFrame:
@@ -71,8 +73,19 @@ def _nearest(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def _centroids(points: np.ndarray) -> np.ndarray:
+    book = np.unique(points, axis=0)
+    book = book[np.linspace(0, len(book) - 1, min(CENTROIDS, len(book))).astype(int)]
+    for _ in range(ROUNDS if len(book) == CENTROIDS else 0):
+        at = _nearest(points, book)
+        size = np.bincount(at, minlength=len(book))
+        sums = np.stack([np.bincount(at, points[:, k], len(book)) for k in range(points.shape[1])], 1)
+        book = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], book)
+    return np.round(book)
+
+
 def fitted(classes: DataFrame) -> Books:
-    """For each number of components met in a bounded sample, the integer centroids of each part."""
+    """The centroids, from a bounded sample."""
     sample = classes.orderBy(F.xxhash64("v"), "class_id").limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
     books: Books = {}
     for dim in sorted({len(v) for v in sample}):
@@ -80,32 +93,27 @@ def fitted(classes: DataFrame) -> Books:
         x = np.array(of_dim, np.float64).reshape(len(of_dim), dim)
         books[dim] = []
         for part in _parts(dim):
-            points = x[:, part]
-            book = np.unique(points, axis=0)
-            book = book[np.linspace(0, len(book) - 1, min(CENTROIDS, len(book))).astype(int)]
-            for _ in range(ROUNDS if len(book) == CENTROIDS else 0):
-                at = _nearest(points, book)
-                size = np.bincount(at, minlength=len(book))
-                sums = np.stack([np.bincount(at, points[:, k], len(book)) for k in range(points.shape[1])], 1)
-                book = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], book)
-            books[dim].append(np.round(book))
+            book = _centroids(x[:, part])
+            books[dim].append((book, _centroids(x[:, part] - book[_nearest(x[:, part], book)])))
     return books
 
 
-def book_of(books: Books, dim: int) -> list[np.ndarray]:
-    return books.get(dim) or [np.zeros((1, len(range(dim)[p]))) for p in _parts(dim)]
+def book_of(books: Books, dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    return books.get(dim) or [(np.zeros((1, len(range(dim)[p]))),) * 2 for p in _parts(dim)]
 
 
-def encoded(x: np.ndarray, book: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes, and by what to multiply a question's norm for the bound: the residual's norm, and for rounding a little more."""
-    codes = np.zeros((len(x), len(book)), np.uint8)
-    left = np.zeros(len(x))
-    for k, (part, centroids) in enumerate(zip(_parts(x.shape[1]), book, strict=True)):
-        at = _nearest(x[:, part], centroids)
-        codes[:, k] = at
-        left += ((x[:, part] - centroids[at]) ** 2).sum(1)
-    residual = np.sqrt(left)
-    return codes, residual + 1e-9 * (np.sqrt((x * x).sum(1)) + residual + 1)
+def encoded(x: np.ndarray, book: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes, and by what to multiply a question's norm for the bound: the residual's norm, and for rounding a little more; then
+    the same for the finer codes."""
+    out, rest = [], x.copy()
+    for level in (0, 1):
+        codes = np.zeros((len(x), len(book)), np.uint8)
+        for k, (part, centroids) in enumerate(zip(_parts(x.shape[1]), book, strict=True)):
+            codes[:, k] = _nearest(rest[:, part], centroids[level])
+            rest[:, part] -= centroids[level][codes[:, k]]
+        residual = np.sqrt((rest * rest).sum(1))
+        out.append((codes, residual + 1e-9 * (np.sqrt((x * x).sum(1)) + residual + 1)))
+    return out
 
 
 def _batch(columns: str, rows: list[list[object]]) -> pa.RecordBatch:
@@ -140,8 +148,8 @@ def _blocks(rows: DataFrame, size: int, columns: str, pack, name: str) -> DataFr
 def code_blocks(classes: DataFrame, books: Books) -> DataFrame:
     def pack(dim: int, number: int, rows: list[tuple]) -> list[object]:
         vectors, ids, labels = zip(*rows, strict=True)
-        codes, margins = encoded(np.array(vectors, np.float64).reshape(len(rows), dim), book_of(books, dim))
-        return [dim, number, np.array(ids, np.int64).tobytes(), np.array(labels, np.int64).tobytes(), codes.tobytes(), margins.tobytes()]
+        coarse, finer = encoded(np.array(vectors, np.float64).reshape(len(rows), dim), book_of(books, dim))
+        return [dim, number, np.array(ids, np.int64).tobytes(), np.array(labels, np.int64).tobytes(), *(a.tobytes() for a in (*coarse, *finer))]
 
     return _blocks(classes.select("v", "class_id", "label"), BLOCK, CODES, pack, "negatives_codes")
 
@@ -163,19 +171,28 @@ def window(score: int) -> tuple[int, int]:
     return -(-score // 2), 95 * score // 100
 
 
+def _nth(values: np.ndarray, n: int) -> float:
+    """The nth largest value, if there are so many."""
+    return float(np.partition(values, len(values) - n)[-n]) if len(values) >= n else -np.inf
+
+
 class Known:
     """The largest lower bounds that a task has met for a question so far."""
 
     def __init__(self) -> None:
         self.lowers: dict[tuple[int, int], np.ndarray] = {}
 
+    def so_far(self, key: tuple[int, int], need: int) -> float:
+        """What an upper bound has to reach."""
+        best = self.lowers.get(key, ())
+        return float(best[0]) if len(best) == need else -np.inf
+
     def least(self, key: tuple[int, int], lowers: np.ndarray, need: int) -> float:
-        """What an upper bound has to reach; lowers are those of a block."""
+        """The same with the lower bounds of one more block."""
         if len(lowers) > need:
             lowers = np.partition(lowers, len(lowers) - need)[-need:]
-        best = np.sort(np.concatenate((self.lowers.get(key, np.zeros(0)), lowers)))[-need:]
-        self.lowers[key] = best
-        return float(best[0]) if len(best) == need else -np.inf
+        self.lowers[key] = np.sort(np.concatenate((self.lowers.get(key, np.zeros(0)), lowers)))[-need:]
+        return self.so_far(key, need)
 
 
 def scan(codes: DataFrame, asks: DataFrame, books: Books, negatives: bool) -> DataFrame:
@@ -188,37 +205,53 @@ def scan(codes: DataFrame, asks: DataFrame, books: Books, negatives: bool) -> Da
     # Blocks against blocks: each row is BLOCK codes and QUESTIONS questions.
     pairs = dealt.join(each, ["dim", "stripe"]).drop("stripe", "block", "q_block")
 
-    def one(key: tuple[int, int], known: Known, need: int, ids: np.ndarray, lower: np.ndarray, upper: np.ndarray, sure: np.ndarray) -> list[np.ndarray]:
-        least = known.least(key, lower[sure], need)
-        on = upper >= least
-        n = int(on.sum())
-        return [np.full(n, key[0]), np.full(n, key[1]), ids[on], np.where(sure[on], lower[on], -np.inf), upper[on]]
+    def pick(key: tuple[int, int], known: Known, need: int, low: float, high: float, at: np.ndarray, near: np.ndarray, width: np.ndarray, finer, ids: np.ndarray) -> list[np.ndarray] | None:  # noqa: ANN001
+        """What the bounds leave of the codes at some places, with scores near +- width: those that may lie from low to high and
+        reach what enough others reach for certain; then the same by the finer codes."""
+        # A row must not count twice among lower bounds, so only the finer ones are kept for the next blocks.
+        for last in (False, True):
+            lower, upper = near - width, near + width
+            sure = (lower >= low) & (upper <= high)
+            on = (upper >= low) & (lower <= high)
+            on &= upper >= (known.least(key, lower[sure], need) if last else max(known.so_far(key, need), _nth(lower[sure], need)))
+            at, near, lower, upper, sure = at[on], near[on], lower[on], np.minimum(upper[on], high), sure[on]
+            if not len(at):
+                return None
+            if not last:
+                near, width = finer(at, near)
+        return [np.full(len(at), key[0]), np.full(len(at), key[1]), ids[at], np.where(sure, lower, -np.inf), upper]
 
     def meet(r: dict, known: Known) -> Iterator[list[np.ndarray]]:
         longs = {k: np.frombuffer(r[k], np.int64) for k in ("classes", "labels", "q_ids", "q_labels", "needs", "counts", "scores")}
         vectors = np.frombuffer(r["vectors"], np.int64).reshape(len(longs["q_ids"]), r["dim"]).astype(np.float64)
         book, norms = book_of(books, r["dim"]), np.sqrt((vectors * vectors).sum(1)) * (1 + 1e-9)
-        code, margins = np.frombuffer(r["codes"], np.uint8).reshape(len(longs["classes"]), len(book)), np.frombuffer(r["margins"])
-        columns = [np.ascontiguousarray(code[:, k]) for k in range(len(book))]
+        shape = (len(longs["classes"]), len(book))
+        code, finer_code = (np.frombuffer(r[k], np.uint8).reshape(shape) for k in ("codes", "finer"))
+        margins, finer_margins = np.frombuffer(r["margins"]), np.frombuffer(r["finer_margins"])
+        columns, parts = [np.ascontiguousarray(code[:, k]) for k in range(len(book))], np.arange(len(book))[:, None]
         ends = np.cumsum(longs["counts"])
         for a in range(0, len(vectors), TOGETHER):
-            tables = [vectors[a : a + TOGETHER, part] @ centroids.T for part, centroids in zip(_parts(r["dim"]), book, strict=True)]
-            near = np.zeros((len(vectors[a : a + TOGETHER]), len(code)))
-            for table, column in zip(tables, columns, strict=True):
-                near += table.take(column, axis=1)
+            some = vectors[a : a + TOGETHER]
+            near = np.zeros((len(some), len(code)))
+            finer_table = np.zeros((len(book), len(some), CENTROIDS))
+            for k, (part, (centroids, finer), column) in enumerate(zip(_parts(r["dim"]), book, columns, strict=True)):
+                near += (some[:, part] @ centroids.T).take(column, axis=1)
+                finer_table[k, :, : len(finer)] = some[:, part] @ finer.T
             for q, row in enumerate(near, a):
                 mine = np.flatnonzero((longs["labels"] == longs["q_labels"][q]) != negatives)
                 if not len(mine):
                     continue
-                width = norms[q] * margins[mine] + 1e-6
-                lower, upper, ids, q_id = row[mine] - width, row[mine] + width, longs["classes"][mine], int(longs["q_ids"][q])
-                if not negatives:
-                    yield one((q_id, 0), known, int(longs["needs"][q]), ids, lower, upper, np.ones(len(ids), bool))
-                for score in longs["scores"][ends[q] - longs["counts"][q] : ends[q]].tolist() if negatives else []:
-                    low, high = window(score)
-                    on = np.flatnonzero((upper >= low) & (lower <= high))
-                    if len(on):
-                        yield one((q_id, score), known, NEGATIVES, ids[on], lower[on], np.minimum(upper[on], high), (lower[on] >= low) & (upper[on] <= high))
+
+                def finer_of(at: np.ndarray, before: np.ndarray, q: int = q, table: np.ndarray = finer_table, a: int = a) -> tuple[np.ndarray, np.ndarray]:
+                    return before + table[parts, q - a, finer_code[at].T].sum(0), norms[q] * finer_margins[at] + 1e-6
+
+                q_id, score, width = int(longs["q_ids"][q]), row[mine], norms[q] * margins[mine] + 1e-6
+                scores = longs["scores"][ends[q] - longs["counts"][q] : ends[q]].tolist()
+                windows = [((q_id, s), NEGATIVES, *window(s)) for s in scores] if negatives else [((q_id, 0), int(longs["needs"][q]), -np.inf, np.inf)]
+                for key, need, low, high in windows:
+                    found = pick(key, known, need, low, high, mine, score, width, finer_of, longs["classes"])
+                    if found:
+                        yield found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known()
