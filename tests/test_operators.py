@@ -113,3 +113,44 @@ def test_identities_of_two_sources(spark):
     second = [("a", 1, 99, True, 1), ("c", 4, 5, False, 8), ("c", 1, 2, True, 7)]
     got = results.merged_by_identity(spark.createDataFrame(first, "n string, s long, e long, owns boolean"), spark.createDataFrame(second, "n string, s long, e long, owns boolean, pos int"), ["n"])
     assert rows(got) == [("a", 3, 12, True), ("b", 2, 8, False), ("c", 1, 2, True)]
+
+
+def test_shared_limit_answers_more_queries_than_are_broadcast(spark, monkeypatch):
+    for most in (results.MOST_QUERIES, 100):
+        monkeypatch.setattr(results, "MOST_QUERIES", most)
+        queries = spark.range(10_005).selectExpr("CAST(id AS INT) AS q_ix")
+        rows = queries.selectExpr("q_ix", "'p' AS path")
+        got = results.shared_limit(rows, queries, 20_000, ["path"])
+        assert got.count() == 10_005 and got.where("truncated OR rank <> 1").count() == 0
+
+
+def test_numbers_without_a_task_for_all(spark):
+    rng = random.Random(2)
+    rows = [(q, rng.randrange(2), f"d{rng.randrange(60)}/f", rng.randrange(9)) for q in (0, 1, 1, 1) for _ in range(300)] + [(2, 0, "x", 1), (0, 0, None, 3)]
+    df = spark.createDataFrame(rows, "q_ix int, match_rank int, path string, line int").repartition(5)
+    order = ["match_rank", "path", "line"]
+    numbered = results.numbered(df, ["q_ix"], order, "path", df)
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan
+    key = lambda r: (r[1], r[2] is not None, r[2] or "", r[3])
+    want = [(q, *key(r)) for q in (0, 1, 2) for r in sorted((x for x in rows if x[0] == q), key=key)]
+    got = sorted(numbered.collect(), key=lambda r: (r["q_ix"], r["rank"]))
+    assert [(r["q_ix"], *key((0, r["match_rank"], r["path"], r["line"]))) for r in got] == want
+    assert [r["rank"] for r in got] == [k for q in (0, 1, 2) for k in range(1, sum(x[0] == q for x in rows) + 1)]
+    assert results.numbered(df.where("false"), ["q_ix"], order, "path", df.where("false")).count() == 0
+
+
+def test_spans_within_spans(spark):
+    rng = random.Random(4)
+    span = lambda: (f"p{rng.randrange(4)}", a := rng.randrange(40), a + rng.randrange(12))
+    rows, spans = [span() for _ in range(200)], [span() for _ in range(25)]
+    got = ranges.within(spark.createDataFrame(rows, "path string, s int, e int"), spark.createDataFrame(spans, "path string, s int, e int"))
+    want = sorted((*r, any(x[0] == r[0] and x[1] <= r[1] and r[2] <= x[2] for x in spans)) for r in rows)
+    assert sorted(map(tuple, got.collect())) == want
+    assert ranges.outside_whole(spark.createDataFrame(rows, "path string, s int, e int"), spark.createDataFrame([], "path string, s int, e int")).count() == 200
+
+
+def test_faults_of_trees(spark):
+    df = spark.createDataFrame([([(1, 9), (2, 4), (4, 6), (7, 7), (7, 7)], 9), ([(3, 2), (0, 5), (5, 12)], 9), ([], 3)], "scopes array<struct<s:int,e:int>>, last int")
+    got = [[tuple(x) for x in r[0]] for r in df.select(ranges.tree_faults(df["scopes"], df["last"])).collect()]
+    assert got == [[(4, 6, "crossing")], [(0, 5, "outside"), (3, 2, "reversed"), (5, 12, "outside")], []]

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 
@@ -45,7 +46,7 @@ def test_texts():
     row = {"path": "a.go", "start_line": 1, "end_line": 2, "kind": "def", "symbol": "f", "code": "a ``` b", "line": 1}
     assert render.result_text(row, "scope") == "# a.go:1-2 def f\n````go\na ``` b\n````\n"
     assert render.result_text(row, "locations") == "a.go:1\n"
-    assert render.result_text({"path": "a\x1b", "finding": "file", "kind": "file"}, "scope") == '# "a\\u001b" file\n'
+    assert render.result_text({"path": "a\x1b", "finding": "file", "kind": "file"}, "scope") == '# "a\\x1b" file\n'
     assert render.json_text([{"a": 1}], "outline") == '{"a":1}\n' and render.json_text([{"a": 1}], "find") == '[{"a":1}]\n'
     assert "# patch truncated" in render.changed_text({"patch": "+x", "patch_truncated": True, "results": []}, "scope")
     assert render.find_text({"query": "q", "matched_as": "none", "hint": "h", "results": []}, "scope") == "# q: none\nh\n"
@@ -100,3 +101,26 @@ def test_manifests(spark, tmp_path):
     assert manifests.safe_url("https://github.com/a/b") and not manifests.safe_url("https://u:p@github.com/a/b")
     (tmp_path / "repo/.git").mkdir(parents=True)
     assert manifests.discovered(str(tmp_path)) == [str(tmp_path / "repo")]
+
+
+def test_quoted_texts(spark):
+    texts = ["plain path.go", "é日本", "a\x1b", 'q"\x07\t\\', "\u200b", "\xa0x", "\U000e0001", "\x7f", "a\nb", "\u2028"]
+    assert render.safe(texts[2]) == '"a\\x1b"' and render.safe(texts[4]) == '"\\u200b"' and render.safe(texts[6]) == '"\\U000e0001"' and render.safe("\udcff") == '"\\xff"'
+    df = spark.createDataFrame([(t,) for t in texts], "path string")
+    assert [r[0] for r in df.select(render.safe_path(df["path"])).collect()] == [render.safe(t) for t in texts]
+
+
+def test_requests_wait_for_their_command(spark, tmp_path):
+    folder = tmp_path / "polled"
+    rows = [("a", "item.started", None), ("a", "request", 1), ("b", "request", 2), ("a", "item.completed", None), ("a", "request", 3), ("c", "item.started", None), ("c", "item.started", None), ("c", "request", 4)]
+    for k, part in enumerate([rows[:3], rows[3:]]):
+        spark.createDataFrame(part, "user string, type string, request_id bigint").coalesce(1).write.mode("append").parquet(str(folder))
+    stream = spark.readStream.schema("user string, type string, request_id bigint").option("maxFilesPerTrigger", 1).parquet(str(folder))
+    query = budget.answered(stream, "user", 1, "300 milliseconds").writeStream.outputMode("append").format("memory").queryName("answered").option("checkpointLocation", str(tmp_path / "c")).start()
+    for _ in range(120):  # with timeouts there is always another batch to wait for
+        if spark.table("answered").count() == 4:
+            break
+        time.sleep(0.5)
+    query.stop()
+    got = {r["request_id"]: (r["key"], r["used"], r["remaining"], r["fault"]) for r in spark.table("answered").collect()}
+    assert got[1] == ("a", 1, 0, None) and "missing" in got[2][3] and "missing" in got[3][3] and got[4][:3] == ("c", 2, 0) and "1 of 1" in got[4][3]

@@ -24,9 +24,45 @@ def fence_language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(FENCE.items()) for x in pair]), extension(path)), F.lit(""))
 
 
+#: Characters that have an escape of their own in a quoted text.
+ESCAPES = {"\a": "\\a", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\v": "\\v", "\f": "\\f", "\r": "\\r", '"': '\\"', "\\": "\\\\"}
+
+
+def quoted(text: str) -> str:
+    """text in double quotes, with escapes for quotes, backslashes and what can't be printed. Lone surrogates stand for bytes
+    that are no UTF-8, and are written as those."""
+
+    def said(c: str) -> str:
+        code = ord(c)
+        if c in ESCAPES:
+            return ESCAPES[c]
+        if c.isprintable():
+            return c
+        if 0xDC80 <= code <= 0xDCFF:
+            return f"\\x{code - 0xDC00:02x}"
+        return f"\\x{code:02x}" if code < 0x80 else f"\\u{code:04x}" if code < 0x10000 else f"\\U{code:08x}"
+
+    return '"' + "".join(map(said, text)) + '"'
+
+
 def safe(text: str) -> str:
     """text, quoted if a character of it can't be printed."""
-    return text if all(c.isprintable() for c in text) else json.dumps(text, ensure_ascii=False)
+    return text if all(c.isprintable() for c in text) else quoted(text)
+
+
+def safe_path(path: Column) -> Column:
+    """As safe(), over a column."""
+    pieces = F.transform(F.split(path, ""), _said)
+    return F.when(path.rlike(r"[\p{C}\p{Zl}\p{Zp}[\p{Zs}&&[^ ]]]"), F.concat(F.lit('"'), F.array_join(pieces, ""), F.lit('"'))).otherwise(path)
+
+
+def _said(c: Column) -> Column:
+    out = F.when(c == "", c)
+    for character, escape in ESCAPES.items():
+        out = out.when(c == character, F.lit(escape))
+    code, hex_ = F.ascii(c), F.lower(F.hex(F.ascii(c)))
+    wide = F.when(code < 0x80, F.concat(F.lit("\\x"), F.lpad(hex_, 2, "0"))).when(code < 0x10000, F.concat(F.lit("\\u"), F.lpad(hex_, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(hex_, 8, "0")))
+    return out.when(c.rlike(r"[\p{C}\p{Zl}\p{Zp}[\p{Zs}&&[^ ]]]"), wide).otherwise(c)
 
 
 def fence(code: str) -> str:

@@ -83,6 +83,39 @@ def outside(points: DataFrame, spans: DataFrame) -> DataFrame:
     return marked.where("NOT touches").select(*points.columns)
 
 
+def within(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows (path, s, e, ...) with ``within``: whether a span (path, s, e) of their path holds them whole, both ends included. No
+    row meets a span: of the spans that begin no later than a row, the one that reaches farthest decides."""
+    kind = rows.select(F.struct(*rows.columns).alias("r")).schema["r"].dataType
+    marks = spans.select("path", F.col("s").cast("bigint").alias("_at"), F.lit(0).alias("_is_row"), F.col("e").cast("bigint").alias("_reach"), F.lit(None).cast(kind).alias("_row"))
+    asked = rows.select("path", F.col("s").cast("bigint").alias("_at"), F.lit(1).alias("_is_row"), F.lit(None).cast("bigint").alias("_reach"), F.struct(*rows.columns).alias("_row"))
+    order = Window.partitionBy("path").orderBy("_at", "_is_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = marks.unionByName(asked).withColumn("_reach", F.max("_reach").over(order)).where("_is_row = 1")
+    return found.select("_row.*", F.coalesce(F.col("_reach") >= F.col("_row.e"), F.lit(False)).alias("within"))
+
+
+def outside_whole(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows (path, s, e, ...) that no span (path, s, e) holds whole, such as definitions that no literal hides."""
+    return within(rows, spans).where("NOT within").drop("within")
+
+
+def tree_faults(scopes: Column, last: Column) -> Column:
+    """What keeps scopes, an array of (s, e), from being a tree over lines 1 to last: (s, e, fault), in order. A scope lies
+    within the file, ends no sooner than it begins, and of two scopes that share a line one holds the other. One sweep in the
+    order of starts, widest first, with the ends of the scopes that are open as a stack."""
+    kind = "array<struct<s:int,e:int,fault:string>>"
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast(kind).alias("faults"))
+    ordered = F.transform(F.array_sort(F.transform(scopes, lambda x: F.struct(x["s"].cast("int").alias("s"), (-x["e"]).cast("int").alias("e")))), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e")))
+
+    def step(state: Column, x: Column) -> Column:
+        open_ = F.filter(state["open"], lambda e: e >= x["s"])
+        fault = F.when((x["s"] < 1) | (x["e"] > last), "outside").when(x["e"] < x["s"], "reversed").when(F.exists(open_, lambda e: e < x["e"]), "crossing")
+        row = F.struct(x["s"].alias("s"), x["e"].alias("e"), fault.alias("fault"))
+        return F.struct(F.concat(open_, F.array(x["e"])).alias("open"), F.concat(state["faults"], F.array(row)).alias("faults"))
+
+    return F.filter(F.aggregate(ordered, start, step)["faults"], lambda x: x["fault"].isNotNull())
+
+
 def nearest_names(lines: DataFrame, name: str = "name", keys: Sequence[str] = ("path",), order_by: str = "line_no") -> DataFrame:
     """lines with nearest: the last name at or before the row, else the first behind it. Rows without one have null names."""
     order = Window.partitionBy(*keys).orderBy(order_by)

@@ -42,22 +42,48 @@ def fair_shares(counts: DataFrame, limit: int) -> DataFrame:
     return each.select(F.col("x.all.q_ix").alias("q_ix"), F.col("x.all.n").alias("n"), F.col("x.shares").alias("share"))
 
 
-def shared_limit(rows: DataFrame, queries: DataFrame, limit: int, order: Sequence[str | Column]) -> DataFrame:
+#: Queries of one request whose shares are broadcast.
+MOST_QUERIES = 10_000
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], by: str, parts: DataFrame) -> DataFrame:
+    """rows with rank, in the given order, of all rows of a key, without a task that holds a key's rows. ``by``: a string column
+    that the order begins with, or follows a few constants only with; ``parts``: a table in which a sample of its values gives
+    the bounds of ranges, which are numbered by themselves, behind the rows of the ranges before."""
+    sample = [r[0] for r in parts.select(by).where(F.col(by).isNotNull()).orderBy(F.xxhash64(by), by).limit(SAMPLE).collect()]
+    bounds = sorted(set(sample))[:: max(1, len(sample) // RANGES)]
+    at = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col(by))) if bounds else F.lit(0)
+    leading = [c for c in order[: next(k for k, c in enumerate(order) if c == by)] if isinstance(c, str)]
+    ranged = rows.withColumn("_range", F.coalesce(at, F.lit(0)))
+    here = [*keys, *leading, "_range"]
+    # a few numbers for each key: how many rows its ranges have
+    sizes = ranged.groupBy(*here).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(*leading, "_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*here).orderBy(*order))
+    joined = ranged.withColumn("_within", within).join(starts.withColumnsRenamed({c: f"_{c}_" for c in here}), [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in here])
+    return joined.withColumn("rank", (F.col("_before") + F.col("_within")).cast("int")).drop("_within", "_before", "_range", *[f"_{c}_" for c in here])
+
+
+#: Values that are sampled for the bounds of ranges, and ranges.
+SAMPLE, RANGES = 2_000, 64
+
+
+def shared_limit(rows: DataFrame, queries: DataFrame, limit: int, order: Sequence[str | Column], paths: DataFrame | None = None) -> DataFrame:
     """rows (q_ix, ...) with rank and truncated, as fair_shares() of the queries (q_ix) allows. With a limit, rows are read
-    twice: they should be few, and kept."""
+    twice: they should be few, and kept. Without one, ranks come from numbered() by path, for which ``paths`` gives bounds."""
+    if limit <= 0 and paths is not None:
+        return numbered(rows, ["q_ix"], order, "path", paths).withColumn("truncated", F.lit(False))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q_ix").orderBy(*order)))
     if limit <= 0:
         return ranked.withColumn("truncated", F.lit(False))
     counts = queries.select("q_ix").join(ranked.groupBy("q_ix").agg(F.count("*").alias("n")), "q_ix", "left").fillna(0, ["n"])
     shares = fair_shares(counts, limit)
-    joined = ranked.join(F.broadcast(shares.limit(MOST_QUERIES)), "q_ix").where(F.col("rank") <= F.col("share"))
+    shares = F.broadcast(shares) if queries.count() <= MOST_QUERIES else shares
+    joined = ranked.join(shares, "q_ix").where(F.col("rank") <= F.col("share"))
     return joined.withColumn("truncated", F.col("n") > F.col("share")).drop("n", "share")
 
 
-#: Queries of one request, at most.
-MOST_QUERIES = 10_000
-
-
 def first_or_second(first: DataFrame, second: DataFrame, key: str = "q_ix") -> DataFrame:
     """first's rows, and second's for keys that first has no row of."""
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)

@@ -519,6 +519,32 @@ def touching_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranges.touching_only(days.select("o_orderkey", "path", F.col("d").alias("s"), (F.col("d") + 3).alias("e")), regions)
 
 
+@query(f"WITH {DAYS} SELECT a.o_orderkey, a.path, a.d AS s, a.d + 2 AS e FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.path = a.path AND b.d <= a.d AND a.d + 2 <= b.d + b.o_orderkey % 40)")
+def outside_whole_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = order_days(spark, sf_dir)
+    spans = days.select("path", F.col("d").alias("s"), (F.col("d") + F.col("o_orderkey") % 40).alias("e"))
+    return ranges.outside_whole(days.select("o_orderkey", "path", F.col("d").alias("s"), (F.col("d") + 2).alias("e")), spans)
+
+
+@query(f"""WITH {DAYS}, x AS (SELECT DISTINCT path, CAST(d - 3 AS INTEGER) AS s, CAST(d - 4 + o_orderkey % 30 AS INTEGER) AS e FROM o)
+SELECT a.path, a.s, a.e, CASE WHEN a.s < 1 OR a.e > 360 THEN 'outside' WHEN a.e < a.s THEN 'reversed' ELSE 'crossing' END AS fault FROM x a
+WHERE a.s < 1 OR a.e > 360 OR a.e < a.s OR EXISTS (SELECT 1 FROM x b WHERE b.path = a.path AND b.s <= a.s AND a.s <= b.e AND b.e < a.e AND NOT (b.s = a.s))""")
+def scope_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps the spans of a customer from being a tree."""
+    days = order_days(spark, sf_dir)
+    spans = days.select("path", (F.col("d") - 3).cast("int").alias("s"), (F.col("d") - 4 + F.col("o_orderkey") % 30).cast("int").alias("e")).distinct()
+    trees = spans.groupBy("path").agg(F.collect_list(F.struct("s", "e")).alias("scopes"))
+    return trees.select("path", F.explode(ranges.tree_faults(F.col("scopes"), F.lit(360))).alias("x")).select("path", "x.*")
+
+
+@query(f"WITH {code.SOURCES} SELECT stem AS path, CAST(0 AS INTEGER) AS faults FROM code")
+def declared_scope_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scopes of what the files of code declare are a tree in each of them."""
+    files = analysed_files(document_code(spark, sf_dir))
+    owned = F.transform(F.filter("defs", lambda d: d["owns_scope"]), lambda d: F.struct(d["scope_start"].alias("s"), d["scope_end"].alias("e")))
+    return files.select(F.regexp_replace("path", r"\.\w+$", "").alias("path"), F.size(ranges.tree_faults(owned, F.col("total"))).alias("faults"))
+
+
 @query("""WITH r AS (SELECT l_suppkey AS path, l_returnflag AS symbol, l_partkey % 50 AS line, l_orderkey % 100 AS s, l_orderkey % 100 + l_linenumber AS e, l_linenumber % 2 = 0 AS owns, l_linenumber > 2 AS second, l_orderkey * 10 + l_linenumber AS pos FROM lineitem),
 b AS (SELECT *, min(CASE WHEN second THEN 2 WHEN owns THEN 0 ELSE 1 END) OVER (PARTITION BY path, symbol, line) AS best, row_number() OVER (PARTITION BY path, symbol, line, second ORDER BY pos, s, e) AS k FROM r)
 SELECT path, symbol, line, CAST(min(s) AS BIGINT) AS s, CAST(max(e) AS BIGINT) AS e, bool_or(owns) AS owns FROM b WHERE (best = 2 AND k = 1) OR (best < 2 AND NOT second AND owns = (best = 0)) GROUP BY path, symbol, line""")

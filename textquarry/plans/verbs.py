@@ -176,6 +176,7 @@ def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options
     texts = corpus.files.where("false")
     if options.match != "path":
         files = _changed_only(corpus.sources(options.path_globs, options.exclude_globs), changed, options)
+        files = _enough(corpus, queries, options, files)
         texts = files.where(_maybe(F.col("content"), F.col("path"), queries))  # rows of paths have no code
         hits = _placed(_hits(corpus, queries, options, files), options)
         rows = hits.select("q_ix", "kind", "symbol", "path", F.col("line_no").alias("line"), "start_line", "end_line", "scope", F.col("reported").alias("language"), results.finding(F.col("kind")).alias("finding"))
@@ -190,14 +191,50 @@ def find_many(corpus: Corpus, queries: Sequence[str], options: Options = Options
         rows = matches.select("q_ix", "path", "match_rank", F.lit("file").alias("kind"), F.lit("file").alias("finding"), F.lit(None).cast("int").alias("line"), F.lit(1).alias("source"))
         found.append(rows)
     every = found[0].drop("source") if len(found) == 1 else results.first_source(found[0].unionByName(found[1], allowMissingColumns=True))
-    if options.limit:
-        every = every.persist()  # a request's limit and one row more for each query
+    every = _held(every)  # hits are few beside the files, and read more than once
     asked = spark.range(len(queries)).select(F.col("id").cast("int").alias("q_ix"))
-    limited = results.shared_limit(every, asked, options.limit, ["match_rank", "path", "line", _kind_rank()])
+    limited = results.shared_limit(every, asked, options.limit, ["match_rank", "path", "line", _kind_rank()], corpus.files)
     for name, kind in (("start_line", "int"), ("end_line", "int"), ("symbol", "string"), ("scope", "string"), ("language", "string")):
         if name not in limited.columns:
             limited = limited.withColumn(name, F.lit(None).cast(kind))
-    return _shaped(_with_code(limited, texts, options, few=options.limit > 0), "q_ix", "rank", "truncated")
+    return _shaped(_with_code(limited, texts, options), "q_ix", "rank", "truncated")
+
+
+#: Rows that verbs hold in Spark's storage until they are released.
+_rows: list[DataFrame] = []
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    _rows.append(rows.persist())
+    return _rows[-1]
+
+
+def release() -> None:
+    """Free what verbs hold; results that are read afterwards are computed again."""
+    while _rows:
+        _rows.pop().unpersist()
+
+
+#: Files that may hold a symbol of a query with a limit: so many are looked at first, then so many times as many.
+FIRST_FILES, MORE = 512, 16
+
+
+def _enough(corpus: Corpus, queries: Sequence[str], options: Options, files: DataFrame) -> DataFrame:
+    """With a limit, the files in order of path up to one by which each query has the limit's rows and one more, as results go
+    by path first; the rest needs no analysis. All files where there are few, or not enough rows."""
+    if not options.limit:
+        return files
+    may, n = files.where(_maybe(F.col("content"), F.col("path"), queries)), FIRST_FILES
+    while True:
+        ends = may.select("path").orderBy("path").limit(n).agg(F.max("path").alias("end"), F.count("*").alias("n")).first()
+        if ends["n"] < n:
+            return files
+        part = files.where(F.col("path") <= ends["end"])
+        rows = _placed(_hits(corpus, queries, options, part), options)
+        got = rows.groupBy("q_ix").agg(F.count_distinct(*results.RESULT_KEY).alias("n"))
+        if got.where(F.col("n") > options.limit).count() == len(queries):
+            return part
+        n *= MORE
 
 
 def find(corpus: Corpus, query: str, options: Options = Options(), changed: DataFrame | None = None) -> DataFrame:
@@ -239,7 +276,8 @@ def inspect(corpus: Corpus, locations: Sequence[str], options: Options = Options
     kept = files.where(P.path_filter(F.col("path"), options.path_globs, options.exclude_globs))
     lines = _lines(_changed_only(kept, changed, options), options).join(F.broadcast(wanted), "path").where("line_no = at")
     scopes = _ranged(lines, options, F.col("nav_start"), F.col("nav_end")).withColumn("symbol", best_symbol()).withColumn("kind", F.lit("scope"))
-    primary = scopes.select("q_ix", "symbol", "path", "kind", F.col("line_no").alias("line"), "start_line", "end_line", "scope", F.col("reported").alias("language"), F.lit("other").alias("finding")).persist()
+    primary = scopes.select("q_ix", "symbol", "path", "kind", F.col("line_no").alias("line"), "start_line", "end_line", "scope", F.col("reported").alias("language"), F.lit("other").alias("finding"))
+    primary = _held(primary)
     got = {r["q_ix"]: r for r in primary.collect()}  # a row for each place asked for
     for k, location in enumerate(locations):
         if k not in got:
@@ -252,6 +290,7 @@ def inspect(corpus: Corpus, locations: Sequence[str], options: Options = Options
     if options.include in ("defs", "refs", "both", "all") and symbols:
         from dataclasses import replace
 
+        # a row of the place itself, or of its imports, may take one's place; one more tells whether there are more
         related_options = replace(options, include="both" if options.include == "all" else options.include, match="symbol", limit=0)
         related = find_many(corpus, symbols, related_options, changed).drop("code", "code_start_line", "code_end_line", "code_truncated", "truncated", "signature", "changed_lines", "scopes")
         which = spark.createDataFrame([(k, symbols.index(r["symbol"])) for k, r in got.items() if r["symbol"]], "q_ix int, s_ix int")
@@ -330,16 +369,18 @@ def changed(corpus: Corpus, changed_files: DataFrame, changed_lines: DataFrame,
     whole = whole.select("path", F.lit("file").alias("kind"), F.lit("file").alias("finding"), P.language(F.col("path")).alias("language"))
     joined = rows.unionByName(whole, allowMissingColumns=True)
     joined = results.first_of_each(joined, list(results.RESULT_KEY), ["path", "line"])
-    limited = results.top_of_each(joined.withColumn("q_ix", F.lit(0)), ["q_ix"], ["path", "line"], options.limit + 1 if options.limit else 0)
-    more = F.max("rank").over(Window.partitionBy("q_ix")) > options.limit if options.limit else F.lit(False)
-    limited = limited.withColumn("truncated", more)
+    joined = _held(joined.withColumn("q_ix", F.lit(0)))
     if options.limit:
-        limited = limited.where(F.col("rank") <= options.limit)
-    return _shaped(_with_code(limited, files, options, focus="focus", few=options.limit > 0), "q_ix", "rank", "truncated")
+        limited = results.top_of_each(joined, ["q_ix"], ["path", "line"], options.limit + 1)
+        limited = limited.withColumn("truncated", F.max("rank").over(Window.partitionBy("q_ix")) > options.limit).where(F.col("rank") <= options.limit)
+    else:
+        limited = results.numbered(joined, ["q_ix"], ["path", "line"], "path", chosen).withColumn("truncated", F.lit(False))
+    return _shaped(_with_code(limited, files, options, focus="focus"), "q_ix", "rank", "truncated")
 
 
 def respond(rows: DataFrame, queries: Sequence[str], options: Options, verb: str = "find", root: str = "") -> list[dict[str, object]]:
-    """Responses, in the order of queries, from a verb's rows. The rows come to the driver: limit them."""
+    """Responses, in the order of queries, from a verb's rows. The rows come to the driver: limit them. What the verb held is
+    released."""
     options = options.normalised("scope" if verb in ("find", "inspect") else "line")
     by_query: dict[int, list[dict[str, object]]] = {}
     truncated: set[int] = set()
@@ -348,6 +389,7 @@ def respond(rows: DataFrame, queries: Sequence[str], options: Options, verb: str
         by_query.setdefault(r["q_ix"], []).append(row)
         if r["truncated"]:
             truncated.add(r["q_ix"])
+    release()
     out, left = [], options.limit
     for k, query in enumerate(queries):
         got = by_query.get(k, [])

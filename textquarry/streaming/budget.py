@@ -148,6 +148,41 @@ def admitted(requests: DataFrame, key: str, limit: int) -> DataFrame:
     )
 
 
+def answered(events: DataFrame, key: str, limit: int, wait: str = "500 milliseconds") -> DataFrame:
+    """(key, request_id, used, remaining, fault) for each request in a stream of (key, type, request_id): started and completed
+    commands of a key are counted, and a request (type request) is answered once a command is started and not completed, as
+    the request is that command's own. Requests wait for it in the state; those that have waited for ``wait`` are answered
+    with a fault, as are those beyond the limit."""
+    last = int(wait.split()[0])
+
+    def count(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        started, completed, waiting = (*state.get[:2], list(state.get[2])) if state.exists else (0, 0, [])
+        rows = []
+        if state.hasTimedOut:
+            rows = [(keys[0], r, started, max(0, limit - started), "the command is missing from the transcript") for r in waiting]
+            waiting = []
+        else:
+            for batch in batches:
+                for kind, request in zip(batch["type"], batch["request_id"], strict=True):
+                    started += kind == "item.started"
+                    completed += kind == "item.completed"
+                    if kind == "request":
+                        waiting.append(int(request))
+        if waiting and started > completed:
+            fault = f"{limit} of {limit} requests are used up" if started > limit else None
+            rows += [(keys[0], r, started, max(0, limit - started), fault) for r in sorted(waiting)]
+            waiting = []
+        state.update((started, completed, waiting))
+        if waiting:
+            state.setTimeoutDuration(last)
+        yield pd.DataFrame(rows, columns=["key", "request_id", "used", "remaining", "fault"]).astype({"request_id": "int64", "used": "int64", "remaining": "int64"})
+
+    named = events.select(F.col(key).cast("string").alias("key"), "type", F.coalesce(F.col("request_id").cast("bigint"), F.lit(0)).alias("request_id"))
+    return named.groupBy("key").applyInPandasWithState(
+        count, "key string, request_id bigint, used bigint, remaining bigint, fault string", "started bigint, completed bigint, waiting array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
 def sequence_faults(verbs: DataFrame, key: str, order: str, current: str | None = None) -> DataFrame:
     """(key, fault) of requests (key, order, verb): the first must be changed, and the only one; the last must be current.
     fault is null where all is well."""
