@@ -209,3 +209,26 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["inspect", "a.go:6", "--root", str(tmp_path), "--include", "all"]) == 0
     assert "# a.go:5-7 scope helper" in capsys.readouterr().out
     assert main(["find", "a", "b", "--limit", "1", "--root", str(tmp_path)]) == 1
+
+
+def test_a_limit_needs_the_first_files_only(spark, monkeypatch):
+    files = spark.createDataFrame([(f"p{k:03}.go", f"package p\n\nfunc f{k}() {{\n\ttarget({k})\n\ttarget(1)\n}}\n" + ("other()\n" if k % 40 == 0 else "")) for k in range(120)], "path string, content string")
+    corpus = Corpus.from_table(files)
+    for returns in ("scope",):
+        options = Options(limit=5, returns=returns)
+        want = [tuple(r) for r in V.find_many(corpus, ["target", "other"], options).orderBy("q_ix", "rank").collect()]
+        monkeypatch.setattr(V, "FIRST_FILES", 2)
+        kept = V._enough(corpus, ["target"], options, corpus.files)
+        assert kept.count() < 120
+        assert [tuple(r) for r in V.find_many(corpus, ["target", "other"], options).orderBy("q_ix", "rank").collect()] == want
+        assert len(want) == 5
+        monkeypatch.undo()
+    V.release()
+
+
+def test_names_across_lines_are_found_once(spark):
+    files = spark.createDataFrame([("A.java", "class A {\n  int f() {\n    return Store. // Store.Target\n      Target + Store.Target + 1.e5;\n  }\n}\n"), ("b.c", "int f(void) { return 1.e5x + 2.Target; }\n"), ("B.cs", "class B { void F() { Store\n.Target(); } }\n")], "path string, content string")
+    found = lambda q: sorted((r["path"], r["line"], r["scope"]) for r in V.find(Corpus.from_table(files), q, Options(include="both", no_comments=True, returns="line")).collect())
+    assert found("Store.Target") == [("A.java", 3, "f"), ("A.java", 4, "f"), ("B.cs", 1, "F")]
+    assert found("Target") == [("A.java", 4, "f"), ("B.cs", 2, "F")] and found("e5") == [] and found("e5x") == []
+    V.release()

@@ -165,7 +165,7 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
                             "nav_start": nav[0], "nav_end": nav[1], "scope": names[k - 1], "opener": bool(here),
                             "adjust": [{"symbol": w, "by": by} for w, by in a.spliced.get(k, ())],
                             "tokens": [{"symbol": w, "cols": cols} for w, cols in tokens.get(k, ())],
-                            "owners": [{"col": c, "stop": e, "symbol": s, "s": x, "e": y} for c, e, s, x, y in sorted(here)] if a.language.position_scopes else [],
+                            "owners": [{"col": c, "stop": e, "symbol": s, "s": x, "e": y} for c, e, s, x, y in sorted(here, key=lambda o: (o[0], -o[1]))] if a.language.position_scopes else [],
                         }
                     )
                     if len(rows) == 4096:
