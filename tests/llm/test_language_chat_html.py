@@ -1,6 +1,8 @@
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -223,3 +225,39 @@ def test_pages_without_landmarks_give_the_same_text(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         bare = r["html"].replace("<article>", "").replace("</article>", "")
         assert bare != r["html"] and H.main_text(bare) == H.main_text(r["html"]) != ""
+
+
+LONG_LINE = "A long enough paragraph of words, so that it is a surge of its own in any window there is, yes."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><p>{LONG_LINE}</p><section id='related'><p>Kept too.</p></section><div class='ad'>Buy</div></article>", [LONG_LINE, "Kept too."]),
+        (f"<article><p>{LONG_LINE}</p><div class='search'>Search trees are balanced.</div><div class='comments'>No!</div></article>", [LONG_LINE, "Search trees are balanced."]),
+        (f"<main><p>{LONG_LINE}</p><p>For <math><mi>x</mi><mo>=</mo><mn>1</mn></math> it holds.</p></main>", [LONG_LINE, "For x=1 it holds."]),
+        (f"<article><p>{LONG_LINE}</p><xmp><b>raw</b> &amp;</xmp></article>", [LONG_LINE, "<b>raw</b> &amp;"]),
+        (f"<article><p>{LONG_LINE}</p></article><article>Short one.</article>", [LONG_LINE, "Short one."]),
+        (f"<div><div>Site notice</div><div><h1>Title</h1><p>{LONG_LINE}</p><p>{LONG_LINE}</p><p>End.</p></div><div>Foot</div></div>", ["Title", LONG_LINE, LONG_LINE, "End."]),
+    ],
+)
+def test_what_an_article_holds(page, want):
+    assert H.main_text(page).split("\n") == want
+
+
+def test_most_articles_are_found_without_any_name(spark, sf_dir):
+    """Landmarks made plain, classes and ids taken away: what is left to tell the article by is the distribution of its text."""
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    bare = [re.sub(r"(<(?:div|ul|p|span)\b)[^>]*>", r"\1>", re.sub(r"<(/?)(?:article|main|nav|footer|aside|header|section)\b[^>]*>", r"<\1div>", p)) for p in pages]
+    same = sum(H.main_text(a) == H.main_text(b) for a, b in zip(pages, bare, strict=True))
+    assert same >= 0.6 * len(pages)
+    assert all(set(H.main_text(a).split("\n")) <= set(H.main_text(b).split("\n")) for a, b in zip(pages, bare, strict=True))
+
+
+def test_open_elements_cost_no_square():
+    took = []
+    for n in (10_000, 80_000):
+        start = time.perf_counter()
+        H.main_text("<div>" * n + "x</b></i></nav>" * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * took[0] + 0.5

@@ -5,9 +5,11 @@ much as its text is long, link texts left out. Lines inside elements that never
 of the page, side bars, notices, adverts, forms, scripts, styles, reader comments) weigh nothing and are never returned, and
 where a page has article or main elements, so are lines outside them. The weights are summed over a sliding window. The text
 begins at a surge, the lines around a window of ``threshold`` or more (or the page's heaviest), and ends at a dive, where all
-lines of a window weigh nothing. What lies between them stays whole, short lines and link texts too. An article or main
-element with a surge in it stays whole, and so does what lies between two surges in the same container, so that no list of
-links or advert inside the article costs what follows it.
+lines of a window weigh nothing. What lies between them stays whole, short lines and link texts too, but for lines at its edges
+that light containers hold beside the one with most of the weight. Article and main elements stay whole, and so does what lies
+between two surges in the same container, so that no list of links or advert inside the article costs what follows it. Inside
+of an article fewer names tell what is none of it: a part named for related pages, sharing or search belongs to it unless it
+has nothing but links.
 
 White space inside a line becomes one space; character references are decoded. Defined cases: a null or empty page has no
 text; markup cut off at the end of the page is dropped; elements left open end with the page. Equal pages give equal texts.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import html
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,9 +40,13 @@ TOKEN = re.compile(
 )
 #: Elements whose content is not markup.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
+#: Those of them whose content is shown as it stands.
+SHOWN = {"xmp", "plaintext"}
 #: Elements that never hold the article.
-NEVER = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "template", "svg", "math", "canvas", "object", "audio", "video", "noscript"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split())
+NEVER = (RAW - SHOWN) | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "template", "svg", "canvas", "object", "audio", "video", "noscript"}
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input".split()) | set(
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose semantics".split()
+)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = {"article", "main"}
 #: Words in class, id, role or aria-label that name what is not the article: where each word of a name is one of these or
@@ -49,6 +56,8 @@ BOILER = set(
     " subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside widget widgets toolbar pagination pager comment comments commentlist respond replies reply disqus share sharing"
     " social related recommended recommendations outbrain taboola login search skip complementary contentinfo alert".split()
 )
+#: Those of them that name parts of an article inside of one.
+PARTS = set("related recommended recommendations search login skip social share sharing toolbar widget widgets pagination pager complementary contentinfo alert".split())
 PLACES = set(
     "top bottom left right main site page global primary secondary list lists box area container wrapper wrap block section group bar inner outer content link links post posts article articles story stories item items"
     " button buttons media icon icons form field thread count title header footer body row col js ui text label unit slot".split()
@@ -78,7 +87,8 @@ def is_boilerplate(name: str, attrs: str, in_article: bool) -> bool:
         return False
     for one in names.split():
         words = {w.lower() for w in WORD.findall(one) if not w.isdigit()}
-        if words & BOILER and words <= BOILER | PLACES or not in_article and words & FRAME and words <= FRAME | FRAME_PLACES:
+        boiler = BOILER - PARTS if in_article else BOILER
+        if words & boiler and words <= BOILER | PLACES or not in_article and words & FRAME and words <= FRAME | FRAME_PLACES:
             return True
     return False
 
@@ -89,6 +99,17 @@ class Line(NamedTuple):
     blank: bool
     article: int  # the outermost article or main element, from 1; 0 outside of them
     container: int
+    part: int  # the nearest part of an article, from 1, that a name says to be of links; 0 outside of them
+    heading: bool
+
+
+def is_part(attrs: str) -> bool:
+    """Whether an element inside an article is named as one that may be a list of links."""
+    for one in " ".join(m[1].strip("\"'") for m in NAMED.finditer(attrs)).split():
+        words = {w.lower() for w in WORD.findall(one) if not w.isdigit()}
+        if words & PARTS and words <= BOILER | PLACES:
+            return True
+    return False
 
 
 def lines_of(page: str) -> list[Line]:
@@ -96,8 +117,9 @@ def lines_of(page: str) -> list[Line]:
     lines: list[Line] = []
     pieces: list[str] = []
     links: list[str] = []
-    open_: list[tuple[str, bool, bool, int]] = []  # name, boilerplate, article, container
-    blank = article = articles = containers = 0
+    open_: list[tuple[str, bool, bool, int, int]] = []  # name, boilerplate, article, nearest container and part
+    named: Counter[str] = Counter()  # of the open ones
+    blank = article = articles = containers = parts = 0
     in_link = False
 
     def flush() -> None:
@@ -105,8 +127,8 @@ def lines_of(page: str) -> list[Line]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 linked = len(" ".join(html.unescape("".join(links)).split()))
-                container = next((c for *_, c in reversed(open_) if c), 0)
-                lines.append(Line(text, 0 if blank else max(0, len(text) - linked), blank > 0, articles if article else 0, container))
+                container, part = open_[-1][3:] if open_ else (0, 0)
+                lines.append(Line(text, 0 if blank else max(0, len(text) - linked), blank > 0, articles if article else 0, container, part, any(named[x] for x in HEADINGS)))
             pieces.clear()
             links.clear()
 
@@ -134,31 +156,41 @@ def lines_of(page: str) -> list[Line]:
                 text(" ")
             if name != "br" and not m["close"] and name not in VOID and not attrs.endswith("/") and attrs and is_boilerplate(name, attrs, article > 0):
                 flush()
-                open_.append((name, True, False, 0))
+                open_.append((name, True, False, *(open_[-1][3:] if open_ else (0, 0))))
+                named[name] += 1
                 blank += 1
             elif m["close"] and open_ and open_[-1][0] == name:
                 flush()
                 open_.pop()
+                named[name] -= 1
                 blank -= 1
             continue
         flush()
         if m["close"]:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == name:
-                    for _, is_boiler, is_article, _ in open_[k:]:
-                        blank -= is_boiler
-                        article -= is_article
-                    del open_[k:]
-                    break
+            done = not named[name]
+            while not done:
+                last, is_boiler, is_article, *_ = open_.pop()
+                named[last] -= 1
+                blank -= is_boiler
+                article -= is_article
+                done = last == name
         elif name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            if name in SHOWN:
+                for line in page[at : close.start() if close else end].split("\n"):
+                    text(html.escape(line))
+                    flush()
             at = close.end() if close else end
         elif name not in VOID and name not in ("p", "html", "body", "dt", "dd") and not attrs.endswith("/"):
             boiler = is_boilerplate(name, attrs, article > 0)
             is_article = not boiler and (name in ARTICLE or bool(attrs and MAIN_ROLE.search(attrs)))
             containers += 1
             articles += is_article and not article
-            open_.append((name, boiler, is_article, containers if name in CONTAINERS else 0))
+            container, part = open_[-1][3:] if open_ else (0, 0)
+            if article and attrs and not boiler and not is_article and is_part(attrs):
+                part = parts = parts + 1
+            open_.append((name, boiler, is_article, containers if name in CONTAINERS else container, part))
+            named[name] += 1
             blank += boiler
             article += is_article
         elif name == "p" and attrs and is_boilerplate(name, attrs, article > 0):
@@ -190,6 +222,22 @@ def surges(weights: list[int], window: int, threshold: int) -> list[tuple[int, i
     return found
 
 
+def edged(lines: list[Line], weights: list[int], first: int, last: int, least: int) -> tuple[int, int]:
+    """[first, last) without lines at the ends that lie in light containers, where one other container has most of the weight."""
+    held: Counter[int] = Counter()
+    for k in range(first, last):
+        held[lines[k].container] += weights[k]
+    main, weight = max(held.items(), key=lambda x: x[1])
+    if 2 * weight <= sum(weights[first:last]):
+        return first, last
+    other = lambda k: lines[k].container != main and held[lines[k].container] < least and not lines[k].heading
+    while other(first):
+        first += 1
+    while other(last - 1):
+        last -= 1
+    return first, last
+
+
 def kept_lines(lines: list[Line], threshold: int, window: int) -> list[int]:
     has_article = any(x.article and not x.blank for x in lines)
     weights = [x.weight if x.article or not has_article else 0 for x in lines]
@@ -198,14 +246,15 @@ def kept_lines(lines: list[Line], threshold: int, window: int) -> list[int]:
     if has_article and not any(weights):
         weights = [len(x.text) if x.article and not x.blank else 0 for x in lines]
     found = surges(weights, window, least)
-    inside = {lines[k].article for a, b in found for k in range(a, b)} - {0}
-    keep = {k for k, x in enumerate(lines) if x.article in inside}
-    for a, b in found:
-        keep.update(k for k in range(a, b) if not has_article)
+    keep = {k for k, x in enumerate(lines) if x.article}
+    if not has_article:
+        found = [edged(lines, weights, a, b, least) for a, b in found]
+        keep = {k for a, b in found for k in range(a, b)}
     for (_, a), (b, _) in zip(found, found[1:], strict=False):  # between surges of one container
         if lines[a - 1].container == lines[b].container and not has_article:
             keep.update(range(a, b))
-    return sorted(k for k in keep if not lines[k].blank)
+    told = {x.part for x in lines if x.weight}  # parts with more than links
+    return sorted(k for k in keep if not lines[k].blank and (not lines[k].part or lines[k].part in told))
 
 
 def main_text(page: str | None, threshold: int = THRESHOLD, window: int = WINDOW) -> str:
