@@ -32,6 +32,20 @@ def test_top_k_against_brute_force(spark, monkeypatch, n, scale):
     assert {tuple(r) for r in got} == want
 
 
+@pytest.mark.parametrize("large", [1e12, 1e17, 1e30])
+def test_scores_beyond_64_bits_raise(spark, large):
+    df = spark.createDataFrame([(0, [large, 1.0]), (1, [3e15, -1.0]), (2, [1.0, 1.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        V.top_k_query(df).collect()
+
+
+def test_scores_beyond_53_bits_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.normal(size=6) * 3e6]) for k in range(60)]
+    got = V.top_k_query(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {tuple(r) for r in got} == brute(rows)
+
+
 def test_top_k_of_nothing(spark):
     assert V.top_k_query(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
     one = spark.createDataFrame([(0, [1.0])], "vec_id bigint, embedding array<float>")

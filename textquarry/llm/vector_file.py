@@ -9,7 +9,8 @@ What a task knows of the kth best score of a query it takes to its next block.
 
 Defined cases: vectors that are null, or have null or non-finite components, take no part. Vectors meet those of the same
 number of components. A null vec_id is no query, and comes last among equal scores. A query meets all rows with other
-vec_ids; repeated rows count as often as they come, and equal queries are answered once. Empty tables give empty results.
+vec_ids; repeated rows count as often as they come, and equal queries are answered once. Vectors too long for scores in 64 bits (a
+sum of squares of their integers from 4e18 on) raise an error. Empty tables give empty results.
 Only ``vec_id`` and ``embedding`` are read.
 """
 
@@ -28,6 +29,8 @@ from .common import partitions, small_batches, stored
 
 SCALE, K, EVERY = 64, 20, 20
 BLOCK, QUERIES, BITS, CHUNK = 16_384, 2_048, 6, 4_096
+#: The sum of squares from which on two vectors' product may pass 64 bits.
+LONGEST = 4e18
 NO_ID = np.iinfo(np.int64).max
 BLOCKS = "dim int, block long, ids binary, exact binary, width int, cells binary, low binary, step binary"
 
@@ -37,7 +40,9 @@ def valid(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddin
     v = F.col(column).cast("array<double>")
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_column).cast("bigint").alias("vec_id"), v.alias("x")).where(F.col("x").isNotNull()).where(finite)
-    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE)).alias("v"))
+    squares = F.aggregate("x", F.lit(0.0), lambda s, c: s + c * SCALE * c * SCALE)
+    beyond = F.raise_error(F.lit("a vector's scores don't fit in 64 bits")).cast("array<bigint>")
+    return rows.select("vec_id", F.when(squares < LONGEST, F.transform("x", lambda c: F.floor(c * SCALE))).otherwise(beyond).alias("v"))
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
