@@ -232,3 +232,13 @@ def test_names_across_lines_are_found_once(spark):
     assert found("Store.Target") == [("A.java", 3, "f"), ("A.java", 4, "f"), ("B.cs", 1, "F")]
     assert found("Target") == [("A.java", 4, "f"), ("B.cs", 2, "F")] and found("e5") == [] and found("e5x") == []
     V.release()
+
+
+def test_what_a_line_is_about(spark):
+    lines = [
+        ("go", "x := a.B(c.D)", "B"), ("python", "y = a.b.c", "c"), ("python", "f(a.b)", "f"), ("c", "x = p->q + f(y);", "f"), ("c", "x = p->q;", "q"), ("cpp", "v = make<int>(w.x);", "make"),
+        ("csharp", "var x = F(a?.B);", "B"), ("csharp", "F<int>(b);", "F"), ("kotlin", "val x = f(g(1))", "f"), ("swift", "let x = a.b(c.d).e", "e"), ("swift", "f(g(1))", "g"),
+        ("rust", "outer(inner(1)).last(x);", "last"), ("rust", "assert!(x);", "assert"), ("rust", "self.field;", "field"), ("java", "a.b().c(d(e));", "c"), ("java", "return x;", "x"), ("typescript", "f<T>(g(1))", "f"), ("javascript", "a.b;", "b"), ("zig", "a.b(c)", "b"),
+    ]
+    df = spark.createDataFrame([(lang, text, []) for lang, text, _ in lines], "lang string, structural string, defs array<struct<symbol:string,col:int>>")
+    assert [r[0] for r in df.select(V.best_symbol()).collect()] == [want for *_, want in lines]

@@ -249,18 +249,58 @@ def _changed_only(files: DataFrame, changed: DataFrame | None, options: Options)
     return results.changed_only(files, changed)
 
 
-def best_symbol() -> Column:
-    """The symbol that stands for an analysed line: what it defines, or a member, a call, or its first identifier."""
-    name, line = r"[\p{L}_][\p{L}\p{Nd}_]*", F.col("structural")
+NAME = r"[\p{L}_][\p{L}\p{Nd}_]*"
+#: What stands in front of a member's name, by language.
+MEMBERS = {"c": r"(?:\.|->)", "cpp": r"(?:\.|->)", "csharp": r"(?:\.|::)", "kotlin": r"(?:\.|::)", "swift": r"(?:\.|::)", "rust": r"\."}
+#: In which order languages look for what a line is about: a call, the outermost call, a macro, the first or last member,
+#: the last call, a word.
+ORDERS = {
+    "go": ("call", "member", "word"),
+    "python": ("call", "last_member", "word"),
+    "c": ("call", "member", "word"),
+    "cpp": ("call", "member", "word"),
+    "csharp": ("member", "call", "word"),
+    "kotlin": ("member", "call", "word"),
+    "swift": ("last_member", "last_call", "word"),
+    "rust": ("outer_call", "macro", "member", "word"),
+    "java": ("outer_call", "member", "word"),
+    "javascript": ("outer_call", "member", "word"),
+    "typescript": ("outer_call", "member", "word"),
+}
 
-    def first(pattern: str) -> Column:
-        found = F.filter(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), lambda w: (w != "_") & ~T.is_keyword(w))
-        return F.get(found, 0)
 
-    member, call, word = first(rf"\.\s*({name})"), first(rf"({name})\s*(?:\[|\()"), first(f"({name})")
-    last_member = F.element_at(F.regexp_extract_all(line, F.lit(rf"\.\s*({name})"), F.lit(1)), -1)
-    last_member = F.when(line.rlike(rf"\.\s*{name}"), last_member)
-    by_language = F.when(F.col("lang") == "go", F.coalesce(call, member, word)).when(F.col("lang") == "python", F.coalesce(call, last_member, word)).otherwise(F.coalesce(member, call, word))
+def best_symbol() -> Column:
+    """The symbol that stands for an analysed line: what it defines, else what its language's order finds first."""
+    line, lang = F.col("structural"), F.col("lang")
+
+    def named(text: Column, pattern: str) -> Column:
+        return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda w: (w != "_") & ~T.is_keyword(w))
+
+    # What is in parentheses goes, so that a chain's last call is the one around all others before it.
+    outer = line
+    for _ in range(4):
+        outer = F.regexp_replace(outer, r"\([^()]*\)", "\u0001")
+
+    def found(what: str, language: str) -> Column:
+        before = MEMBERS.get(language, r"\.")
+        called = rf"({NAME})\s*(?:<[^<>()]*>\s*)?\(" if language in ("csharp", "cpp") else rf"({NAME})\s*(?:\[|\()" if language in ("", "go", "python") else rf"({NAME})\s*\("
+        if what == "member":
+            return F.get(named(line, rf"{before}\s*({NAME})"), 0)
+        if what == "last_member":
+            return F.try_element_at(F.regexp_extract_all(line, F.lit(rf"{before}\s*({NAME})"), F.lit(1)), F.lit(-1))
+        if what == "call":
+            return F.get(named(line, called), 0)
+        if what == "last_call":
+            return F.try_element_at(named(line, called), F.lit(-1))
+        if what == "outer_call":
+            return F.try_element_at(named(outer, rf"({NAME})\s*(?:::)?(?:<[^<>()]*>\s*)?[\x01(]"), F.lit(-1))
+        if what == "macro":
+            return F.get(named(line, rf"({NAME})\s*!\s*[\[({{]"), 0)
+        return F.get(named(line, f"({NAME})"), 0)
+
+    by_language = F.coalesce(*(found(x, "") for x in ("member", "call", "word")))
+    for language, order in ORDERS.items():
+        by_language = F.when(lang == language, F.coalesce(*(found(x, language) for x in order))).otherwise(by_language)
     return F.coalesce(F.get("defs", 0)["symbol"], by_language, F.lit(""))
 
 
