@@ -203,17 +203,18 @@ class Analysis:
 
     def brace_scope(self, line: int) -> tuple[int, int]:
         """The smallest brace block around a line, from the lines of its signature on."""
-        if not hasattr(self, "_blocks"):
-            self._blocks = []
-            lines, stack = self.masked(True, True), []
-            for number, text in enumerate(lines, 1):
+        if not hasattr(self, "_braced"):
+            blocks, stack = [], []
+            for number, text in enumerate(self.masked(True, True), 1):
                 for c in text:
                     if c == "{":
                         stack.append(number)
                     elif c == "}" and stack:
-                        self._blocks.append((self._signature(stack.pop()), number))
-            self._blocks.sort(key=lambda b: b[1] - b[0])
-        return next(((s, e) for s, e in self._blocks if s <= line <= e), (line, line))
+                        start = self._signature(stack.pop())
+                        blocks.append((number - start, len(blocks), 0, start, number, (start, number)))
+            self._braced: list[tuple[int, int] | None] = [None] * (len(self.lines) + 2)
+            self._paint(self._braced, blocks)
+        return self._braced[line] or (line, line)
 
     def _signature(self, line: int) -> int:
         while line > 1 and (above := self.lines[line - 2].strip()) and (above.startswith(("//", "/*", "*", "#")) or not re.search(r"[;{}]\s*$", above)):
