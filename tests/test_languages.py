@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -93,7 +94,7 @@ def test_cleaning():
 @pytest.mark.parametrize("ext", ["go", "py", "rs", "js", "tsx", "java", "c", "cpp", "cs", "kt", "swift", "mod", "zig"])
 def test_no_text_fails_and_coordinates_hold(ext):
     random.seed(ext)
-    bits = ["{", "}", "(", ")", "[", "]", '"', "'", "`", "/*", "*/", "//", "#", "\n", "\n", " ", "class", "func", "def", "fn", "enum", "struct", "x", "y", "=", ";", ",", ":", "é", "\\", "${", "@", "<", ">", "MODULE M;", "END", "PROCEDURE", "import", "case", "\r\n", "=>", '"""', "R\"(", "r#\""]
+    bits = ["{", "}", "(", ")", "[", "]", '"', "'", "`", "/*", "*/", "//", "#", "\n", "\n", " ", "class", "func", "def", "fn", "enum", "struct", "x", "y", "=", ";", ",", ":", "é", "\\", "${", "@", "<", ">", "MODULE M;", "END", "PROCEDURE", "import", "case", "\r\n", "=>", '"""', "R\"(", "r#\"", "#if A\n", "#else\n", "#endif\n", "<b>", "</b>", "<i a={", "/>", "switch q", "operator", "record R(", "template <T>", "new"]
     for _ in range(150):
         source = "".join(random.choice(bits) + random.choice(["", " "]) for _ in range(random.randint(0, 80)))
         a = analyse(f"a.{ext}", source)
@@ -108,6 +109,18 @@ def test_no_text_fails_and_coordinates_hold(ext):
             assert 1 <= s <= k <= e <= n
         if (r := a.import_range()) is not None:
             assert 1 <= r[0] <= r[1] <= n
+        assert all(1 <= s <= e for s, e, _ in a.regions) and [r[0] for r in a.regions] == sorted({r[0] for r in a.regions})
+        a.occurrences(["x", "x.y", "x::y", "operator="], a.masked(True, True))
+
+
+def test_names_of_lines_take_no_square():
+    took = []
+    for n in (1_000, 8_000):
+        start = time.perf_counter()
+        a = analyse("a.zig", "f() {\nx;\n}\n" * n)
+        assert a.line_names()[-1] == "f" and a.enclosing(3 * n - 1) == (3 * n - 2, 3 * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * took[0] + 0.5
 
 
 @pytest.mark.parametrize("ext", ["swift", "mod", "kt", "js", "rs"])

@@ -223,19 +223,18 @@ class Analysis:
 
     def scope_name(self, line: int) -> str:
         """The name of the smallest owner around a line, rather one declared above; else the nearest declared in its scope."""
-        best, key = "", None
-        for d in self.defs:
-            if d.owns_scope and d.scope_start <= line <= d.scope_end:
-                before = d.line <= line
-                now = (not before, d.scope_end - d.scope_start, -d.line if before else d.line)
-                if key is None or now < key:
-                    best, key = d.symbol, now
+        if not hasattr(self, "_names"):
+            owners = [d for d in self.defs if d.owns_scope]
+            self._names: list[list[str | None]] = [[None] * (len(self.lines) + 2) for _ in range(2)]
+            size = lambda d: d.scope_end - d.scope_start
+            self._paint(self._names[0], [(size(d), -d.line, k, max(d.line, d.scope_start), d.scope_end, d.symbol) for k, d in enumerate(owners)])
+            self._paint(self._names[1], [(size(d), d.line, k, d.scope_start, min(d.line - 1, d.scope_end), d.symbol) for k, d in enumerate(owners)])
+            self._at: dict[int, str] = {}
+            for d in owners:
+                self._at.setdefault(d.line, d.symbol)
+        best, at = self._names[0][line] or self._names[1][line], self._at
         if best:
             return best
-        at = {}
-        for d in self.defs:
-            if d.owns_scope:
-                at.setdefault(d.line, d.symbol)
         start, end = self.enclosing(line)
         for k in range(min(line, end), start - 1, -1):
             if k in at:

@@ -606,7 +606,8 @@ class Structure:
                 elif len(words) > 1:
                     equals = [x for x in range(part, j) if t[x] == "="]
                     names = [x for x in words if not equals or x < equals[0]]
-                    self._define(names[-1], part, j - 1, False)
+                    if names:
+                        self._define(names[-1], part, j - 1, False)
                 part = j + 1
 
     def _parameter_properties(self, paren: int) -> None:
@@ -785,7 +786,7 @@ class Structure:
             if opens:
                 entries.append(k - (t[k - 1] == "@unknown"))
             k += 1
-        for k, following in zip(entries, [*entries[1:], stop - 1], strict=True):
+        for k, following in zip(entries, [*entries[1:], stop - 1], strict=False):
             self.scopes.append((self.line_of(k), self.line_of(following)))
 
     def _past_type(self, k: int, end: int) -> int:
@@ -862,7 +863,7 @@ class Structure:
             paren = k
             while paren < stop and t[paren] != "(" and t[paren] != "=":
                 paren = self.mate[paren] + 1 if t[paren] == "[" and self.mate[paren] > paren else self._past_angle(paren, stop) if t[paren] == "<" and lang.name in ("java", "csharp", "cpp", "typescript") else paren + 1
-            if lang.name == "cpp" and paren > k and t[paren - 1] == "operator" and self.mate[paren] == paren + 1 and paren + 2 < stop and t[paren + 2] == "(":
+            if lang.name == "cpp" and k < paren < stop and t[paren - 1] == "operator" and self.mate[paren] == paren + 1 and paren + 2 < stop and t[paren + 2] == "(":
                 paren += 2  # the call operator
             name = paren - 1
             if lang.name in ("c", "cpp") and paren < stop and t[paren] == "(" and self.mate[paren] > 0:
