@@ -109,3 +109,37 @@ def test_pairs_of_large_groups_come_from_the_index(spark, dense):
     assert true and true <= got and len(got) < 2 * len(true)
     nearest = {(r["u"], r["v"]) for r in S.candidate_pairs(df, 0.8, nearest=True, dense=dense).collect()}
     assert nearest <= got and {x for pair in nearest for x in pair} == {x for pair in got for x in pair} and len(nearest) < len(sets)
+
+
+def test_simhash_links_are_candidates(spark):
+    # a chain of SimHashes at four bits, nodes of equal SimHashes, and ones that are far from all
+    rng = random.Random(2)
+    fps, chain = [rng.getrandbits(64) for _ in range(50)], rng.getrandbits(64)
+    for k in range(15):
+        chain ^= 0b1111 << 4 * k
+        fps += [chain, chain]
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = S.simhash_candidates(spark.createDataFrame(list(enumerate(signed)), "node bigint, fp bigint")).collect()
+    assert got and all(r["v"] < r["u"] for r in got)
+    label = list(range(len(fps)))
+    for r in sorted((r["v"], r["u"]) for r in got) * len(got):
+        label[r[0]] = label[r[1]] = min(label[r[0]], label[r[1]])
+    assert label == components(list(enumerate(fps)), lambda a, b: (a ^ b).bit_count() <= 4)
+
+
+def test_near_copies_come_by_simhash(spark, monkeypatch):
+    # the pipeline's stage tests what SimHash links, and its links hold to the similarity
+    words, asked = [f"w{k}" for k in range(400)], []
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), "other words that stay for themselves"]
+    monkeypatch.setattr(S, "simhash_candidates", lambda nodes, find=S.simhash_candidates: asked.append(find(nodes).count()) or find(nodes))
+    assert check_similar(spark, texts) == 1 and asked == [1]
+
+
+def test_small_groups_share_an_index():
+    rng = np.random.default_rng(3)
+    group = np.sort(rng.integers(0, 300, 1000))
+    fps = rng.integers(0, 1 << 62, (20, 8), np.uint64)[rng.integers(0, 20, 1000)] ^ np.left_shift(np.uint64(1), rng.integers(0, 60, (1000, 8), np.uint64))
+    index = S.GrayIndex(fps, np.full(1000, 8.0), None, group)
+    got = {tuple(sorted((int(index.order[a]), int(index.order[b])))) for x, y, _ in index.pairs(lambda: np.arange(1000)) for a, b in zip(x, y, strict=True)}
+    near = lambda a, b: group[a] == group[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 16
+    assert got == {(a, b) for b in range(1000) for a in range(b) if near(a, b)} and got

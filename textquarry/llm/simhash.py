@@ -15,7 +15,8 @@ forest, not its pairs, so a dense group costs one edge for each fingerprint; in
 pivots are joined before the descent, which then leaves out leaves of one component. The edges of all groups are contracted
 by alternating large-star and small-star steps.
 
-``similar`` uses the index to link texts by the Jaccard similarity of their sets of shingles itself.
+``similar`` takes these links as candidates, and the index again to link texts by the Jaccard similarity of their sets of
+shingles itself.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other. Repeated rows are all returned. A
 component whose ids are all null has a null label; else null ids don't count. Empty tables give empty results. Only
@@ -57,7 +58,11 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 
 def fingerprint(text: str, width: int = WIDTH) -> int:
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -91,18 +96,25 @@ def differing(bits: np.ndarray) -> np.ndarray:
 
 class GrayIndex:
     """Nodes over fingerprints (rows of 64-bit words) in Gray order; levels[0] are the leaves. Two fingerprints link if they
-    differ in no more bits than their reaches, half a radius each, add up to. ``first`` are ranks that go before Gray ranks."""
+    differ in no more bits than their reaches, half a radius each, add up to. ``first`` are ranks that go before Gray ranks.
+    With ``group``, fingerprints of one group only link, and nodes without a common group don't meet."""
 
-    def __init__(self, fps: np.ndarray, reach: np.ndarray, first: np.ndarray | None = None):
+    def __init__(self, fps: np.ndarray, reach: np.ndarray, first: np.ndarray | None = None, group: np.ndarray | None = None):
         keys = [gray_rank(w) for w in fps.T[::-1]]
-        self.order = np.lexsort([*keys, first] if first is not None else keys)
+        self.order = np.lexsort([*keys, *(x for x in (first, group) if x is not None)])
         self.fps, self.reach = fps[self.order], reach[self.order]
+        self.group = group[self.order] if group is not None else None
+        self.groups: list[tuple[np.ndarray, np.ndarray]] = []  # the first and the last group of each node
+        low = high = self.group
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         every, some, far, step = self.fps, self.fps, self.reach, LEAF
         while True:
             cuts = np.arange(0, len(every), step)
             every, some, far = np.bitwise_and.reduceat(every, cuts, 0), np.bitwise_or.reduceat(some, cuts, 0), np.maximum.reduceat(far, cuts)
             self.levels.append((~(every ^ some), every, far))  # the bits that all below share, their pattern, the largest reach
+            if low is not None and high is not None:
+                low, high = low[cuts], high[np.append(cuts[1:], len(high)) - 1]
+                self.groups.append((low, high))
             if len(every) == 1:
                 break
             step = FANOUT
@@ -137,6 +149,10 @@ class GrayIndex:
             most = max(1, FRONT // (LEAF * LEAF if level == 0 else FANOUT * FANOUT))
             for k in range(0, len(a), most):
                 x, y = self._children(level, a[k : k + most], b[k : k + most])
+                if self.group is not None:
+                    low, high = self.groups[level - 1] if level else (self.group, self.group)
+                    common = low[y] <= high[x]  # x is not behind y
+                    x, y = x[common], y[common]
                 if level:
                     mask, pattern, far = self.levels[level - 1]
                     near = differing((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= far[x] + far[y]

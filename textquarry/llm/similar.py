@@ -1,18 +1,22 @@
-"""Near-dedup by the similarity of texts' sets of shingles, with the Gray-order index of ``simhash`` over set fingerprints.
+"""SimHash near-dedup with a Gray-order hierarchical index, held to the similarity of texts' sets of shingles.
 
 Texts link where the Jaccard similarity of their sets of word shingles is ``similarity`` or more (five words and 0.8 in the
-pipeline). No link is lost, but for collisions of 64-bit hashes, so bits of majority, as in ``simhash``, don't do: they bound
-nothing, and repeats of a shingle move them. A set's fingerprint here has BITS parity bits, each of the number of shingles
-whose hash falls on it. Two fingerprints differ in no more bits than the sets differ in shingles, and sets of the similarity
+pipeline). Texts of equal sets are one node, whose SimHash has the bits that most of the set's shingles have. SimHashes that
+differ in ``radius`` bits or fewer are found by ``simhash``'s index, and their nodes are tested on the shingles themselves.
+
+No link is lost, but for collisions of 64-bit hashes, and SimHash alone would lose some: bits of majority bound nothing. So
+what it leaves is completed exactly. A second fingerprint of a set has BITS parity bits, each of the number of shingles
+whose hash falls on it. Two of them differ in no more bits than the sets differ in shingles, and sets of the similarity
 differ in (1 - similarity) / (1 + similarity) of their sizes' sum at most, so a pair beyond that is no link.
 
-Texts of equal sets are one node. A node goes to the shingles of its set's prefix: the first of them in an order that all
-texts share, rare ones first by counts over all texts, so many that sets of the similarity have one in common. What shares
-none of them with another is done. Rounds follow, in which links are tested on the shingles themselves before they
-join anything. First each node meets the least node that it shares a shingle with and the neighbour it shares most with,
-which joins groups of copies at a link or two for each text. Then, among the nodes of a shingle that are not joined yet, the
-pairs within the bounds of size, place and fingerprint are found, in large groups by the index. Twice each node is tested
-against the nearest of them only, which joins most of what remains to be joined, and at last all of them are tested.
+A node goes to the shingles of its set's prefix: the first of them in an order that all texts share, rare ones first by
+counts over all texts, so many that sets of the similarity have one in common. What shares none of them with another is
+done. Rounds follow, in which links are tested on the shingles before they join anything. Beside SimHash's links, each node
+first meets the least node that it shares a shingle with and the neighbour it shares most with, which joins groups of copies
+at a link or two for each text. Then, among the nodes of a shingle that are not joined yet, the pairs within the bounds of
+size, place and parity bits are found by the same index: one for each large group, and one for the small groups of a batch
+together. Twice each node is tested against the nearest of them only, which joins most of what remains to be joined, and at
+last all of them are tested.
 
 Defined cases: texts without words have the empty set and are one node. Repeated rows are all returned. A component whose
 ids are all null has a null label; else null ids don't count. Empty tables give empty results. Only ``doc_id`` and ``text``
@@ -32,13 +36,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucketed, collected, dropped, lean, partitions, removed, scratch, small_batches, stored, text_of, unused
-from .simhash import DENSE, SEED, GrayIndex, contracted, differing, labelled, shingle_hashes
+from .simhash import DENSE, RADIUS, SEED, GrayIndex, contracted, labelled, link_edges, majority, shingle_hashes
 
 SIMILARITY, WIDTH, BITS = 0.8, 5, 512
 #: Shingles are counted in BUCKETS by their hash, and these summed in CHUNKS.
 BUCKETS, CHUNKS = 1 << 20, 64
-#: Pairs looked at in one step.
-PAIRS = 1 << 17
 #: How often nodes meet only the nearest one that they are not joined with, before all pairs that are left are tested.
 NEAREST_ROUNDS = 2
 
@@ -112,17 +114,17 @@ def similar_nodes(docs: DataFrame, similarity: float, width: int) -> tuple[DataF
             node = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
             offsets = np.cumsum([0, *map(len, first)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)))
-            columns = [batch.column(0), batch.column(2), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array([parity(x) for x in sets], pa.binary()), tokens, packed]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "size", "bits", "prefix", "packed"])
+            columns = [batch.column(0), batch.column(2), pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64)), pa.array([parity(x) for x in sets], pa.binary()), tokens, packed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "node", "size", "fp", "bits", "prefix", "packed"])
 
     small_batches(spark)
-    schema = "doc_id bigint, th bigint, node bigint, size int, bits binary, prefix array<bigint>, packed binary"
+    schema = "doc_id bigint, th bigint, node bigint, size int, fp bigint, bits binary, prefix array<bigint>, packed binary"
     path = scratch(spark, "shingle_prefixes")
     texts.mapInArrow(lean(read), schema).write.parquet(path)  # bits, prefixes and packed texts don't shrink any more
     made = spark.read.schema(schema).parquet(path)
     rows = stored(made.select("doc_id", "th", "node"), "text_nodes")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th")).alias("head")
-    distinct = made.groupBy("node").agg(F.first("size").alias("size"), F.min("doc_id").alias("least_id"), head, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("bits", "prefix", "packed")])
+    distinct = made.groupBy("node").agg(F.first("size").alias("size"), F.min("doc_id").alias("least_id"), head, F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("fp", "bits", "prefix", "packed")])
     table, folder = bucketed(distinct, "shingle_nodes", partitions(spark), "node", dealt=True)
     full = spark.table(table)
     removed(spark, path)
@@ -140,7 +142,8 @@ def similar_nodes(docs: DataFrame, similarity: float, width: int) -> tuple[DataF
     met = shared.select(F.col("node").alias("u"), F.explode(F.array("first", "before")).alias("x"), "size", "left").where(F.col("x").isNotNull() & (F.col("x.node") != F.col("u"))).where(apart(F.col("x")))
     met = met.groupBy("u", F.col("x.node").alias("v")).agg(F.count("*").alias("times"))
     best = met.groupBy("u").agg(F.array_distinct(F.array(F.min("v"), F.max_by("v", F.struct("times", "v")))).alias("v"))
-    few = stored(best.select("u", F.explode("v").alias("v")), "first_candidates")
+    alike = simhash_candidates(stored(full.select("node", "fp"), "node_fingerprints"))
+    few = stored(alike.unionByName(best.select("u", F.explode("v").alias("v"))).distinct(), "first_candidates")
     texts_of = full.select("node", "packed")
     tested, links = few, stored(verified(few, texts_of, similarity, width), "links")
     open_ = shared.select("token", "node", "size", "left")
@@ -159,6 +162,16 @@ def similar_nodes(docs: DataFrame, similarity: float, width: int) -> tuple[DataF
     return rows, nodes, links
 
 
+def simhash_candidates(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(u, v) with v < u: pairs that connect all nodes (node, fp) whose SimHashes, the column fp, are connected by links. Nodes of
+    one SimHash meet at the least of them."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head")), "distinct_fingerprints")
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    one, other = (heads.withColumnsRenamed({"fp": x, "head": f"{x}_head"}) for x in "uv")
+    apart = link_edges(heads.select("fp"), radius).join(one, "u").join(other, "v")
+    return same.unionByName(apart.select(F.greatest("u_head", "v_head").alias("u"), F.least("u_head", "v_head").alias("v")))
+
+
 def still_open(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """The rows (token, node, ...) of the tokens whose nodes aren't all joined, with the node's label."""
     now = rows.join(joined.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -179,39 +192,22 @@ def shared_shingles(nodes: DataFrame) -> DataFrame:
 def candidate_pairs(rows: DataFrame, similarity: float, nearest: bool = False, dense: int = DENSE) -> DataFrame:
     """(u, v) with v < u: nodes (token, node, size, left, label, bits) of different labels that share a token, whose sizes,
     places of it and fingerprints allow the similarity if it is the first that they share. With ``nearest``,
-    only the one for each node that differs in the fewest bits. More nodes of a token than ``dense`` go through an index."""
+    only the one for each node that differs in the fewest bits. More nodes of a token than ``dense`` have an index of their own."""
     need, reach = similarity / (1 + similarity), (1 - similarity) / (1 + similarity)
 
     def within(size: np.ndarray, left: np.ndarray, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         return (label[a] != label[b]) & (small >= similarity * large - 1e-9) & (np.minimum(left[a], left[b]) >= need * (small + large) - 1e-9)
 
-    def large_group(size: np.ndarray, left: np.ndarray, label: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def linked(token: np.ndarray, size: np.ndarray, left: np.ndarray, label: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         like = np.floor(np.log(np.maximum(size, 1)) / -np.log(similarity)) if similarity < 1 else size
-        index = GrayIndex(bits, size * reach + 1e-9, like)
+        index = GrayIndex(bits, size * reach + 1e-9, like, token)
         o = index.order
         now = label[o]
         for a, b, apart in index.pairs(lambda: now):
             keep = within(size, left, label, o[a], o[b])
             yield o[a[keep]], o[b[keep]], apart[keep]
 
-    def small_groups(first: np.ndarray, lengths: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        size, left, label, bits = columns
-        n = len(size)
-        more = np.repeat(first + lengths, lengths) - np.arange(n) - 1
-        upto, at = np.cumsum(more), 0
-        while at < n:
-            done = upto[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
-            a = np.repeat(np.arange(at, stop), more[at:stop])
-            b = a + 1 + np.arange(len(a)) - np.repeat(upto[at:stop] - more[at:stop] - done, more[at:stop])
-            at = stop
-            keep = within(size, left, label, a, b)
-            a, b = a[keep], b[keep]
-            apart = differing(bits[a] ^ bits[b])
-            near = apart <= reach * (size[a] + size[b]) + 1e-9
-            yield a[near], b[near], apart[near]
-
     def out(node: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for a, b, apart in pairs:
             if nearest:  # each end's own row, u
@@ -232,10 +228,10 @@ def candidate_pairs(rows: DataFrame, similarity: float, nearest: bool = False, d
         lengths = np.diff(np.append(first, len(token)))
         large = lengths > dense
         for a, n in zip(first[large].tolist(), lengths[large].tolist(), strict=True):
-            yield from out(node[a : a + n], large_group(*(c[a : a + n] for c in rest)))
+            yield from out(node[a : a + n], linked(token[a : a + n], *(c[a : a + n] for c in rest)))
         on = np.repeat(~large, lengths)
-        small = lengths[~large]
-        yield from out(node[on], small_groups(np.cumsum(small) - small, small, [c[on] for c in rest]))
+        if on.any():
+            yield from out(node[on], linked(token[on], *(c[on] for c in rest)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []  # of the last shingle, whose rows may go on
