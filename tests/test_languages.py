@@ -6,7 +6,7 @@ import pytest
 
 from textquarry.languages import registry
 from textquarry.languages.analysis import analyse
-from textquarry.languages.scanner import Lexis
+from textquarry.languages.scanner import Lexis, blanked
 
 HEADS = [("go", "func (q *Queue) Push(x int) {", "Push"), ("py", "async def poll(self, every=3): pass", "poll"), ("rs", "pub(super) const unsafe fn weigh<T>(x: T) -> u8 { 0 }", "weigh"), ("js", "async function* pages(of) {", "pages"),
          ("ts", "export abstract class Shelf<T> {", "Shelf"), ("c", "static inline unsigned long hash(const char *s) {", "hash"), ("cpp", "template <class T> T clamp(T x) noexcept {", "clamp"), ("java", "final class Bin { synchronized <T> T take() {", "take"),
@@ -215,3 +215,19 @@ def test_overlapping_sequences_against_all_places(seed):
     stream = [(k, k + 1, rng.choice("ab.")) for k in range(rng.randrange(0, 60))]
     parts = tuple(rng.choice("ab.") for _ in range(rng.randrange(1, 6)))
     assert list(O.matches(stream, parts)) == [k for k in range(len(stream) - len(parts) + 1) if tuple(t for _, _, t in stream[k : k + len(parts)]) == parts]
+
+
+def test_blanks_take_the_bytes_of_what_was_there():
+    text = "a é日🙂\ud800\r\n/* x é */ b"
+    spans = [(2, 9), (9, len(text) - 2)]
+    plain = lambda c: c if c in "\r\n" else " " * len(c.encode("utf-8", "surrogatepass"))
+    assert blanked(text, spans) == "a " + "".join(map(plain, text[2:-2])) + " b"
+
+
+def test_long_comments_take_linear_time():
+    # a file that is mostly one comment, of letters of several bytes, ten of them behind one another
+    text = "func F() {\n}\n" + "/* " + "wörter über wörter " * 50_000 + "*/\n" + " " * 300_000
+    start = time.process_time()
+    a = analyse("a.go", text)
+    assert a.masked(True, True) and [d.symbol for d in a.defs] == ["F"]
+    assert time.process_time() - start < 0.5

@@ -5,7 +5,7 @@ import pytest
 from textquarry.plans import options as O
 from textquarry.plans import verbs as V
 from textquarry.plans.options import Options
-from textquarry.sources.corpus import Corpus
+from textquarry.sources.corpus import Corpus, analysed_lines
 
 
 @pytest.fixture
@@ -242,3 +242,19 @@ def test_what_a_line_is_about(spark):
     ]
     df = spark.createDataFrame([(lang, text, []) for lang, text, _ in lines], "lang string, structural string, defs array<struct<symbol:string,col:int>>")
     assert [r[0] for r in df.select(V.best_symbol()).collect()] == [want for *_, want in lines]
+
+
+def test_changed_analyses_the_lines_that_changed_once(corpus, spark):
+    c = corpus({f"p/f{k}.go": f"package p\n\nfunc F{k}() {{\n\tx{k}()\n}}\n" for k in range(9)})
+    files = spark.createDataFrame([(f"p/f{k}.go",) for k in range(5)], "path string")
+    lines = spark.createDataFrame([("p/f1.go", 4), ("p/f1.go", 4), ("p/f2.go", 4), ("p/f2.go", 99), ("p/f2.go", None), ("p/f8.go", 4)], "path string, line_no int")
+    V.release()
+    rows = V.changed(c, files, lines)
+    # all that follows reads these rows, which are held
+    assert sorted((r["path"], r["line_no"]) for r in V._rows[0].collect()) == [("p/f1.go", 4), ("p/f2.go", 4)]
+    assert got(rows, "path", "kind", "changed_lines") == [("p/f0.go", "file", None), ("p/f1.go", "changed", [4]), ("p/f2.go", "changed", [4]), ("p/f3.go", "file", None), ("p/f4.go", "file", None)]
+
+
+def test_lines_that_are_asked_for(spark):
+    files = spark.createDataFrame([("a.go", "package a\n\nfunc one() {\n}\n", [3, 3, 1, 0, 9]), ("b.go", "package b\n", [])], "path string, content string, wanted array<int>")
+    assert [(r["path"], r["line_no"], r["scope"]) for r in analysed_lines(files, wanted="wanted").collect()] == [("a.go", 1, ""), ("a.go", 3, "one")]

@@ -34,8 +34,8 @@ HINTS = {
 }
 
 
-def _lines(files: DataFrame, options: Options, symbols: Sequence[str] = (), only: bool = False) -> DataFrame:
-    return analysed_lines(files, options.masks_comments, options.no_strings, options.drop_comments, options.drop_docstrings, symbols, only)
+def _lines(files: DataFrame, options: Options, symbols: Sequence[str] = (), only: bool = False, wanted: str = "") -> DataFrame:
+    return analysed_lines(files, options.masks_comments, options.no_strings, options.drop_comments, options.drop_docstrings, symbols, only, wanted)
 
 
 #: Fixed list: words that name something in Kotlin only in backticks.
@@ -389,8 +389,10 @@ def changed(corpus: Corpus, changed_files: DataFrame, changed_lines: DataFrame,
     options = options.normalised("context")
     chosen = changed_files.select("path").distinct().where(P.path_filter(F.col("path"), options.path_globs, options.exclude_globs))
     files = corpus.files.join(chosen, "path", "left_semi")
-    every = _lines(files, options)
-    touched = every.join(changed_lines.select("path", "line_no").distinct(), ["path", "line_no"])
+    # files without changed lines need no analysis, and the others' lines are analysed once, for all that reads them
+    numbers = changed_lines.groupBy("path").agg(F.collect_set(F.col("line_no").cast("int")).alias("wanted"))
+    touched = _lines(files.join(numbers, "path"), options, wanted="wanted")
+    touched = _held(touched.select("line_no", "path", "total", "scope", "reported", "nav_start", "nav_end"))
     if options.returns in ("locations", "context"):
         around = 0 if options.returns == "locations" else options.context or 0
         spans = ranges.context_ranges(touched.select("path", "line_no", "total"), ["path"], around).withColumnsRenamed({"s": "start_line", "e": "end_line"})

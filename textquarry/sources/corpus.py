@@ -137,15 +137,17 @@ def analysed_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, FILES)
 
 
-def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool = False, drop_comments: bool = False, drop_docstrings: bool = False, symbols: Sequence[str] = (), only: bool = False) -> DataFrame:
+def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool = False, drop_comments: bool = False, drop_docstrings: bool = False, symbols: Sequence[str] = (), only: bool = False, wanted: str = "") -> DataFrame:
     """LINES: each line masked and cleaned as asked, with its definitions and the scopes that hits on it belong to, and the
-    places of ``symbols`` where the language counts them by tokens. ``only``: only the lines that can have one of symbols."""
+    places of ``symbols`` where the language counts them by tokens. ``only``: only the lines that can have one of symbols.
+    ``wanted``: a column of files with the numbers (array<int>) of the only lines to give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ..languages.analysis import analyse
 
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            numbers = batch.column(2).to_pylist() if wanted else [None] * batch.num_rows
+            for path, content, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), numbers, strict=True):
                 a = analyse(path, content)
                 n = len(a.lines)
                 if not n:
@@ -153,7 +155,7 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
                 search, structural = a.masked(no_comments or drop_comments, no_strings), a.masked(True, True)
                 ignored, clean, names = a.ignored(no_comments or drop_comments, drop_docstrings), a.clean(drop_comments, drop_docstrings), a.line_names()
                 rows, tokens = [], a.occurrences(symbols, search)
-                for k in range(1, n + 1):
+                for k in range(1, n + 1) if asked is None else sorted(x for x in set(asked) if 1 <= x <= n):
                     if only and k not in a.spliced and k not in tokens and not any(x in a.lines[k - 1] for x in symbols):
                         continue
                     owner, nav, here = a.owner[k], a.navigation(k), a.owners_on(k)
@@ -173,7 +175,7 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
                         rows = []
                 yield from _batches(rows, LINES_ARROW)
 
-    return files.select("path", "content").mapInArrow(run, LINES)
+    return files.select("path", "content", *([wanted] if wanted else [])).mapInArrow(run, LINES)
 
 
 def _batches(rows: list[dict[str, object]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
