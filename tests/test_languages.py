@@ -231,3 +231,9 @@ def test_long_comments_take_linear_time():
     a = analyse("a.go", text)
     assert a.masked(True, True) and [d.symbol for d in a.defs] == ["F"]
     assert time.process_time() - start < 0.5
+
+
+def test_names_of_the_first_lines_are_those_of_all():
+    text = "package p\n\nfunc F() {\n\tx()\n}\n\nfunc G() {\n}\n// end\n"
+    a = analyse("a.go", text)
+    assert [a.line_names(k) for k in range(10)] == [a.line_names()[:k] for k in range(10)]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 import stat
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -143,6 +143,7 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
     ``wanted``: a column of files with the numbers (array<int>) of the only lines to give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..languages import occurrences
         from ..languages.analysis import analyse
 
         for batch in batches:
@@ -152,11 +153,18 @@ def analysed_lines(files: DataFrame, no_comments: bool = False, no_strings: bool
                 n = len(a.lines)
                 if not n:
                     continue
+                # what lines show is made for those that are given
+                given: Iterable[int] = range(1, n + 1) if asked is None else sorted(x for x in set(asked) if 1 <= x <= n)
+                by_token = only and any(occurrences.counted(a.language.name, x) for x in symbols)
+                if only and not by_token:
+                    given = [k for k in given if k in a.spliced or any(x in a.lines[k - 1] for x in symbols)]
+                    if not given:
+                        continue
                 search, structural = a.masked(no_comments or drop_comments, no_strings), a.masked(True, True)
-                ignored, clean, names = a.ignored(no_comments or drop_comments, drop_docstrings), a.clean(drop_comments, drop_docstrings), a.line_names()
+                ignored, clean, names = a.ignored(no_comments or drop_comments, drop_docstrings), a.clean(drop_comments, drop_docstrings), a.line_names(max(given, default=0))
                 rows, tokens = [], a.occurrences(symbols, search)
-                for k in range(1, n + 1) if asked is None else sorted(x for x in set(asked) if 1 <= x <= n):
-                    if only and k not in a.spliced and k not in tokens and not any(x in a.lines[k - 1] for x in symbols):
+                for k in given:
+                    if by_token and k not in a.spliced and k not in tokens and not any(x in a.lines[k - 1] for x in symbols):
                         continue
                     owner, nav, here = a.owner[k], a.navigation(k), a.owners_on(k)
                     rows.append(
