@@ -111,8 +111,13 @@ def classified(hits: DataFrame, definitions: DataFrame, include: str = "both") -
     the symbol is there more often than it is defined. definitions: (path, line_no, symbol), a row for each."""
     counted = definitions.groupBy("path", "line_no", "symbol").agg(F.count("*").alias("_defs"))
     joined = hits.join(counted, ["path", "line_no", "symbol"], "left").withColumn("_defs", F.coalesce("_defs", F.lit(0)))
-    kinds = F.when(F.col("_defs") == 0, F.array(F.lit("ref"))).when(F.col("n") > F.col("_defs"), F.array(F.lit("def"), F.lit("ref"))).otherwise(F.array(F.lit("def")))
-    rows = joined.withColumn("kind", F.explode(kinds)).drop("_defs")
+    return classified_counts(joined, include, "_defs")
+
+
+def classified_counts(hits: DataFrame, include: str = "both", defs: str = "defs") -> DataFrame:
+    """classified() of hits that say themselves, in the column ``defs``, how often their line defines the symbol."""
+    kinds = F.when(F.col(defs) == 0, F.array(F.lit("ref"))).when(F.col("n") > F.col(defs), F.array(F.lit("def"), F.lit("ref"))).otherwise(F.array(F.lit("def")))
+    rows = hits.withColumn("kind", F.explode(kinds)).drop(defs)
     return rows.where(F.col("kind") == {"defs": "def", "refs": "ref"}[include]) if include in ("defs", "refs") else rows
 
 

@@ -29,6 +29,25 @@ def occurrences(lines: DataFrame, symbols: Sequence[str], column: str = "line",
     return each.select(*lines.columns, "_q.q_ix", "_q.symbol", "_q.n")
 
 
+def words_of_lines(files: DataFrame, content: str = "content") -> DataFrame:
+    """(path, line_no, symbol, n, leads) for each distinct word of each line of files (path, content): how often the line has
+    it, and whether it is the text in front of the line's first blank and no line above of this file begins with it. A file's
+    rows come from its own row: nothing is shuffled. Runs of equal words are counted in sorted arrays, so long lines and files
+    take no square of their length."""
+    struct = F.struct
+    lines = files.select("path", T.source_lines(F.col(content)).alias("_lines"))
+    led = lines.withColumn("_by_lead", F.array_sort(F.transform("_lines", lambda x, k: struct(F.substring_index(x, " ", 1).alias("lead"), k.alias("k")))))
+    before = lambda i: F.get("_by_lead", i - 1)["lead"]
+    marked = led.withColumn("_first", F.array_sort(F.transform("_by_lead", lambda x, i: struct(x["k"].alias("k"), ((i == 0) | (x["lead"] != before(i))).alias("first")))))
+    each = marked.select("path", F.posexplode(F.arrays_zip("_lines", "_first")).alias("_p", "_x"))
+    words = each.select("path", (F.col("_p") + 1).alias("line_no"), F.when(F.col("_x._first.first"), F.substring_index("_x._lines", " ", 1)).alias("_lead"), F.array_sort(F.regexp_extract_all("_x._lines", F.lit(f"[{T.IDENTIFIER}]+"), F.lit(0))).alias("_words"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: (i == 0) | (F.get("_words", i) != F.get("_words", i - 1)))
+    runs = words.where(F.size("_words") > 0).withColumn("_starts", starts)
+    counts = F.transform("_starts", lambda a, j: struct(F.get("_words", a).alias("symbol"), (F.coalesce(F.get("_starts", j + 1), F.size("_words")) - a).cast("bigint").alias("n")))
+    found = runs.select("path", "line_no", "_lead", F.explode(counts).alias("_c"))
+    return found.select("path", "line_no", "_c.symbol", "_c.n", F.coalesce(F.col("_c.symbol") == F.col("_lead"), F.lit(False)).alias("leads"))
+
+
 def path_matches(files: DataFrame, queries: Sequence[str]) -> DataFrame:
     """(q_ix, path, match_rank) for the paths that a query matches."""
     ranks = [F.struct(F.lit(k).alias("q_ix"), P.match_rank(F.col("path"), q).alias("match_rank")) for k, q in enumerate(queries)]
