@@ -154,3 +154,21 @@ def test_faults_of_trees(spark):
     df = spark.createDataFrame([([(1, 9), (2, 4), (4, 6), (7, 7), (7, 7)], 9), ([(3, 2), (0, 5), (5, 12)], 9), ([], 3)], "scopes array<struct<s:int,e:int>>, last int")
     got = [[tuple(x) for x in r[0]] for r in df.select(ranges.tree_faults(df["scopes"], df["last"])).collect()]
     assert got == [[(4, 6, "crossing")], [(0, 5, "outside"), (3, 2, "reversed"), (5, 12, "outside")], []]
+
+
+def test_places_without_a_task_for_all(spark, monkeypatch):
+    monkeypatch.setattr(results, "PLACES", 4)
+    rng = random.Random(7)
+    rows = [(q, f"p{rng.randrange(6)}", rng.choice(["def", "ref"]), k) for q in range(2) for k in rng.sample(range(1, 60), 40)]
+    df = spark.createDataFrame(rows, "q_ix int, path string, kind string, pos bigint")
+    for place, key in ((results.definitions_first, lambda r, earlier: r[2] != "def"), (results.distinct_files_first, lambda r, earlier: r[1] in earlier)):
+        want = []
+        for q in range(2):
+            mine = sorted((r for r in rows if r[0] == q), key=lambda r: r[3])
+            behind = [key(r, {x[1] for x in mine[:k]}) for k, r in enumerate(mine)]
+            want += [(*r, n) for n, (_, r) in enumerate(sorted(zip(behind, mine, strict=True), key=lambda x: (x[0], x[1][3])), 1)]
+        got = place(df)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want) and got.columns == [*df.columns, "place"]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        numbers = [line for line in plan.splitlines() if "row_number() windowspecdefinition(" in line]
+        assert numbers and all("_range" in line or "path" in line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in numbers)

@@ -54,7 +54,11 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
     bounds = sorted(set(sample))[:: max(1, len(sample) // RANGES)]
     at = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col(by))) if bounds else F.lit(0)
     leading = [c for c in order[: next(k for k, c in enumerate(order) if c == by)] if isinstance(c, str)]
-    ranged = rows.withColumn("_range", F.coalesce(at, F.lit(0)))
+    return _in_ranges(rows.withColumn("_range", F.coalesce(at, F.lit(0))), keys, leading, order)
+
+
+def _in_ranges(ranged: DataFrame, keys: Sequence[str], leading: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """rows with rank in the given order, which goes by the columns leading first and then by _range."""
     here = [*keys, *leading, "_range"]
     # a few numbers for each key: how many rows its ranges have
     sizes = ranged.groupBy(*here).agg(F.count("*").alias("_n"))
@@ -74,10 +78,10 @@ def shared_limit(rows: DataFrame, queries: DataFrame, limit: int, order: Sequenc
     twice: they should be few, and kept. Without one, ranks come from numbered() by path, for which ``paths`` gives bounds."""
     if limit <= 0 and paths is not None:
         return numbered(rows, ["q_ix"], order, "path", paths).withColumn("truncated", F.lit(False))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("q_ix").orderBy(*order)))
+    ranked = top_of_each(rows, ["q_ix"], order, limit)  # no share is more than the limit
     if limit <= 0:
         return ranked.withColumn("truncated", F.lit(False))
-    counts = queries.select("q_ix").join(ranked.groupBy("q_ix").agg(F.count("*").alias("n")), "q_ix", "left").fillna(0, ["n"])
+    counts = queries.select("q_ix").join(rows.groupBy("q_ix").agg(F.count("*").alias("n")), "q_ix", "left").fillna(0, ["n"])
     shares = fair_shares(counts, limit)
     shares = F.broadcast(shares) if queries.count() <= MOST_QUERIES else shares
     joined = ranked.join(shares, "q_ix").where(F.col("rank") <= F.col("share"))
@@ -95,15 +99,26 @@ def first_source(rows: DataFrame, key: str = "q_ix", source: str = "source") ->
     return rows.withColumn("_least", least).where(F.col(source) == F.col("_least")).drop("_least", source)
 
 
+#: Values of a number in order that are numbered by one task.
+PLACES = 1 << 16
+
+
+def placed(rows: DataFrame, behind: Column, order: str = "pos") -> DataFrame:
+    """rows with place: over each q_ix first those that are not behind, then the others, each in order of a number, as which
+    rank has it. Ranges of PLACES values are numbered by themselves, so no task holds the rows of a query; rows are read twice."""
+    ranged = rows.withColumns({"_behind": behind, "_range": F.floor(F.col(order) / PLACES)})
+    return _in_ranges(ranged, ["q_ix"], ["_behind"], ["_behind", order]).drop("_behind").withColumnRenamed("rank", "place")
+
+
 def definitions_first(rows: DataFrame, order: str = "pos") -> DataFrame:
     """rows with place: definitions before others, else as they were."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("q_ix").orderBy(F.col("kind") != "def", order)))
+    return placed(rows, F.col("kind") != "def", order)
 
 
 def distinct_files_first(rows: DataFrame, order: str = "pos") -> DataFrame:
     """rows with place: the first of each path, then the others, else as they were."""
     nth = F.row_number().over(Window.partitionBy("q_ix", "path").orderBy(order))
-    return rows.withColumn("_nth", nth).withColumn("place", F.row_number().over(Window.partitionBy("q_ix").orderBy(F.col("_nth") > 1, order))).drop("_nth")
+    return placed(rows.withColumn("_nth", nth), F.col("_nth") > 1, order).drop("_nth")
 
 
 def classified(hits: DataFrame, definitions: DataFrame, include: str = "both") -> DataFrame:
